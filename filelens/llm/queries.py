@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filelens.llm.common import read_table
+from filelens.llm.common import read_table, split_of
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.language_id import identify_languages, learn_languages
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = split_of(docs["doc_id"], 5) == 0
+    model = learn_languages(docs.filter(~held_out))
+    found = identify_languages(docs, model, ["doc_id"])
+    return found.withColumn("held_out", split_of(found["doc_id"], 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.quality import learn_quality, score_features
+
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    model, features = learn_quality(docs, labels.filter(split_of(labels["doc_id"], 4) != 2))
+    scored = score_features(features, model)
+    return scored.withColumn("held_out", split_of(scored["doc_id"], 4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op4_language_id": op4_language_id,
+    "op9_quality": op9_quality,
+}
 ORACLE_SQL: dict[str, str] = {}
