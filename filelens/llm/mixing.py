@@ -34,6 +34,7 @@ class MixConfig:
     max_repeat: int = 2
     block_words: int = 1024
     shard_blocks: int = 4096
+    slots_a_task: int = 1 << 16
     buckets: int = 1024  # a source's documents are numbered within so many buckets
     rounds: int = 24
     seed: int = 17
@@ -109,6 +110,8 @@ class Mix:
         so_far = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("end", F.sum("n_drawn").over(so_far)).withColumn("begin", F.col("end") - F.col("n_drawn"))
         keyed = counts.join(s.drop("low", "high"), "source_key").withColumn("end", F.least("end", "n_slots")).filter("begin < end")
+        # These few rows make total rows: deal them by what they will make, not by their own size.
+        keyed = keyed.repartition(int(max(8, total // cfg.slots_a_task)), "source_key", "shard")
         out = keyed.withColumn("slot", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
         out = out.withColumn("pass", F.expr("slot div n_blocks")).withColumn("i", F.col("slot") % F.col("n_blocks"))
         out = out.withColumn("block", permuted(F.col("i"), F.col("n_blocks"), F.xxhash64(F.lit(cfg.seed), "source_key", "pass"), cfg.rounds))
