@@ -40,7 +40,8 @@ class LangConfig:
     piece_chars: int = 1024
     dict_bytes: int = 96 << 10
     chunk_bytes: int = 4096
-    min_margin: float = 0.004
+    short_bytes: int = 512  # chunks up to here get the search that also finds matches of three bytes
+    min_margin: float = 0.002
     max_languages: int = 512  # bounds what goes to every task: max_languages * dict_bytes
 
 
@@ -68,12 +69,19 @@ def language_scorer(model: dict[str, bytes], cfg: LangConfig):
     """A function of one task: texts to predictions."""
     import zstandard as zstd
 
-    params = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=3, min_match=4, strategy=zstd.STRATEGY_GREEDY, write_content_size=False)
-    langs, packers = list(model), []
-    for data in model.values():
-        d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(compression_params=params)
-        packers.append(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress)
+    sizes = {"window_log": 17, "hash_log": 16, "chain_log": 17, "write_content_size": False}
+    usual = zstd.ZstdCompressionParameters(**sizes, search_log=3, min_match=4, strategy=zstd.STRATEGY_GREEDY)
+    close = zstd.ZstdCompressionParameters(**sizes, search_log=7, min_match=3, strategy=zstd.STRATEGY_BTULTRA)
+
+    def packer(data: bytes):
+        made = []
+        for params in (usual, close):
+            d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            made.append(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress)
+        return lambda chunk: made[len(chunk) <= cfg.short_bytes](chunk)
+
+    langs, packers = list(model), [packer(data) for data in model.values()]
 
     def one(raw: bytes | None) -> tuple[str, float, bool]:
         text = raw.decode("utf-8", "replace") if raw else ""
