@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from filelens.llm.common import materialize
 from filelens.llm.common_arrow import map_texts
 
-FEATURES = ("words", "word_length", "upper", "digits", "stops", "marks", "symbols", "bars", "breaks", "distinct_words", "spaces")
+FEATURES = ("word_length", "upper", "digits", "stops", "marks", "symbols", "bars", "breaks", "distinct_words", "spaces")
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    to_pooled: float = 0.1  # weight of the pooled covariance in a class's
+    to_pooled: float = 0.3  # weight of the pooled covariance in a class's
     to_diagonal: float = 0.05  # then the weight of the diagonal
-    floor: float = 1e-4  # added to every variance
+    floor: float = 1e-3  # added to every variance
     temper: float = 1.0  # divides the log-density difference
     threshold: float = 0.7
 
@@ -64,7 +64,7 @@ def statistics(raw: bytes | None) -> list[float]:
     words = data.split()
     k = len(words)
     length = float(np.log1p(len(data) / max(1, k)))
-    return [float(np.log1p(k)), length, upper, digits, stops, marks, symbols, bars, breaks, len(set(words)) / max(1, k), spaces]
+    return [length, upper, digits, stops, marks, symbols, bars, breaks, len(set(words)) / max(1, k), spaces]
 
 
 @dataclass(frozen=True)
