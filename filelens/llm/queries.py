@@ -9,12 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from filelens.llm.common import read_table, split_of
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.mixing import mix_documents
 
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.bpe import digest_documents
+
+    return digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.language_id import identify_languages, learn_languages
 
@@ -25,6 +38,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", split_of(found["doc_id"], 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.token_frames import read_token_digests, token_folder, write_token_files
+
+    folder = token_folder(spark)
+    manifest = write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path(), folder, end_id=2)
+    return read_token_digests(manifest, folder)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.quality import learn_quality, score_features
 
@@ -37,7 +58,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
     "op4_language_id": op4_language_id,
+    "op7_token_frames": op7_token_frames,
     "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
