@@ -28,6 +28,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.near_dup import NearDupConfig, near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), NearDupConfig(shingle_words=2))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.language_id import identify_languages, learn_languages
 
@@ -59,6 +65,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
+    "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
     "op7_token_frames": op7_token_frames,
     "op9_quality": op9_quality,
