@@ -52,6 +52,12 @@ def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(manifest, folder)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.license_scan import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.quality import learn_quality, score_features
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
     "op7_token_frames": op7_token_frames,
+    "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
