@@ -44,6 +44,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", split_of(found["doc_id"], 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.token_frames import read_token_digests, token_folder, write_token_files
 
@@ -68,13 +74,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", split_of(scored["doc_id"], 4) == 2).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.topk import best_products
+
+    return best_products(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
+    "op5_nearest": op5_nearest,
     "op7_token_frames": op7_token_frames,
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {}
