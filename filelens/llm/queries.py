@@ -50,6 +50,15 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelens.llm.lm_score import score_texts
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_texts(docs, docs.filter(split_of(docs["doc_id"], 5) != 1))
+    held_out = (split_of(scored["doc_id"], 5) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelens.llm.token_frames import read_token_digests, token_folder, write_token_files
 
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
     "op5_nearest": op5_nearest,
+    "op6_lm_score": op6_lm_score,
     "op7_token_frames": op7_token_frames,
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
