@@ -31,9 +31,13 @@ def stem(name: Column) -> Column:
     return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(name)))
 
 
+#: The last extension of a name, if its dot isn't the first character.
+EXTENSION = r"^.+?(\.[^.]*)$"
+
+
 def split_extension(name: Column) -> tuple[Column, Column]:
     """Cut at the last dot unless it is the first character; a trailing dot is an extension."""
-    ext = F.regexp_extract(name, r"^.+?(\.[^.]*)$", 1)
+    ext = F.regexp_extract(name, EXTENSION, 1)
     return F.substring(name, F.lit(1), F.length(name) - F.length(ext)), ext
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filelens.functions.expressions import let
+
 # What a legal offset is, and when an ingest run stamped files.
 MAX_OFFSET, QUANTUM, TOLERANCE = 14 * 3600, 900, 60
 INGEST_WINDOW = (1785715200, 1785974400)
@@ -62,9 +64,16 @@ def is_legal_offset(delta: Column) -> Column:
 
 def resolve_instant(readable: Column, clock: Column, offset: Column, claimed: Column) -> Column:
     """Struct epoch, outcome: an instant from a wall clock, its offset, and a claimed epoch."""
-    naive = clock_epoch(clock)
-    delta = claimed - naive
-    outcome = (
+
+    def at(naive: Column) -> Column:
+        delta = claimed - naive
+        return let(_instant_outcome(readable, clock, offset, claimed, delta), lambda outcome: F.struct(F.when(outcome == "exif_offset", naive - offset).when(outcome == "google_corroborated", claimed).cast("long").alias("epoch"), outcome.alias("outcome")))
+
+    return let(clock_epoch(clock), at)
+
+
+def _instant_outcome(readable: Column, clock: Column, offset: Column, claimed: Column, delta: Column) -> Column:
+    return (
         F.when(~readable, "no_readable_exif")
         .when(clock.isNull(), "no_datetimeoriginal")
         .when(offset.isNotNull(), "exif_offset")
@@ -73,8 +82,6 @@ def resolve_instant(readable: Column, clock: Column, offset: Column, claimed: Co
         .when(F.abs(delta) <= MAX_OFFSET, "google_offset_not_quantised")
         .otherwise("google_contradicts_exif")
     )
-    epoch = F.when(outcome == "exif_offset", naive - offset).when(outcome == "google_corroborated", claimed)
-    return F.struct(epoch.cast("long").alias("epoch"), outcome.alias("outcome"))
 
 
 def matches_own_clock(mtime: Column, clock: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filelens.functions.names import MIN_PREFIX, parse_sidecar
 from filelens.functions.paths import PICTURE_EXTENSIONS, split_extension
+from filelens.storage import stored
 
 
 def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     neither a large directory nor a common prefix alone is one key.
     """
     media = media.groupBy("dir", "name").agg(F.max("pos").alias("pos"))
-    parsed = sidecars.select("seq", "dir", "name", parse_sidecar(F.col("name")).alias("p"))
+    parsed = stored(sidecars.select("seq", "dir", "name", parse_sidecar(F.col("name")).alias("p")), "parsed")  # read four times below
     wanted = parsed.select("seq", "dir", F.posexplode("p.candidates").alias("prio", "wanted"))
     folded = media.groupBy("dir", F.lower("name").alias("folded")).agg(F.max_by("name", "pos").alias("hit"))
     exact = wanted.join(media.select("dir", F.col("name").alias("wanted")), ["dir", "wanted"]).select("seq", F.struct(F.lit(1).alias("tier"), "prio", F.col("wanted").alias("hit")).alias("h"))
@@ -76,7 +77,7 @@ def plan_rebind(unmatched: DataFrame, entries: DataFrame, present: DataFrame, fi
     """
     kept = entries.groupBy("dir", "name").agg(F.min(F.when(F.coalesce("kept_path", F.lit("")) != "", F.struct("seq", "kept_path")))["kept_path"].alias("kept_path"))
     listing = entries.select("dir", "name", F.col("seq").alias("pos"))
-    found = match_sidecars(unmatched.select("seq", F.col("archive_dir").alias("dir"), F.col("entry_name").alias("name")), listing)
+    found = stored(match_sidecars(unmatched.select("seq", F.col("archive_dir").alias("dir"), F.col("entry_name").alias("name")), listing), "matched")
     here = present.select("path").distinct()
     rows = unmatched.join(found.select("seq", "media_name", "reason", "candidate_count"), "seq").join(
         kept.select(F.col("dir").alias("archive_dir"), F.col("name").alias("media_name"), "kept_path"), ["archive_dir", "media_name"], "left"

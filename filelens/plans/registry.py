@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from filelens.plans import catalog_queries, ingest_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = catalog_queries.QUERIES | ingest_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | ingest_queries.ORACLE_SQL
