@@ -47,12 +47,12 @@ STEP = 2 << 20
 
 @dataclass(frozen=True)
 class LmConfig:
-    slot_bits: tuple[int, ...] = (16, 19, 21, 21, 21)  # of the orders 1 to CONTEXT
+    slot_bits: tuple[int, ...] = (16, 18, 20, 21, 21)  # of the orders 1 to CONTEXT
     rate: float = 0.02
     weight_cap: int = 64  # of a sequence's count, while the weights are learned
     map_bins: int = 33
     hot_words: int = 65536
-    table_tasks: int = 16  # tasks that fill the tables
+    table_tasks: int = 8  # tasks that fill the tables
     memo_bits: int = 20
 
 
@@ -189,6 +189,19 @@ def fill_tables(grams: DataFrame, cfg: LmConfig) -> list[np.ndarray]:
     return out
 
 
+def packed(tables: list[np.ndarray]) -> list[bytes]:
+    """Tables as they travel: little of a small corpus's is filled."""
+    import zstandard
+
+    return [zstandard.ZstdCompressor(level=1).compress(t.tobytes()) for t in tables]
+
+
+def unpacked(parts: list[bytes]) -> list[np.ndarray]:
+    import zstandard
+
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), dtype=np.uint16).reshape(-1, 2) for p in parts]
+
+
 class Mixer:
     """Predicts the last byte of sequences; all arrays of a model."""
 
@@ -258,17 +271,18 @@ class Mixer:
 
 def _with_model(grams: DataFrame, model: Mixer, size: int, work) -> np.ndarray:
     """Sum over tasks of (value, weight) pairs that ``work`` makes of its sequences."""
-    sent = grams.sparkSession.sparkContext.broadcast((model.tables, model.cfg, model.by_level, model.by_node))
+    sent = grams.sparkSession.sparkContext.broadcast((packed(model.tables), model.cfg, model.by_level, model.by_node))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, weight = np.zeros(size), np.zeros(size)
-        own = Mixer(sent.value[0], sent.value[1], sent.value[2].copy(), sent.value[3].copy())
+        own = Mixer(unpacked(sent.value[0]), sent.value[1], sent.value[2].copy(), sent.value[3].copy())
         work(own, ((b.column("key").to_numpy().astype(np.uint64), b.column("n").to_numpy()) for b in batches), value, weight)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(value), pa.array(weight)], names=["at", "value", "weight"])
 
     out = np.zeros((2, size))
     for r in grams.select("key", "n").mapInArrow(run, "at int, value double, weight double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).collect():
         out[:, r["at"]] = r["value"], r["weight"]
+    sent.destroy()
     return out
 
 
@@ -343,12 +357,12 @@ def score_texts(docs: DataFrame, train: DataFrame, cfg: LmConfig | None = None)
     log_all = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
     hot = {r["key"]: r["n"] for r in words.orderBy(F.desc("n"), "key").limit(cfg.hot_words).collect()}
     model = learn_mixer(counts.filter("kind = 0").select("key", "n"), cfg)
-    sent = docs.sparkSession.sparkContext.broadcast((model.tables, cfg, model.by_level, model.by_node, model.refined, hot))
+    sent = docs.sparkSession.sparkContext.broadcast((packed(model.tables), cfg, model.by_level, model.by_node, model.refined, hot))
     added = "n_tokens long, known long, base double, score double, bits_per_byte double, rest array<long>"
 
     def make():
         tables, config, by_level, by_node, refined, frequent = sent.value
-        memo = _Memo(Mixer(tables, config, by_level, by_node, refined), config.memo_bits)
+        memo = _Memo(Mixer(unpacked(tables), config, by_level, by_node, refined), config.memo_bits)
         gain = {k: float(np.log10(n + 0.5)) for k, n in frequent.items()}
         cold, end = float(np.log10(0.5)), float(np.log10(ends + 0.5))
 
@@ -390,6 +404,7 @@ def score_texts(docs: DataFrame, train: DataFrame, cfg: LmConfig | None = None)
     parts = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(words, "key")
     more = parts.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("base"))
     more = more.withColumnsRenamed({"row": "m_row", "known": "m_known", "base": "m_base"})
+    sent.destroy()
     both = scored.drop("rest").join(more, F.col("row") == F.col("m_row"), "left")
     return both.select(
         "doc_id",
