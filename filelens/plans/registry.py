@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filelens.plans import catalog_queries, ingest_queries
+from filelens.plans import catalog_queries, ingest_queries, more_queries
 
-QUERIES = catalog_queries.QUERIES | ingest_queries.QUERIES
-ORACLE_SQL = catalog_queries.ORACLE_SQL | ingest_queries.ORACLE_SQL
+QUERIES = catalog_queries.QUERIES | ingest_queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | ingest_queries.ORACLE_SQL | more_queries.ORACLE_SQL
