@@ -9,10 +9,10 @@ many values; bands of them are the keys of buckets.
    leaders go on, so a thousand copies cost what one does.
 2. In every bucket all members are compared with one pivot, on full sets.
    Links make components.
-3. Buckets whose members are still in several components go on: pairs from
-   different components are compared, by a number of further pivots that grows
-   each round, until no pair of a bucket is left. Nothing is capped; pairs that
-   a component already joins are never made.
+3. Two members of a bucket that no component joins yet are compared by the
+   shingles in which each differs from the pivot, which gives their similarity
+   exactly (see ``_cross_links``). Nothing is capped: every two members of a
+   bucket are joined by a component or compared.
 
 At a similarity of 0.8 a pair shares no bucket with probability under 2e-7
 (5 values a band, 40 bands).
@@ -45,8 +45,7 @@ class NearDupConfig:
     percent: int = 80  # links: 100 * intersection >= percent * union
     band_values: int = 5
     bands: int = 40
-    first_pivots: int = 64
-    more_pivots: int = 8  # factor from round to round
+    block_rows: int = 256  # of a pivot's group in one task
     seed: int = 11
 
 
@@ -134,32 +133,74 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     return map_texts(docs, "text", ["doc_id"], "n_shingles long, digest binary, keys array<long>", make)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Distinct pairs (a, b) with linked, from full sets, the size n of b's set and differ, the shingles that only one has."""
     pairs = materialize(pairs.distinct(), "pairs")
-    if pairs.isEmpty():
-        return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def make():
         shingles = Shingler(cfg.shingle_words)
         return lambda texts: {"shingles": [shingles(t).tobytes() for t in texts]}
 
-    sets = materialize(map_texts(docs.join(nodes, "doc_id", "left_semi"), "text", ["doc_id"], "shingles binary", make), "sets")
+    sets = materialize(map_texts(docs.join(nodes, "doc_id", "left_semi"), "text", ["doc_id"], "shingles binary", make).dropDuplicates(["doc_id"]), "sets")
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            linked, size, differ = [], [], []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= cfg.percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-    return materialize(both.mapInArrow(compare, "a long, b long").distinct(), "links")
+                d = np.setxor1d(x, y, assume_unique=True)
+                linked.append((100 + cfg.percent) * len(d) <= (100 - cfg.percent) * (len(x) + len(y)))
+                size.append(len(y))
+                differ.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(differ, pa.binary())], names=["a", "b", "linked", "n", "differ"])
+
+    return materialize(both.mapInArrow(compare, "a long, b long, linked boolean, n long, differ binary"), "compared")
+
+
+def _cross_links(compared: DataFrame, components: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Links (a, b) between documents that were compared with the same one and that no component joins.
+
+    With D(x) the shingles in which x differs from the common pivot, x and y differ
+    in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. So lists of these few shingles are
+    enough, and only links become rows. A link not yet known needs one side that
+    isn't linked with the pivot. Groups are cut into blocks; a task has two blocks.
+    """
+    groups = compared.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("apart")).filter("members > 1 AND apart > 0")
+    groups = groups.select("a", F.ceil(F.col("members") / cfg.block_rows).cast("int").alias("blocks"))
+    led = components.select(F.col("node").alias("b"), "component")
+    rows = compared.join(groups, "a").join(led, "b", "left").withColumn("component", F.coalesce("component", "b")).withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    u = rows.filter("NOT linked").select("a", F.col("block").alias("u_block"), every.alias("v_block"), "b", "n", "component", "differ")
+    v = rows.select("a", every.alias("u_block"), F.col("block").alias("v_block"), "b", "n", "component", "linked", "differ")
+    v = v.select(*[F.col(c).alias(f"v_{c}") for c in v.columns])
+    low, high = 100 - cfg.percent, 100 + cfg.percent
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            lists = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in right.column("v_differ")]
+            size = np.array([len(x) for x in lists])
+            items, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            ids, n, component, linked = (right.column(f"v_{c}").to_numpy() for c in ("b", "n", "component", "linked"))
+            for one, n_one, c_one, d in zip(*(left.column(c).to_pylist() for c in ("b", "n", "component")), left.column("differ"), strict=True):
+                d = np.frombuffer(d.as_buffer(), dtype=np.uint64)
+                begin, end = np.searchsorted(items, d), np.searchsorted(items, d, side="right")
+                met = [owner[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True) if i < j]
+                common = np.bincount(np.concatenate(met), minlength=len(lists)) if met else np.zeros(len(lists), np.int64)
+                near = high * (len(d) + size - 2 * common) <= low * (n_one + n)
+                hit = ids[near & (component != c_one) & (linked.astype(bool) | (ids > one))]
+                out[0].append(np.minimum(hit, one))
+                out[1].append(np.maximum(hit, one))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
+
+    keys = ["a", "u_block", "v_block"]
+    return materialize(u.groupBy(*keys).cogroup(v.groupBy(*[f"v_{k}" for k in keys])).applyInArrow(cell, "a long, b long").distinct(), "cross-links")
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig | None = None) -> DataFrame:
@@ -168,32 +209,17 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig | None = None) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs, cfg), "signatures")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("leader"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    placed = classes.select(F.explode("keys").alias("key"), "leader", "n")
-    shared = placed.groupBy("key").agg(F.min("leader").alias("pivot"), F.min(F.struct("leader", "n"))["n"].alias("pivot_n"), F.count("*").alias("members")).filter("members > 1")
-    members = materialize(placed.join(shared, "key").filter("leader <> pivot"), "members")
-    near_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * cfg.percent
-
-    first = members.filter(near_size(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("leader").alias("b"))
-    links = _confirmed(first, docs, cfg)
+    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("leader"), F.first("keys").alias("keys")), "classes")
+    placed = classes.select(F.explode("keys").alias("key"), "leader")
+    shared = placed.groupBy("key").agg(F.min("leader").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    first = placed.join(shared, "key").filter("leader <> pivot").select(F.col("pivot").alias("a"), F.col("leader").alias("b"))
+
+    compared = _compared(first, docs, cfg)
+    links = compared.filter("linked").select("a", "b")
     components = connected_components(links)
-    begin, end = 0, cfg.first_pivots
-    while True:
-        named = members.filter("members > 2").select("key", "leader", "n").join(components.withColumnRenamed("node", "leader"), "leader", "left")
-        named = named.withColumn("component", F.coalesce("component", "leader"))
-        split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > begin))
-        open_ = named.join(split.select("key", "size"), "key").withColumn("turn", F.pmod(F.xxhash64("leader", "key"), "size"))
-        open_ = materialize(open_.select("key", "leader", "n", "component", "turn"), "open-buckets")
-        if open_.isEmpty():
-            break
-        p = open_.filter((F.col("turn") >= begin) & (F.col("turn") < end)).select("key", *[F.col(c).alias(f"p_{c}") for c in ("leader", "n", "component", "turn")])
-        later = (F.col("turn") > F.col("p_turn")) | ((F.col("turn") == F.col("p_turn")) & (F.col("leader") > F.col("p_leader")))
-        pairs = open_.join(p, "key").filter(later & (F.col("component") != F.col("p_component")) & near_size(F.col("n"), F.col("p_n")))
-        more = _confirmed(pairs.select(F.least("leader", "p_leader").alias("a"), F.greatest("leader", "p_leader").alias("b")), docs, cfg)
-        if not more.isEmpty():
-            links = materialize(links.unionByName(more).distinct(), "links")
-            components = connected_components(links)
-        begin, end = end, end * cfg.more_pivots
+    cross = _cross_links(compared, components, cfg)
+    if not cross.isEmpty():
+        components = connected_components(links.unionByName(cross))
     led = components.select(F.col("node").alias("leader"), "component")
     found = classes.select("digest", "leader").join(led, "leader", "left").select("digest", F.coalesce("component", "leader").alias("component"))
     rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
