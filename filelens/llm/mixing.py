@@ -195,5 +195,6 @@ def mixed_rows(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
     mix = plan_mix(docs, cfg)
     copies = mix.per_document().filter("taken > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__n"))
     copies = copies.groupBy("__id").agg(F.max("__n").alias("__n")).filter("__n > 0")
-    picked = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # Nearly every document has a row in copies, so both sides grow alike: a merge join at any size.
+    picked = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
