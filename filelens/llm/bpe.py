@@ -188,15 +188,36 @@ class _Pieces(dict):
 
 
 SAFE_CUT = regex.compile(r" (?=\S)")
-LOOSE = regex.compile(r" (?:\s|$)")
+#: White space at an edge or beside other white space, where cuts depend on more than one character.
+LOOSE = regex.compile(r"\s\s|^\s|\s$")
 
 
 def pieces_of(text: str) -> list[str]:
-    """Cut before every space that a non-space follows."""
+    """Cut before every space that a non-space follows and, in texts without white space in a row, around line ends."""
     if not text:
         return []
-    parts = SAFE_CUT.split(text) if "  " in text or LOOSE.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    if LOOSE.search(text):
+        parts = SAFE_CUT.split(text)
+        return [parts[0], *[" " + p for p in parts[1:]]]
+    out = []
+    for line in text.split("\n"):
+        parts = line.split(" ")
+        out.append(parts[0])
+        out.extend([" " + p for p in parts[1:]])
+        out.append("\n")
+    out.pop()
+    return out
+
+
+MARKS = ".,;:!?*$%&#|"
+
+
+def stem_and_marks(piece: str) -> tuple[str, str]:
+    """A piece cut before the marks at its end, where a Latin letter stands before them: there the pattern always cuts."""
+    stem = piece.rstrip(MARKS)
+    if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1] < "\u0250":
+        return stem, piece[len(stem) :]
+    return piece, ""
 
 
 class Codec:

@@ -25,21 +25,23 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm.bpe import pieces_of
+from filelens.llm.bpe import pieces_of, stem_and_marks
 from filelens.llm.common import materialize
 from filelens.llm.common_arrow import raw, steps
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
-KEPT = 300_000
+KEPT = 400_000
 GROUP_CHARS = 2_000_000
 
 
@@ -55,23 +57,55 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was kept before; asked for again, it is kept again
+
+    def _look_up(self, wanted: set[str]) -> None:
+        """Have every piece in ``kept``; only stems never seen go to the library, together."""
+        if len(self.kept) > KEPT:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        kept[""] = b""
+        cut = {}
+        for p in wanted.difference(kept):
+            if (known := older.get(p)) is not None:
+                kept[p] = known
+            else:
+                cut[p] = stem_and_marks(p)
+        parts = {x for pair in cut.values() for x in pair if x}.difference(kept)
+        new = []
+        for p in parts:
+            if (known := older.get(p)) is not None:
+                kept[p] = known
+            else:
+                new.append(p)
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            kept[p] = array("I", e.ids).tobytes()
+        for p, (stem, marks) in cut.items():
+            if marks:
+                kept[p] = kept[stem] + kept[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian 32-bit numbers."""
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         cut = [[] if i in whole else pieces_of(t) for i, t in enumerate(texts)]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        kept = self.kept
-        if new := list({p for pieces in cut for p in pieces if p not in kept}):
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                kept[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+        self._look_up(set(chain.from_iterable(cut)))
+        out = [b"".join(map(self.kept.__getitem__, pieces)) for pieces in cut]
         for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
 
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def task_encoder(path: str) -> LibraryEncoder:
+    """One encoder for each Python worker, kept from task to task with what it has looked up."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
     ids, texts = batch.column("doc_id").to_pylist(), raw(batch.column("text"))
     at = total = 0
@@ -177,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             for ids, texts in _groups(batch):
                 if writer is None:
                     store.create_dir(base, recursive=True)
-                    encoder, stream = LibraryEncoder(tokenizer), store.open_output_stream(own)
+                    encoder, stream = task_encoder(tokenizer), store.open_output_stream(own)
                     writer = FrameWriter(stream)
                 for i, packed in zip(ids, encoder.encode(texts), strict=True):
                     writer.add(i, packed + end)
