@@ -135,16 +135,16 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
 
 
 def _among(docs: DataFrame, nodes: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """The documents whose doc_id is in ``nodes``.
+    """The documents whose doc_id is in ``nodes``, and few others.
 
-    A bitmap of hashed ids, of fixed size and so always fit to broadcast, drops most
-    other texts before the join, which then moves few.
+    A bitmap of hashed ids, of fixed size and so always fit to broadcast, drops the
+    others where they are read: no text is shuffled.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * cfg.filter_words))
     at = nodes.select(F.floor(place / 64).cast("int").alias("at"), (place % 64).cast("int").alias("bit"))
     words = materialize(at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")), "filter")  # filter_words rows at most
     marked = docs.withColumn("at", F.floor(place / 64).cast("int")).withColumn("bit", (place % 64).cast("int"))
-    return marked.join(F.broadcast(words), "at").filter(F.getbit("word", F.col("bit")) == 1).select(*docs.columns).join(nodes, "doc_id", "left_semi")
+    return marked.join(F.broadcast(words), "at").filter(F.getbit("word", F.col("bit")) == 1).select(*docs.columns)
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -156,7 +156,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFram
         shingles = Shingler(cfg.shingle_words)
         return lambda texts: {"shingles": [shingles(t).tobytes() for t in texts]}
 
-    sets = materialize(map_texts(_among(docs, nodes, cfg), "text", ["doc_id"], "shingles binary", make).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(map_texts(_among(docs, nodes, cfg), "text", ["doc_id"], "shingles binary", make).join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
