@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import pairwise
@@ -189,14 +190,14 @@ class _Pieces(dict):
 
 SAFE_CUT = regex.compile(r" (?=\S)")
 #: White space at an edge or beside other white space, where cuts depend on more than one character.
-LOOSE = regex.compile(r"\s\s|^\s|\s$")
+IN_A_ROW = re.compile(r"\s\s")
 
 
 def pieces_of(text: str) -> list[str]:
     """Cut before every space that a non-space follows and, in texts without white space in a row, around line ends."""
     if not text:
         return []
-    if LOOSE.search(text):
+    if IN_A_ROW.search(text) or text[0].isspace() or text[-1].isspace():
         parts = SAFE_CUT.split(text)
         return [parts[0], *[" " + p for p in parts[1:]]]
     out = []

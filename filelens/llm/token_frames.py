@@ -41,7 +41,7 @@ from filelens.llm.common_arrow import raw, steps
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
-KEPT = 400_000
+KEPT = 700_000
 GROUP_CHARS = 2_000_000
 
 
@@ -119,7 +119,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 class FrameWriter:
     """Writes one file to an open stream."""
 
-    def __init__(self, stream, level: int = 3):
+    def __init__(self, stream, level: int = 1):
         import zstandard
 
         self.stream, self.pack = stream, zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
