@@ -226,6 +226,18 @@ def test_lm_score(spark, docs, odd):
     assert {r.train_tokens for r in untrained} == {0} and all(r.bits_per_byte == pytest.approx(8, abs=1e-4) for r in untrained)
 
 
+def test_lm_score_has_every_context(spark, docs):
+    """No context shares a slot, and sequences that are joined score like those that go to the tasks."""
+    train = docs.filter("doc_id % 5 <> 1")
+
+    def scores(**settings):
+        return {r.doc_id: r.score for r in lm_score.score_texts(docs, train, lm_score.LmConfig(**settings)).collect()}
+
+    want = scores()
+    assert scores(slot_bits=(16, 10, 10, 10, 10)) == pytest.approx(want, rel=1e-5)
+    assert scores(hot_grams=500) == pytest.approx(want, rel=1e-5)
+
+
 def test_bit_model_is_a_distribution():
     cfg = lm_score.LmConfig()
     rng = np.random.default_rng(1)
