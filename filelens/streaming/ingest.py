@@ -31,10 +31,23 @@ def match_streams(sidecars: DataFrame, media: DataFrame, late: str = "10 minutes
     return s.join(m, (F.col("s_archive") == F.col("m_archive")) & (F.col("wanted") == F.col("media_path")) & near_by, "left_outer").select("s_archive", "sidecar_path", "wanted", "media_path", "s_at")
 
 
-def fresh_entries(entries: DataFrame, history: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Entries (digest, at, ...) whose bytes are neither in history nor earlier in the stream."""
-    known = history.select("digest").distinct()
-    return entries.withWatermark("at", late).dropDuplicatesWithinWatermark(["digest"]).join(known, "digest", "left_anti")
+def fresh_entries(entries: DataFrame, history: DataFrame, root: str, checkpoint: str):
+    """Add entries (digest, ...) whose bytes are neither in history nor earlier in the stream to the snapshot "entries".
+
+    Each batch is held against all that was published before, however far apart in
+    time, and no entry is dropped as late. A batch that is run again changes nothing.
+    Entries without a digest are told apart by their other columns.
+    """
+    whole = F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false"})
+    name = F.coalesce(F.concat(F.lit("d"), F.col("digest").cast("string")), F.concat(F.lit("n"), whole))
+
+    def batch(rows: DataFrame, number: int) -> None:
+        seen = current(rows.sparkSession, root, "entries")
+        known = seen.select(name.alias("__name")).unionByName(history.filter("digest IS NOT NULL").select(F.concat(F.lit("d"), F.col("digest").cast("string")).alias("__name")))
+        fresh = rows.withColumn("__name", name).dropDuplicates(["__name"]).join(known, "__name", "left_anti")
+        publish(seen.unionByName(fresh.select(*seen.columns)), root, "entries")
+
+    return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def apply_offers(stream: DataFrame, targets: DataFrame, root: str, checkpoint: str, on_batch: Callable[[int], None] | None = None):

@@ -1,5 +1,6 @@
 import json
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,21 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
         assert changes.current(spark, root, "log").count() == 1
         assert changes.current(spark, root, "pending").count() == 2
+
+
+def test_fresh_entries_remember_all(spark, tmp_path):
+    root, src = str(tmp_path / "w"), tmp_path / "entries"
+    rows = "archive long, digest string, at timestamp"
+    empty = spark.createDataFrame([], rows)
+    changes.publish(empty, root, "entries")
+    history = spark.createDataFrame([("old",)], "digest string")
+    days = [[(1, "x", "2024-01-01"), (2, "old", "2024-01-01"), (3, None, "2024-01-01")], [(4, "y", "2024-03-01")], [(5, "x", "2024-05-01"), (6, "y", "2024-05-01"), (7, "z", "2023-01-01"), (8, "z", "2023-01-02")]]
+    for run in ("a", "a", "a", "b"):  # b: a new checkpoint, all entries come again
+        if days:
+            day = [(a, d, datetime.fromisoformat(at)) for a, d, at in days.pop(0)]
+            spark.createDataFrame(day, rows).coalesce(1).write.mode("append").parquet(str(src))
+        stream = streams.file_stream(spark, str(src), empty.schema)
+        streams.fresh_entries(stream, history, root, str(tmp_path / run)).awaitTermination(60)
+    got = changes.current(spark, root, "entries").collect()
+    assert sorted(str(r.digest) for r in got) == ["None", "x", "y", "z"]
+    assert {r.archive for r in got} - {7, 8} == {1, 3, 4}
