@@ -10,7 +10,7 @@ Stages are written as Parquet and read again before the next.
 3. near_dup: one document of each near-duplicate group stays (shingles of five
    words, similarity 0.8).
 4. mix: sources are drawn to their target weights; a document occurs as often as
-   the mix takes its words, to the nearest whole copy.
+   the mix takes its words; a part of a copy is rounded up or down by a hash.
 5. bpe: documents become token ids, checked by decoding.
 """
 

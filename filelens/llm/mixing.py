@@ -55,6 +55,10 @@ def permuted(i: Column, n: Column, key: Column, rounds: int, inverse: bool = Fal
     return F.aggregate(order, i.cast("long"), step)
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
 def water_filled(sources: DataFrame, cfg: MixConfig) -> DataFrame:
     """Add weight and target: shares by weight, capped at max_repeat times the size.
 
@@ -128,14 +132,18 @@ class Mix:
         joined = pieces.join(self.slots(), ["source_key", "block"]).withColumn("n_words", high - low).filter("n_words > 0")
         return joined.select("shard", "source_key", "slot", "doc_id", "start", (low - F.col("start")).alias("first_word"), "n_words")
 
-    def per_document(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken for every document."""
+    def taken(self) -> DataFrame:
+        """doc_id, source_key, size, taken for every document."""
         used = self.spans().select("doc_id", "source_key", "start", F.lit(None).cast("long").alias("size"), F.col("n_words").alias("taken"))
         rows = self.documents.select("doc_id", "source_key", "start", "size", F.lit(0).cast("long").alias("taken"))
         empty = rows.filter("size = 0")
         summed = rows.filter("size > 0").unionByName(used).groupBy("doc_id", "source_key", "start").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+        return summed.unionByName(empty).drop("start")
+
+    def per_document(self) -> DataFrame:
+        """doc_id, size, source_size, target, taken for every document."""
         return (
-            summed.unionByName(empty)
+            self.taken()
             .join(self.sources.select("source_key", "source_size", "target"), "source_key")
             .select("doc_id", "size", "source_size", "target", "taken")
         )
@@ -157,7 +165,7 @@ def plan_mix(docs: DataFrame, cfg: MixConfig | None = None) -> Mix:
         docs.select(
             "doc_id",
             "source",
-            F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
+            source_key().alias("source_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.pmod(F.xxhash64(F.lit(cfg.seed), "doc_id"), F.lit(cfg.buckets)).alias("bucket"),
         ),
@@ -191,10 +199,17 @@ def mix_documents(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole copy."""
+    """The rows of ``docs``, each as often as the mix takes its words, in whole copies.
+
+    A part of a copy is rounded up with a probability equal to it, by a hash, so
+    a source keeps its words on average, however long its documents are.
+    """
     mix = plan_mix(docs, cfg)
-    copies = mix.per_document().filter("taken > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    copies = copies.groupBy("__id").agg(F.max("__n").alias("__n")).filter("__n > 0")
-    # Nearly every document has a row in copies, so both sides grow alike: a merge join at any size.
-    picked = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    sums = mix.taken().filter("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source_key").alias("__key")).agg((F.sum("taken") / F.sum("size")).alias("__share"))
+    # Nearly every document has a row in sums, so both sides grow alike: a merge join at any size.
+    has_words = F.regexp_count("text", F.lit(WORD)) > 0
+    picked = docs.join(sums.filter("__share > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (source_key() == F.col("__key"))).filter(has_words)
+    # The text tells apart documents with equal or null ids.
+    chance = F.pmod(F.xxhash64(F.lit(mix.cfg.seed), F.lit("copies"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = picked.withColumn("__n", F.floor(F.col("__share") + chance).cast("int")).filter("__n > 0")
     return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

@@ -84,6 +84,14 @@ def test_mixing(spark, docs, odd):
     assert texts.filter(F.size(F.split("text", " ")) > 64).count() == 0
 
 
+def test_mixed_rows_of_long_documents_meet_targets(spark):
+    cfg = mixing.MixConfig(weights=(1.0, 4.0), total_share=1.0)  # targets: 0.4 and 1.6 times the size
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit("word "), F.lit(20_000)).alias("text"))
+    got = {r.source: r.n for r in mixing.mixed_rows(rows, cfg).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert got["a"] == pytest.approx(0.4 * 300, rel=0.2)
+    assert got["b"] == pytest.approx(1.6 * 300, rel=0.05)
+
+
 def test_bpe_is_the_librarys(spark, docs, odd):
     from tokenizers import Tokenizer
 
