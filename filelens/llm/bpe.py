@@ -9,38 +9,42 @@ its gadget:
 * a state w appears with the arcs that v had before, as a text after w is a text after v;
 * any state with an arc u gets an arc w, any state without one gets none.
 
-After the last merge exactly one path of arcs spells a word: its encoding.
-Whether a state has an arc follows from the merges that made its two ends, so
-arcs are worked out when first walked and then kept in a table; a word is
-encoded by walking its longest tokens first and stepping back where no arc
-leads on. Decoding emits the labels of the arcs.
-
-Words come from the byte-level pre-tokenizer's pattern. Its cuts before a space
-that a non-space follows never depend on what lies left of them, so texts are
-first cut there, and pieces seen before are looked up.
+After the last merge exactly one path of arcs spells a word: its encoding. The
+driver compiles all merges once into a table of bits, a row a class of states and
+a column a class of tokens: a token that is never the left part of a merge loses
+no arc, so it shares the row its right part had when it was made, and so for
+columns. Every beginning of a word also has exactly one path, so a word is
+encoded in one walk over its bytes: at each place the arcs of the token that ends
+there, by the table, give the tokens that end later. Decoding emits the labels of
+the arcs.
+
+Words come from the byte-level pre-tokenizer's pattern; pieces of text seen before
+are looked up (see ``pieces``).
 
 Results: null texts are empty texts (no tokens). Special tokens in a text give
-their own id. Whole texts are encoded, of any length.
+their own id. Whole texts are encoded, of any length; rows with equal doc_id are
+separate documents. An empty table gives an empty result. A vocabulary in which
+two merges make one token is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import pairwise
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from filelens.llm.common_arrow import map_texts
+from filelens.llm.common_arrow import map_arrays
+from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept by a task; beyond it the table starts anew.
+#: Words kept by a worker; beyond it the table starts anew.
 KEPT = 300_000
 
 
@@ -78,177 +82,167 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tuple(labels), tuple(merges), special)
 
 
+@dataclass(frozen=True)
+class Transitions:
+    """The compiled automaton: bounded by the vocabulary, at most its size squared in bits."""
+
+    rows: np.ndarray  # by token, the class of the state after it; -1 where a token is in no path
+    columns: np.ndarray  # by token, the class of its arcs
+    bits: np.ndarray  # rows x columns, eight columns a byte
+
+
+def _shared_classes(vocabulary: Vocabulary, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Class of each token, and (step, class, class it copies) of those that merges add.
+
+    ``side`` 0 is for rows, which the left part of a merge changes and its right part
+    hands on; 1 for columns, the other way round.
+    """
+    changed = {m[side] for m in vocabulary.merges}
+    found, times, known, added = np.full(len(vocabulary.labels), -1), {}, {}, []
+    for t, label in enumerate(vocabulary.labels):
+        if len(label) == 1:
+            found[t] = known.setdefault(t if t in changed else None, len(known))
+    for step, merge in enumerate(vocabulary.merges):
+        source, made = merge[1 - side], merge[2]
+        if side == 1:  # an arc is laid after the cut of its own merge, a row copied before it
+            times[merge[1]] = times.get(merge[1], 0) + 1
+        if made in changed:
+            key = made
+        elif source in changed:
+            key = source, times.get(source, 0)
+        else:
+            found[made] = found[source]
+            continue
+        if key not in known:
+            known[key] = len(known)
+            added.append((step, known[key], int(found[source])))
+        found[made] = known[key]
+        if side == 0:
+            times[merge[0]] = times.get(merge[0], 0) + 1
+    return found, added
+
+
+def compile_merges(vocabulary: Vocabulary) -> Transitions:
+    """Add the gadgets of all merges, in order."""
+    if len({m[2] for m in vocabulary.merges}) < len(vocabulary.merges):
+        raise ValueError("two merges make one token")
+    (rows, new_rows), (columns, new_columns) = _shared_classes(vocabulary, 0), _shared_classes(vocabulary, 1)
+    bits = np.zeros((int(rows.max()) + 1, int(columns.max()) // 8 + 1), dtype=np.uint8)
+    singles = [t for t, label in enumerate(vocabulary.labels) if len(label) == 1]
+    for c in set(columns[singles].tolist()):
+        bits[list(set(rows[singles].tolist())), c >> 3] |= 1 << (c & 7)
+    row_at, column_at = {s: x for s, *x in new_rows}, {s: x for s, *x in new_columns}
+    n_rows = len(set(rows[singles].tolist()))
+    for step, (u, v, _) in enumerate(vocabulary.merges):
+        if step in row_at:
+            new, source = row_at[step]
+            bits[new], n_rows = bits[source], new + 1
+        r, c = rows[u], columns[v]
+        bits[r, c >> 3] &= ~np.uint8(1 << (c & 7))
+        if step in column_at:
+            new, source = column_at[step]
+            bits[:n_rows, new >> 3] |= ((bits[:n_rows, source >> 3] >> (source & 7)) & 1) << (new & 7)
+    return Transitions(rows.astype(np.int32), columns.astype(np.int32), bits)
+
+
 class TokenAutomaton:
-    """Deterministic automaton over tokens; see the module's text."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        labels, n = vocabulary.labels, len(vocabulary.labels)
-        self.labels, self.n = labels, n
-        self.left, self.right = list(range(n)), list(range(n))
-        self.made_at = [-1] * n  # the step of the merge that added the state; bytes are there from the start
-        self.cut_at: dict[int, int] = {}  # u * n + v: the step that took the arc v from the state u
-        for step, (u, v, w) in enumerate(vocabulary.merges):
-            self.cut_at.setdefault(u * n + v, step)
-            if self.made_at[w] < 0 and len(labels[w]) > 1:
-                self.left[w], self.right[w], self.made_at[w] = u, v, step
+    """Walks the compiled table; see the module's text."""
+
+    def __init__(self, vocabulary: Vocabulary, table: Transitions):
+        self.width, self.bits = table.bits.shape[1], table.bits.ravel().data
+        self.row, self.column = (table.rows * self.width).tolist(), table.columns.tolist()
+        self.size = [len(label) for label in vocabulary.labels]
         special = {i for _, i in vocabulary.special}
-        usable = [i for i in range(n) if labels[i] and i not in special and (len(labels[i]) == 1 or self.made_at[i] >= 0)]
-        self.token = {labels[i]: i for i in usable}
-        self.longest: dict[bytes, int] = {}  # by the first bytes, the longest label
-        for label in self.token:
-            head = label[:4]
-            self.longest[head] = max(self.longest.get(head, 0), len(label))
-        self.arcs: dict[int, bool] = {}
+        self.step: dict[int, int] = {}  # spelling tree: 256 * node + byte -> node
+        self.token = [-1]
+        for t, label in enumerate(vocabulary.labels):
+            if not label or t in special or table.rows[t] < 0:
+                continue
+            node = 0
+            for b in label:
+                key = node << 8 | b
+                if (node := self.step.get(key, -1)) < 0:
+                    node = self.step[key] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = t
 
     def has_arc(self, p: int, t: int) -> bool:
         """Whether the token t may follow the state p."""
-        key = p * self.n + t
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.arcs[key] = self._has_arc(p, t)
-            if len(self.arcs) > 4 * KEPT:
-                self.arcs.clear()
-        return known
-
-    def _has_arc(self, p: int, t: int) -> bool:
-        """Undo gadgets from the last: the later made of the two came with the arcs of its part."""
-        n, before = self.n, len(self.cut_at) + 1
-        while True:
-            cut = self.cut_at.get(p * n + t)
-            if cut is not None and cut < before:
-                return False
-            made_p, made_t = self.made_at[p], self.made_at[t]
-            if made_p < 0 and made_t < 0:
-                return True
-            if made_p >= made_t:
-                # p took the arcs that its right part had just before p was made.
-                if p == t:
-                    t = self.left[t]
-                p, before = self.right[p], made_p
-            else:
-                # The arc t was laid along the arc of its left part, as that stood after the cut.
-                t, before = self.left[t], made_t + 1
+        c = self.column[t]
+        return bool(self.bits[self.row[p] + (c >> 3)] >> (c & 7) & 1)
 
     def encode(self, word: bytes) -> list[int]:
         """The path that spells ``word``."""
-        path: list[int] = []
-        ends: list[int] = []
-        dead: set[int] = set()  # places to which a path led in vain: only one path leads to each
-        token, longest, has_arc, at, size = self.token, self.longest, self.has_arc, 0, len(word)
-        room = size
-        while at < size:
-            top = 1
-            for head in (4, 3, 2, 1):
-                if (k := longest.get(word[at : at + head])) is not None:
-                    top = k
+        step, token, column, bits, n = self.step.get, self.token, self.column, self.bits, len(word)
+        ends = [-1] * (n + 1)  # the token that ends at each place
+        for at in range(n):
+            if at and ends[at] < 0:
+                continue
+            row, node = self.row[ends[at]], 0
+            for end in range(at, n):
+                node = step(node << 8 | word[end], -1)
+                if node < 0:
                     break
-            for length in range(min(top, room, size - at), 0, -1):
-                t = token.get(word[at : at + length])
-                if t is not None and at + length not in dead and (not path or has_arc(path[-1], t)):
-                    path.append(t)
-                    at += length
-                    ends.append(at)
-                    room = size
-                    break
-            else:
-                if not path:
-                    raise ValueError("no path spells this word")
-                dead.add(at)
-                path.pop()
-                end = ends.pop()
-                at = ends[-1] if ends else 0
-                room = end - at - 1
-        return path
-
-
-class _Pieces(dict):
-    """From a piece of text to its ids, packed as little-endian 32-bit numbers."""
-
-    def __init__(self, automaton: TokenAutomaton):
-        super().__init__()
-        self.automaton, self.words, self.find = automaton, {}, regex.compile(PATTERN).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        out = []
-        for w in self.find(piece):
-            got = self.words.get(w)
-            if got is None:
-                ids = self.automaton.encode(w.encode())
-                got = pack(f"<{len(ids)}I", *ids)
-                if len(w) < 64:
-                    if len(self.words) >= KEPT:
-                        self.words.clear()
-                    self.words[w] = got
-            out.append(got)
-        packed = b"".join(out)
-        if len(piece) < 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
-SAFE_CUT = regex.compile(r" (?=\S)")
-#: White space at an edge or beside other white space, where cuts depend on more than one character.
-IN_A_ROW = re.compile(r"\s\s")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Cut before every space that a non-space follows and, in texts without white space in a row, around line ends."""
-    if not text:
-        return []
-    if IN_A_ROW.search(text) or text[0].isspace() or text[-1].isspace():
-        parts = SAFE_CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    out = []
-    for line in text.split("\n"):
-        parts = line.split(" ")
-        out.append(parts[0])
-        out.extend([" " + p for p in parts[1:]])
-        out.append("\n")
-    out.pop()
-    return out
-
-
-MARKS = ".,;:!?*$%&#|"
-
-
-def stem_and_marks(piece: str) -> tuple[str, str]:
-    """A piece cut before the marks at its end, where a Latin letter stands before them: there the pattern always cuts."""
-    stem = piece.rstrip(MARKS)
-    if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1] < "\u0250":
-        return stem, piece[len(stem) :]
-    return piece, ""
+                t = token[node]
+                if t >= 0:
+                    c = column[t]
+                    if not at or bits[row + (c >> 3)] >> (c & 7) & 1:
+                        ends[end + 1] = t
+        path = []
+        while n:
+            if ends[n] < 0:
+                raise ValueError("no path spells this word")
+            path.append(ends[n])
+            n -= self.size[ends[n]]
+        return path[::-1]
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.automaton = TokenAutomaton(vocabulary)
-        self.pieces = _Pieces(self.automaton)
+    def __init__(self, vocabulary: Vocabulary, table: Transitions | None = None):
+        self.automaton = TokenAutomaton(vocabulary, table or compile_merges(vocabulary))
         self.special = dict(vocabulary.special)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.label = vocabulary.labels.__getitem__
-
-    def encode_packed(self, text: str) -> bytes:
-        if self.cut and any(s in text for s in self.special):
-            spans = self.cut.split(text)
-            return b"".join(pack("<I", self.special[s]) if i % 2 else self._plain(s) for i, s in enumerate(spans))
-        return self._plain(text)
+        self.labels = pa.array(vocabulary.labels, pa.binary())
+        self.words, self.find = {}, regex.compile(PATTERN).findall
+        self.table = PieceTable(self.special, lambda pieces: list(map(self._plain, pieces)), self._whole)
+
+    def _word(self, word: str) -> bytes:
+        if (known := self.words.get(word)) is None:
+            ids = self.automaton.encode(word.encode())
+            known = pack(f"<{len(ids)}I", *ids)
+            if len(self.words) >= KEPT:
+                self.words.clear()
+            if len(word) < 64:
+                self.words[word] = known
+        return known
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, pieces_of(text)))
+        return b"".join(map(self._word, self.find(text)))
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
+    def _whole(self, text: str) -> bytes:
+        spans = self.cut.split(text) if self.cut else [text]
+        return b"".join(pack("<I", self.special[s]) if i % 2 else self._plain(s) for i, s in enumerate(spans))
+
+    def encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of a group of texts one after another, and where each text's begin and end."""
+        return self.table.encode(texts)
+
+    def decode_group(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """The labels of the arcs one after another, text by text."""
+        taken = self.labels.take(pa.array(ids.astype(np.int64)))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[: len(taken) + 1][begin].tolist()
+        data = data.to_pybytes() if data is not None else b""
+        return [data[i:j] for i, j in pairwise(at)]
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        """The labels of the arcs one after another."""
-        return b"".join(map(self.label, ids))
+    def encode(self, text: str) -> list[int]:
+        return self.encode_group(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+        ids = np.fromiter(ids, dtype=np.int64)
+        return self.decode_group(ids, np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
     def accepts(self, ids: list[int]) -> bool:
         """Whether a sequence is a path of the automaton, as any word's encoding is."""
@@ -258,42 +252,46 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def task_codec(vocabulary: Vocabulary, name: str) -> Codec:
-    """One codec for each Python worker, kept from task to task."""
+def task_codec(vocabulary: Vocabulary, table: Transitions, name: str) -> Codec:
+    """One codec for each Python worker and vocabulary, kept from task to task."""
     if name not in _codecs:
         _codecs.clear()
-        _codecs[name] = Codec(vocabulary)
+        _codecs[name] = Codec(vocabulary, table)
     return _codecs[name]
 
 
 def encode_documents(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens, ids (binary, little-endian 32-bit) and decoded text."""
-    return _encoded(docs, path, keep, "n_tokens long, ids binary, decoded string", lambda codec, packed: (len(packed) // 4, packed, codec.decode(_ids(packed))))
+    return _encoded(docs, path, keep, "n_tokens long, ids binary, decoded string", lambda packed, text: (packed, text.decode("utf-8", "replace")))
 
 
 def digest_documents(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens and the SHA-256 of ids and of the decoded text."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return _encoded(docs, path, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, packed: (len(packed) // 4, sha(packed), sha(codec.decode(_ids(packed)).encode())))
-
-
-def _ids(packed: bytes) -> list[int]:
-    return np.frombuffer(packed, dtype="<u4").tolist()
+    return _encoded(docs, path, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda packed, text: (sha(packed), sha(text.decode("utf-8", "replace").encode())))
 
 
 def _encoded(docs: DataFrame, path: str, keep: list[str], added: str, row) -> DataFrame:
+    with open(path, "rb") as f:
+        name = hashlib.file_digest(f, "sha256").hexdigest()
     vocabulary = read_vocabulary(path)
-    name = hashlib.sha256(repr(vocabulary.merges[:100]).encode() + path.encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, compile_merges(vocabulary)))
     fields = [f.split(" ")[0] for f in added.split(", ")]
 
     def make():
-        codec = task_codec(sent.value, name)
-
-        def run(texts: list[bytes | None]) -> dict[str, list]:
-            rows = [row(codec, codec.encode_packed(t.decode("utf-8", "replace") if t else "")) for t in texts]
-            return {f: [r[i] for r in rows] for i, f in enumerate(fields)}
+        codec = task_codec(*sent.value, name)
+
+        def run(texts: pa.Array) -> dict[str, list]:
+            out = {f: [] for f in fields}
+            for _, group in text_groups(texts):
+                ids, begin = codec.encode_group(group)
+                decoded, packed, at = codec.decode_group(ids, begin), ids.tobytes(), (4 * begin).tolist()
+                rows = [row(packed[i:j], text) for (i, j), text in zip(pairwise(at), decoded, strict=True)]
+                out[fields[0]].extend(np.diff(begin).tolist())
+                for k, f in enumerate(fields[1:]):
+                    out[f].extend([r[k] for r in rows])
+            return out
 
         return run
 
-    return map_texts(docs, "text", keep, added, make)
+    return map_arrays(docs, "text", keep, added, make)

@@ -29,16 +29,20 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
-def map_texts(
-    docs: DataFrame,
-    text: str,
-    keep: list[str],
-    added: str,
-    make: Callable[[], Callable[[list[bytes | None]], dict[str, list]]],
-) -> DataFrame:
+def map_texts(docs: DataFrame, text: str, keep: list[str], added: str, make: Callable[[], Callable[[list[bytes | None]], dict[str, list]]]) -> DataFrame:
+    """``map_arrays`` with the texts as a list of UTF-8 bytes, None where null."""
+
+    def of_arrays():
+        score = make()
+        return lambda column: score(raw(column))
+
+    return map_arrays(docs, text, keep, added, of_arrays)
+
+
+def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Callable[[], Callable[[pa.Array], dict[str, list]]]) -> DataFrame:
     """Add columns computed from ``text``, row by row, to the columns ``keep``.
 
-    ``make()`` runs once a task and gives a function from texts to the columns
+    ``make()`` runs once a task and gives a function from the texts to the columns
     that ``added`` (a schema string) declares. Only ``keep`` and ``text`` are sent
     to Python; names in ``added`` must not be in ``keep``.
     """
@@ -53,7 +57,7 @@ def map_texts(
         score = make()
         out = to_arrow_schema(schema)
         for batch in steps(batches, text):
-            got = score(raw(batch.column(text)))
+            got = score(batch.column(text))
             kept = [batch.column(c) for c in keep]
             new = [pa.array(got[f.name], type=out.field(f.name).type) for f in extra.fields]
             yield pa.RecordBatch.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(kept)] + new, schema=out)

@@ -22,31 +22,29 @@ empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm.bpe import pieces_of, stem_and_marks
 from filelens.llm.common import materialize
-from filelens.llm.common_arrow import raw, steps
+from filelens.llm.common_arrow import steps
+from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
-KEPT = 700_000
-GROUP_CHARS = 2_000_000
 
 
 class LibraryEncoder:
-    """The tokenizers library, with the pieces seen before looked up."""
+    """The tokenizers library behind a table of pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -55,65 +53,41 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was kept before; asked for again, it is kept again
-
-    def _look_up(self, wanted: set[str]) -> None:
-        """Have every piece in ``kept``; only stems never seen go to the library, together."""
-        if len(self.kept) > KEPT:
-            self.kept, self.older = {}, self.kept
-        kept, older = self.kept, self.older
-        kept[""] = b""
-        cut = {}
-        for p in wanted.difference(kept):
-            if (known := older.get(p)) is not None:
-                kept[p] = known
-            else:
-                cut[p] = stem_and_marks(p)
-        parts = {x for pair in cut.values() for x in pair if x}.difference(kept)
-        new = []
-        for p in parts:
-            if (known := older.get(p)) is not None:
-                kept[p] = known
-            else:
-                new.append(p)
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[p] = array("I", e.ids).tobytes()
-        for p, (stem, marks) in cut.items():
-            if marks:
-                kept[p] = kept[stem] + kept[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed as little-endian 32-bit numbers."""
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = [[] if i in whole else pieces_of(t) for i, t in enumerate(texts)]
-        self._look_up(set(chain.from_iterable(cut)))
-        out = [b"".join(map(self.kept.__getitem__, pieces)) for pieces in cut]
-        for i in whole:
-            out[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes()
-        return out
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line_end = self._whole("\n")
+        self.encode = PieceTable(special, self._new, self._whole).encode
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without white space inside go to the library as lines of one text, the others one by one."""
+        lines = [p for p in pieces if p and not HAS_SPACE.search(p, 1) and p != "\n" and p != " "]
+        found = {}
+        if len(self.line_end) == 4:
+            for at in range(0, len(lines), 8192):
+                part = lines[at : at + 8192]
+                ids = np.frombuffer(self._whole("\n".join(part)), dtype="<u4")
+                ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_end, dtype="<u4")), len(ids))
+                if len(ends) == len(part):
+                    data, begin = ids.tobytes(), 0
+                    for p, end in zip(part, (4 * ends).tolist(), strict=True):
+                        found[p] = data[begin:end]
+                        begin = end + 4
+        return [found[p] if p in found else self._whole(p) for p in pieces]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
 
 
 def task_encoder(path: str) -> LibraryEncoder:
-    """One encoder for each Python worker, kept from task to task with what it has looked up."""
-    if path not in _encoders:
+    """One encoder for each Python worker and vocabulary file, kept from task to task with what it has looked up."""
+    with open(path, "rb") as f:
+        name = hashlib.file_digest(f, "sha256").hexdigest()
+    if name not in _encoders:
         _encoders.clear()
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
-
-
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    ids, texts = batch.column("doc_id").to_pylist(), raw(batch.column("text"))
-    at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or b"")
-        if total >= GROUP_CHARS or i + 1 == len(texts):
-            yield ids[at : i + 1], [(x or b"").decode("utf-8", "replace") for x in texts[at : i + 1]]
-            at, total = i + 1, 0
+        _encoders[name] = LibraryEncoder(path)
+    return _encoders[name]
 
 
 class FrameWriter:
@@ -208,13 +182,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         name = f"tokens-{task.partitionId():06d}.zst"
         own = f"{base}/_{name}.{task.taskAttemptId()}"
         for batch in steps(batches, "text"):
-            for ids, texts in _groups(batch):
+            names = batch.column("doc_id").to_pylist()
+            for at, texts in text_groups(batch.column("text")):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     encoder, stream = task_encoder(tokenizer), store.open_output_stream(own)
                     writer = FrameWriter(stream)
-                for i, packed in zip(ids, encoder.encode(texts), strict=True):
-                    writer.add(i, packed + end)
+                ids, begin = encoder.encode(texts)
+                packed, begin = ids.tobytes(), (4 * begin).tolist()
+                for i, low, high in zip(names[at : at + len(texts)], begin, begin[1:]):
+                    writer.add(i, packed[low:high] + end)
         if writer is not None:
             writer.close()
             stream.close()
