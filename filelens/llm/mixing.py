@@ -12,9 +12,11 @@ source is cut to the words that are missing. No block is used more than
 ``max_repeat`` times.
 
 Nulls, empty texts: size 0, nothing taken, the row stays. A null source is a
-source of its own, last in order. Rows with equal doc_id are separate
-documents. An empty table gives an empty result. Columns other than the three
-named are not read, so their names can't clash.
+source of its own, last in order. Rows with equal doc_id are separate documents;
+rows equal in doc_id, source and text are counted once and follow each other. An
+empty table gives an empty result. Columns other than the three named are not
+read, so their names can't clash. Texts are told apart by a 64-bit hash within
+one doc_id.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ class MixConfig:
     block_words: int = 1024
     shard_blocks: int = 4096
     slots_a_task: int = 1 << 16
-    buckets: int = 1024  # a source's documents are numbered within so many buckets
+    bucket_rows: int = 1 << 16  # documents of all sources in one bucket, about; documents are numbered within buckets
+    copies_a_task: int = 4096  # of one text with one id
     rounds: int = 24
     seed: int = 17
 
@@ -87,14 +90,17 @@ def water_filled(sources: DataFrame, cfg: MixConfig) -> DataFrame:
 
 @dataclass
 class Mix:
-    """A planned mix. Tables: ``documents`` (doc_id, source_key, size, start), ``sources``."""
+    """A planned mix. Tables: ``documents`` (doc_id, source_key, text_key, size, start), ``sources``.
+
+    In a source, no two documents with words have one start: (source_key, start) names a document.
+    """
 
     documents: DataFrame
     sources: DataFrame
     cfg: MixConfig = field(default_factory=MixConfig)
 
     def slots(self) -> DataFrame:
-        """shard, source_key, slot, block, words: every block the mix uses, in order of use."""
+        """shard, source_key, slot, pass, block, words: every block the mix uses, in order of use."""
         cfg, spark = self.cfg, self.documents.sparkSession
         s = self.sources
         cut = Window.partitionBy().orderBy("source_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,16 +127,24 @@ class Mix:
         out = out.withColumn("block", permuted(F.col("i"), F.col("n_blocks"), F.xxhash64(F.lit(cfg.seed), "source_key", "pass"), cfg.rounds))
         full = F.when(F.col("block") == F.col("n_blocks") - 1, F.col("last_words")).otherwise(F.lit(cfg.block_words).cast("long"))
         words = F.when(F.col("slot") == F.col("n_slots") - 1, F.least(F.col("final_words"), full)).otherwise(full)
-        return out.select("shard", "source_key", "slot", "block", words.alias("words"))
+        return out.select("shard", "source_key", "slot", "pass", "block", words.alias("words"))
 
     def spans(self) -> DataFrame:
-        """shard, source_key, slot, doc_id, start, first_word, n_words: which words of which document fill each slot."""
+        """shard, source_key, slot, pass, doc_id, text_key, size, start, first_word, n_words: which words of which document fill each slot."""
         b = self.cfg.block_words
         pieces = self.documents.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
         joined = pieces.join(self.slots(), ["source_key", "block"]).withColumn("n_words", high - low).filter("n_words > 0")
-        return joined.select("shard", "source_key", "slot", "doc_id", "start", (low - F.col("start")).alias("first_word"), "n_words")
+        return joined.select("shard", "source_key", "slot", "pass", "doc_id", "text_key", "size", "start", (low - F.col("start")).alias("first_word"), "n_words")
+
+    def runs(self) -> DataFrame:
+        """source_key, start, doc_id, text_key, size, cuts: for each document the runs of words (first_word, n_words) that the passes take."""
+        whose = ["source_key", "start", "pass"]
+        before = Window.partitionBy(*whose).orderBy("first_word").rowsBetween(Window.unboundedPreceding, -1)  # a document's blocks
+        run = self.spans().withColumn("run", F.col("first_word") - F.coalesce(F.sum("n_words").over(before), F.lit(0)))
+        run = run.groupBy(*whose, "run", "doc_id", "text_key", "size").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
+        return run.groupBy("source_key", "start", "doc_id", "text_key", "size").agg(F.collect_list(F.struct("first_word", "n_words")).alias("cuts"))
 
     def taken(self) -> DataFrame:
         """doc_id, source_key, size, taken for every document."""
@@ -149,29 +163,54 @@ class Mix:
         )
 
     def block_texts(self, docs: DataFrame) -> DataFrame:
-        """shard, source_key, slot, text: the mixed blocks themselves; ``docs`` has unique doc_id."""
-        words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int"))
-        cut = self.spans().join(docs.select("doc_id", "text"), "doc_id").withColumn("piece", F.array_join(words, " "))
-        return cut.groupBy("shard", "source_key", "slot").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), " ").alias("text")
+        """shard, source_key, slot, text: the mixed blocks themselves."""
+        whose = ["source_key", "start", "doc_id", "text_key"]
+        spans = self.spans().groupBy(*whose).agg(F.collect_list(F.struct("shard", "slot", "first_word", "n_words")).alias("cuts"))  # a document's blocks
+        cut = _with_words(spans, docs).select("source_key", "start", F.explode(F.transform("cuts", lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), _run("words", c).alias("piece")))).alias("c"))
+        return cut.groupBy("c.shard", "source_key", "c.slot").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "c.piece"))), lambda x: x["piece"]), " ").alias("text")
         )
 
 
+def _run(words: str, cut: Column) -> Column:
+    return F.array_join(F.slice(F.col(words), (cut["first_word"] + 1).cast("int"), cut["n_words"].cast("int")), " ")
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key and __text_key; of rows equal in doc_id, source and text, one."""
+    keyed = docs.withColumn("__key", source_key()).withColumn("__text_key", F.xxhash64("text"))
+    names = ["doc_id", "__key", "__text_key"]
+    again = materialize(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(names)]), "mix-repeats")
+    if again.isEmpty():
+        return keyed
+    same = F.col("doc_id").eqNullSafe(F.col("__r0")) & (F.col("__key") == F.col("__r1")) & (F.col("__text_key") == F.col("__r2"))
+    return keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(names))
+
+
+def _with_words(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``spans`` with the columns of ``docs``, named with __ in front, and the words of the text."""
+    texts = _one_each(docs)
+    texts = texts.select("__key", "__text_key", *[F.col(c).alias(f"__d_{c}") for c in docs.columns])
+    # Nearly every document has a span, so both sides grow alike: a merge join at any size.
+    same = F.col("doc_id").eqNullSafe(F.col("__d_doc_id")) & (F.col("source_key") == F.col("__key")) & (F.col("text_key") == F.col("__text_key"))
+    return spans.hint("merge").join(texts, same).withColumn("words", F.regexp_extract_all("__d_text", F.lit(WORD), F.lit(0)))
+
+
 def plan_mix(docs: DataFrame, cfg: MixConfig | None = None) -> Mix:
     """Plan a mix of ``docs`` (doc_id, text, source). The texts are read once, to count words."""
     cfg = cfg or MixConfig()
     b = cfg.block_words
-    sized = materialize(
-        docs.select(
-            "doc_id",
-            "source",
-            source_key().alias("source_key"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.lit(cfg.seed), "doc_id"), F.lit(cfg.buckets)).alias("bucket"),
-        ),
-        "mix-sizes",
+    one = docs.select(
+        "doc_id",
+        "source",
+        source_key().alias("source_key"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("text_key"),
     )
-    by_bucket = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+    sized = materialize(one.groupBy("doc_id", "source", "source_key", "size", "text_key").agg(F.count("*").alias("copies")), "mix-sizes")
+    buckets = max(1, -(-sized.count() // cfg.bucket_rows))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(cfg.seed), "doc_id", "text_key"), F.lit(buckets)))
+    by_bucket = sized.groupBy("source_key", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size"), F.first("source").alias("source"))
     totals = by_bucket.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     s = water_filled(totals, cfg)
     s = s.withColumn("n_blocks", F.expr(f"(source_size + {b - 1}) div {b}")).withColumn("last_words", F.expr(f"source_size - (n_blocks - 1) * {b}"))
@@ -187,10 +226,16 @@ def plan_mix(docs: DataFrame, cfg: MixConfig | None = None) -> Mix:
     s = materialize(s.select("source_key", "source", "source_size", "target", "n_blocks", "last_words", "n_slots", "final_words"), "mix-sources")
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_key", "bucket"])
-    documents = materialize(placed.select("doc_id", "source_key", "size", (F.col("bucket_start") + F.col("at")).alias("start")), "mix-documents")
-    return Mix(documents, s, cfg)
+    order = F.xxhash64(F.lit(cfg.seed), F.lit("order"), "doc_id", "text_key")
+    within = Window.partitionBy("source_key", "bucket").orderBy(order, "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0))
+    placed = sized.withColumn("at", at).join(starts, ["source_key", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("at"))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(cfg.copies_a_task))))
+    many = F.col("copies") > cfg.copies_a_task
+    placed = placed.filter(~many).unionByName(placed.filter(many).repartition("source_key", "start", "k"))
+    copy = F.explode(F.sequence(F.col("k"), F.least(F.col("k") + cfg.copies_a_task, "copies") - 1))
+    documents = placed.withColumn("copy", copy).select("doc_id", "source_key", "text_key", "size", (F.col("start") + F.col("copy") * F.col("size")).alias("start"))
+    return Mix(materialize(documents, "mix-documents"), s, cfg)
 
 
 def mix_documents(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
@@ -199,17 +244,18 @@ def mix_documents(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, cfg: MixConfig | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, in whole copies.
+    """The words the mix takes, as rows like those of ``docs``; together they meet the targets exactly.
 
-    A part of a copy is rounded up with a probability equal to it, by a hash, so
-    a source keeps its words on average, however long its documents are.
+    A document that a pass takes whole is a row as it stands; of one that a pass
+    takes in part each run of words is a row, its text these words with single
+    spaces, and n_chars, if there is such a column, its length. Of rows equal in
+    doc_id, source and text, the other columns are those of one of them.
     """
     mix = plan_mix(docs, cfg)
-    sums = mix.taken().filter("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source_key").alias("__key")).agg((F.sum("taken") / F.sum("size")).alias("__share"))
-    # Nearly every document has a row in sums, so both sides grow alike: a merge join at any size.
-    has_words = F.regexp_count("text", F.lit(WORD)) > 0
-    picked = docs.join(sums.filter("__share > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (source_key() == F.col("__key"))).filter(has_words)
-    # The text tells apart documents with equal or null ids.
-    chance = F.pmod(F.xxhash64(F.lit(mix.cfg.seed), F.lit("copies"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = picked.withColumn("__n", F.floor(F.col("__share") + chance).cast("int")).filter("__n > 0")
-    return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    whole = lambda c: c["n_words"] == F.col("size")
+    rows = _with_words(mix.runs(), docs)
+    rows = rows.withColumn("__text", F.explode(F.transform("cuts", lambda c: F.when(whole(c), F.col("__d_text")).otherwise(_run("words", c)))))
+    named = {c: F.col(f"__d_{c}") for c in docs.columns} | {"text": F.col("__text")}
+    if "n_chars" in named:
+        named["n_chars"] = F.when(F.col("__text") == F.col("__d_text"), named["n_chars"]).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[c.alias(name) for name, c in named.items()])

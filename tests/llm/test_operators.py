@@ -87,9 +87,25 @@ def test_mixing(spark, docs, odd):
 def test_mixed_rows_of_long_documents_meet_targets(spark):
     cfg = mixing.MixConfig(weights=(1.0, 4.0), total_share=1.0)  # targets: 0.4 and 1.6 times the size
     rows = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit("word "), F.lit(20_000)).alias("text"))
-    got = {r.source: r.n for r in mixing.mixed_rows(rows, cfg).groupBy("source").agg(F.count("*").alias("n")).collect()}
-    assert got["a"] == pytest.approx(0.4 * 300, rel=0.2)
-    assert got["b"] == pytest.approx(1.6 * 300, rel=0.05)
+    got = {r.source: r.n for r in mixing.mixed_rows(rows, cfg).groupBy("source").agg((F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).alias("n")).collect()}
+    assert got == {"a": 0.4 * 300 * 20_000, "b": 1.6 * 300 * 20_000}
+
+
+def test_mixed_rows_are_what_the_mix_takes(spark, docs):
+    """Per text, the words of the rows are those counted by per_document; repeated and null ids mix nothing up."""
+    rows = [(i % 3 if i % 4 else None, " ".join(f"{i}-{j}" for j in range(10 * (i % 7))), "ab"[i % 2], 1, 7) for i in range(60)] + [(1, "b a a", "a", 5, 7)] * 9
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, size int")
+    cfg = mixing.MixConfig(block_words=16, shard_blocks=4, bucket_rows=7, copies_a_task=4)
+    want, got = Counter(), Counter()
+    for r in mixing.plan_mix(table, cfg).taken().collect():
+        want[r.doc_id, r.source_key] += r.taken
+    out = mixing.mixed_rows(table, cfg)
+    assert out.columns == table.columns
+    for r in out.collect():
+        got[r.doc_id, "s" + r.source] += len(words(r.text))
+        assert any(x[0] == r.doc_id and x[2] == r.source and f" {r.text} " in f" {x[1]} " for x in rows)
+    assert got == Counter({k: n for k, n in want.items() if n})
+    assert mixing.plan_mix(table, cfg).per_document().count() == len(rows)
 
 
 def test_bpe_is_the_librarys(spark, docs, odd):
@@ -185,10 +201,49 @@ def test_near_duplicates(spark, docs, odd):
     assert len(got) == len(ODD)
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (None, None, True), (6, 6, True), (7, 7, True)}
     kept = near_dup.without_near_duplicates(odd)
-    assert kept.columns == odd.columns and kept.count() == 7
+    assert kept.columns == odd.columns and kept.count() == 6
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def brute_rows(rows, k):
+    """Sets of the rows and links between rows, by number."""
+    return brute_near(list(enumerate(t for _, t in rows)), k)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids with several texts, null ids, repeated rows and chains, against a plain version over rows."""
+    rng = random.Random(9)
+    rows = [(1, "a b c d e f g h i j k l"), (1, "one two three four five six seven"), (9, "one two three four five six seven eight"), (5, "p q r s t u v w"), (5, "k l m n o p"), (3, "k l m n o p"), (None, "k l m n o p"), (None, "lonely words here"), (None, None), (1, ""), (77, "")]
+    for i in range(90):
+        base = [f"g{i % 9}w{j}" for j in range(40)]
+        for _ in range(rng.randrange(5)):
+            base[rng.randrange(40)] = f"e{rng.randrange(10**6)}"
+        rows.append((rng.choice([None, *range(20, 60)]), " ".join(base)))
+    rows += rng.sample(rows, 20)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (2, 5):
+        cfg = near_dup.NearDupConfig(shingle_words=k, block_rows=4)
+        sets, group = brute_rows(rows, k)
+        edges = [(("row", group.get(i, i)), ("id", d)) for i, (d, _) in enumerate(rows) if d is not None]
+        joined = components([(a, b) for b, a in edges])
+        least = {}
+        for i, (d, _) in enumerate(rows):
+            if d is not None:
+                top = joined[("id", d)]
+                least[top] = min(d, least.get(top, d))
+        want = Counter((d, len(sets[i]), None if d is None else least[joined[("id", d)]]) for i, (d, _) in enumerate(rows))
+        got = near_dup.near_duplicates(table, cfg).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+        first = {}
+        for i, (d, t) in enumerate(rows):
+            g = ("alone", i) if not sets[i] else group.get(i, i) if i in group else ("set", sets[i])
+            first.setdefault(g, []).append((d is None, d or 0, t or ""))
+        kept = near_dup.without_near_duplicates(table, cfg).collect()
+        assert len(kept) == len(first)
+        assert Counter(r.doc_id for r in kept) == Counter(None if min(x)[0] else min(x)[1] for x in first.values())
+
+
 def test_language(spark, docs, odd, smoke_dir):
     got = queries.op4_language_id(spark, smoke_dir).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id")
     assert got.filter("held_out AND n > 100").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
