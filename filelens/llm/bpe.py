@@ -45,7 +45,7 @@ from filelens.llm.common_arrow import map_arrays
 from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
 #: Words kept by a worker; beyond it the table starts anew.
-KEPT = 300_000
+KEPT = 200_000
 
 
 @dataclass(frozen=True)

@@ -6,13 +6,16 @@ language whose compressed sizes sum to the least wins. A narrow margin between
 the two best rejects the text.
 
 Results: null texts and texts without a letter are ``und``, score 0, rejected. An
-empty training table learns no language, and then every text is ``und``. Equal
-sizes go to the first language in code point order. Only the columns named are
-read; whole texts are used.
-
-The model is fitted on a bounded sample, as documented in ``LangConfig``: about
-``sample_docs`` documents a language, chosen by a hash of their id, each giving
-``piece_chars`` characters at most.
+empty training table learns no language, and then every text is ``und``; an empty
+table gives an empty result. Equal sizes go to the first language in code point
+order. Only the columns named are read, ids may be null or repeat; whole texts of
+any length are compressed.
+
+The model is fitted on a bounded sample, as documented in ``LangConfig``: of each
+language the ``sample_docs`` rows with the smallest hashes of id and text, equal
+rows once, each giving one piece of ``piece_chars`` characters from a hashed place
+of its whole text. Every language that has rows has some in the sample, and all
+its pieces have an equal part of its dictionary.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelens.llm.common_arrow import map_texts
@@ -36,11 +39,10 @@ def spelled(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class LangConfig:
-    sample_docs: int = 128
+    sample_docs: int = 96
     piece_chars: int = 1024
-    dict_bytes: int = 96 << 10
+    dict_bytes: int = 120 << 10
     chunk_bytes: int = 4096
-    short_bytes: int = 512  # chunks up to here get the search that also finds matches of three bytes
     min_margin: float = 0.002
     max_languages: int = 512  # bounds what goes to every task: max_languages * dict_bytes
 
@@ -48,38 +50,38 @@ class LangConfig:
 def learn_languages(train: DataFrame, cfg: LangConfig | None = None) -> dict[str, bytes]:
     """The dictionaries, from rows (doc_id, text, lang) with a language and a text."""
     cfg = cfg or LangConfig()
-    rows = train.filter("lang IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(cfg.max_languages + 1).collect()}
-    if len(counts) > cfg.max_languages:
+    top = 1 << 30
+    rows = train.filter("lang IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    rows = rows.withColumn("place", F.pmod("h", F.lit(top)))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).limit(cfg.max_languages + 1).collect()
+    if len(found) > cfg.max_languages:
         raise ValueError(f"more than {cfg.max_languages} languages; raise max_languages knowingly")
-    if not counts:
+    if not found:
         return {}
-    # A hash below the language's share keeps about sample_docs of its rows, without a shuffle.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, cfg.sample_docs / n))])
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    sample = rows.withColumn("place", place).filter(F.col("place") / float(1 << 30) < F.element_at(share, F.col("lang")))
-    pieces: dict[str, list] = {lang: [] for lang in counts}
-    for r in sample.select("lang", "place", F.substring("text", 1, cfg.piece_chars).alias("piece")).collect():
-        pieces[r["lang"]].append((r["place"], r["piece"]))
-    found = {lang: spelled(" ".join(p for _, p in sorted(x)))[: cfg.dict_bytes] for lang, x in pieces.items() if x}
-    return {lang: found[lang] for lang in sorted(found)}
+    # Without a shuffle, about twice the rows wanted, and at least one of each language; of these the first.
+    bar = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], -(-2 * top * cfg.sample_docs // r["n"])))])
+    pieces = F.ceil(F.length("text") / cfg.piece_chars)
+    piece = F.substring("text", (F.pmod(F.xxhash64("h"), pieces) * cfg.piece_chars + 1).cast("int"), F.lit(cfg.piece_chars))
+    near = rows.filter(F.col("place") <= F.element_at(bar, F.col("lang"))).select("lang", "place", "h", piece.alias("piece")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h", "piece"))
+    sample: dict[str, list[bytes]] = {}
+    for r in near.withColumn("at", first).filter(F.col("at") <= cfg.sample_docs).orderBy("lang", "at").collect():
+        sample.setdefault(r["lang"], []).append(spelled(r["piece"]))
+    each = {lang: cfg.dict_bytes // len(p) for lang, p in sample.items()}
+    return {lang: b" ".join(p[: each[lang] - 1] for p in sample[lang]) for lang in sorted(sample)}
 
 
 def language_scorer(model: dict[str, bytes], cfg: LangConfig):
     """A function of one task: texts to predictions."""
     import zstandard as zstd
 
-    sizes = {"window_log": 17, "hash_log": 16, "chain_log": 17, "write_content_size": False}
-    usual = zstd.ZstdCompressionParameters(**sizes, search_log=3, min_match=4, strategy=zstd.STRATEGY_GREEDY)
-    close = zstd.ZstdCompressionParameters(**sizes, search_log=7, min_match=3, strategy=zstd.STRATEGY_BTULTRA)
+    # This strategy finds matches of three bytes, which short texts need.
+    params = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=17, search_log=1, min_match=3, strategy=zstd.STRATEGY_BTOPT, write_content_size=False)
 
     def packer(data: bytes):
-        made = []
-        for params in (usual, close):
-            d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            made.append(zstd.ZstdCompressor(dict_data=d, compression_params=params).compress)
-        return lambda chunk: made[len(chunk) <= cfg.short_bytes](chunk)
+        d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        return zstd.ZstdCompressor(dict_data=d, compression_params=params).compress
 
     langs, packers = list(model), [packer(data) for data in model.values()]
 

@@ -26,8 +26,8 @@ SAFE_CUT = regex.compile(r" (?=\S)")
 HAS_SPACE = re.compile(r"\s")
 MARKS = ".,;:!?*$%&#|"
 #: Pieces kept by a worker; beyond it what wasn't asked for again is forgotten.
-KEPT = 700_000
-GROUP_BYTES = 8 << 20
+KEPT = 450_000
+GROUP_BYTES = 4 << 20
 
 
 def stem_and_marks(piece: str) -> tuple[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from filelens.llm import ann, bpe, license_scan, lm_score, mixing, near_dup, quality, queries, token_frames, topk
 from filelens.llm.common import read_table
 from filelens.llm.components import connected_components
-from filelens.llm.language_id import identify_languages, learn_languages
+from filelens.llm.language_id import LangConfig, identify_languages, learn_languages, spelled
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 ODD = [
@@ -253,10 +253,43 @@ def test_language(spark, docs, odd, smoke_dir):
     und = {r["doc_id"] for r in out if r["__lang_pred"] == "und"}
     assert und == {1, 2, 6}
     assert {r["lang_pred"] for r in identify_languages(odd, {}, ["doc_id"]).collect()} == {"und"}
+    assert identify_languages(odd.limit(0), learn_languages(docs), ["doc_id"]).count() == 0 and learn_languages(docs.limit(0)) == {}
     with pytest.raises(ValueError, match="both kept and added"):
         identify_languages(odd, {}, odd.columns)
 
 
+def test_no_language_is_forgotten(spark):
+    """Whatever ids repeat or are null; and no row's copies fill a dictionary."""
+    rows = [(7, "the quick brown fox", "en")] * 400 + [(None, f"der schnelle braune Fuchs {i} springt", "de") for i in range(400)] + [(8, "x" * 5000 + "un renard brun", "fr")]
+    cfg = LangConfig(sample_docs=8)
+    model = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cfg)
+    assert sorted(model) == ["de", "en", "fr"]
+    assert model["en"] == b"the quick brown fox" and model["de"].count(b"fuchs") == 8
+    assert all(len(d) <= cfg.dict_bytes for d in model.values())
+    texts = ["der braune Fuchs", "the brown fox", None, "12"]
+    got = identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"], cfg)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {0: "de", 1: "en", 2: "und", 3: "und"}
+
+
+def test_language_scores_are_the_smallest_sizes(spark, docs):
+    """Against sizes summed chunk by chunk with fresh compressors."""
+    import zstandard as zstd
+
+    model, cfg = learn_languages(docs), LangConfig()
+    params = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=17, search_log=1, min_match=3, strategy=zstd.STRATEGY_BTOPT, write_content_size=False)
+    for r in identify_languages(docs, model, ["doc_id", "text"]).limit(60).collect():
+        data, sizes = spelled(r.text or ""), {}
+        if not data.strip():
+            continue
+        for lang, d in model.items():
+            made = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(made.compress(data[i : i + cfg.chunk_bytes])) for i in range(0, len(data), cfg.chunk_bytes))
+        best, rest = sorted(sizes.values())[:2]
+        margin = (rest - best) / rest
+        assert r.lang_pred == min(model, key=lambda x: (sizes[x], x))
+        assert r.score == pytest.approx(min(1.0, margin / (margin + 0.02)) if margin else 0.0) and r.rejected == (margin < cfg.min_margin)
+
+
 def test_quality(spark, docs, odd, smoke_dir):
     labels = read_table(spark, smoke_dir, "labels")
     got = queries.op9_quality(spark, smoke_dir).join(labels, "doc_id")
