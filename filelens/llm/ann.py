@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelens.llm.vector_grid import GridConfig, finite_vectors, grid_search, top
+from filelens.llm.vector_grid import GridConfig, finite_vectors, gathered, grid_search, top
 
 
 @dataclass(frozen=True)
@@ -99,9 +99,8 @@ def nearest(table: DataFrame, query_rule: str, cfg: AnnConfig | None = None) ->
     vectors = finite_vectors(table, nonzero=True)
     queries = vectors.filter(query_rule).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
 
-    def best(ids, block, query_ids, chunk):
-        index = CollisionIndex(ids, block, cfg)
-        rows = [index.search(q, x) for q, x in zip(query_ids.tolist(), chunk, strict=True)]
-        return np.repeat(query_ids, [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    def index(ids: np.ndarray, block: np.ndarray):
+        made = CollisionIndex(ids, block, cfg)
+        return lambda query_ids, chunk: gathered(query_ids, [made.search(q, x) for q, x in zip(query_ids.tolist(), chunk, strict=True)])
 
-    return grid_search(vectors, queries, best, "double", cfg.k, cfg.grid)
+    return grid_search(vectors, queries, index, "double", cfg.k, cfg.grid)

@@ -4,10 +4,10 @@ Two kinds of label:
 
 * base labels: a phrase's words stand consecutively in the text;
 * the method's labels, by an exact set-similarity join of text blocks with
-  license templates. Blocks are windows of ``block_words`` words, each starting
+  license notices. Blocks are windows of ``block_words`` words, each starting
   ``block_step`` after the last, so any run of up to ``block_words - block_step``
-  words lies in one. A block has a template's label if it contains at least
-  ``containment`` of the template's distinct words.
+  words lies in one; longer templates are refused. A block has a template's label
+  if it contains at least ``containment`` of the template's distinct words.
 
 The join orders the templates' words by how many documents hold them, rarest
 first. A block that reaches the threshold must hold one of a template's first
@@ -15,22 +15,28 @@ words (prefix filter), as many template words as the threshold asks (length
 filter), and, from the places of the shared word in both orders, enough words
 left to reach it (positional filter). What passes is compared in full.
 
-Only template words can be shared, so blocks are reduced to those, and texts
-that hold no first word of any template make no blocks. What is broadcast are
-the templates.
+Texts are read once: a table keeps each document's counts and the template words
+it holds, and blocks, reduced to template words, of those documents that hold
+enough words of some template. What is broadcast are the templates.
 
 Results: null texts have no words and no labels. Rows with equal doc_id are
-separate documents. score is the greatest containment a block reaches, 1 where
-a base phrase stands, 0 without labels.
+separate documents; equal rows get equal results. Base phrases compare words with
+A-Z in lower case, templates words in lower case. score is the greatest
+containment a block reaches, 1 where a base phrase stands, 0 without labels. An
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filelens.llm.common import materialize
+
 #: What words are made of, and the phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (
@@ -39,16 +45,59 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
+#: Public license notices, as their words in lower case.
 TEMPLATES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software"
+        " without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all"
+        " copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the"
+        " warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages"
+        " or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is"
+        " basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+        " either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even"
+        " the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the"
+        " gnu general public license along with this program if not see https www gnu org licenses",
+        "gpl-3.0-or-later",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code"
+        " must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this"
+        " list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright"
+        " holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular"
+        " purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"
+        " including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of"
+        " liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the"
+        " possibility of such damage",
+        "bsd-2-clause",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this"
+        " permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied"
+        " warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever"
+        " resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or"
+        " performance of this software",
+        "isc",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"
+        " https mozilla org mpl 2 0",
+        "mpl-2.0",
+    ),
+    (
+        "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0 or"
+        " send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+        "cc-by-4.0",
+    ),
 )
 
 
@@ -57,16 +106,21 @@ class LicenseConfig:
     phrases: tuple[tuple[str, str], ...] = PHRASES
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     containment: float = 0.85
-    block_words: int = 96
-    block_step: int = 48
-
+    block_words: int = 512
+    block_step: int = 256
 
-def _ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    def __post_init__(self):
+        longest = max((len(text.split()) for text, _ in self.templates), default=0)
+        if longest > self.block_words - self.block_step:
+            raise ValueError(f"a template of {longest} words may lie in no block; raise block_words")
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(_ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def _texts(words: list[str] | tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, words)).cast("array<string>")
 
 
 def _needed(n: int, containment: float) -> int:
@@ -86,11 +140,39 @@ class OrderedTemplates:
         return self.places[t][: len(self.places[t]) - self.needed[t] + 1]
 
 
-def order_templates(docs: DataFrame, cfg: LicenseConfig) -> OrderedTemplates:
+def read_texts(docs: DataFrame, cfg: LicenseConfig) -> DataFrame:
+    """doc_id, text_key, base columns, held (the template words of the text) and blocks (first_word, held), as a table."""
+    sets = [sorted(set(text.split())) for text, _ in cfg.templates]
+    vocabulary = sorted({w for s in sets for w in s})
+    split = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.coalesce(words_of(F.col("text")), _texts([])).alias("words"))
+    phrase_words = sorted({w for p, _ in cfg.phrases for w in p.split()})
+    held = split.withColumn("held", F.array_intersect("words", _texts(vocabulary))).withColumn("said", F.array_intersect("words", _texts(phrase_words)))
+    enough = reduce(or_, [F.size(F.array_intersect("held", _texts(s))) >= _needed(len(s), cfg.containment) for s in sets], F.lit(False))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - cfg.block_words + cfg.block_step - 1, F.lit(0)), F.lit(cfg.block_step))
+    blocks = F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.array_intersect(F.slice(F.col("words"), s + 1, cfg.block_words), _texts(vocabulary)).alias("held")))
+    text, phrases = F.coalesce("text", F.lit("")), [p for p, _ in cfg.phrases]
+    may = reduce(or_, [F.size(F.array_intersect("said", _texts(sorted(set(p.split()))))) == len(set(p.split())) for p in phrases], F.lit(False))
+    counts = [phrase_places(text, p) for p in phrases]
+    zero = F.lit(0)
+    return materialize(
+        held.withColumn("may", may).select(
+            "doc_id",
+            "text_key",
+            F.size("words").cast("long").alias("n_words"),
+            F.when(F.col("may"), F.array(*counts)).otherwise(F.array(*[zero for _ in counts])).alias("n"),
+            F.when(F.col("may"), _starts(text, phrases, last=False)).alias("first_word"),
+            F.when(F.col("may"), _starts(text, phrases, last=True)).alias("last_word"),
+            "held",
+            F.when(enough, blocks).alias("blocks"),
+        ),
+        "license-words",
+    )
+
+
+def order_templates(read: DataFrame, cfg: LicenseConfig) -> OrderedTemplates:
     """Count, over all documents, how many hold each template word (there are as many rows as such words)."""
     vocabulary = sorted({w for text, _ in cfg.templates for w in text.split()})
-    held = F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary))))
-    counts = {r["word"]: r["n"] for r in docs.select(held.alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    counts = {r["word"]: r["n"] for r in read.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     words = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(words)}
     sets = [tuple(sorted({place[w] for w in text.split()})) for text, _ in cfg.templates]
@@ -98,18 +180,18 @@ def order_templates(docs: DataFrame, cfg: LicenseConfig) -> OrderedTemplates:
 
 
 def template_matches(docs: DataFrame, cfg: LicenseConfig | None = None) -> DataFrame:
-    """doc_id, text_key, first_word, label, containment of every block and template that reach the threshold."""
+    """doc_id, text_key, first_word, template, label, containment of every block and template that reach the threshold."""
     cfg = cfg or LicenseConfig()
-    t = order_templates(docs, cfg)
-    spark = docs.sparkSession
-    first_words = sorted({t.words[p] for i in range(len(t.labels)) for p in t.prefix(i)})
+    return _matches(read_texts(docs.select("doc_id", "text"), cfg), cfg)
+
+
+def _matches(read: DataFrame, cfg: LicenseConfig) -> DataFrame:
+    t = order_templates(read, cfg)
     place = F.create_map(*[x for i, w in enumerate(t.words) for x in (F.lit(w), F.lit(i))])
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, first_words))))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - cfg.block_words + cfg.block_step - 1, F.lit(0)), F.lit(cfg.block_step))
-    cut = F.explode(F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.array_intersect(F.slice(F.col("words"), s + 1, cfg.block_words), F.array(*map(F.lit, t.words))).alias("held"))))
-    blocks = texts.select("doc_id", "text_key", cut.alias("b")).select("doc_id", "text_key", "b.first_word", F.array_sort(F.transform("b.held", lambda w: F.element_at(place, w))).alias("block"))
+    blocks = read.filter("blocks IS NOT NULL").select("doc_id", "text_key", F.explode("blocks").alias("b"))
+    blocks = blocks.select("doc_id", "text_key", "b.first_word", F.array_sort(F.transform("b.held", lambda w: F.element_at(place, w))).alias("block"))
     blocks = blocks.filter(F.size("block") >= min(t.needed))
-    heads = spark.createDataFrame(
+    heads = read.sparkSession.createDataFrame(
         [(p, i, at, list(t.places[i]), t.needed[i], t.labels[i]) for i in range(len(t.labels)) for at, p in enumerate(t.prefix(i))],
         "place int, template int, at int, whole array<int>, needed int, label string",
     )
@@ -145,22 +227,10 @@ def _starts(text: Column, phrases: list[str], last: bool) -> Column:
 def scan_licenses(docs: DataFrame, cfg: LicenseConfig | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     cfg = cfg or LicenseConfig()
-    docs = docs.select("doc_id", "text")
-    phrases, text = [p for p, _ in cfg.phrases], F.coalesce("text", F.lit(""))
-    counts = [phrase_places(text, p) for p in phrases]
-    may = F.regexp_like(text, F.lit("|".join(f"(?i:{p.split()[0]}{_GAP}{p.split()[1]})" for p in phrases)))
-    zero = F.lit(0)
-    base = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_key"),
-        F.regexp_count(text, F.lit(_W + "+")).cast("long").alias("n_words"),
-        F.when(may, F.array(*counts)).otherwise(F.array(*[zero for _ in counts])).alias("n"),
-        F.when(may, _starts(text, phrases, last=False)).alias("first_word"),
-        F.when(may, _starts(text, phrases, last=True)).alias("last_word"),
-    )
+    base = read_texts(docs.select("doc_id", "text"), cfg)
     labels = F.array_compact(F.array(*[F.when(F.col("n")[i] > 0, F.lit(label)) for i, (_, label) in enumerate(cfg.phrases)]))
-    base = base.withColumn("base", F.array_sort(F.array_distinct(labels))).withColumn("n_base", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))
-    by_text = template_matches(docs, cfg).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    by_text = _matches(base, cfg).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    base = base.withColumn("base", F.array_sort(F.array_distinct(labels))).withColumn("n_base", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).drop("held", "blocks")
     by_text = by_text.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "more", "containment")
     both = base.join(by_text, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))

@@ -8,10 +8,10 @@ read for it, at most that plus the last contribution read there. Reading stops
 when the vectors whose upper bound reaches the k-th largest lower bound are few;
 these alone can qualify, and their final scores are then resolved.
 
-Components are floor(1024 * x) of the double x; scores are integer inner
-products, exact while they stay below 2**53. Results: rows whose vec_id is null
-or whose vector is null, empty or not finite take no part (zero vectors do);
-rows with a query's own vec_id are not its candidates, and of several rows with
+Components are floor(1024 * x) of the double x; scores are exact integer inner
+products, the nearest 64-bit number where they pass 64 bits. Results: rows whose
+vec_id is null or whose vector is null, empty, not finite or beyond 2**62 / 1024
+take no part (zero vectors do); rows with a query's own vec_id are not its candidates, and of several rows with
 one queried vec_id the smallest vector asks. Ties go to the smaller vec_id.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelens.llm.vector_grid import GridConfig, finite_vectors, grid_search, top
+from filelens.llm.vector_grid import GridConfig, finite_vectors, gathered, grid_search, top
 
 
 @dataclass(frozen=True)
@@ -81,15 +81,28 @@ class SortedLists:
         return self.ids[can[keep]], scores[keep]
 
 
+    def search_large(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` where sums pass 2**53: all scores as Python integers, cut to 64 bits."""
+        own = self.ids == query_id
+        scores = np.clip(self.vectors[~own].astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
+        at = np.lexsort((self.ids[~own], ~scores))[: self.cfg.k]  # ~x falls as x grows, and always fits
+        return self.ids[~own][at], scores[at]
+
+
 def best_products(table: DataFrame, query_rule: str, cfg: TopKConfig | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``table`` (vec_id, embedding) that ``query_rule`` picks as queries."""
     cfg = cfg or TopKConfig()
-    vectors = finite_vectors(table, nonzero=False).withColumn("vector", F.transform("vector", lambda x: F.floor(x * cfg.scale)))
+    vectors = finite_vectors(table, nonzero=False).filter(F.forall("vector", lambda x: F.abs(x) * cfg.scale < float(1 << 62))).withColumn("vector", F.transform("vector", lambda x: F.floor(x * cfg.scale)))
     queries = vectors.filter(query_rule).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
 
-    def best(ids, block, query_ids, chunk):
-        lists = SortedLists(ids, block, cfg)
-        rows = [lists.search(q, x) for q, x in zip(query_ids.tolist(), chunk, strict=True)]
-        return np.repeat(query_ids, [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    def index(ids: np.ndarray, block: np.ndarray):
+        lists, largest = SortedLists(ids, block, cfg), int(np.abs(block).max())
+
+        def search(query_ids: np.ndarray, chunk: np.ndarray):
+            exact = block.shape[1] * largest * int(np.abs(chunk).max()) < 1 << 53
+            one = lists.search if exact else lists.search_large
+            return gathered(query_ids, [one(q, x) for q, x in zip(query_ids.tolist(), chunk, strict=True)])
+
+        return search
 
-    return grid_search(vectors, queries, best, "long", cfg.k, cfg.grid)
+    return grid_search(vectors, queries, index, "long", cfg.k, cfg.grid)
