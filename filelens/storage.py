@@ -11,17 +11,23 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-filelens-", dir="/tmp")
-    return _own[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-filelens-", dir="/tmp")
+    return _own[context.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once: lineage and plan end here, and its size is known."""
+    """Cut the lineage: ``df`` as a table written once and read again.
+
+    A lost executor then costs the tasks it ran, not what led to this table, and the
+    planner knows the table's true size.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
