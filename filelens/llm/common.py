@@ -2,46 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelens.storage import shared_folder, stored
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-filelens-", dir="/tmp")
-    return f"file://{_own_dirs[app]}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read that.
 
-    A lost executor then costs the tasks it ran, not what led to this table, and
-    the planner knows the table's true size.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Cut the lineage: write a table in the shared folder and read that.
+materialize = stored
 
 
 def split_of(doc_id: Column, parts: int) -> Column:

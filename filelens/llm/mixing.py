@@ -37,7 +37,7 @@ class MixConfig:
     block_words: int = 1024
     shard_blocks: int = 4096
     slots_a_task: int = 1 << 16
-    bucket_rows: int = 1 << 16  # documents of all sources in one bucket, about; documents are numbered within buckets
+    bucket_rows: int = 1 << 11  # documents of all sources in one bucket, about; documents are numbered within buckets
     copies_a_task: int = 4096  # of one text with one id
     rounds: int = 24
     seed: int = 17

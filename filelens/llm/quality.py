@@ -8,7 +8,9 @@ by Cholesky factors computed once, put through the logistic function.
 All labelled rows are used: tasks return sums of products, which Spark adds up.
 Results: null and empty texts are scored as texts of no words. Labels other than
 0 and 1 and null labels teach nothing; repeated label rows count as often as
-they occur. With one class only, the score is that class; with none, 0.5.
+they occur, and so do rows with equal doc_id. With fewer than two rows of a class
+the score is the class of more rows, 0 where they are equal; with no rows, 0.5.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

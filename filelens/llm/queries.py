@@ -101,4 +101,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Sets of two-word shingles; all pairs that share one, counted; then the smallest id reachable.
+_NEAR_DUP_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+top AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM s LEFT JOIN top ON a = doc_id
+"""
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _license_sql() -> str:
+    from filelens.llm.license_scan import WORD, LicenseConfig
+
+    cfg = LicenseConfig()
+    phrases = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in cfg.phrases)
+    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in cfg.templates)
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS ws, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS ls FROM documents),
+p(phrase, label) AS (VALUES {phrases}), t(tw, label) AS (VALUES {templates}),
+spot AS (SELECT r, label, unnest([i FOR i IN range(len(ws)) IF ws[i + 1 : i + len(phrase)] = phrase]) AS i FROM w, p),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM spot GROUP BY r),
+block AS (SELECT r, list_distinct(ls[s + 1 : s + {cfg.block_words}]) AS bw FROM (SELECT r, ls, unnest(range(0, greatest(len(ls) - {cfg.block_words} + {cfg.block_step} - 1, 0) + 1, {cfg.block_step})) AS s FROM w)),
+held AS (SELECT r, label, len(list_intersect(bw, tw)) / CAST(len(tw) AS DOUBLE) AS containment, len(list_intersect(bw, tw)) >= ceil(round(len(tw) * {cfg.containment}, 6)) AS enough FROM block, t),
+more AS (SELECT r, max(containment) AS containment, list(DISTINCT label) AS labels FROM held WHERE enough GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
+
+
+#: The other operators draw, learn or read a vocabulary, which SQL can't; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op3_near_dup": _NEAR_DUP_SQL, "op8_license_scan": _license_sql(), "op10_topk": _TOPK_SQL}

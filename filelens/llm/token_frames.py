@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filelens.llm.common import materialize
+from filelens.llm.common import materialize, new_path
 from filelens.llm.common_arrow import steps
 from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
@@ -241,7 +241,5 @@ def _read(manifest: DataFrame, folder: str, field: str, value, wanted: list[int]
 
 
 def token_folder(spark: SparkSession) -> str:
-    from filelens.llm.common import new_path
-
     path = new_path(spark, "token-files")
     return path if "://" in path else f"file://{path}"

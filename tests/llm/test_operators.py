@@ -301,6 +301,36 @@ def test_quality(spark, docs, odd, smoke_dir):
     assert {r.score for r in quality.score_features(features, none).collect()} == {0.5}
 
 
+def plain_quality(rows, held_in):
+    """Scores of (doc_id, text) by Gaussian densities written out, from labels {doc_id: 0 or 1}."""
+    cfg, d = quality.QualityConfig(), len(quality.FEATURES)
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in rows}
+    by = {c: np.array([x[i] for i, q in held_in.items() if q == c and i in x]) for c in (0, 1)}
+    mean = {c: v.mean(axis=0) for c, v in by.items()}
+    own = {c: (v - mean[c]).T @ (v - mean[c]) / len(v) for c, v in by.items()}
+    total = sum(len(v) for v in by.values())
+    pooled = sum(own[c] * len(by[c]) for c in by) / total
+
+    def log_density(c, z):
+        cov = (1 - cfg.to_pooled) * own[c] + cfg.to_pooled * pooled
+        cov = (1 - cfg.to_diagonal) * cov + cfg.to_diagonal * np.diag(np.diag(cov)) + cfg.floor * np.eye(d)
+        return math.log(len(by[c]) / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (z - mean[c]) @ np.linalg.inv(cov) @ (z - mean[c])
+
+    return {i: 1 / (1 + math.exp(min(700, max(-700, log_density(0, z) - log_density(1, z))))) for i, z in x.items()}
+
+
+def test_quality_is_the_discriminant(spark, docs, smoke_dir):
+    labels = {r.doc_id: r.quality for r in read_table(spark, smoke_dir, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    want = plain_quality([(r.doc_id, r.text) for r in docs.collect()], labels)
+    got = queries.op9_quality(spark, smoke_dir).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert all(r.predicted == (r.score >= 0.7) for r in got)
+    few = spark.createDataFrame([(docs.first().doc_id, 1, 0)], "doc_id long, quality int, toxic int")
+    model, features = quality.learn_quality(docs, few)
+    assert {r.score for r in quality.score_features(features, model).collect()} == {1.0}
+    assert quality.learn_quality(docs.limit(0), few)[1].count() == 0
+
+
 def test_lm_score(spark, docs, odd):
     train = docs.filter("doc_id % 5 <> 1")
     got = lm_score.score_texts(docs.unionByName(odd.drop("score")), train).collect()
@@ -322,6 +352,27 @@ def test_lm_score(spark, docs, odd):
     assert {r.train_tokens for r in untrained} == {0} and all(r.bits_per_byte == pytest.approx(8, abs=1e-4) for r in untrained)
 
 
+def test_lm_score_against_one_bucket(spark, docs, odd):
+    """Scores by the same weights with all sequences of the corpus in one place, and no table of frequent ones."""
+    cfg, train = lm_score.LmConfig(bucket_grams=5000, hot_grams=3000), docs.filter("doc_id % 5 <> 1")
+    grams = lm_score.corpus_counts(train).filter("kind = 0").select("key", "n")
+    counted = {r.key: r.n for r in grams.collect()}
+    low, (packs, _) = lm_score.low_counts(grams), lm_score.bucketed(grams, cfg)
+    model = lm_score.learn_mixer(packs, low, cfg)
+    table = docs.limit(60).unionByName(odd.drop("score"))
+    texts = table.select("doc_id", "text").collect()
+    of = [lm_score.grams_of([words(r.text)])[0] for r in texts]
+    every = np.array(sorted({*counted, *np.concatenate(of).astype(np.int64).tolist()}))
+    n = np.array([counted.get(k, 0) for k in every.tolist()])
+    bucket = lm_score.Bucket(every.astype(np.uint64), n, lm_score.LowTables(*low))
+    log2 = dict(zip(every.tolist(), lm_score._scored(model, bucket, np.arange(len(every))).tolist(), strict=True))
+    want = sorted((r.doc_id or 0, round(math.log10(2) * sum(log2[k] for k in g.astype(np.int64).tolist()), 2)) for r, g in zip(texts, of, strict=True))
+    got = sorted((r.doc_id or 0, round(r.score, 2)) for r in lm_score.score_texts(table, train, cfg).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-4, abs=0.02)
+    assert lm_score.score_texts(docs.limit(0), train).count() == 0
+
+
 def test_lm_score_has_every_context(spark, docs):
     """No context shares a slot, and sequences that are joined score like those that go to the tasks."""
     train = docs.filter("doc_id % 5 <> 1")
@@ -465,10 +516,55 @@ def test_pipeline(spark, smoke_dir, odd):
     rows = p.run(spark, smoke_dir).collect()
     assert rows and all(r.round_trip for r in rows)
     docs = odd.drop("score")
-    for name, stage in p.STAGES:
-        out = stage(spark, docs, smoke_dir)
-        out.count()
-        if name != "bpe":
-            assert out.columns == docs.columns
-    for _, stage in p.STAGES[2:]:
+    for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), smoke_dir).count() == 0
+
+
+def test_pipeline_against_a_plain_version(spark, smoke_dir, odd):
+    """Each stage on its own input: which rows stay, the words of each source, the ids of each text."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    extra = odd.drop("score").filter("doc_id IS NULL OR doc_id < 7").select(F.when(F.col("doc_id") < 5, F.lit(9001)).otherwise(F.col("doc_id") + 9000).alias("doc_id"), *names[1:])
+    at = read_table(spark, smoke_dir, "documents").unionByName(extra)
+    stages, found = dict(p.STAGES), {"documents": at.collect()}
+    for name, stage in p.STAGES:
+        at = stage(spark, at, smoke_dir)
+        assert name == "bpe" or at.columns == names
+        found[name] = at.collect()
+        at = at if name == "bpe" else spark.createDataFrame(found[name], at.schema)
+    count = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+
+    docs = spark.createDataFrame(found["documents"], read_table(spark, smoke_dir, "documents").schema)
+    clear = identify_languages(docs, learn_languages(docs), ["doc_id", "text"]).filter("NOT rejected").collect()
+    assert count(found["language"]) == count(clear) and len(clear) > 150
+
+    labels = {r.doc_id: r.quality for r in read_table(spark, smoke_dir, "labels").collect()}
+    once = {r.doc_id: r.text for r in found["language"] if r.doc_id is not None}
+    score = plain_quality(list(once.items()), labels)
+    good = [r for r in found["language"] if r.doc_id is not None and r.doc_id < 9000 and score[r.doc_id] >= 0.7]
+    assert count(r for r in found["quality"] if r.doc_id is not None and r.doc_id < 9000) == count(good)
+
+    texts = [(r.doc_id, r.text) for r in found["quality"]]
+    sets, group = brute_rows(texts, 5)
+    first = {}
+    for i, (d, _) in enumerate(texts):
+        g = ("alone", i) if not sets[i] else group.get(i, ("set", sets[i]))
+        first.setdefault(g, []).append((d is None, d or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in found["near_dup"]) == Counter(min(x) for x in first.values())
+
+    size, taken = Counter(), Counter()
+    for r in found["near_dup"]:
+        size[r.source] += len(words(r.text))
+    for r in found["mix"]:
+        taken[r.source] += len(words(r.text))
+    order = sorted((s for s in size if s is not None), key=str.encode) + [None] * (None in size)
+    want = targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])
+    assert {s: taken[s] for s in order} == pytest.approx({s: want[i] for i, s in enumerate(order)}, abs=1)
+    whole = {(r.doc_id, r.source): f" {' '.join((r.text or '').split())} " for r in found["near_dup"]}
+    assert all(f" {' '.join(r.text.split())} " in whole[r.doc_id, r.source] for r in found["mix"])
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    want = Counter((r.doc_id, r.source, np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in found["mix"])
+    assert Counter((r.doc_id, r.source, bytes(r.ids)) for r in found["bpe"]) == want and stages
