@@ -34,18 +34,61 @@ def logged_epoch(text: Column) -> Column:
     return F.coalesce(*[F.nullif(_number(v, p, "bigint"), F.lit(0).cast("bigint")) for p in ("$.utc_epoch", "$.offered.utc_epoch")])
 
 
+def _iso(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def date_payload(epoch: Column, capture: Column) -> Column:
+    """What a later pass needs to apply a date again: the wall clock, the instant, and where its offset came from.
+
+    ``capture`` is a struct of local_epoch, offset, tz_name and tz_source (``times.capture_time``).
+    """
+    utc = F.concat(_iso(epoch), F.lit("+00:00"))
+    fields = {"datetime_local": _iso(capture["local_epoch"]), "offset": capture["offset"], "utc": utc, "utc_epoch": epoch, "tz": capture["tz_name"], "tz_source": capture["tz_source"]}
+    return json_document(**fields)
+
+
+def gps_payload(lat: Column, lon: Column) -> Column:
+    nothing = F.lit(None).cast("double")
+    return json_document(lat=lat, lon=lon, altitude=nothing, altitude_ref=nothing)
+
+
+def refusal(field: Column, epoch: Column, lat: Column, lon: Column, satisfied_by: Column) -> Column:
+    """What was offered, as it was offered, and what the file had instead; keys in order, as the text is its identity."""
+    return F.when(field == "date", sorted_json(field=field, offered=F.struct(epoch.alias("utc_epoch")), satisfied_by=satisfied_by)).otherwise(
+        sorted_json(field=field, offered=F.struct(lat.alias("lat"), lon.alias("lon")), satisfied_by=satisfied_by)
+    )
+
+
+def json_document(**fields: Column) -> Column:
+    """A document with its keys as given and nulls kept."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
 def sorted_json(**fields: Column) -> Column:
     """A document with its keys in order and nulls kept, fit to be compared as text."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
-def digests(content: Column) -> Column:
-    """Struct full, head, tail. A file up to 64 KiB is its own head, one up to 4 KiB its own tail."""
+def short_digest(digest: Column, n: int = 12) -> Column:
+    """The first digits, for people."""
+    return F.substring(digest, 1, n)
+
+
+def short_error(text: Column, n: int = 200) -> Column:
+    return F.substring(text, 1, n)
+
+
+def digests(content: Column, legacy_tail: bool = False) -> Column:
+    """Struct full, head, tail. A file up to 64 KiB is its own head, one up to 4 KiB its own tail.
+
+    ``legacy_tail``: the older rule, by which a file up to 64 KiB is its own tail too.
+    """
     full = F.sha2(content, 256)
     return F.struct(
         full.alias("full"),
         F.when(F.length(content) <= 65536, full).otherwise(F.sha2(F.substring(content, 1, 65536), 256)).alias("head"),
-        F.when(F.length(content) <= 4096, full).otherwise(F.sha2(F.substring(content, -4096, 4096), 256)).alias("tail"),
+        F.when(F.length(content) <= (65536 if legacy_tail else 4096), full).otherwise(F.sha2(F.substring(content, -4096, 4096), 256)).alias("tail"),
     )
 
 

@@ -57,16 +57,20 @@ def is_sidecar(name: Column) -> Column:
     return F.endswith(F.lower(name), F.lit(".json")) & ~is_album_metadata(name)
 
 
+#: Names that messengers and phones make, collision counters, mount points.
+NUMBER, UUID, COUNTERS = r"^\d{15,20}$", "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"(\(\d+\))+$"
+
+
 def is_generated_name(stem_: Column) -> Column:
     """A messenger's number or a UUID."""
-    return stem_.rlike(r"^\d{15,20}$") | stem_.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return stem_.rlike(NUMBER) | stem_.rlike(UUID)
 
 
 def without_counters(stem_: Column) -> Column:
-    return F.regexp_replace(stem_, r"(\(\d+\))+$", "")
+    return F.regexp_replace(stem_, COUNTERS, "")
 
 
-#: Where removable volumes are mounted, up to and with the volume's own name.
+#: Fixed value: where removable volumes are mounted, up to and with the volume's own name.
 VOLUME_PATTERN = r"^((?:/run/media/[^/]+|/media/[^/]+|/mnt|/Volumes)/[^/]+)"
 
 

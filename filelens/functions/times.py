@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MAX_OFFSET, QUANTUM, TOLERANCE = 14 * 3600, 900, 60
 INGEST_WINDOW = (1785715200, 1785974400)
 EARLIEST_MTIME = 631152000
 SIBLING_WINDOW = 12 * 3600
+#: Zones by area and place, and UTC: names that the JVM knows too.
+ZONE_NAMES = tuple(sorted(z for z in available_timezones() if z == "UTC" or z.split("/")[0] in {"Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific"}))
 CAMERA_FORMAT = "yyyy:MM:dd HH:mm:ss"
 
 
@@ -51,9 +55,9 @@ def offset_text(seconds: Column) -> Column:
 
 
 def zone_offset(epoch: Column, zone: Column) -> Column:
-    """Seconds that a zone is ahead of UTC at an instant; zone must be a known name or null."""
-    at = F.timestamp_seconds(epoch)
-    return F.when(zone.isNotNull(), F.unix_timestamp(F.from_utc_timestamp(at, zone)) - epoch)
+    """Seconds that a zone is ahead of UTC at an instant; null for a name that is no zone."""
+    at, known = F.timestamp_seconds(epoch), zone.isin(*ZONE_NAMES)
+    return F.when(known, F.unix_timestamp(F.from_utc_timestamp(at, F.when(known, zone))) - epoch)
 
 
 def is_legal_offset(delta: Column) -> Column:
@@ -84,6 +88,11 @@ def _instant_outcome(readable: Column, clock: Column, offset: Column, claimed: C
     )
 
 
+def gap_text(seconds: Column) -> Column:
+    """A distance in time for people: signed hours with two decimals, beyond two weeks whole days."""
+    return F.when(F.abs(seconds) <= 14 * 86400, F.format_string("%+.2fh", seconds / 3600.0)).otherwise(F.format_string("%.0fd", F.abs(seconds) / 86400.0))
+
+
 def matches_own_clock(mtime: Column, clock: Column) -> Column:
     """Whether mtime sits a legal offset from the file's own wall clock; null without one."""
     return is_legal_offset(mtime - clock_epoch(clock))

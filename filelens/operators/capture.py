@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelens.functions.times import EARLIEST_MTIME, INGEST_WINDOW, SIBLING_WINDOW, capture_time, matches_own_clock, resolve_instant
+from filelens.functions.times import EARLIEST_MTIME, INGEST_WINDOW, SIBLING_WINDOW, capture_time, gap_text, matches_own_clock, resolve_instant
 
 
 def sibling_offsets(wanted: DataFrame, siblings: DataFrame) -> DataFrame:
@@ -64,6 +64,12 @@ def mtime_candidates(files: DataFrame, window: tuple[int, int] = INGEST_WINDOW)
     return files.filter(F.col("mtime").between(*window))
 
 
+def mtime_changes(plan: DataFrame) -> DataFrame:
+    """The audit of a repair: what each changed file had, what it gets, why, and how far apart these are; appended, never rewritten."""
+    moved = F.col("new_mtime") - F.col("old_mtime")
+    return plan.filter("decision = 'set'").select("path", "old_mtime", F.col("new_mtime").cast("double").alias("new_mtime"), F.col("reason").alias("source"), gap_text(moved).alias("detail"))
+
+
 def repair_plan(files: DataFrame, listing: DataFrame, clocks: DataFrame, epochs: DataFrame) -> DataFrame:
     """For every file stamped by an ingest run: the decision, its reason or source, and the new mtime.
 

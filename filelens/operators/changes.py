@@ -7,8 +7,12 @@ and switches a one-row pointer table, so readers see all of it or none.
 
 from __future__ import annotations
 
+import logging
 import uuid
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +20,14 @@ from pyspark.sql import types as T
 from filelens.schema import DEFAULTS
 
 
+LOG = logging.getLogger(__name__)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add the columns of ``schema`` that are missing, with their defaults; keep any others."""
+    """Add the columns of ``schema`` that are missing, with their defaults, and log which; keep any others."""
     missing = [f for f in schema.fields if f.name not in df.columns]
+    if missing:
+        LOG.warning("added columns: %s", ", ".join(f.name for f in missing))
     return df.withColumns({f.name: F.lit(DEFAULTS.get(f.name)).cast(f.dataType) for f in missing})
 
 
@@ -51,6 +60,52 @@ def merge_upsert(current: DataFrame, changes: DataFrame, keys: list[str], column
     return joined.select(*out)
 
 
+def update(current: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
+    """merge_upsert that inserts nothing: changes of unknown keys are left out."""
+    known = changes.join(current.select(*keys).distinct(), keys, "left_semi")
+    return merge_upsert(current, known, keys, columns, order)
+
+
+def update_mtimes(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """files with the mtimes of changes (path, mtime, change_seq)."""
+    return update(files, changes, ["path"], ["mtime"], "change_seq")
+
+
+def reindex(files: DataFrame, saved: DataFrame) -> DataFrame:
+    """Rows follow the bytes that are stored now; the source digest and the source change only where they are given.
+
+    saved: path, size, digest_full, digest_head, digest_tail, mtime, has_exif_date, has_exif_gps,
+    digest_source, source, change_seq.
+    """
+    columns = ["size", "digest_full", "digest_head", "digest_tail", "mtime", "has_exif_date", "has_exif_gps", "digest_source", "source"]
+    rules = {c: F.coalesce(f"new.{c}", f"cur.{c}") for c in ("digest_source", "source")}
+    return merge_upsert(files, saved, ["path"], columns, "change_seq", rules)
+
+
+def log_entries(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """The entry log: status, kept path and skip reason are overwritten together."""
+    return merge_upsert(entries, changes, ["archive_id", "entry_path"], ["status", "kept_path", "skip_reason"], "change_seq")
+
+
+def store_collapses(collapses: DataFrame, changes: DataFrame) -> DataFrame:
+    """Collapse records; of a known one only adopted, declined and collapsed_at follow."""
+    keys, follow = ["archive_id", "entry_path"], ("adopted", "declined", "collapsed_at")
+    columns = [c for c in collapses.columns if c not in keys and c in changes.columns]
+    rules = {c: F.when(F.col("cur.__old"), F.col(f"cur.{c}")).otherwise(F.col(f"new.{c}")) for c in columns if c not in follow}
+    return merge_upsert(collapses, changes, keys, columns, "change_seq", rules)
+
+
+def store_verdicts(classes: DataFrame, results: DataFrame, files: DataFrame) -> DataFrame:
+    """Verdicts by (path, classifier); each names the catalog's row of its path, if there is one.
+
+    results: path, classifier, verdict, reason, confidence, evidence, classified_at, change_seq.
+    """
+    rows = results.join(files.select("path", F.col("seq").alias("file_id")), "path", "left")
+    columns = ["verdict", "reason", "confidence", "evidence", "classified_at"]
+    rules = {"file_id": F.when(F.col("cur.__old"), F.col("cur.file_id")).otherwise(F.col("new.file_id"))}
+    return merge_upsert(classes, rows, ["path", "classifier"], [*columns, "file_id"], "change_seq", rules)
+
+
 def insert_once(existing: DataFrame, offered: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The offered rows that are new: not among ``existing``, and first of their key in the batch."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -74,6 +129,11 @@ def archive_upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     return merge_upsert(current, changes, ["path"], ["title", "digest", "entries_total"], "change_seq", rules)
 
 
+def set_titles(archives: DataFrame, changes: DataFrame) -> DataFrame:
+    """Titles as they are set by hand; an empty one clears."""
+    return update(archives, changes.withColumn("title", F.nullif(F.trim("title"), F.lit(""))), ["path"], ["title"], "change_seq")
+
+
 def archive_status(current: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Change the status; completed_at is set by 'complete' alone and never cleared."""
     rules = {"completed_at": F.when(F.col("new.status") == "complete", F.col("new.completed_at")).otherwise(F.col("cur.completed_at"))}
@@ -101,14 +161,47 @@ def repoint(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     return df.withColumn(column, F.when(F.startswith(c, F.lit(old)), F.concat(F.lit(new), F.substring(c, F.lit(len(old) + 1), F.length(c)))).otherwise(c))
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a snapshot and make it the current one; a failure before the last step leaves the old one current."""
-    version = f"{root}/{name}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/_current")
-    return version
+def prefix_leaks(tables: list[tuple[DataFrame, str]], old: str) -> DataFrame:
+    """at, leaks: how many rows of each (table, column) still begin with a prefix."""
+    counts = [df.filter(F.startswith(column, F.lit(old))).agg(F.lit(column).alias("at"), F.count("*").alias("leaks")) for df, column in tables]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def publish_all(tables: dict[str, DataFrame], root: str) -> None:
+    """Write snapshots of several tables and make them current together.
+
+    The switch is one row appended to the pointers, so readers see all of a unit of
+    work or none, and a failure before leaves the old snapshots current.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    unit, rows, last = uuid.uuid4().hex, [], _last_unit(spark, root)
+    for name, df in tables.items():
+        version = f"{root}/{name}/v-{unit}"
+        df.write.parquet(version)
+        rows.append((last + 1, unit, name, version))
+    spark.createDataFrame(rows, POINTERS).coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+
+
+POINTERS = "number bigint, unit string, name string, version string"
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """All pointer rows: one a published table; none before the first."""
+    try:
+        return spark.read.schema(POINTERS).parquet(f"{root}/_pointers")
+    except AnalysisException:
+        return spark.createDataFrame([], POINTERS)
+
+
+def _last_unit(spark: SparkSession, root: str) -> int:
+    return _pointers(spark, root).agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first()["n"]
+
+
+def publish(df: DataFrame, root: str, name: str) -> None:
+    """publish_all of one table."""
+    publish_all({name: df}, root)
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current snapshot: one pointer row is read on the driver."""
-    return spark.read.parquet(spark.read.parquet(f"{root}/{name}/_current").first()["version"])
+    return spark.read.parquet(_pointers(spark, root).filter(F.col("name") == name).agg(F.max_by("version", "number").alias("version")).first()["version"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from filelens.functions.documents import digests
 from filelens.functions.media import EXIF_WRITABLE, quality_score
 from filelens.functions.paths import basename, suffix
+from filelens.storage import stored
 
 
 def scored(files: DataFrame) -> DataFrame:
@@ -57,22 +58,27 @@ def collection_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def cascade(files: DataFrame) -> DataFrame:
+def cascade(files: DataFrame, watch: dict[str, Observation] | None = None) -> DataFrame:
     """Files that survive size, head, tail and full digest in turn; ``files`` has path, size and content.
 
-    Each stage narrows by paths alone and joins them back to the scan, so
-    content is read for what the cheaper stage left and is never shuffled.
+    The survivors of each stage are written as a small table of paths, and only
+    their content is digested in the next. ``watch`` may hold an Observation for
+    size, head, tail and full, which then counts the files its stage read.
     """
-    def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-        keys = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        return rows.join(keys, by)
 
-    known = repeated(files.filter("size > 0").select("path", "size"), ["size"])
+    def repeated(rows: DataFrame, by: list[str], stage: str) -> DataFrame:
+        if watch and stage in watch:
+            rows = rows.observe(watch[stage], F.count("*").alias("files"))
+        n = F.count("*").over(Window.partitionBy(*by))
+        return stored(rows.withColumn("n", n).filter("n > 1").drop("n"), f"cascade-{stage}")
+
     by = ["size"]
+    known = repeated(files.filter("size > 0").select("path", "size"), by, "size")
     for stage in ("head", "tail", "full"):
-        digest = files.select("path", digests(F.col("content"))[stage].alias(stage))
-        known = repeated(known.join(digest, "path"), [*by, stage])
-        by.append(stage)
+        # The survivors are on the left of a join whose result alone is digested: the digest stays above it.
+        content = known.join(files.select("path", "content"), "path")
+        by = [*by, stage]
+        known = repeated(content.select(*known.columns, digests(F.col("content"))[stage].alias(stage)), by, stage)
     return known
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelens.functions.paths import basename, is_album_metadata, is_media, is_sidecar, split_extension
+from filelens.functions.paths import basename, dirname, is_album_metadata, is_media, is_sidecar, stem, suffix
 from filelens.operators.dedup import content_matches, first_survivor
 
 NON_MEDIA = ("sidecar", "album_metadata", "not_media")  # fixed values of skip_reason
@@ -28,6 +28,15 @@ def pending_entries(listed: DataFrame, processed: DataFrame) -> DataFrame:
     return listed.join(done, ["archive_id", "entry_path"], "left_anti")
 
 
+def known_archives(incoming: DataFrame, archives: DataFrame) -> DataFrame:
+    """incoming (path, digest) that is complete already: the archive it is, that of its path before one of its digest."""
+    kinds = lambda df: df.select("*", F.explode(F.array(F.struct(F.lit("path").alias("kind"), F.col("path").alias("key")), F.struct(F.lit("digest").alias("kind"), F.col("digest").alias("key")))).alias("k")).select("*", "k.kind", "k.key").filter("key IS NOT NULL")
+    done = kinds(archives.filter("status = 'complete'")).select("kind", "key", F.col("seq").alias("archive_seq"), F.col("path").alias("archive_path"))
+    hits = kinds(incoming).select("path", "kind", "key").join(done, ["kind", "key"]).withColumn("turn", F.when(F.col("kind") == "path", 0).otherwise(1))
+    best = F.min(F.struct("turn", "archive_seq", "archive_path", "kind")).alias("b")
+    return hits.groupBy("path").agg(best).select("path", "b.archive_seq", "b.archive_path", F.col("b.kind").alias("matched_by"))
+
+
 def open_archives(incoming: DataFrame, archives: DataFrame) -> DataFrame:
     """Incoming archives (path, digest) without a complete one of the same path or digest."""
     keys = lambda df: df.select("path", F.explode(F.array(F.concat(F.lit("p:"), "path"), F.concat(F.lit("d:"), "digest"))).alias("key"))
@@ -37,39 +46,60 @@ def open_archives(incoming: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def decide_entries(entries: DataFrame, files: DataFrame, present: DataFrame, dest: str) -> DataFrame:
-    """kept or skipped for every media entry (ordinal, digest), and why.
+    """kept or skipped for every media entry (ordinal, name, digest), and why.
 
-    A copy that exists skips the entry; so does an earlier entry of the batch with
-    its digest. A recorded copy that is gone is restored at its place if that lies in ``dest``.
+    A copy that exists skips the entry; so does an earlier entry of the batch with its
+    digest. An entry without a digest equals no other. A recorded copy that is gone
+    is restored at its place if that lies right in ``dest``; else an unrecorded file of
+    ``dest`` with these bytes is adopted (``present`` then has digests).
     """
-    digests = entries.select("digest").distinct()
-    known = content_matches(digests, files)
+    known = content_matches(entries.filter("digest IS NOT NULL").select("digest").distinct(), files)
     there = first_survivor(known, present, "digest").select("digest", F.col("path").alias("survivor"), "matched_on")
-    prior = known.groupBy("digest").agg(F.min_by("path", F.when(F.startswith("path", F.lit(dest)), F.col("seq"))).alias("restore_path"))
+    prior = known.groupBy("digest").agg(F.min_by("path", F.when(dirname(F.col("path")) == dest, F.col("seq"))).alias("restore_path"))
     rows = entries.join(there, "digest", "left").join(prior.withColumn("had", F.lit(True)), "digest", "left")
-    first = F.row_number().over(Window.partitionBy("digest").orderBy("ordinal")) == 1
-    skip = F.col("survivor").isNotNull() | ~first
-    keep_reason = F.when(F.col("restore_path").isNotNull(), "prior_copy_restored").when(F.col("had"), "prior_copy_missing")
+    if "digest" in present.columns:
+        rows = rows.join(adoptable(entries, present, files, dest).withColumnRenamed("path", "orphan"), "ordinal", "left")
+    else:
+        rows = rows.withColumn("orphan", F.lit(None).cast("string"))
+    one = F.coalesce(F.concat(F.lit("d"), "digest"), F.concat(F.lit("o"), F.col("ordinal").cast("string")))
+    first = F.row_number().over(Window.partitionBy(one).orderBy("ordinal")) == 1
+    rows = rows.withColumn("skip", F.col("survivor").isNotNull() | ~first)
+    keep_reason = F.when(F.col("restore_path").isNotNull(), "prior_copy_restored").when(F.col("orphan").isNotNull(), "orphan_adopted").when(F.col("had"), "prior_copy_missing")
     return rows.select(
         "ordinal",
         "digest",
-        F.when(skip, "skipped").otherwise("kept").alias("status"),
-        F.when(skip, "duplicate").alias("skip_reason"),
-        F.when(~skip, keep_reason).alias("keep_reason"),
+        F.when(F.col("skip"), "skipped").otherwise("kept").alias("status"),
+        F.when(F.col("skip"), "duplicate").alias("skip_reason"),
+        F.when(~F.col("skip"), keep_reason).alias("keep_reason"),
         "survivor",
         "matched_on",
-        F.when(~skip, F.col("restore_path")).alias("restore_path"),
+        F.when(~F.col("skip"), F.coalesce("restore_path", "orphan")).alias("restore_path"),
     )
 
 
+def name_slots(names: DataFrame) -> DataFrame:
+    """of, n: the names (name) as slots of the names that lead to them: itself is its slot 0, stem(n).ext the slot n of stem.ext.
+
+    A number counts only as the rule spells it: from 1 on, without leading zeros.
+    """
+    base, ext = stem(F.col("name")), suffix(F.col("name"))
+    number = F.regexp_extract(base, r"\(([1-9][0-9]{0,17})\)$", 1)
+    plain = F.struct(F.col("name").alias("of"), F.lit(0).cast("bigint").alias("n"))
+    counted = F.struct(F.concat(F.regexp_replace(base, r"\([0-9]+\)$", ""), ext).alias("of"), F.nullif(number, F.lit("")).cast("bigint").alias("n"))
+    return names.select("name", F.explode(F.array(plain, counted)).alias("s")).select("name", "s.of", "s.n").filter("n IS NOT NULL").distinct()
+
+
 def adoptable(entries: DataFrame, listing: DataFrame, files: DataFrame, dest: str) -> DataFrame:
-    """Unrecorded files of ``dest`` with an entry's bytes at one of its name slots: ordinal, path."""
-    loose = listing.filter(F.startswith("path", F.lit(dest + "/"))).join(files.select("path").distinct(), "path", "left_anti")
-    base, ext = split_extension(basename(F.col("path")))
-    slots = loose.select("path", "digest", F.lower(ext).alias("ext"), F.regexp_replace(base, r"\(\d+\)$", "").alias("base"))
-    e_base, e_ext = split_extension(F.col("name"))
-    wanted = entries.select("ordinal", "digest", F.lower(e_ext).alias("ext"), e_base.alias("base"))
-    return wanted.join(slots, ["digest", "ext", "base"]).groupBy("ordinal").agg(F.min("path").alias("path"))
+    """ordinal, path: the unrecorded file right in ``dest`` with an entry's bytes at the first such slot of its name.
+
+    Slots are walked up to the first that no file and no row holds.
+    """
+    here = lambda df: df.filter(dirname(F.col("path")) == dest).select(basename(F.col("path")).alias("name"))
+    slots = name_slots(here(listing).unionByName(here(files)).distinct())
+    reached = slots.withColumn("before", F.row_number().over(Window.partitionBy("of").orderBy("n")) - 1).filter("before = n").select("of", "n", "name")
+    loose = listing.filter(dirname(F.col("path")) == dest).join(files.select("path").distinct(), "path", "left_anti").select("path", "digest", basename(F.col("path")).alias("name"))
+    hits = entries.select("ordinal", F.col("name").alias("of"), "digest").join(reached, "of").join(loose, ["name", "digest"])
+    return hits.groupBy("ordinal").agg(F.min_by("path", "n").alias("path"))
 
 
 def allocate_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -77,19 +107,12 @@ def allocate_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
 
     Asking in order for the first free slot gives the k-th asker of a name the
     k-th free slot, as long as askers of other names don't want those slots too. So
-    numbers are ranked and taken ones removed in one pass; the rare slots that two
-    names reach are left to the later pass of ``settle``.
+    numbers are ranked and taken ones removed in one pass; slots that two names
+    reach are left to ``settle``.
     """
-    base, ext = split_extension(F.col("name"))
-    rows = wanted.withColumn("base", base).withColumn("ext", ext)
+    rows = wanted.withColumn("base", stem(F.col("name"))).withColumn("ext", suffix(F.col("name")))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("ordinal")))
-    t_base, t_ext = split_extension(F.col("name"))
-    number = F.regexp_extract(t_base, r"\((\d+)\)$", 1)
-    used = taken.select("name").distinct().select(
-        F.explode(F.array(F.struct(F.col("name").alias("of"), F.lit(0).cast("bigint").alias("n")), F.struct(F.concat(F.regexp_replace(t_base, r"\(\d+\)$", ""), t_ext).alias("of"), F.nullif(number, F.lit("")).try_cast("bigint").alias("n")))).alias("u")
-    )
-    # A slot counts as used only where it is spelled as this rule spells it.
-    used = used.select("u.of", "u.n").filter("n IS NOT NULL").distinct()
+    used = name_slots(taken.select("name").distinct()).select("of", "n").distinct()
     # The k-th free number: k - 1 plus the used numbers at or below it, by the gaps between used ones.
     by_name = Window.partitionBy("of").orderBy("n")
     gaps = used.withColumn("i", F.row_number().over(by_name)).withColumn("free_before", F.col("n") - F.col("i") + 1)
@@ -101,14 +124,22 @@ def allocate_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def settle(wanted: DataFrame, taken: DataFrame, materialize) -> DataFrame:
-    """allocate_names, again for those whose name two askers got, until none is left."""
-    done, rest = None, wanted
+    """The names that asking one after another in ordinal order gives.
+
+    Names meet only within a family, the names that are equal but for counters. In
+    each round the askers of a family that come before its first conflict have what
+    they would get in order: they are settled, and the others ask again.
+    """
+    done, rest = None, wanted.select("ordinal", "name")
     while True:
         given = materialize(allocate_names(rest, taken))
-        lost = given.withColumn("__n", F.row_number().over(Window.partitionBy("given").orderBy("ordinal")))
-        won = lost.filter("__n = 1").drop("__n")
+        family = F.concat(F.regexp_replace(stem(F.col("name")), r"(\([0-9]+\))+$", ""), F.lit("/"), suffix(F.col("name")))
+        asked = given.withColumn("family", family).withColumn("place", F.row_number().over(Window.partitionBy("given").orderBy("ordinal")))
+        conflict = F.min(F.when(F.col("place") > 1, F.col("ordinal"))).over(Window.partitionBy("family"))
+        asked = materialize(asked.withColumn("settled", F.coalesce(F.col("ordinal") < conflict, F.lit(True))))
+        won = asked.filter("settled").select("ordinal", "name", "given")
         done = won if done is None else done.unionByName(won)
-        rest = lost.filter("__n > 1").select("ordinal", "name")
+        rest = asked.filter("NOT settled").select("ordinal", "name")
         if rest.isEmpty():
             return done
         taken = taken.select("name").unionByName(won.select(F.col("given").alias("name")))
@@ -122,6 +153,17 @@ def ingest_stats(decided: DataFrame) -> DataFrame:
     )
 
 
+def first_candidates(parsed: DataFrame) -> DataFrame:
+    """parsed (archive_id, ordinal, dir, candidates): the sidecar that each candidate name of a directory belongs to, the first that named it."""
+    rows = parsed.select("archive_id", "ordinal", "dir", F.explode("candidates").alias("candidate"))
+    return rows.groupBy("archive_id", "dir", "candidate").agg(F.min("ordinal").alias("ordinal"))
+
+
+def completed_archives(archives: DataFrame) -> DataFrame:
+    """Complete archives, the newest first."""
+    return archives.filter("status = 'complete'").orderBy(F.desc("seq"))
+
+
 def skip_reasons(decided: DataFrame) -> DataFrame:
     return decided.filter("skip_reason IS NOT NULL").groupBy("skip_reason").agg(F.count("*").alias("n"))
 

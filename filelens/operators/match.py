@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filelens.functions.documents import json_document, sidecar_payload
 from filelens.functions.names import MIN_PREFIX, parse_sidecar
-from filelens.functions.paths import PICTURE_EXTENSIONS, split_extension
+from filelens.functions.paths import PICTURE_EXTENSIONS, basename, dirname, split_extension
+from filelens.operators import offers
+from filelens.operators.changes import mark_rebound
 from filelens.storage import stored
 
 
@@ -51,6 +54,90 @@ def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     )
 
 
+def match_in_archives(sidecars: DataFrame, media: DataFrame) -> DataFrame:
+    """match_sidecars within each archive: sidecars (seq, archive_id, entry_path), media (archive_id, entry_path, pos).
+
+    The whole listing of an archive is there, so arrival order doesn't matter. Entries
+    at an archive's root share the directory "".
+    """
+    place = F.concat(F.col("archive_id").cast("string"), F.lit("/"), dirname(F.col("entry_path")))
+    names = (place.alias("dir"), basename(F.col("entry_path")).alias("name"))
+    found = match_sidecars(sidecars.select("seq", *names), media.select(*names, "pos"))
+    return found.drop("dir").join(sidecars.select("seq", "archive_id", dirname(F.col("entry_path")).alias("dir")), "seq")
+
+
+def unmatched_rows(matched: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Rows for the table of unmatched sidecars: those without a media file, with what their name says and their payload.
+
+    matched: of match_in_archives; sidecars: seq, entry_path, payload (null where it could not be read: unparseable).
+    """
+    rows = matched.join(sidecars.select("seq", "entry_path", "payload"), "seq").filter("media_name IS NULL OR payload IS NULL")
+    p = parse_sidecar(F.col("name"))
+    unread = F.col("payload").isNull()
+    return rows.select(
+        "seq",
+        "archive_id",
+        F.col("entry_path").alias("sidecar_path"),
+        F.col("dir").alias("archive_dir"),
+        F.col("name").alias("entry_name"),
+        p["media_name"].alias("media_stem"),
+        p["counter"].alias("counter"),
+        F.when(unread, "unparseable").otherwise(F.col("reason")).alias("reason"),
+        F.when(unread, 0).otherwise(F.col("candidate_count")).cast("bigint").alias("candidate_count"),
+        "payload",
+    )
+
+
+def still_unmatched(sidecars: DataFrame, archive_id: int | None = None) -> DataFrame:
+    """Rows that no later pass has bound, in order."""
+    rows = sidecars.filter("rebound_at IS NULL")
+    return (rows if archive_id is None else rows.filter(F.col("archive_id") == archive_id)).orderBy("seq")
+
+
+def unmatched_summary(sidecars: DataFrame) -> DataFrame:
+    return still_unmatched(sidecars).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def apply_rebind(plan: DataFrame, sidecars: DataFrame, targets: DataFrame, log: DataFrame, pending: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next sidecar table and the new log and pending rows of a plan (plan_rebind with media_name).
+
+    Every bound sidecar's payload becomes offers to its target; then it and its
+    identical duplicates are marked with the outcome: the fields by state, the media
+    file's name and whether it had moved.
+    """
+    bound = plan.filter("decision = 'bound'").select("seq", "target", "media_name", "relocated")
+    offered = bound.join(sidecars.select("seq", "sidecar_path", "payload"), "seq")
+    made = offers.sidecar_offers(offered.select("seq", "target", sidecar_payload(F.col("payload")).alias("payload"), F.concat(F.lit("takeout:"), "sidecar_path").alias("source_desc")))
+    decided = stored(offers.evaluate_offers(made, offers.targets_now(targets, log)), "rebind-decisions")
+    new_log, new_pending = offers.change_sets(decided, log, pending)
+    kinds = ("merged", "merged_mtime_only", "deferred", "failed", "already_present")
+    states = F.explode(F.when(F.col("reason").isNotNull() & F.col("state").isin("merged", "merged_mtime_only"), F.array("state", F.lit("deferred"))).otherwise(F.array("state"))).alias("kind")
+    by_kind = decided.select(F.floor(F.col("offer_seq") / 2).cast("bigint").alias("seq"), "field", states)
+    lists = by_kind.groupBy("seq").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("field")))).alias(k) for k in kinds])
+    none = F.array().cast("array<string>")
+    outcome = json_document(**{k: F.coalesce(k, none) for k in kinds}, media_name=F.col("media_name"), relocated=F.col("relocated"))
+    copies = plan.filter("decision = 'duplicate'").groupBy(F.col("first_seq").alias("seq")).agg(F.collect_list(F.col("seq")).alias("duplicate_seqs"))
+    binds = bound.join(lists, "seq", "left").join(copies, "seq", "left").select("seq", F.coalesce("duplicate_seqs", F.array().cast("array<bigint>")).alias("duplicate_seqs"), "target", outcome.alias("outcome"), now.alias("rebound_at"))
+    return mark_rebound(sidecars, binds), new_log, new_pending
+
+
+def binds_elsewhere(sidecars: DataFrame, entries: DataFrame) -> DataFrame:
+    """Marked sidecars that name no target, or whose target is no entry of their own directory and had not moved.
+
+    entries: dir, name, kept_path.
+    """
+    v = F.try_parse_json("rebound_outcome")
+    marked = sidecars.filter("rebound_at IS NOT NULL").withColumn("name", F.try_variant_get(v, "$.media_name", "string")).withColumn("moved", F.coalesce(F.try_variant_get(v, "$.relocated", "boolean"), F.lit(False)))
+    own = entries.select(F.col("dir").alias("archive_dir"), "name", F.col("kept_path").alias("rebound_path")).distinct()
+    outside = marked.filter("NOT moved").join(own, ["archive_dir", "name", "rebound_path"], "left_anti").select("seq", "rebound_path")
+    return outside.unionByName(marked.filter("moved AND rebound_path IS NULL").select("seq", "rebound_path"))
+
+
+def matcher_gate(rates: DataFrame, limit_pct: float = 3.0) -> DataFrame:
+    """Whether a run of the matcher (match_rates) is good enough: few addressable sidecars left unmatched."""
+    return rates.select("addressable_unmatched_pct", (F.col("addressable_unmatched_pct") <= limit_pct).alias("passed"))
+
+
 def match_rates(matched: DataFrame) -> DataFrame:
     """One row: totals by outcome and the shares of all and of addressable sidecars left unmatched."""
     n = F.count("*")
@@ -75,6 +162,7 @@ def plan_rebind(unmatched: DataFrame, entries: DataFrame, present: DataFrame, fi
     (path) what exists now, ``files`` the catalog. Identical offers collapse onto the first that is
     bound; refusals are counted each.
     """
+    unmatched = unmatched.select("seq", "archive_dir", "entry_name", "payload")
     kept = entries.groupBy("dir", "name").agg(F.min(F.when(F.coalesce("kept_path", F.lit("")) != "", F.struct("seq", "kept_path")))["kept_path"].alias("kept_path"))
     listing = entries.select("dir", "name", F.col("seq").alias("pos"))
     found = stored(match_sidecars(unmatched.select("seq", F.col("archive_dir").alias("dir"), F.col("entry_name").alias("name")), listing), "matched")
@@ -102,4 +190,4 @@ def plan_rebind(unmatched: DataFrame, entries: DataFrame, present: DataFrame, fi
     offer = Window.partitionBy("archive_dir", "entry_name", "payload", F.col("refused").isNull()).orderBy("seq")
     rows = rows.withColumn("first_seq", F.min("seq").over(offer))
     decision = F.when(F.col("refused").isNotNull(), "refused").when(F.col("first_seq") == F.col("seq"), "bound").otherwise("duplicate")
-    return rows.select("seq", decision.alias("decision"), F.col("refused").alias("reason"), "target", (F.col("there").isNull() & F.col("target").isNotNull()).alias("relocated"), "first_seq")
+    return rows.select("seq", "media_name", decision.alias("decision"), F.col("refused").alias("reason"), "target", (F.col("there").isNull() & F.col("target").isNotNull()).alias("relocated"), "first_seq")

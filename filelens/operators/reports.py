@@ -16,19 +16,24 @@ def changed_since(listing: DataFrame, files: DataFrame) -> DataFrame:
 def volumes(files: DataFrame) -> DataFrame:
     """Rows and an example path for each removable volume."""
     rows = files.withColumn("volume", volume_root(F.col("path"))).filter("volume IS NOT NULL")
-    return rows.groupBy("volume").agg(F.count("*").alias("rows"), F.min("path").alias("example"))
+    return rows.groupBy("volume").agg(F.count("*").alias("rows"), F.min("path").alias("example")).orderBy(F.desc("rows"), "volume")
+
+
+def detached_volumes(files: DataFrame, attached: DataFrame) -> DataFrame:
+    """The volumes that hold catalog rows and aren't attached."""
+    return volumes(files).join(attached.select("volume").distinct(), "volume", "left_anti")
 
 
 def require_volumes(files: DataFrame, attached: DataFrame, allow: bool = False) -> None:
     """Raise before any job writes if rows lie on volumes that are not attached; one row a volume is read."""
-    gone = volumes(files).join(attached.select("volume").distinct(), "volume", "left_anti").orderBy(F.desc("rows")).limit(20).collect()
+    gone = detached_volumes(files, attached).orderBy(F.desc("rows")).limit(20).collect()
     if gone and not allow:
         raise RuntimeError("rows on detached volumes: " + "; ".join(f"{r['volume']}: {r['rows']} rows, e.g. {r['example']}" for r in gone))
 
 
 def open_counts(pending: DataFrame) -> DataFrame:
-    """Outstanding rows by state, field and reason."""
-    return pending.filter("applied_at IS NULL").groupBy("state", "field", "reason").agg(F.count("*").alias("n"))
+    """Outstanding rows by state, field and reason, the most first."""
+    return pending.filter("applied_at IS NULL").groupBy("state", "field", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "state", "field", "reason")
 
 
 def outstanding(pending: DataFrame, path: str | None = None, limit: int = 0) -> DataFrame:
@@ -95,6 +100,28 @@ def illegal_states(outcomes: DataFrame) -> DataFrame:
     return sets.filter(~F.col("states").isin([",".join(s) for s in LEGAL_TOGETHER]))
 
 
+def empty_collapses(collapses: DataFrame) -> DataFrame:
+    """Collapse records that say nothing: there must be none."""
+    return collapses.filter("coalesce(adopted, '[]') = '[]' AND coalesce(declined, '[]') = '[]'")
+
+
+def count_differences(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts (keys, n) that differ from what was expected; a missing one is 0."""
+    both = found.select(*keys, F.col("n").alias("found")).join(expected.select(*keys, F.col("n").alias("expected")), keys, "full")
+    return both.na.fill(0, ["found", "expected"]).filter("found <> expected")
+
+
+def bounded_run(plan: DataFrame, order: str, counts: Column, n: int) -> DataFrame:
+    """The rows of a plan that a run gets to which stops once ``n`` rows that count are done; 0 is no bound.
+
+    Rows are taken in ``order``; those that don't count are passed over on the way.
+    """
+    if not n:
+        return plan
+    last = plan.filter(counts).orderBy(order).limit(n).agg(F.when(F.count("*") == n, F.max(order)).alias("__last"))  # one row
+    return plan.join(F.broadcast(last), F.col("__last").isNull() | (F.col(order) <= F.col("__last"))).drop("__last")
+
+
 def digest_mismatches(files: DataFrame, listing: DataFrame) -> DataFrame:
     both = files.select("path", "digest_full").join(listing.select("path", F.col("digest_full").alias("now")), "path")
     return both.filter(~F.col("digest_full").eqNullSafe(F.col("now")))

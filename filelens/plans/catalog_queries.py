@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +10,11 @@ from filelens.functions.media import date_witness, decimal_degrees, dms, evidenc
 from filelens.functions.paths import basename, dirname, split_extension, stem, suffix, volume_root
 from filelens.operators import changes, dedup, reports
 from filelens.plans import views as V
+from filelens.plans.registrar import Query, registrar
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register the function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 @query(f"WITH {V.FILES}, {V.GROUPS} SELECT digest_full, max(CASE WHEN rank = 1 THEN path END) AS winner_path, max(CASE WHEN rank = 1 THEN score END) AS winner_score, count(*) AS members, CAST(sum(CASE WHEN rank > 1 THEN size ELSE 0 END) AS BIGINT) AS wasted FROM grp GROUP BY 1")
@@ -94,19 +82,23 @@ def join_18_winner_loser_pairs(spark, d):
 _JPEG = "lower(regexp_extract({}, '(\\.[^.]+)$', 1)) IN ('.jpg', '.jpeg')"
 
 
-@query(f"WITH {V.FILES}, {V.GROUPS} SELECT w.path AS winner, l.path AS loser FROM grp w JOIN grp l ON w.digest_full = l.digest_full AND w.rank = 1 AND l.rank > 1 WHERE {_JPEG.format('w.path')} AND (coalesce(l.has_exif_date, false) AND NOT coalesce(w.has_exif_date, false) OR coalesce(l.has_exif_gps, false) AND NOT coalesce(w.has_exif_gps, false))")
+_OWN_FLAGS = V.FILES.replace("quality = 1 AS has_exif_date, toxic = 1 AS has_exif_gps", "d.doc_id % 3 = 0 AS has_exif_date, d.doc_id % 4 = 1 AS has_exif_gps")
+
+
+@query(f"WITH {_OWN_FLAGS}, {V.GROUPS} SELECT w.path AS winner, l.path AS loser FROM grp w JOIN grp l ON w.digest_full = l.digest_full AND w.rank = 1 AND l.rank > 1 WHERE {_JPEG.format('w.path')} AND (coalesce(l.has_exif_date, false) AND NOT coalesce(w.has_exif_date, false) OR coalesce(l.has_exif_gps, false) AND NOT coalesce(w.has_exif_gps, false))")
 def flt_16_merge_eligible(spark, d):
     kind = F.when(F.lower(suffix(basename(F.col("winner")))).isin(".jpg", ".jpeg"), "jpeg").otherwise("other")
-    return dedup.merge_eligible(dedup.winner_loser_pairs(V.files(spark, d)), kind).select("winner", "loser")
+    files = V.files(spark, d).withColumns({"has_exif_date": F.col("seq") % 3 == 0, "has_exif_gps": F.col("seq") % 4 == 1})
+    return dedup.merge_eligible(dedup.winner_loser_pairs(files), kind).select("winner", "loser")
 
 
-_INCOMING = "incoming AS (SELECT doc_id AS entry, CASE WHEN doc_id % 3 = 0 THEN sha256('src' || (doc_id % 50)) ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 6 < 2)"
+_INCOMING = "incoming AS (SELECT doc_id AS entry, CASE WHEN doc_id % 3 = 0 THEN sha256('src' || (doc_id % 50)) ELSE sha256(text) END AS digest FROM documents)"
 _MATCHES = "m AS (SELECT entry, i.digest, seq, path, min(matched_on) AS matched_on FROM incoming i JOIN (SELECT seq, path, 'digest_full' AS matched_on, digest_full AS digest FROM files UNION ALL SELECT seq, path, 'digest_source', digest_source FROM files) f ON f.digest = i.digest GROUP BY ALL)"
 
 
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
     digest = F.when(F.col("doc_id") % 3 == 0, F.sha2(F.concat(F.lit("src"), (F.col("doc_id") % 50).cast("string")), 256)).otherwise(F.sha2("text", 256))
-    return V.table(spark, d, "documents").filter("doc_id % 6 < 2").select(F.col("doc_id").alias("entry"), digest.alias("digest"))
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("entry"), digest.alias("digest"))
 
 
 @query(f"WITH {V.FILES}, {_INCOMING}, {_MATCHES} SELECT entry, count(*) AS matches, min(seq) AS first_seq, min(matched_on) AS matched_on FROM m GROUP BY 1")
@@ -168,7 +160,7 @@ def agg_12_volumes(spark, d):
 @query(f"WITH {V.FILES} SELECT '/run/media/u/' || source AS volume, count(*) AS rows FROM files WHERE source NOT IN ('src0', 'src1', 'src2') GROUP BY 1")
 def dec_11_detached_volumes(spark, d):
     attached = V.table(spark, d, "documents").filter("source IN ('src0', 'src1', 'src2')").select(volume_root(V.doc_path()).alias("volume")).distinct()
-    return reports.volumes(V.files(spark, d)).join(attached, "volume", "left_anti").select("volume", "rows")
+    return reports.detached_volumes(V.files(spark, d), attached).select("volume", "rows")
 
 
 @query(f"WITH {V.FILES}, {V.LISTING} SELECT f.path, f.digest_full, l.digest_full AS now FROM files f JOIN listing l USING (path) WHERE f.digest_full <> l.digest_full")
@@ -269,11 +261,11 @@ def str_01_path_parts(spark, d):
     return V.table(spark, d, "pages").select("page_id", basename(u).alias("base"), dirname(u).alias("folder"), suffix(basename(u)).alias("ext"), split_extension(basename(u))[1].alias("ext2"))
 
 
-@query("SELECT s_suppkey, CAST(floor(abs(s_acctbal / 100)) AS BIGINT) AS deg, round(CASE WHEN s_suppkey % 2 = 0 THEN 0.0 - v ELSE v END, 6) AS decimal_deg FROM (SELECT *, s_suppkey % 90 + (s_suppkey % 60) / 60.0 + (s_suppkey % 59) / 3600.0 AS v FROM supplier)")
+@query("SELECT s_suppkey, CAST(floor(a) AS BIGINT) AS deg, CAST(floor((a - floor(a)) * 60) AS BIGINT) AS min, CAST(floor(((a - floor(a)) * 60 - floor((a - floor(a)) * 60)) * 60 * 10000) AS BIGINT) AS sec10000, round(CASE WHEN s_suppkey % 2 = 0 THEN 0.0 - v ELSE v END, 6) AS decimal_deg FROM (SELECT *, s_suppkey % 90 + (s_suppkey % 60) / 60.0 + (s_suppkey % 59) / 3600.0 AS v, abs(s_acctbal / 100) AS a FROM supplier)")
 def math_03_degrees(spark, d):
     k = F.col("s_suppkey")
     ref = F.when(k % 2 == 0, "S").otherwise("N")
-    return V.table(spark, d, "supplier").select("s_suppkey", dms(F.col("s_acctbal") / 100)["deg"].alias("deg"), F.round(decimal_degrees(k % 90, k % 60, k % 59, ref), 6).alias("decimal_deg"))
+    return V.table(spark, d, "supplier").select("s_suppkey", dms(F.col("s_acctbal") / 100).alias("a"), F.round(decimal_degrees(k % 90, k % 60, k % 59, ref), 6).alias("decimal_deg")).select("s_suppkey", "a.*", "decimal_deg")
 
 
 # Change sets over customer: current rows and two versions of changes.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +12,12 @@ from filelens.functions.names import parse_sidecar
 from filelens.functions.times import camera_clock, clock_epoch, is_legal_offset, offset_seconds, offset_text, resolve_instant
 from filelens.operators import capture, changes, ingest, match, offers, reports
 from filelens.plans import views as V
+from filelens.plans.registrar import Query, registrar
+from filelens.storage import stored
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register the function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 _PICTURE = "('.jpg','.jpeg','.png','.gif','.bmp','.tiff','.tif','.heic','.heif','.webp','.raw','.cr2','.nef','.arw','.dng','.mp4','.mov','.avi','.mkv','.wmv','.m4v','.mpg','.mpeg','.3gp')"
@@ -104,17 +95,17 @@ _REBIND = f"""{V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED},
   x AS (SELECT *, CASE WHEN payload IS NULL THEN 'no_payload' WHEN reason IS NOT NULL THEN reason WHEN pos IS NULL THEN 'media_not_kept' WHEN there THEN NULL WHEN moved = 0 THEN 'target_missing' WHEN moved > 1 THEN 'ambiguous_target' END AS refused FROM w),
   y AS (SELECT *, min(seq) OVER (PARTITION BY dir, name, payload, refused IS NULL) AS first_seq FROM x),
   plan AS (SELECT seq, CASE WHEN refused IS NOT NULL THEN 'refused' WHEN first_seq = seq THEN 'bound' ELSE 'duplicate' END AS decision, refused AS reason,
-    CASE WHEN refused IS NULL THEN CASE WHEN there THEN '/vault/' ELSE '/new/vault/' END || pos END AS target, coalesce(NOT there AND refused IS NULL, false) AS relocated, first_seq FROM y)"""
+    CASE WHEN refused IS NULL THEN CASE WHEN there THEN '/vault/' ELSE '/new/vault/' END || pos END AS target, coalesce(NOT there AND refused IS NULL, false) AS relocated, first_seq, media_name FROM y)"""
 
 
-@query(f"WITH {_REBIND} SELECT * FROM plan")
+@query(f"WITH {_REBIND} SELECT * EXCLUDE (media_name) FROM plan")
 def dec_08_plan_rebind(spark, d):
-    return _rebind(spark, d)
+    return _rebind(spark, d).drop("media_name")
 
 
-@query(f"WITH {_REBIND} SELECT decision, reason, count(*) AS n, count(*) FILTER (WHERE relocated) AS relocated FROM plan GROUP BY ALL")
+@query(f"WITH {_REBIND} SELECT seq % 3 AS archive_id, decision, reason, count(*) AS n, count(*) FILTER (WHERE relocated) AS relocated FROM plan GROUP BY ALL")
 def agg_16_rebind_stats(spark, d):
-    return _rebind(spark, d).groupBy("decision", "reason").agg(F.count("*").alias("n"), F.count_if("relocated").alias("relocated"))
+    return _rebind(spark, d).groupBy((F.col("seq") % 3).alias("archive_id"), "decision", "reason").agg(F.count("*").alias("n"), F.count_if("relocated").alias("relocated"))
 
 
 _ROUTE = "CASE WHEN error IS NOT NULL THEN 'error' WHEN regexp_matches(lower(entry_path), '(^|/)metadata\\.json$') THEN 'album_metadata' WHEN lower(entry_path) LIKE '%.json' THEN 'sidecar' WHEN NOT regexp_matches(lower(entry_path), '\\.(jpg|mp4)$') THEN 'not_media' ELSE 'media' END"
@@ -136,18 +127,29 @@ def join_02_resume(spark, d):
     return ingest.pending_entries(e.select("archive_id", "entry_path").distinct(), e.filter("archive_id % 2 = 0"))
 
 
-_DECIDE = f"""{V.ENTRIES}, vf AS (SELECT conv_id * 100 + turn AS seq, '/dest/' || conv_id || '_' || turn AS path, sha256(text) AS digest FROM conversations WHERE conv_id % 3 = 0),
-  e AS (SELECT seq AS ordinal, digest FROM entries WHERE archive_id % 3 <> 1 OR archive_id < 20),
-  k AS (SELECT digest, min(seq) FILTER (WHERE seq % 2 = 0) AS there, arg_min(path, seq) FILTER (WHERE seq % 5 <> 9) AS restore FROM vf GROUP BY 1),
-  dec AS (SELECT ordinal, e.digest, there IS NOT NULL OR row_number() OVER (PARTITION BY e.digest ORDER BY ordinal) > 1 AS skip, k.digest IS NOT NULL AS had, there, restore FROM e LEFT JOIN k ON k.digest = e.digest)"""
+_DECIDE = """x AS (SELECT conv_id * 100 + turn AS seq, conv_id, turn, text, 'e' || ((conv_id * 100 + turn) % 50) || '.jpg' AS name, CASE WHEN (conv_id * 100 + turn) % 13 <> 5 THEN sha256(text) END AS digest FROM conversations),
+  f AS (SELECT seq, conv_id, CASE conv_id % 3 WHEN 0 THEN '/dest/f' WHEN 1 THEN '/dest2/f' ELSE '/dest/sub/f' END || seq || '.jpg' AS path, CASE WHEN turn % 3 < 2 THEN sha256(text) ELSE sha256('gone' || seq) END AS digest FROM x),
+  k AS (SELECT digest, min(seq) FILTER (WHERE seq % 4 = 2) AS there, arg_min(path, seq) FILTER (WHERE conv_id % 3 = 0) AS restore FROM f GROUP BY 1),
+  o AS (SELECT name, '/dest/' || name AS path, arg_min(sha256(text), seq) AS digest, 0 AS n FROM x WHERE turn % 3 = 2 GROUP BY name
+    UNION ALL SELECT name, '/dest/' || replace(name, '.jpg', '(1).jpg'), arg_max(sha256(text), seq), 1 FROM x WHERE turn % 3 = 2 GROUP BY name HAVING count(*) > 1),
+  a AS (SELECT x.seq, arg_min(o.path, n) AS orphan FROM x JOIN o ON o.name = x.name AND o.digest = x.digest GROUP BY 1),
+  dec AS (SELECT x.seq AS ordinal, x.digest, there IS NOT NULL OR x.digest IS NOT NULL AND row_number() OVER (PARTITION BY x.digest ORDER BY x.seq) > 1 AS skip, k.digest IS NOT NULL AS had, restore, orphan FROM x LEFT JOIN k ON k.digest = x.digest LEFT JOIN a ON a.seq = x.seq)"""
 
 
-@query(f"WITH {_DECIDE} SELECT ordinal, digest, CASE WHEN skip THEN 'skipped' ELSE 'kept' END AS status, CASE WHEN skip THEN 'duplicate' END AS skip_reason, CASE WHEN NOT skip AND had THEN 'prior_copy_restored' END AS keep_reason, CASE WHEN NOT skip THEN restore END AS restore_path FROM dec")
+@query(f"""WITH {_DECIDE} SELECT ordinal, digest, CASE WHEN skip THEN 'skipped' ELSE 'kept' END AS status, CASE WHEN skip THEN 'duplicate' END AS skip_reason,
+  CASE WHEN NOT skip THEN CASE WHEN restore IS NOT NULL THEN 'prior_copy_restored' WHEN orphan IS NOT NULL THEN 'orphan_adopted' WHEN had THEN 'prior_copy_missing' END END AS keep_reason, CASE WHEN NOT skip THEN coalesce(restore, orphan) END AS restore_path FROM dec""")
 def dec_04_decide_entries(spark, d):
-    conv = V.table(spark, d, "conversations")
-    files = conv.filter("conv_id % 3 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.concat(F.lit("/dest/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("path"), F.sha2("text", 256).alias("digest_full"), F.lit(None).cast("string").alias("digest_source"))
-    entries = V.archive_entries(spark, d).filter("archive_id % 3 <> 1 OR archive_id < 20").select(F.col("seq").alias("ordinal"), "digest")
-    return ingest.decide_entries(entries, files, files.filter("seq % 2 = 0"), "/dest").drop("survivor", "matched_on")
+    """Copies in the destination, below it and beside it; some there, some gone; unrecorded files under two names; entries without a digest."""
+    seq, digest = F.col("conv_id") * 100 + F.col("turn"), F.sha2("text", 256)
+    x = V.table(spark, d, "conversations").select(seq.alias("seq"), "conv_id", "turn", "text", digest.alias("full"), F.concat(F.lit("e"), (seq % 50).cast("string"), F.lit(".jpg")).alias("name"))
+    s = F.col("seq").cast("string")
+    folder = F.when(F.col("conv_id") % 3 == 0, "/dest/f").when(F.col("conv_id") % 3 == 1, "/dest2/f").otherwise("/dest/sub/f")
+    files = x.select("seq", F.concat(folder, s, F.lit(".jpg")).alias("path"), F.when(F.col("turn") % 3 < 2, F.col("full")).otherwise(F.sha2(F.concat(F.lit("gone"), s), 256)).alias("digest_full"), F.lit(None).cast("string").alias("digest_source"))
+    named = x.filter("turn % 3 = 2").groupBy("name").agg(F.min_by("full", "seq").alias("first"), F.max_by("full", "seq").alias("last"), F.count("*").alias("n"))
+    orphans = named.select(F.concat(F.lit("/dest/"), "name").alias("path"), F.col("first").alias("digest")).unionByName(named.filter("n > 1").select(F.concat(F.lit("/dest/"), F.regexp_replace("name", r"\.jpg", "(1).jpg")).alias("path"), F.col("last").alias("digest")))
+    present = files.filter("seq % 4 = 2").select("path", F.col("digest_full").alias("digest")).unionByName(orphans)
+    entries = x.select(F.col("seq").alias("ordinal"), "name", F.when(F.col("seq") % 13 != 5, F.col("full")).alias("digest"))
+    return ingest.decide_entries(entries, files, present, "/dest").drop("survivor", "matched_on")
 
 
 @query(f"WITH {V.ENTRIES} SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'kept') AS kept, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors, true AS reconciled FROM entries WHERE status <> 'pending'")
@@ -190,35 +192,67 @@ def join_16_open_archives(spark, d):
     return ingest.open_archives(incoming, done)
 
 
-_ALLOC = """w AS (SELECT c_custkey AS ordinal, 'img_' || (c_custkey % 37) || '.jpg' AS name FROM customer),
-  t AS (SELECT DISTINCT 'img_' || (s_suppkey % 50) || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '(' || (s_suppkey % 4 + 1) || ')' END || '.jpg' AS name FROM supplier),
-  free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS k FROM (SELECT DISTINCT name AS base FROM w), (SELECT range AS n FROM range(400))
-    WHERE CASE WHEN n = 0 THEN base ELSE replace(base, '.jpg', '(' || n || ').jpg') END NOT IN (SELECT name FROM t)),
-  a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) AS k FROM w)"""
+_ALLOC = """w AS (SELECT c_custkey AS ordinal, c_custkey % 37 AS family, 'img_' || (c_custkey % 37) || CASE WHEN c_custkey % 7 = 0 THEN '(1)' ELSE '' END AS stem FROM customer),
+  t AS (SELECT DISTINCT s_suppkey % 50 AS family, 'img_' || (s_suppkey % 50) || CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '(01)' WHEN 2 THEN '(0)' WHEN 3 THEN '(2)' ELSE '(1)(1)' END || '.jpg' AS name FROM supplier),
+  o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ordinal) AS i FROM w),
+  s(family, i, used, ordinal, stem, given) AS (
+    SELECT family, CAST(0 AS BIGINT), coalesce((SELECT list(name) FROM t WHERE t.family = f.family), CAST([] AS VARCHAR[])), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM (SELECT DISTINCT family FROM w) f
+    UNION ALL
+    SELECT family, i, list_append(used, given), ordinal, stem, given FROM (SELECT s.family, o.i, s.used, o.ordinal, o.stem,
+      [n FOR n IN [o.stem || CASE WHEN k = 0 THEN '' ELSE '(' || k || ')' END || '.jpg' FOR k IN range(len(s.used) + 1)] IF NOT list_contains(s.used, n)][1] AS given FROM s JOIN o ON o.family = s.family AND o.i = s.i + 1))"""
 
 
-@query(f"WITH {_ALLOC} SELECT ordinal, name, CASE WHEN n = 0 THEN name ELSE replace(name, '.jpg', '(' || n || ').jpg') END AS given FROM a JOIN free ON free.base = a.name AND free.k = a.k")
+@query(f"WITH RECURSIVE {_ALLOC} SELECT ordinal, stem || '.jpg' AS name, given FROM s WHERE ordinal IS NOT NULL")
 def win_10_allocate_names(spark, d):
+    """Names asked for in order, some of them numbered ones; taken names with padded, zero and double numbers."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    wanted = V.table(spark, d, "customer").select(c.alias("ordinal"), F.concat(F.lit("img_"), (c % 37).cast("string"), F.lit(".jpg")).alias("name"))
-    number = F.when(s % 3 == 0, "").otherwise(F.concat(F.lit("("), (s % 4 + 1).cast("string"), F.lit(")")))
+    wanted = V.table(spark, d, "customer").select(c.alias("ordinal"), F.concat(F.lit("img_"), (c % 37).cast("string"), F.when(c % 7 == 0, "(1)").otherwise(""), F.lit(".jpg")).alias("name"))
+    number = F.when(s % 5 == 0, "").when(s % 5 == 1, "(01)").when(s % 5 == 2, "(0)").when(s % 5 == 3, "(2)").otherwise("(1)(1)")
     taken = V.table(spark, d, "supplier").select(F.concat(F.lit("img_"), (s % 50).cast("string"), number, F.lit(".jpg")).alias("name"))
-    return ingest.allocate_names(wanted, taken)
+    return ingest.settle(wanted, taken, lambda df: stored(df, "names"))
 
 
+_AT = "strftime(make_timestamp(({}) * 1000000), '%Y-%m-%dT%H:%M:%S')"
+_DOCS = f"""CASE WHEN field = 'date' THEN '{{"datetime_local":"' || {_AT.format("value - CASE WHEN assumed THEN 0 ELSE 18000 END")} || '","offset":"' || CASE WHEN assumed THEN '+00:00' ELSE '-05:00' END || '","utc":"' || {_AT.format("value")} || '+00:00","utc_epoch":' || value
+    || ',"tz":null,"tz_source":"' || CASE WHEN assumed THEN 'utc_fallback' ELSE 'exif' END || '"}}' ELSE '{{"lat":' || lat || ',"lon":' || lon || ',"altitude":null,"altitude_ref":null}}' END AS payload"""
 _DEC = f"""{V.OFFERS}, {V.TARGETS}, o AS (SELECT *, container IN ('jpeg', 'webp') AS writable, CASE WHEN field = 'date' THEN has_date ELSE has_gps END AS had,
-    row_number() OVER (PARTITION BY o.target, field ORDER BY offer_seq) AS n, coalesce(lag(value) OVER (PARTITION BY o.target, field ORDER BY offer_seq), CAST(mtime AS BIGINT)) AS held FROM offers o JOIN targets t ON t.target = o.target WHERE value IS NOT NULL),
+    {_DOCS}, row_number() OVER (PARTITION BY o.target, field ORDER BY offer_seq) AS n, coalesce(lag(value) OVER (PARTITION BY o.target, field ORDER BY offer_seq), CAST(mtime AS BIGINT)) AS held FROM offers o JOIN targets t ON t.target = o.target WHERE value IS NOT NULL),
   st AS (SELECT *, CASE WHEN writable AND NOT exif_ok THEN 'failed' WHEN writable AND (coalesce(had, false) OR n > 1) THEN 'already_present' WHEN writable THEN 'merged' WHEN field = 'gps' THEN 'deferred' WHEN value = held THEN 'already_present' ELSE 'merged_mtime_only' END AS state FROM o),
-  dec AS (SELECT target, field, value, offer_seq, state, CASE WHEN state = 'failed' THEN 'failed_unparseable' WHEN state = 'merged' AND field = 'date' AND assumed THEN 'tz_unknown_assumed_utc' WHEN state IN ('deferred', 'merged_mtime_only') THEN 'unsupported_' || container END AS reason FROM st)"""
+  dec AS (SELECT target, field, value, offer_seq, state, source_desc, payload, CASE WHEN state = 'already_present' THEN '{{"field":"' || field || '","offered":{{' || CASE WHEN field = 'date' THEN '"utc_epoch":' || value ELSE '"lat":' || lat || ',"lon":' || lon END
+    || '}},"satisfied_by":"' || CASE WHEN writable THEN 'exif_' || field ELSE 'mtime' END || '"}}' END AS refusal, CASE WHEN state = 'failed' THEN 'failed_unparseable' WHEN state = 'merged' AND field = 'date' AND assumed THEN 'tz_unknown_assumed_utc' WHEN state IN ('deferred', 'merged_mtime_only') THEN 'unsupported_' || container END AS reason FROM st)"""
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return offers.evaluate_offers(V.offers(spark, d), V.targets(spark, d))
 
 
+def _no_log(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LOG_ROWS)
+
+
+def _no_pending(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], PENDING_ROWS)
+
+
+LOG_ROWS = "seq bigint, target_path string, source_desc string, field string, value string"
+PENDING_ROWS = "file_path string, field string, value string, applied_at timestamp"
+
+
 @query(f"WITH {_DEC} SELECT target, field, value, offer_seq, state, reason FROM dec")
 def dec_01_evaluate_offers(spark, d):
-    return _decisions(spark, d)
+    return _decisions(spark, d).select("target", "field", "value", "offer_seq", "state", "reason")
+
+
+@query(f"WITH {_DEC} SELECT target, field, value, offer_seq, state, reason FROM dec")
+def win_07_two_batches(spark, d):
+    """The same offers in two batches: the second is decided on what the first logged, and nothing differs."""
+    made, targets = V.offers(spark, d), V.targets(spark, d)
+    half = made.agg((F.max("offer_seq") / 2).alias("half"))
+    turn = made.join(F.broadcast(half), F.lit(True)).withColumn("first", F.col("offer_seq") <= F.col("half")).drop("half")  # one row
+    one = offers.evaluate_offers(turn.filter("first").drop("first"), targets)
+    log, _ = offers.change_sets(one, _no_log(spark), _no_pending(spark))
+    two = offers.evaluate_offers(turn.filter("NOT first").drop("first"), offers.targets_now(targets, log))
+    return one.unionByName(two).select("target", "field", "value", "offer_seq", "state", "reason")
 
 
 @query(f"WITH {_DEC} SELECT target, field, arg_max(value, offer_seq) AS value FROM dec WHERE state IN ('merged', 'merged_mtime_only') GROUP BY ALL")
@@ -231,9 +265,15 @@ def agg_19_outcome_cardinality(spark, d):
     return reports.outcome_cardinality(_decisions(spark, d))
 
 
-@query(f"WITH {_DEC}, s AS (SELECT target, field, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM dec GROUP BY ALL) SELECT * FROM s WHERE states NOT IN ('already_present', 'already_present,merged', 'merged', 'deferred', 'failed', 'merged_mtime_only', 'already_present,merged_mtime_only')")
+@query(
+    f"""WITH {_DEC}, m AS (SELECT target, field, state FROM dec UNION ALL SELECT '/vault/' || user_id, 'date', CASE event_type WHEN 'click' THEN 'failed' WHEN 'view' THEN 'deferred' ELSE 'merged' END FROM events WHERE user_id % 10 = 9),
+  s AS (SELECT target, field, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM m GROUP BY ALL) SELECT * FROM s WHERE states NOT IN ('already_present', 'already_present,merged', 'merged', 'deferred', 'failed', 'merged_mtime_only', 'already_present,merged_mtime_only')"""
+)
 def qc_01_illegal_states(spark, d):
-    return reports.illegal_states(_decisions(spark, d))
+    """Beside what the engine decided, states made up for other targets, most of which can't go together."""
+    kind = F.when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "view", "deferred").otherwise("merged")
+    made_up = V.table(spark, d, "events").filter("user_id % 10 = 9").select(F.concat(F.lit("/vault/"), F.col("user_id").cast("string")).alias("target"), F.lit("date").alias("field"), kind.alias("state"))
+    return reports.illegal_states(_decisions(spark, d).select("target", "field", "state").unionByName(made_up))
 
 
 @query(f"WITH {_DEC} SELECT target, field, value, count(*) AS n FROM dec WHERE state = 'merged_mtime_only' GROUP BY ALL HAVING count(*) > 1")
@@ -241,18 +281,37 @@ def qc_04_repeated_outcomes(spark, d):
     return reports.repeated_outcomes(_decisions(spark, d).filter("state = 'merged_mtime_only'"))
 
 
-@query(f"WITH {_DEC} SELECT file_path, field, value, reason, state, offer_seq FROM (SELECT target AS file_path, field, CAST(value AS VARCHAR) AS value, reason, CASE WHEN state = 'failed' THEN 'failed' ELSE 'deferred' END AS state, offer_seq, row_number() OVER (PARTITION BY target, field, value ORDER BY offer_seq) AS n FROM dec WHERE reason IS NOT NULL) WHERE n = 1 AND file_path || field NOT IN (SELECT '/vault/' || (o_custkey % 50) || 'date' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus = 'F' AND value = '1600003600')")
+_WAITS = "w AS (SELECT target AS file_path, field, payload AS value, reason, CASE WHEN state = 'failed' THEN 'failed' ELSE 'deferred' END AS state, source_desc, offer_seq AS seq FROM dec WHERE reason IS NOT NULL)"
+
+
+@query(f"WITH {_DEC}, {_WAITS} SELECT * FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY file_path, field, value ORDER BY seq) = 1) WHERE (file_path, field, value) NOT IN (SELECT file_path, field, value FROM w WHERE seq % 4 = 0)")
 def snk_07_pending_once(spark, d):
-    empty = spark.createDataFrame([], "target_path string, field string, value string")
-    had = V.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("/vault/"), (F.col("o_custkey") % 50).cast("string")).alias("file_path"), F.lit("date").alias("field"), F.lit("1600003600").alias("value"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).alias("applied_at"))
-    return offers.change_sets(_decisions(spark, d), empty, had)[1]
+    """Some of the rows wait already, others were applied before and come again."""
+    decided = _decisions(spark, d)
+    waits = offers.change_sets(decided, _no_log(spark), _no_pending(spark))[1]
+    every = decided.filter("reason IS NOT NULL").select(F.col("target").alias("file_path"), "field", offers.payload_of().alias("value"), F.when(F.col("offer_seq") % 4 == 1, F.lit("2026-08-04 00:00:00").cast("timestamp")).alias("applied_at"), "offer_seq")
+    return offers.change_sets(decided, _no_log(spark), every.filter("offer_seq % 4 < 2").drop("offer_seq"))[1].select(*waits.columns)
 
 
-@query(f"WITH {_DEC} SELECT target_path, value, offer_seq FROM (SELECT target AS target_path, '{{\"field\":\"' || field || '\",\"offered\":' || value || '}}' AS value, offer_seq, row_number() OVER (PARTITION BY target, field, value ORDER BY offer_seq) AS n FROM dec WHERE state = 'already_present') WHERE n = 1")
+@query(f"WITH {_DEC}, r AS (SELECT target AS target_path, refusal AS value, offer_seq AS seq, source_desc FROM dec WHERE state = 'already_present') SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY target_path, value ORDER BY seq) = 1) WHERE (target_path, value) NOT IN (SELECT target_path, value FROM r WHERE seq % 3 = 1)")
 def snk_08_refused_once(spark, d):
-    no_log = spark.createDataFrame([], "target_path string, field string, value string")
-    no_pending = spark.createDataFrame([], "file_path string, field string, value string, applied_at timestamp")
-    return offers.change_sets(_decisions(spark, d), no_log, no_pending)[0].filter("field = 'already_present'").select("target_path", "value", "offer_seq")
+    """Refusals that the log doesn't hold yet; every third offer was made before."""
+    decided = _decisions(spark, d)
+    log = offers.change_sets(decided.filter("offer_seq % 3 = 1"), _no_log(spark), _no_pending(spark))[0].filter("field = 'already_present'")
+    rows = offers.change_sets(decided, log, _no_pending(spark))[0].filter("field = 'already_present'")
+    return rows.select("target_path", "value", "seq", "source_desc")
+
+
+@query(f"WITH {_DEC} SELECT offer_seq AS seq, target AS target_path, source_desc, CASE WHEN state = 'merged' THEN field ELSE state END AS field, coalesce(refusal, payload) AS value FROM dec WHERE state IN ('merged', 'merged_mtime_only', 'already_present') QUALIFY row_number() OVER (PARTITION BY target, CASE WHEN state = 'already_present' THEN refusal ELSE CAST(offer_seq AS VARCHAR) END ORDER BY offer_seq) = 1")
+def snk_05_log_rows(spark, d):
+    return offers.change_sets(_decisions(spark, d), _no_log(spark), _no_pending(spark))[0]
+
+
+@query(f"WITH {_DEC} SELECT target AS path, arg_min(value, offer_seq) AS epoch FROM dec WHERE field = 'date' AND state IN ('merged', 'merged_mtime_only', 'already_present') GROUP BY 1")
+def win_05_own_log(spark, d):
+    """The first epoch of each path in a log that the engine wrote."""
+    log, _ = offers.change_sets(_decisions(spark, d), _no_log(spark), _no_pending(spark))
+    return offers.first_usable(log, logged_epoch(F.col("value")))
 
 
 @query(f"WITH {V.LOG} SELECT target_path AS path, arg_min(epoch, seq) AS epoch FROM log WHERE epoch <> 0 GROUP BY 1")
@@ -287,10 +346,11 @@ def flt_07_outstanding(spark, d):
     return reports.outstanding(V.pending(spark, d), limit=100).select("seq", "file_path", "field", "value")
 
 
-@query(f"WITH {V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED} SELECT reason, count(*) AS n FROM matched WHERE media_name IS NULL GROUP BY 1")
+@query(f"WITH {V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED} SELECT reason, count(*) AS n FROM matched WHERE media_name IS NULL AND seq % 10 <> 0 GROUP BY 1")
 def agg_08_unmatched_summary(spark, d):
-    found = match.match_sidecars(V.sidecars(spark, d), V.media(spark, d))
-    return found.filter("media_name IS NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    """Every tenth was bound since."""
+    found = match.match_sidecars(V.sidecars(spark, d), V.media(spark, d)).filter("media_name IS NULL")
+    return match.unmatched_summary(found.withColumn("rebound_at", F.when(F.col("seq") % 10 == 0, F.lit("2026-08-04 00:00:00").cast("timestamp"))))
 
 
 # Times: clocks, offsets and claims are made from event ids.
@@ -332,13 +392,13 @@ def dt_10_resolve_instant(spark, d):
     return _timed(spark, d).select("event_id", i.alias("i")).select("event_id", "i.epoch", "i.outcome")
 
 
-_SIB = "w AS (SELECT event_id AS id, 'dir' || (user_id % 20) AS dir, 1625421600 + (event_id % 700) * 3607 AS epoch FROM events WHERE event_id % 5 = 0), s AS (SELECT DISTINCT 'dir' || (user_id % 20) AS dir, 1625421600 + (event_id % 700) * 3607 AS sib, CASE WHEN event_id % 700 < 350 THEN -18000 ELSE 3600 END AS off FROM events WHERE event_id % 40 = 3)"
+_SIB = "w AS (SELECT event_id AS id, 'dir' || (user_id % 20) AS dir, 1625421600 + (event_id % 700) * 3607 AS epoch FROM events), s AS (SELECT DISTINCT 'dir' || (user_id % 20) AS dir, 1625421600 + (event_id % 700) * 3607 AS sib, CASE WHEN event_id % 700 < 350 THEN -18000 ELSE 3600 END AS off FROM events WHERE event_id % 40 = 3)"
 
 
 def _siblings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = _timed(spark, d)
-    wanted = t.filter("event_id % 5 = 0").select(F.col("event_id").alias("id"), "dir", "epoch")
-    return wanted, t.filter("event_id % 40 = 3").select("dir", "epoch", F.when(F.col("event_id") % 700 < 350, -18000).otherwise(3600).alias("offset"))
+    known = F.when(F.col("event_id") % 40 == 3, F.when(F.col("event_id") % 700 < 350, -18000).otherwise(3600))
+    return t.select(F.col("event_id").alias("id"), "dir", "epoch"), t.select("dir", "epoch", known.alias("offset"))
 
 
 @query(f"WITH {_SIB} SELECT id, min(off) AS sibling_offset FROM w JOIN s ON s.dir = w.dir AND abs(sib - epoch) <= 43200 GROUP BY 1 HAVING count(DISTINCT off) = 1")
@@ -416,22 +476,22 @@ def agg_17_repair_stats(spark, d):
     return _repair(spark, d).groupBy("decision", "reason").agg(F.count("*").alias("n"))
 
 
-@query("WITH e AS (SELECT event_id, 1625421600 + event_id * 61 AS epoch, CASE event_id % 3 WHEN 0 THEN -18000 WHEN 1 THEN 0 ELSE 20700 END AS off FROM events) SELECT event_id, CAST(epoch + off AS BIGINT) AS wall FROM e WHERE event_id % 7 = 0")
+@query("WITH e AS (SELECT event_id, 1625421600 + event_id * 61 AS epoch, CASE event_id % 3 WHEN 0 THEN -18000 WHEN 1 THEN 0 ELSE 20700 END AS off FROM events) SELECT event_id, CAST(epoch + off AS BIGINT) AS wall FROM e")
 def qc_05_wall_clock(spark, d):
     """Rows whose stored wall clock is the epoch plus the declared offset, checked through text and back."""
     i = F.col("event_id")
     off = F.when(i % 3 == 0, "-05:00").when(i % 3 == 1, "+00:00").otherwise("+05:45")
-    rows = V.table(spark, d, "events").filter("event_id % 7 = 0").select("event_id", (F.lit(1625421600) + i * 61).alias("epoch"), offset_seconds(off).alias("off"))
+    rows = V.table(spark, d, "events").select("event_id", (F.lit(1625421600) + i * 61).alias("epoch"), offset_seconds(off).alias("off"))
     stored = F.date_format(F.timestamp_seconds(F.col("epoch") + F.col("off")), "yyyy:MM:dd HH:mm:ss")
     return rows.select("event_id", clock_epoch(camera_clock(stored)).alias("wall"), (F.col("epoch") + F.col("off")).alias("e")).filter("wall = e").drop("e")
 
 
-@query("SELECT 0 AS differing")
+@query(f"WITH {_DEC}, {_WAITS} SELECT count(DISTINCT (target, refusal)) + count(*) FILTER (WHERE state IN ('merged', 'merged_mtime_only')) AS log_rows, (SELECT count(DISTINCT (file_path, field, value)) FROM w) AS pending_rows, CAST(0 AS BIGINT) AS again FROM dec WHERE state IN ('merged', 'merged_mtime_only', 'already_present')".replace("count(DISTINCT (target, refusal))", "count(DISTINCT CASE WHEN state = 'already_present' THEN (target, refusal) END)"))
 def qc_07_second_run_adds_nothing(spark, d):
-    """The same offers again, on top of the change sets of the first run."""
+    """What the first run of some offers adds, and what the same offers add on top of that."""
     decided = _decisions(spark, d)
-    no_log = spark.createDataFrame([], "target_path string, field string, value string")
-    no_pending = spark.createDataFrame([], "file_path string, field string, value string, applied_at timestamp")
-    log, waits = offers.change_sets(decided, no_log, no_pending)
+    log, waits = offers.change_sets(decided, _no_log(spark), _no_pending(spark))
     again_log, again_waits = offers.change_sets(decided, log, waits.withColumn("applied_at", F.lit(None).cast("timestamp")))
-    return again_log.select("offer_seq").unionByName(again_waits.select("offer_seq")).agg(F.count("*").cast("int").alias("differing"))
+    kinds = [(log, "log_rows"), (waits, "pending_rows"), (again_log, "again"), (again_waits, "again")]
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind")) for df, kind in kinds])
+    return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("log_rows", "pending_rows", "again")])

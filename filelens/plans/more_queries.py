@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +9,11 @@ from filelens.functions.media import EXIF_READABLE, EXIF_WRITABLE, container_of
 from filelens.functions.paths import basename, suffix
 from filelens.operators import changes, folder, offers
 from filelens.plans import views as V
+from filelens.plans.registrar import Query, registrar
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register the function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 _HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "52494646000000005745425000", "49492A00", "000000186674797068656963", "0000001466747970717420200000", "0000000866726565000000146674797069736F6D", "00000008776964650000006400006D646174", "6A756E6B")
@@ -57,13 +45,14 @@ def dec_05_collapse_records(spark, d):
     return folder.collapse_records(pairs, offered, mtimes)
 
 
-@query("WITH r AS (SELECT c_custkey, c_custkey % 30 AS t FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT '/t/' || t AS target, 'date' AS field, c_custkey + 5 AS value, 1 AS turn, '/s/' || c_custkey AS source FROM r WHERE c_custkey % 3 = 0 UNION ALL SELECT '/t/' || t, 'date', c_custkey + 9, 2, '/s/' || c_custkey FROM r WHERE c_custkey % 5 = 0) SELECT target, field, value, row_number() OVER (PARTITION BY target, field ORDER BY turn, source) AS offer_seq, CASE turn WHEN 1 THEN 'takeout:' ELSE 'file:' END || source AS source_desc FROM o")
+@query("WITH r AS (SELECT c_custkey, c_custkey % 30 AS t FROM customer), o AS (SELECT '/t/' || t AS target, 'date' AS field, c_custkey + 5 AS value, 1 AS turn, '/s/' || c_custkey AS source FROM r WHERE c_custkey % 3 = 0 UNION ALL SELECT '/t/' || t, 'date', c_custkey + 9, 2, '/s/' || c_custkey FROM r WHERE c_custkey % 5 = 0) SELECT target, field, value, row_number() OVER (PARTITION BY target, field ORDER BY turn, source) AS offer_seq, CASE turn WHEN 1 THEN 'takeout:' ELSE 'file:' END || source AS source_desc, CASE turn WHEN 1 THEN 'utc_fallback' ELSE 'source_file' END AS tz_source, CASE turn WHEN 1 THEN '+00:00' ELSE '+02:00' END AS zone_offset FROM o")
 def dec_03_donations(spark, d):
     k = F.col("c_custkey")
-    c = V.table(spark, d, "customer").filter(k % 2 == 0).withColumn("source", F.concat(F.lit("/s/"), k.cast("string")))
+    c = V.table(spark, d, "customer").withColumn("source", F.concat(F.lit("/s/"), k.cast("string")))
     pairs = c.select("source", F.concat(F.lit("/t/"), (k % 30).cast("string")).alias("target"))
     value = lambda rows, plus: rows.select("source", F.lit("date").alias("field"), (k + plus).alias("value"))
-    return offers.donations(pairs, value(c.filter(k % 3 == 0), 5), value(c.filter(k % 5 == 0), 9))
+    made = offers.donations(pairs, value(c.filter(k % 3 == 0), 5), value(c.filter(k % 5 == 0), 9).withColumn("offset_seconds", F.lit(7200)))
+    return made.select("target", "field", "value", "offer_seq", "source_desc", "capture.tz_source", F.col("capture.offset").alias("zone_offset"))
 
 
 @query("SELECT 'a' || s_suppkey AS path, CASE s_suppkey % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 99 WHEN s_suppkey % 3 = 0 THEN 7 END AS completed_at FROM supplier")
@@ -75,10 +64,10 @@ def snk_03_archive_status(spark, d):
     return changes.archive_status(cur, new, F.lit(99))
 
 
-@query("SELECT p_partkey AS seq, CASE WHEN p_partkey % 100 IN (3, 7) THEN '/v/' || (p_partkey - p_partkey % 100) END AS rebound_path FROM part")
+@query("SELECT p_partkey AS seq, CASE WHEN p_partkey % 100 IN (3, 7) THEN '/v/' || (p_partkey - p_partkey % 100) END AS rebound_path, CASE WHEN p_partkey % 100 IN (3, 7) THEN '{}' END AS rebound_outcome, CASE WHEN p_partkey % 100 IN (3, 7) THEN 'now' END AS rebound_at FROM part")
 def snk_10_mark_rebound(spark, d):
     k = F.col("p_partkey")
     p = V.table(spark, d, "part")
     sidecars = p.select(k.alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("rebound_path", "rebound_outcome", "rebound_at")])
     binds = p.filter(k % 100 == 3).select(k.alias("seq"), F.array(k + 4).alias("duplicate_seqs"), F.concat(F.lit("/v/"), (k - 3).cast("string")).alias("target"), F.lit("{}").alias("outcome"), F.lit("now").alias("rebound_at"))
-    return changes.mark_rebound(sidecars, binds).select("seq", "rebound_path")
+    return changes.mark_rebound(sidecars, binds)

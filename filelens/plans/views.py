@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelens.functions.times import capture_time
+
 EXTENSIONS = (".jpg", ".JPG", ".png", ".heic", ".mp4", ".dng", ".txt", ".jpeg")
 ZONES = ((0, "UTC", -90.0, 90.0, -180.0, 180.0, 9), (1, "America/Chicago", 25.0, 49.0, -105.0, -85.0, 1), (2, "Asia/Kathmandu", 26.0, 31.0, 80.0, 89.0, 1), (3, "Australia/Sydney", -38.0, -28.0, 140.0, 154.0, 1))
 
@@ -88,13 +88,13 @@ LISTING = f"""listing AS (SELECT {DOC_PATH} AS path, CAST(strlen(text) + CASE WH
 
 
 def resolutions(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", F.sha2("text", 256).alias("digest_full"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 1000).alias("doc_id"))
+    texts = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest_full"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.expr("o_orderkey div 2").alias("doc_id"))
     return o.join(texts, "doc_id").select("seq", "digest_full", (F.col("seq") % 2 == 0).alias("auto_resolved"), F.when(F.col("seq") % 7 != 0, F.col("seq") % 5 < 4).alias("stale"))
 
 
 RESOLUTIONS = """resolutions AS (SELECT o_orderkey AS seq, digest_full, o_orderkey % 2 = 0 AS auto_resolved, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 < 4 END AS stale
-  FROM orders JOIN (SELECT doc_id, sha256(text) AS digest_full FROM documents WHERE doc_id % 4 = 0) t ON t.doc_id = o_orderkey % 1000)"""
+  FROM orders JOIN (SELECT doc_id, sha256(text) AS digest_full FROM documents) t ON t.doc_id = o_orderkey // 2)"""
 
 # Names of media files and of sidecars that point at them, in every shape that names take.
 _K = "lpad(CAST(p_partkey AS STRING), 6, '0')"
@@ -154,19 +154,26 @@ VAULT = """vault AS (SELECT '/vault/' || (conv_id % 40) || '_' || turn AS path,
 
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
+    """Dates with and without an offset of their own, and places; some offer nothing."""
     n = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    offers_any, value = F.col("event_id") % 11 != 0, (F.lit(1600000000) + n * 3600).cast("bigint")
+    own, nothing, zone = F.when(F.col("event_id") % 3 != 0, -18000), F.lit(None).cast("int"), F.lit(None).cast("string")
     field = F.when(F.col("event_type").isin("click", "view", "error"), "date").otherwise("gps")
     return table(spark, d, "events").select(
         F.concat(F.lit("/vault/"), F.col("user_id").cast("string")).alias("target"),
         field.alias("field"),
-        F.when(F.col("event_id") % 11 != 0, F.lit(1600000000) + n * 3600).cast("bigint").alias("value"),
+        F.when(offers_any, value).alias("value"),
+        F.when(offers_any, n % 90 + 0.5).alias("lat"),
+        F.when(offers_any, n % 180 + 0.25).alias("lon"),
+        capture_time(value, own, zone, nothing).alias("capture"),
         F.col("event_id").alias("offer_seq"),
-        (F.col("event_id") % 3 == 0).alias("assumed"),
+        F.concat(F.lit("takeout:"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("source_desc"),
     )
 
 
 OFFERS = """offers AS (SELECT '/vault/' || user_id AS target, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'date' ELSE 'gps' END AS field,
-  CASE WHEN event_id % 11 <> 0 THEN CAST(1600000000 + CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 3600 AS BIGINT) END AS value, event_id AS offer_seq, event_id % 3 = 0 AS assumed FROM events)"""
+  CASE WHEN event_id % 11 <> 0 THEN CAST(1600000000 + CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 3600 AS BIGINT) END AS value, event_id AS offer_seq, event_id % 3 = 0 AS assumed,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 90 + 0.5 AS lat, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 180 + 0.25 AS lon, 'takeout:' || event_type || '/' || event_id AS source_desc FROM events)"""
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
@@ -222,5 +229,3 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
 
 PENDING = """pending AS (SELECT o_orderkey AS seq, '/vault/' || o_custkey AS file_path, CASE WHEN o_orderstatus = 'F' THEN 'date' ELSE 'gps' END AS field, CAST(o_custkey % 7 AS VARCHAR) AS value,
   o_orderpriority AS reason, CASE WHEN o_orderpriority LIKE '1%' THEN 'failed' ELSE 'deferred' END AS state, o_orderkey % 3 = 0 AS applied FROM orders)"""
-
-View = Callable[[SparkSession, str], DataFrame]

@@ -1,19 +1,25 @@
 """Entries of zip archives as a Spark data source.
 
-``spark.read.format("archive_entries").option("path", glob)`` gives one row for each
+``read_entries(spark, glob)`` gives one row for each
 stored file: archive_path, ordinal, entry_path, size, content, error. A partition is
 a run of entries of one archive, so a large archive is read by many tasks; each task
 seeks to its own entries. An entry that can't be read is a row with an error.
 Without ``content`` in a given schema nothing is decompressed.
+
+Archives must be mounted at the same place on the driver and on every executor. Their
+directories are read in a Spark job, a task for some of them; an archive that can't be
+opened is a row with an error.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import zipfile
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,19 +34,11 @@ class EntryRange(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, pattern: str, step: int, schema: T.StructType):
-        self.pattern, self.step, self.names = pattern, step, schema.fieldNames()
+    def __init__(self, sizes: list[tuple[str, int]], step: int, schema: T.StructType):
+        self.sizes, self.step, self.names = sizes, step, schema.fieldNames()
 
     def partitions(self) -> list[EntryRange]:
-        parts = []
-        for path in sorted(glob.glob(self.pattern)):
-            try:
-                with zipfile.ZipFile(path) as z:
-                    n = len(z.infolist())
-            except (OSError, zipfile.BadZipFile):
-                n = 1  # one row tells that the archive can't be opened
-            parts += [EntryRange(path, at, min(n, at + self.step)) for at in range(0, n, self.step)]
-        return parts
+        return [EntryRange(path, at, min(n, at + self.step)) for path, n in self.sizes for at in range(0, n, self.step)]
 
     def read(self, partition: EntryRange) -> Iterator[tuple]:
         def row(**values):
@@ -73,7 +71,31 @@ class ArchiveEntries(DataSource):
         return ENTRIES
 
     def reader(self, schema: T.StructType) -> ArchiveReader:
-        return ArchiveReader(self.options["path"], int(self.options.get("entriesPerPartition", "256")), schema)
+        sizes = [(path, n) for path, n in json.loads(self.options["sizes"])]
+        return ArchiveReader(sizes, int(self.options.get("entriesPerPartition", "256")), schema)
+
+
+def entries_in(path: str) -> int:
+    try:
+        with zipfile.ZipFile(path) as z:
+            return len(z.infolist())
+    except (OSError, zipfile.BadZipFile):
+        return 1  # one row tells that the archive can't be opened
+
+
+def archive_sizes(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """Each archive that matches and its number of entries, counted in tasks: one row an archive comes back."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([entries_in(p) for p in paths], pa.int64())], names=["path", "n"])
+
+    paths = sorted(glob.glob(pattern))
+    if not paths:
+        return []
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 16))
+    return [(r["path"], r["n"]) for r in listed.mapInArrow(count, "path string, n bigint").orderBy("path").collect()]
 
 
 def read_entries(spark: SparkSession, pattern: str, content: bool = True, step: int = 256) -> DataFrame:
@@ -82,7 +104,7 @@ def read_entries(spark: SparkSession, pattern: str, content: bool = True, step:
     schema = T._parse_datatype_string(ENTRIES)
     if not content:
         schema = T.StructType([f for f in schema.fields if f.name != "content"])
-    return spark.read.format("archive_entries").schema(schema).option("path", pattern).option("entriesPerPartition", step).load()
+    return spark.read.format("archive_entries").schema(schema).option("sizes", json.dumps(archive_sizes(spark, pattern))).option("entriesPerPartition", step).load()
 
 
 def skip_known(entries: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """EXIF tags of JPEG and WebP files, read inside tasks from the first bytes of each.
 
-Only raw tags are read in Python, by a short walk of the TIFF directories; dates,
-places and offsets come from Column functions. Bytes that can't be walked give a row
-with ``readable`` false.
+Only raw tags and pixel dimensions are read in Python, by short walks of the headers;
+dates, places and offsets come from Column functions (``exif_values``). Bytes that can't
+be walked give a row with ``readable`` false, or with dims_error.
 """
 
 from __future__ import annotations
@@ -12,13 +12,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from filelens.functions.media import container_of, decimal_degrees, real_place
+from filelens.functions.paths import basename
+from filelens.functions.times import camera_clock, first_clock, offset_seconds
 
 # The tags that are read, and the bytes of a value of each type.
-TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "date_time", 0x9003: "date_original", 0x9004: "date_digitized", 0x9011: "offset_original", 1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
+TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "date_time", 0x9003: "date_original", 0x9004: "date_digitized", 0x9011: "offset_original", 0x829A: "exposure", 1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 BELOW = (0x8769, 0x8825)
 TEXTS = ("make", "model", "software", "date_time", "date_original", "date_digitized", "offset_original", "lat_ref", "lon_ref")
-SCHEMA = "path string, readable boolean, " + ", ".join(f"{t} string" for t in TEXTS) + ", lat array<double>, lon array<double>"
+SCHEMA = "path string, readable boolean, " + ", ".join(f"{t} string" for t in TEXTS) + ", lat array<double>, lon array<double>, exposure double"
 
 
 def exif_block(data: bytes) -> bytes | None:
@@ -59,6 +64,8 @@ def tags_of(data: bytes) -> dict | None:
                     todo.append(value)
                 elif (name := TAGS.get(tag)) and kind in SIZES:
                     place = at + 2 + 12 * i + 8 if SIZES[kind] * n <= 4 else value
+                    if place + SIZES[kind] * n > len(block):
+                        continue  # a damaged count or place
                     if kind == 2:
                         out.setdefault(name, block[place : place + n].decode("ascii", "replace").strip("\0 "))
                     elif kind == 5:
@@ -78,6 +85,87 @@ def exif_tags(files: DataFrame) -> DataFrame:
             columns = [batch.column("path"), pa.array([t is not None for t in found])]
             columns += [pa.array([(t or {}).get(n) if isinstance((t or {}).get(n), str) else None for t in found], pa.string()) for n in TEXTS]
             columns += [pa.array([(t or {}).get(n) if isinstance((t or {}).get(n), list) else None for t in found], pa.list_(pa.float64())) for n in ("lat", "lon")]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "readable", *TEXTS, "lat", "lon"])
+            columns.append(pa.array([((t or {}).get("exposure") or [None])[0] for t in found], pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "readable", *TEXTS, "lat", "lon", "exposure"])
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def exif_values(tags: DataFrame) -> DataFrame:
+    """What raw tags say: taken (the first of three dates that parses), clock (the original date alone), offset_seconds, place, and has_date, has_gps."""
+
+    def degrees(name: str):
+        parts = F.col(name)
+        return F.when(F.size(parts) >= 3, decimal_degrees(parts[0], parts[1], parts[2], F.coalesce(f"{name}_ref", F.lit(""))))
+
+    rows = tags.withColumns({"latitude": degrees("lat"), "longitude": degrees("lon")})
+    place = F.coalesce(real_place(F.col("latitude"), F.col("longitude")), F.lit(False))
+    taken = first_clock(F.col("date_original"), F.col("date_digitized"), F.col("date_time"))
+    return rows.select(
+        "path",
+        "readable",
+        "make",
+        "model",
+        "software",
+        "exposure",
+        taken.alias("taken"),
+        camera_clock(F.col("date_original")).alias("clock"),
+        offset_seconds(F.col("offset_original"), strict=False).alias("offset_seconds"),
+        F.when(place, F.col("latitude")).alias("latitude"),
+        F.when(place, F.col("longitude")).alias("longitude"),
+        taken.isNotNull().alias("has_date"),
+        place.alias("has_gps"),
+    )
+
+
+#: Containers without a still frame: their dimensions are not asked for.
+NO_PIXELS = ("mov", "mp4", "unknown", "unreadable")
+#: JPEG markers of frames, which hold height and width.
+FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+
+
+def pixel_size(data: bytes) -> tuple[int, int]:
+    """Width and height from the header of a PNG, GIF, JPEG or WebP; ValueError where it doesn't say."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack_from(">II", data, 16)
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return struct.unpack_from("<HH", data, 6)
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            if data[at + 1] in FRAMES:
+                height, width = struct.unpack_from(">HH", data, at + 5)
+                return width, height
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        kind = data[12:16]
+        if kind == b"VP8X":
+            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if kind == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 ":
+            width, height = struct.unpack_from("<HH", data, 26)
+            return width & 0x3FFF, height & 0x3FFF
+    raise ValueError("no dimensions in the header")
+
+
+def media_signals(files: DataFrame) -> DataFrame:
+    """files (path, content) with what classification reads: name, container, width, height, make, model, software, exposure, gps, dims_error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data, container in zip(batch.column("content").to_pylist(), batch.column("container").to_pylist(), strict=True):
+                try:
+                    rows.append((None, None, None) if container in NO_PIXELS else (*pixel_size(data or b""), None))
+                except ValueError as e:
+                    rows.append((None, None, f"{type(e).__name__}: {e}"[:120]))
+            types = (pa.int32(), pa.int32(), pa.string())
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("container"), *made], names=["path", "container", "width", "height", "dims_error"])
+
+    kinds = files.select("path", "content", F.when(F.col("content").isNull(), "unreadable").otherwise(container_of(F.col("content"))).alias("container"))
+    sized = kinds.mapInArrow(run, "path string, container string, width int, height int, dims_error string")
+    values = exif_values(exif_tags(files)).select("path", "make", "model", "software", (F.coalesce("exposure", F.lit(0.0)) != 0).alias("exposure"), F.col("has_gps").alias("gps"))
+    return sized.join(values, "path").select("path", basename(F.col("path")).alias("name"), "container", "width", "height", "make", "model", "software", "exposure", "gps", "dims_error")

@@ -1,13 +1,18 @@
 """File listings as a Spark data source.
 
 ``spark.read.format("file_listing").option("path", root)`` gives path, size and
-mtime of every regular file, hidden and empty ones included. One partition for
-each directory right below the root, and one for the root's own files.
+mtime of every regular file, hidden and empty ones included. What can't be read is a
+row with an error. A partition is a directory ``depth`` levels below the root with all
+below it, or the own files of one above that.
+
+The tree must be mounted at the same place on the driver and on every executor; a
+task that doesn't find its directory fails.
 """
 
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from filelens.functions.paths import basename, dirname
 
-LISTING = "path string, size bigint, mtime double"
+LISTING = "path string, size bigint, mtime double, error string"
 
 
 class FolderPart(InputPartition):
@@ -25,26 +30,41 @@ class FolderPart(InputPartition):
 
 
 class ListingReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root.rstrip("/") or "/"
+    def __init__(self, root: str, depth: int):
+        self.root, self.depth = root.rstrip("/") or "/", depth
 
     def partitions(self) -> list[FolderPart]:
-        with os.scandir(self.root) as found:
-            below = sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
-        return [FolderPart(self.root, False), *[FolderPart(p, True) for p in below]]
+        parts, level = [], [self.root]
+        for _ in range(self.depth):
+            below = []
+            for folder in level:
+                parts.append(FolderPart(folder, False))
+                try:
+                    with os.scandir(folder) as found:
+                        below += sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+                except PermissionError:
+                    pass  # its own part tells
+            level = below
+        return parts + [FolderPart(p, True) for p in level]
 
     def read(self, partition: FolderPart) -> Iterator[tuple]:
-        for folder, below, names in os.walk(partition.folder):
+        if not os.path.isdir(partition.folder):
+            raise FileNotFoundError(f"{partition.folder} is not there on this machine")
+        errors: list[OSError] = []
+        for folder, below, names in os.walk(partition.folder, onerror=errors.append):
             if not partition.deep:
                 below.clear()
             for name in names:
                 path = os.path.join(folder, name)
                 try:
-                    stat = os.lstat(path)
-                except OSError:
-                    continue  # gone or unreadable since it was listed
-                if os.path.isfile(path):
-                    yield path, stat.st_size, stat.st_mtime
+                    info = os.lstat(path)
+                except OSError as e:
+                    yield path, None, None, f"{type(e).__name__}: {e}"[:200]
+                    continue
+                if stat.S_ISREG(info.st_mode):
+                    yield path, info.st_size, info.st_mtime, None
+        for e in errors:
+            yield e.filename, None, None, f"{type(e).__name__}: {e}"[:200]
 
 
 class FileListing(DataSource):
@@ -56,12 +76,12 @@ class FileListing(DataSource):
         return LISTING
 
     def reader(self, schema) -> ListingReader:
-        return ListingReader(self.options["path"])
+        return ListingReader(self.options["path"], int(self.options.get("depth", "1")))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     spark.dataSource.register(FileListing)
-    return spark.read.format("file_listing").option("path", root).load()
+    return spark.read.format("file_listing").option("path", root).option("depth", depth).load()
 
 
 def outside(path: Column, excluded: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from filelens.functions.names import parse_sidecar
 from filelens.functions.paths import basename, dirname, join_path
 from filelens.operators import offers
-from filelens.operators.changes import current, publish
+from filelens.operators.changes import current, publish, publish_all
+from filelens.storage import stored
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -23,12 +25,35 @@ def match_streams(sidecars: DataFrame, media: DataFrame, late: str = "10 minutes
 
     media (archive_id, entry_path, at). Candidate names become rows, so the join is on
     (archive, directory, name) with a bound on the times apart; state goes with the watermarks.
+    A sidecar with two candidate names gives a row for each: ``settled_matches`` says which
+    sidecars are without a media file.
     """
-    s = sidecars.withWatermark("at", late).withColumn("name", F.explode(parse_sidecar(basename(F.col("entry_path")))["candidates"]))
-    s = s.select(F.col("archive_id").alias("s_archive"), F.col("entry_path").alias("sidecar_path"), join_path(dirname(F.col("entry_path")), F.col("name")).alias("wanted"), F.col("at").alias("s_at"))
+    parsed = parse_sidecar(basename(F.col("entry_path")))["candidates"]
+    s = sidecars.withWatermark("at", late).select("archive_id", "entry_path", "at", F.posexplode_outer(parsed).alias("prio", "name"))
+    s = s.select(F.col("archive_id").alias("s_archive"), F.col("entry_path").alias("sidecar_path"), "prio", F.size(parse_sidecar(basename(F.col("entry_path")))["candidates"]).alias("names"), join_path(dirname(F.col("entry_path")), F.col("name")).alias("wanted"), F.col("at").alias("s_at"))
     m = media.withWatermark("at", late).select(F.col("archive_id").alias("m_archive"), F.col("entry_path").alias("media_path"), F.col("at").alias("m_at"))
     near_by = F.expr(f"m_at BETWEEN s_at - INTERVAL {near} AND s_at + INTERVAL {near}")
-    return s.join(m, (F.col("s_archive") == F.col("m_archive")) & (F.col("wanted") == F.col("media_path")) & near_by, "left_outer").select("s_archive", "sidecar_path", "wanted", "media_path", "s_at")
+    return s.join(m, (F.col("s_archive") == F.col("m_archive")) & (F.col("wanted") == F.col("media_path")) & near_by, "left_outer").select("s_archive", "sidecar_path", "prio", "names", "wanted", "media_path", "s_at")
+
+
+def settled_matches(rows: DataFrame) -> DataFrame:
+    """One row a sidecar, from the table that match_streams was written to: its media file of the best candidate.
+
+    Sidecars none of whose candidates can come any more have none and are ``unmatched``;
+    those that still wait for a candidate aren't there.
+    """
+    by = rows.groupBy("s_archive", "sidecar_path").agg(F.min_by("media_path", F.when(F.col("media_path").isNotNull(), F.col("prio"))).alias("media_path"), F.count_distinct("prio").alias("seen"), F.max(F.greatest("names", F.lit(1))).alias("names"))
+    return by.filter("media_path IS NOT NULL OR seen >= names OR names <= 1").select("s_archive", "sidecar_path", "media_path", F.col("media_path").isNull().alias("unmatched"))
+
+
+def counted(stream: DataFrame, name: str, **counters) -> DataFrame:
+    """A stream with counters that every batch reports, see ``progress``."""
+    return stream.observe(name, *[c.alias(k) for k, c in counters.items()])
+
+
+def progress(query, name: str) -> list[dict]:
+    """The counters of each finished batch of a running or ended query."""
+    return [{**p["observedMetrics"][name], "batch": p["batchId"]} for p in (json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress) if name in p.get("observedMetrics", {})]
 
 
 def fresh_entries(entries: DataFrame, history: DataFrame, root: str, checkpoint: str):
@@ -53,17 +78,26 @@ def fresh_entries(entries: DataFrame, history: DataFrame, root: str, checkpoint:
 def apply_offers(stream: DataFrame, targets: DataFrame, root: str, checkpoint: str, on_batch: Callable[[int], None] | None = None):
     """Apply a stream of offers exactly once: a batch that is run again changes nothing.
 
-    Each batch is decided against the current log and pending snapshots and publishes
-    the next ones; repeated refusals and outstanding rows are found by value.
+    Each batch is decided against the targets as the current log left them, and publishes
+    the next log and pending snapshots together. offer_seq grows from batch to batch, and
+    names an offer: what the log has dealt with already isn't offered again.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         log, waits = current(spark, root, "log"), current(spark, root, "pending")
-        decided = offers.evaluate_offers(rows, targets)
+        last = current(spark, root, "applied")
+        fresh = rows.join(last.groupBy().agg(F.coalesce(F.max("offer_seq"), F.lit(-1)).alias("last")), F.col("offer_seq") > F.col("last")).drop("last")  # one row
+        fresh = stored(fresh, "offers")
+        decided = stored(offers.evaluate_offers(fresh, offers.targets_now(targets, log)), "decisions")
         new_log, new_waits = offers.change_sets(decided, log, waits)
-        publish(log.unionByName(new_log.select(*log.columns)), root, "log")
-        publish(waits.unionByName(new_waits.withColumn("applied_at", F.lit(None).cast("timestamp")).select(*waits.columns)), root, "pending")
+        seen = fresh.agg(F.max("offer_seq").alias("offer_seq")).filter("offer_seq IS NOT NULL")
+        tables = {
+            "log": log.unionByName(new_log.withColumn("merge_time", F.lit(None).cast("timestamp")).select(*log.columns)),
+            "pending": waits.unionByName(new_waits.withColumn("applied_at", F.lit(None).cast("timestamp")).select(*waits.columns)),
+            "applied": last.unionByName(seen),
+        }
+        publish_all(tables, root)
         if on_batch:
             on_batch(number)
 

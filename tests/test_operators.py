@@ -3,11 +3,12 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from filelens import schema
-from filelens.operators import capture, changes, dedup, ingest, match, offers, reports
-from filelens.sources import archive, exif, listing, records
+from filelens.operators import capture, changes, dedup, folder, ingest, match, offers, reports
+from filelens.sources import archive, exif, listing, lookups, records
 from filelens.storage import stored
 from filelens.streaming import ingest as streams
 
@@ -56,6 +57,10 @@ def test_upsert_publish_and_conform(spark, tmp_path):
     assert changes.current(spark, root, "files").count() == 3
     old = spark.createDataFrame([(1, "a")], "seq long, path string")
     assert set(changes.conform(old, schema.FILES).columns) == set(schema.FILES.fieldNames())
+    # A unit of work whose second table fails leaves both as they were.
+    with pytest.raises(Exception, match="no good"):
+        changes.publish_all({"files": cur, "other": cur.withColumn("x", F.raise_error(F.lit("no good")))}, root)
+    assert changes.current(spark, root, "files").count() == 3
     with pytest.raises(Exception, match="out of domain"):
         changes.pending_once(
             spark.createDataFrame([], "file_path string, field string, value string, applied_at timestamp"),
@@ -75,9 +80,11 @@ def test_name_allocation(spark):
     w = spark.createDataFrame([(1, "a.jpg"), (2, "a.jpg"), (3, "a(1).jpg"), (4, "b")], "ordinal long, name string")
     taken = spark.createDataFrame([("a.jpg",), ("b",), ("b(2)",)], "name string")
     got = {r.ordinal: r.given for r in ingest.settle(w, taken, lambda df: stored(df, "names")).collect()}
-    assert len(set(got.values())) == 4
-    assert not set(got.values()) & {"a.jpg", "b", "b(2)"}
-    assert got[4] == "b(1)"
+    assert got == {1: "a(1).jpg", 2: "a(2).jpg", 3: "a(1)(1).jpg", 4: "b(1)"}
+    asked = [(1, "a(1).jpg"), (2, "a.jpg"), (3, "a.jpg"), (4, "a.jpg"), (5, "c.jpg"), (6, "d.jpg")]
+    taken = spark.createDataFrame([("c(0).jpg",), ("d(01).jpg",), ("d.jpg",)], "name string")
+    got = {r.ordinal: r.given for r in ingest.settle(spark.createDataFrame(asked, "ordinal long, name string"), taken, lambda df: stored(df, "names")).collect()}
+    assert got == {1: "a(1).jpg", 2: "a.jpg", 3: "a(2).jpg", 4: "a(3).jpg", 5: "c.jpg", 6: "d(1).jpg"}
 
 
 def test_volume_guard(spark):
@@ -98,8 +105,20 @@ def test_listing_and_archives(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / ".hidden").write_bytes(b"")
     (tmp_path / "a.jpg").write_bytes(b"xy")
-    found = {r.path: r.size for r in listing.list_files(spark, str(tmp_path)).collect()}
-    assert found == {str(tmp_path / "a.jpg"): 2, str(tmp_path / "sub" / ".hidden"): 0}
+    for depth in (1, 2, 3):
+        found = {r.path: (r.size, r.error) for r in listing.list_files(spark, str(tmp_path), depth).collect()}
+        assert found == {str(tmp_path / "a.jpg"): (2, None), str(tmp_path / "sub" / ".hidden"): (0, None)}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.jpg.json").write_bytes(b"{}")
+    (tmp_path / "b" / "c.jpg").write_bytes(b"1")
+    everything = listing.list_files(spark, str(tmp_path))
+    assert [r.path[len(str(tmp_path)) :] for r in listing.in_walk_order(everything).collect()] == ["/a.jpg", "/b/c.jpg", "/b/c.jpg.json", "/sub/.hidden"]
+    media = everything.filter("NOT path LIKE '%.json'")
+    assert [tuple(r) for r in listing.beside(media, everything).collect()] == [(str(tmp_path / "b" / "c.jpg"), str(tmp_path / "b" / "c.jpg.json"))]
+    (tmp_path / "b" / "c.jpg.json").unlink()
+    (tmp_path / "b" / "c.jpg").unlink()
+    with pytest.raises(Exception, match="is not there|No such file"):
+        listing.list_files(spark, str(tmp_path / "nowhere")).collect()
     kept = listing.list_files(spark, str(tmp_path)).filter(listing.outside(F.col("path"), [str(tmp_path / "sub")]))
     assert kept.count() == 1
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
@@ -114,6 +133,14 @@ def test_listing_and_archives(spark, tmp_path):
     assert archive.read_entries(spark, str(tmp_path / "t.zip"), content=False).columns == ["archive_path", "ordinal", "entry_path", "size", "error"]
     docs = {r.entry_path: (r.reason, r.payload and r.payload.utc_epoch) for r in records.sidecar_records(e.filter("entry_path LIKE '%.json'")).collect()}
     assert docs == {"Takeout/x.jpg.json": (None, 9), "Takeout/bad.json": ("unparseable", None)}
+    assert {r.archive_path[-10:]: r.entries for r in archive.entry_counts(e).collect()} == {"broken.zip": 0, str(tmp_path / "t.zip")[-10:]: 3}
+    known = e.filter("entry_path = 'Takeout/x.jpg'").select("archive_path", "entry_path")
+    assert sorted(r.entry_path for r in archive.skip_known(e.filter("entry_path IS NOT NULL"), known).collect()) == ["Takeout/bad.json", "Takeout/x.jpg.json"]
+    data = bytearray((tmp_path / "t.zip").read_bytes())
+    data[data.index(b"\xff\xd8\xff")] ^= 1  # the stored bytes of one entry no longer fit its checksum
+    (tmp_path / "t.zip").write_bytes(bytes(data))
+    hurt = {r.entry_path: (r.error, r.content) for r in archive.read_entries(spark, str(tmp_path / "t.zip")).collect()}
+    assert hurt["Takeout/x.jpg"] == ("corrupt", None) and hurt["Takeout/x.jpg.json"][0] is None
 
 
 def test_exif_tags(spark):
@@ -126,12 +153,71 @@ def test_exif_tags(spark):
     assert got == {"a": (True, "2021:07:04 13:00:00"), "b": (False, None), "c": (False, None)}
 
 
+OFFER = "target string, field string, value long, offer_seq long, lat double, lon double"
+TARGET = "target string, container string, exif_ok boolean, has_date boolean, has_gps boolean, mtime double"
+
+
+def start_offers(spark, root):
+    empty = {
+        "log": "seq long, target_path string, source_desc string, field string, value string, merge_time timestamp",
+        "pending": "seq long, file_path string, field string, value string, reason string, state string, source_desc string, applied_at timestamp",
+        "applied": "offer_seq long",
+    }
+    changes.publish_all({name: spark.createDataFrame([], s) for name, s in empty.items()}, root)
+
+
+def test_offers_across_batches(spark, tmp_path):
+    """Two files, one checkpoint: the second batch sees what the first merged; another checkpoint offers all again."""
+    root, src = f"file://{tmp_path}/cat", str(tmp_path / "offers")
+    start_offers(spark, root)
+    t = spark.createDataFrame([("j", "jpeg", True, False, None, 0.0), ("m", "mp4", True, None, None, 5.0)], TARGET)
+    batches = [[("j", "date", 100, 1, None, None), ("m", "date", 7, 2, None, None)], [("j", "date", 200, 3, None, None), ("m", "date", 7, 4, None, None), ("m", "date", 8, 5, None, None), ("j", "gps", None, 6, 1.5, 2.5), ("j", "gps", None, 7, 3.0, 4.0)]]
+    for checkpoint in ("a", "a", "b"):
+        if batches:
+            spark.createDataFrame(batches.pop(0), OFFER).coalesce(1).write.mode("append").parquet(src)
+        stream = streams.file_stream(spark, src, spark.createDataFrame([], OFFER).schema)
+        query = streams.apply_offers(streams.counted(stream, "offers", n=F.count("*")), t, root, str(tmp_path / checkpoint))
+        query.awaitTermination(120)
+        assert [p["n"] for p in streams.progress(query, "offers")] in ([2], [5], [7])
+        log = {(r.seq, r.field) for r in changes.current(spark, root, "log").collect()}
+    assert log == {(1, "date"), (2, "merged_mtime_only"), (3, "already_present"), (4, "already_present"), (5, "merged_mtime_only"), (6, "gps"), (7, "already_present")}
+    assert changes.current(spark, root, "pending").count() == 3  # one assumed offset, two mtimes
+    now = {r.target: (r.has_date, r.has_gps, r.mtime) for r in offers.targets_now(t, changes.current(spark, root, "log")).collect()}
+    assert now == {"j": (True, True, 100.0), "m": (None, None, 8.0)}
+
+
+def test_failed_writes(spark):
+    t = spark.createDataFrame([("a", "jpeg", False, None, None, 0.0, None), ("b", "jpeg", True, True, False, 0.0, "OSError"), ("c", "png", True, None, None, 3.0, None)], TARGET + ", write_error string")
+    o = spark.createDataFrame([("a", "date", 1, 1, None, None), ("b", "date", 1, 2, None, None), ("b", "gps", None, 3, 1.0, 2.0), ("c", "date", None, 4, None, None)], OFFER)
+    got = {r.offer_seq: (r.state, r.reason, r.satisfied_by) for r in offers.evaluate_offers(o, t).collect()}
+    assert got == {1: ("failed", "failed_unparseable", None), 2: ("already_present", None, "exif_date"), 3: ("failed", "failed_write_error:OSError", None)}
+
+
+def test_matching_streams(spark, tmp_path):
+    """Whichever comes first; a sidecar with two candidate names, one of them there, isn't left over."""
+    rows = "archive_id long, entry_path string, at timestamp"
+    at = lambda h, m=0: datetime(2026, 8, 4, h, m)
+    sides = [[(1, "d/IMG_1.jpg.json", at(1)), (1, "d/DSC_1.JPG(1).json", at(1)), (1, "d/lost.jpg.json", at(1))], [(1, "d/late.jpg.json", at(9))]]
+    media = [[(1, "d/DSC_1(1).JPG", at(1, 5))], [(1, "d/IMG_1.jpg", at(1, 9)), (1, "d/far.jpg", at(9))]]
+    empty, out = spark.createDataFrame([], rows), str(tmp_path / "out")
+    for i in range(3):  # the third run carries the watermark on
+        for name, parts in (("s", sides), ("m", media)):
+            part = parts[i] if i < 2 else [(1, f"d/z{name}.json", at(20))]
+            spark.createDataFrame(part, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        s, m = (streams.file_stream(spark, str(tmp_path / name), empty.schema) for name in ("s", "m"))
+        q = streams.match_streams(s, m).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+    got = {r.sidecar_path: (r.media_path, r.unmatched) for r in streams.settled_matches(spark.read.parquet(out)).collect()}
+    assert got["d/IMG_1.jpg.json"] == ("d/IMG_1.jpg", False)
+    assert got["d/DSC_1.JPG(1).json"] == ("d/DSC_1(1).JPG", False)
+    assert got["d/lost.jpg.json"] == (None, True)
+
+
 def test_streams(spark, tmp_path):
     root, src = f"file://{tmp_path}/cat", tmp_path / "offers"
-    changes.publish(spark.createDataFrame([], "target_path string, field string, value string, offer_seq long"), root, "log")
-    changes.publish(spark.createDataFrame([], "file_path string, field string, value string, reason string, state string, offer_seq long, applied_at timestamp"), root, "pending")
+    start_offers(spark, root)
     t = spark.createDataFrame([("m", "mp4", True, None, None, 5.0)], "target string, container string, exif_ok boolean, has_date boolean, has_gps boolean, mtime double")
-    o = spark.createDataFrame([("m", "date", 6, 1, False), ("m", "gps", 1, 2, False)], "target string, field string, value long, offer_seq long, assumed boolean")
+    o = spark.createDataFrame([("m", "date", 6, 1, None, None), ("m", "gps", None, 2, 1.5, 2.5)], OFFER)
     o.coalesce(1).write.parquet(str(src))
     for run in range(2):
         stream = streams.file_stream(spark, str(src), o.schema)
@@ -157,3 +243,109 @@ def test_fresh_entries_remember_all(spark, tmp_path):
     got = changes.current(spark, root, "entries").collect()
     assert sorted(str(r.digest) for r in got) == ["None", "x", "y", "z"]
     assert {r.archive for r in got} - {7, 8} == {1, 3, 4}
+
+
+def jpeg(*fields, size=None):
+    """A JPEG head with EXIF fields (tag, type, count, value bytes) in one directory, and a frame of a size."""
+    at, extra, entries = 8 + 2 + 12 * len(fields) + 4, b"", b""
+    for tag, kind, n, value in fields:
+        place = value.ljust(4, b"\0") if len(value) <= 4 else (at + len(extra)).to_bytes(4, "little")
+        entries += tag.to_bytes(2, "little") + kind.to_bytes(2, "little") + n.to_bytes(4, "little") + place
+        extra += value if len(value) > 4 else b""
+    body = b"Exif\0\0II*\0" + (8).to_bytes(4, "little") + len(fields).to_bytes(2, "little") + entries + b"\0\0\0\0" + extra
+    frame = b"\xff\xc0\0\x11\x08" + size[1].to_bytes(2, "big") + size[0].to_bytes(2, "big") + b"\0" * 10 if size else b""
+    return b"\xff\xd8\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + frame + b"\xff\xda"
+
+
+def rationals(*pairs):
+    return b"".join(a.to_bytes(4, "little") + b.to_bytes(4, "little") for a, b in pairs)
+
+
+def test_exif_values_and_signals(spark):
+    shot = jpeg((0x010F, 2, 6, b"Canon\0"), (0x9003, 2, 20, b"2021:07:04 13:00:00\0"), (0x9011, 2, 7, b"-06:00\0"), (0x829A, 5, 1, rationals((1, 60))), (1, 2, 2, b"S\0"), (2, 5, 3, rationals((33, 1), (30, 1), (0, 1))), (3, 2, 2, b"E\0"), (4, 5, 3, rationals((151, 1), (0, 1), (36, 1))), size=(4000, 3000))
+    digitized = jpeg((0x9003, 2, 20, b"0000:00:00 00:00:00\0"), (0x9004, 2, 20, b"2020:01:02 03:04:05\0"))
+    damaged = jpeg((2, 5, 2**32 - 1, rationals((1, 1))), (0x010F, 2, 2**31, b"x" * 8))
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    files = spark.createDataFrame([("/v/a.jpg", bytearray(shot)), ("/v/b.jpg", bytearray(digitized)), ("/v/c.jpg", bytearray(damaged)), ("/v/d.png", bytearray(png)), ("/v/e.mp4", bytearray(b"\0\0\0\x14ftypmp42")), ("/v/f.gif", None)], "path string, content binary")
+    values = {r.path: r for r in exif.exif_values(exif.exif_tags(files)).collect()}
+    a = values["/v/a.jpg"]
+    assert (a.taken, a.offset_seconds, a.latitude, round(a.longitude, 6), a.has_date, a.has_gps) == (datetime(2021, 7, 4, 13), -21600, -33.5, 151.01, True, True)
+    b = values["/v/b.jpg"]
+    assert (b.taken, b.clock, b.has_gps) == (datetime(2020, 1, 2, 3, 4, 5), None, False)
+    assert values["/v/c.jpg"].readable and not values["/v/c.jpg"].has_gps and values["/v/c.jpg"].make is None
+    got = {r.path: (r.name, r.container, r.width, r.height, r.make, r.exposure, r.gps, r.dims_error) for r in exif.media_signals(files).collect()}
+    assert got["/v/a.jpg"] == ("a.jpg", "jpeg", 4000, 3000, "Canon", True, True, None)
+    assert got["/v/b.jpg"][7] == "ValueError: no dimensions in the header"
+    assert got["/v/d.png"][:4] == ("d.png", "png", 640, 480)
+    assert got["/v/e.mp4"][1:4] == ("mp4", None, None) and got["/v/e.mp4"][7] is None
+    assert got["/v/f.gif"][1] == "unreadable"
+
+
+def test_provenance_and_lookups(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("path,name,container,width,height,make,model,software,exposure,gps\n/a.jpg,a.jpg,jpeg,10,x,,,,0.5,True\n/b.jpg,b.jpg,,,,M,,,,true\n")
+    got = [tuple(r) for r in records.provenance_csv(spark, str(tmp_path / "p.csv")).orderBy("path").collect()]
+    assert got == [("/a.jpg", "a.jpg", "jpeg", 10, None, None, None, None, 0.5, True), ("/b.jpg", "b.jpg", None, None, None, "M", None, None, None, False)]
+    files = spark.createDataFrame([(1, "/a", 5, "x", "h"), (2, "/b", 5, "y", "h")], "seq long, path string, size long, digest_full string, digest_head string")
+    seqs = lambda df: sorted(r.seq for r in df.collect())
+    assert seqs(lookups.file_by_path(files, "/a")) == [1] and seqs(lookups.files_by_size(files, 5)) == [1, 2]
+    assert seqs(lookups.files_by_digest(files, "y")) == [2] and seqs(lookups.files_by_head(files, "h")) == [1, 2]
+    assert seqs(lookups.archive_by_path(files, "/none")) == [] and seqs(lookups.all_by(files, files.filter("seq = 2"), "path")) == [2]
+
+
+def test_cascade_digests_survivors_only(spark):
+    rows = [(f"/{i}", size, bytearray(data)) for i, (size, data) in enumerate([(0, b""), (3, b"abc"), (3, b"abc"), (3, b"abd"), (4, b"abcd"), (2, b"xy"), (2, b"xz")])]
+    watch = {s: Observation(f"cascade-{s}") for s in ("size", "head", "tail", "full")}
+    found = dedup.cascade(spark.createDataFrame(rows, "path string, size long, content binary"), watch)
+    assert sorted(r.path for r in found.collect()) == ["/1", "/2"]
+    assert {s: w.get["files"] for s, w in watch.items()} == {"size": 6, "head": 5, "tail": 2, "full": 2}
+
+
+def test_cascade_plan(spark, tmp_path, monkeypatch):
+    """The digest is worked out above the join with the survivors, not in the scan."""
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(dedup, "stored", recorded)
+    rows = [("/1", 1, bytearray(b"a")), ("/2", 1, bytearray(b"a"))]
+    spark.createDataFrame(rows, "path string, size long, content binary").write.parquet(str(tmp_path / "f"))
+    assert dedup.cascade(spark.read.parquet(str(tmp_path / "f"))).count() == 2
+    for plan in plans[1:]:
+        lines = plan.splitlines()
+        join = next(i for i, line in enumerate(lines) if "Join" in line)
+        assert all(i < join for i, line in enumerate(lines) if "sha2" in line) and "sha2" in plan
+
+
+def test_observed_counters(spark):
+    df, watch = folder.observed(spark.range(10), "seen", even=F.count_if(F.col("id") % 2 == 0))
+    df.write.format("noop").mode("overwrite").save()
+    assert watch.get == {"even": 5}
+
+
+def test_differences(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (3,)], "x int")
+    assert sorted(tuple(r) for r in reports.differences(a, b).collect()) == [(1, "first"), (3, "second")]
+    assert reports.differences(a, a).count() == 0
+
+
+def test_rebind_later(spark):
+    """A sidecar that nothing matched is kept with its payload, and bound once its media file is there; then it isn't offered again."""
+    side = spark.createDataFrame([(7, 1, "d/x.jpg.json")], "seq long, archive_id long, entry_path string")
+    payload = '{"photoTakenTime": {"timestamp": "1000"}, "geoData": {"latitude": 1.5, "longitude": 2.5}}'
+    none = spark.createDataFrame([], "archive_id long, entry_path string, pos long")
+    kept = match.unmatched_rows(match.match_in_archives(side, none), side.withColumn("payload", F.lit(payload)))
+    kept = kept.withColumns({"rebound_at": F.lit(None).cast("timestamp"), "rebound_path": F.lit(None).cast("string"), "rebound_outcome": F.lit(None).cast("string")})
+    assert [(r.archive_dir, r.entry_name, r.media_stem, r.reason) for r in kept.collect()] == [("d", "x.jpg.json", "x.jpg", "no_media_in_dir")]
+    entries = spark.createDataFrame([(1, "d", "x.jpg", "/v/x.jpg")], "seq long, dir string, name string, kept_path string")
+    files = spark.createDataFrame([("/v/x.jpg", "f", None)], "path string, digest_full string, digest_source string")
+    plan = match.plan_rebind(match.still_unmatched(kept), entries, files.select("path"), files)
+    t = spark.createDataFrame([("/v/x.jpg", "jpeg", True, True, None, 0.0)], TARGET)
+    log, waits = spark.createDataFrame([], "seq long, target_path string, source_desc string, field string, value string"), spark.createDataFrame([], "file_path string, field string, value string, applied_at timestamp")
+    done, new_log, new_waits = match.apply_rebind(plan, kept, t, log, waits, F.lit("2026-08-04 00:00:00").cast("timestamp"))
+    r = done.first()
+    assert r.rebound_path == "/v/x.jpg" and json.loads(r.rebound_outcome) == {"merged": ["gps"], "merged_mtime_only": [], "deferred": [], "failed": [], "already_present": ["date"], "media_name": "x.jpg", "relocated": False}
+    assert {x.field for x in new_log.collect()} == {"gps", "already_present"} and new_waits.count() == 0
+    assert match.still_unmatched(done).count() == 0 and match.binds_elsewhere(done, entries).count() == 0
+    assert match.binds_elsewhere(done.withColumn("rebound_path", F.lit("/v/other.jpg")), entries).count() == 1
