@@ -69,24 +69,32 @@ def agg_18_match_rates(spark, d):
     return match.match_rates(match.match_sidecars(V.sidecars(spark, d), V.media(spark, d)))
 
 
-def _rebind(spark: SparkSession, d: str) -> DataFrame:
-    """Unmatched sidecars with some payloads missing and every offer made twice; some files gone or moved."""
+def _unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Unmatched sidecars with some payloads missing and every fourth offer made twice."""
     s = V.sidecars(spark, d)
-    rows = s.withColumn("payload", F.when(F.col("seq") % 6 != 5, F.concat(F.lit("p"), (F.col("seq") % 3).cast("string"))))
+    rows = s.withColumn("payload", F.when(F.col("seq") % 6 != 5, F.concat(F.lit('{"photoTakenTime": {"timestamp": "'), (F.col("seq") % 3 + 1000).cast("string"), F.lit('"}}'))))
     twice = rows.unionByName(rows.filter("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000_000))
-    unmatched = twice.select("seq", F.col("dir").alias("archive_dir"), F.col("name").alias("entry_name"), "payload")
+    return twice.select("seq", F.col("dir").alias("archive_dir"), F.col("name").alias("entry_name"), "payload")
+
+
+def _kept_entries(spark: SparkSession, d: str) -> DataFrame:
     pos = F.col("pos")
     kept = F.when(pos % 9 != 8, F.concat(F.lit("/vault/"), pos.cast("string")))
-    entries = V.media(spark, d).select(pos.alias("seq"), "dir", "name", kept.alias("kept_path"))
+    return V.media(spark, d).select(pos.alias("seq"), "dir", "name", kept.alias("kept_path"))
+
+
+def _rebind(spark: SparkSession, d: str) -> DataFrame:
+    """A plan for the unmatched sidecars; some files are gone or have moved."""
+    entries = _kept_entries(spark, d)
     files = entries.filter("kept_path IS NOT NULL").select(F.col("kept_path").alias("path"), F.sha2(F.col("seq").cast("string"), 256).alias("digest_full"), F.lit(None).cast("string").alias("digest_source"), "seq")
     moved = files.filter("seq % 8 IN (2, 6)").withColumn("path", F.concat(F.lit("/new"), "path"))
     more = files.filter("seq % 8 = 6").withColumn("path", F.concat(F.lit("/also"), "path"))
     catalog = files.unionByName(moved).unionByName(more)
-    return match.plan_rebind(unmatched, entries, catalog.filter("NOT (path LIKE '/vault/%' AND seq % 4 = 2) AND seq % 16 <> 3").select("path"), catalog.drop("seq"))
+    return match.plan_rebind(_unmatched(spark, d), entries, catalog.filter("NOT (path LIKE '/vault/%' AND seq % 4 = 2) AND seq % 16 <> 3").select("path"), catalog.drop("seq"))
 
 
 _REBIND = f"""{V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED},
-  un AS (SELECT seq, dir, name, CASE WHEN seq % 6 <> 5 THEN 'p' || (seq % 3) END AS payload FROM sidecars),
+  un AS (SELECT seq, dir, name, CASE WHEN seq % 6 <> 5 THEN '{{"photoTakenTime": {{"timestamp": "' || (seq % 3 + 1000) || '"}}}}' END AS payload FROM sidecars),
   twice AS (SELECT *, seq AS s0 FROM un UNION ALL SELECT seq + 10000000, dir, name, payload, seq FROM un WHERE seq % 4 = 0),
   kept AS (SELECT dir, name, min(pos) AS pos FROM media WHERE pos % 9 <> 8 GROUP BY ALL),
   w AS (SELECT t.seq, t.dir, t.name, payload, m.reason, m.media_name, k.pos,
@@ -95,10 +103,10 @@ _REBIND = f"""{V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED},
   x AS (SELECT *, CASE WHEN payload IS NULL THEN 'no_payload' WHEN reason IS NOT NULL THEN reason WHEN pos IS NULL THEN 'media_not_kept' WHEN there THEN NULL WHEN moved = 0 THEN 'target_missing' WHEN moved > 1 THEN 'ambiguous_target' END AS refused FROM w),
   y AS (SELECT *, min(seq) OVER (PARTITION BY dir, name, payload, refused IS NULL) AS first_seq FROM x),
   plan AS (SELECT seq, CASE WHEN refused IS NOT NULL THEN 'refused' WHEN first_seq = seq THEN 'bound' ELSE 'duplicate' END AS decision, refused AS reason,
-    CASE WHEN refused IS NULL THEN CASE WHEN there THEN '/vault/' ELSE '/new/vault/' END || pos END AS target, coalesce(NOT there AND refused IS NULL, false) AS relocated, first_seq, media_name FROM y)"""
+    CASE WHEN refused IS NULL THEN CASE WHEN there THEN '/vault/' ELSE '/new/vault/' END || pos END AS target, coalesce(NOT there AND refused IS NULL, false) AS relocated, first_seq, media_name, dir, name FROM y)"""
 
 
-@query(f"WITH {_REBIND} SELECT * EXCLUDE (media_name) FROM plan")
+@query(f"WITH {_REBIND} SELECT * EXCLUDE (media_name, dir, name) FROM plan")
 def dec_08_plan_rebind(spark, d):
     return _rebind(spark, d).drop("media_name")
 

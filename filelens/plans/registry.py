@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from filelens.plans import catalog_queries, ingest_queries, more_queries
+from filelens.plans import catalog_queries, change_queries, check_queries, ingest_queries, more_queries
 
-QUERIES = catalog_queries.QUERIES | ingest_queries.QUERIES | more_queries.QUERIES
-ORACLE_SQL = catalog_queries.ORACLE_SQL | ingest_queries.ORACLE_SQL | more_queries.ORACLE_SQL
+_MODULES = (catalog_queries, ingest_queries, more_queries, change_queries, check_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
