@@ -41,11 +41,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from filelens.llm.common_arrow import map_arrays
+from filelens.llm.common_arrow import map_arrays, worker_state
 from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
 #: Words kept by a worker; beyond it the table starts anew.
-KEPT = 200_000
+KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -249,17 +249,6 @@ class Codec:
         return all(self.automaton.has_arc(a, b) for a, b in pairwise(ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def task_codec(vocabulary: Vocabulary, table: Transitions, name: str) -> Codec:
-    """One codec for each Python worker and vocabulary, kept from task to task."""
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(vocabulary, table)
-    return _codecs[name]
-
-
 def encode_documents(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens, ids (binary, little-endian 32-bit) and decoded text."""
     return _encoded(docs, path, keep, "n_tokens long, ids binary, decoded string", lambda packed, text: (packed, text.decode("utf-8", "replace")))
@@ -273,13 +262,13 @@ def digest_documents(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 def _encoded(docs: DataFrame, path: str, keep: list[str], added: str, row) -> DataFrame:
     with open(path, "rb") as f:
-        name = hashlib.file_digest(f, "sha256").hexdigest()
+        name = "bpe " + hashlib.file_digest(f, "sha256").hexdigest()
     vocabulary = read_vocabulary(path)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, compile_merges(vocabulary)))
     fields = [f.split(" ")[0] for f in added.split(", ")]
 
     def make():
-        codec = task_codec(*sent.value, name)
+        codec = worker_state(name, lambda: Codec(*sent.value))
 
         def run(texts: pa.Array) -> dict[str, list]:
             out = {f: [] for f in fields}
@@ -294,4 +283,4 @@ def _encoded(docs: DataFrame, path: str, keep: list[str], added: str, row) -> Da
 
         return run
 
-    return map_arrays(docs, "text", keep, added, make)
+    return map_arrays(docs, "text", keep, added, make, keeps=name)

@@ -13,6 +13,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STEP_BYTES = 16 << 20
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_state(name: str | None, build: Callable[[], object] | None = None):
+    """What a Python worker keeps from task to task under ``name``; all it kept under other names is given up."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+    if build and name not in _kept:
+        _kept[name] = build()
+    return _kept.get(name)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The column's texts as UTF-8 bytes, None where null."""
     return column.cast(pa.binary()).to_pylist()
@@ -39,11 +51,11 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], added: str, make: Cal
     return map_arrays(docs, text, keep, added, of_arrays)
 
 
-def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Callable[[], Callable[[pa.Array], dict[str, list]]]) -> DataFrame:
+def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Callable[[], Callable[[pa.Array], dict[str, list]]], keeps: str | None = None) -> DataFrame:
     """Add columns computed from ``text``, row by row, to the columns ``keep``.
 
     ``make()`` runs once a task and gives a function from the texts to the columns
-    that ``added`` (a schema string) declares. Only ``keep`` and ``text`` are sent
+    that ``added`` (a schema string) declares; ``keeps`` names the worker state it uses. Only ``keep`` and ``text`` are sent
     to Python; names in ``added`` must not be in ``keep``.
     """
     used = list(dict.fromkeys([*keep, text]))
@@ -54,6 +66,7 @@ def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Ca
     schema = T.StructType([docs.schema[c] for c in keep] + extra.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(keeps)
         score = make()
         out = to_arrow_schema(schema)
         for batch in steps(batches, text):
@@ -61,5 +74,6 @@ def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Ca
             kept = [batch.column(c) for c in keep]
             new = [pa.array(got[f.name], type=out.field(f.name).type) for f in extra.fields]
             yield pa.RecordBatch.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(kept)] + new, schema=out)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*used).mapInArrow(run, schema)

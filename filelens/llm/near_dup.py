@@ -54,7 +54,7 @@ class NearDupConfig:
     seed: int = 11
 
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -26,7 +26,7 @@ SAFE_CUT = regex.compile(r" (?=\S)")
 HAS_SPACE = re.compile(r"\s")
 MARKS = ".,;:!?*$%&#|"
 #: Pieces kept by a worker; beyond it what wasn't asked for again is forgotten.
-KEPT = 450_000
+KEPT = 300_000
 GROUP_BYTES = 4 << 20
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.llm.common import materialize, new_path
-from filelens.llm.common_arrow import steps
+from filelens.llm.common_arrow import steps, worker_state
 from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -77,17 +77,11 @@ class LibraryEncoder:
         return [found[p] if p in found else self._whole(p) for p in pieces]
 
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def task_encoder(path: str) -> LibraryEncoder:
     """One encoder for each Python worker and vocabulary file, kept from task to task with what it has looked up."""
     with open(path, "rb") as f:
-        name = hashlib.file_digest(f, "sha256").hexdigest()
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = LibraryEncoder(path)
-    return _encoders[name]
+        name = "library " + hashlib.file_digest(f, "sha256").hexdigest()
+    return worker_state(name, lambda: LibraryEncoder(path))
 
 
 class FrameWriter:
