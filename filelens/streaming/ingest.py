@@ -93,7 +93,7 @@ def apply_offers(stream: DataFrame, targets: DataFrame, root: str, checkpoint: s
         new_log, new_waits = offers.change_sets(decided, log, waits)
         seen = fresh.agg(F.max("offer_seq").alias("offer_seq")).filter("offer_seq IS NOT NULL")
         tables = {
-            "log": log.unionByName(new_log.withColumn("merge_time", F.lit(None).cast("timestamp")).select(*log.columns)),
+            "log": log.unionByName(new_log.withColumn("merge_time", F.current_timestamp()).select(*log.columns)),
             "pending": waits.unionByName(new_waits.withColumn("applied_at", F.lit(None).cast("timestamp")).select(*waits.columns)),
             "applied": last.unionByName(seen),
         }

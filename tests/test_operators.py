@@ -349,3 +349,59 @@ def test_rebind_later(spark):
     assert {x.field for x in new_log.collect()} == {"gps", "already_present"} and new_waits.count() == 0
     assert match.still_unmatched(done).count() == 0 and match.binds_elsewhere(done, entries).count() == 0
     assert match.binds_elsewhere(done.withColumn("rebound_path", F.lit("/v/other.jpg")), entries).count() == 1
+
+
+def test_reports_are_ordered(spark):
+    waits = spark.createDataFrame([("deferred", "gps", "b", None)] * 2 + [("deferred", "date", "a", None)] * 3 + [("failed", "date", "a", None), ("failed", "date", "a", 1)], "state string, field string, reason string, applied_at int")
+    assert [r.n for r in reports.open_counts(waits).collect()] == [3, 2, 1]
+    left = spark.createDataFrame([(3, "x", None), (1, "y", None), (2, "y", None), (4, "z", 1)], "seq int, reason string, rebound_at int")
+    assert [tuple(r) for r in match.unmatched_summary(left).collect()] == [("y", 2), ("x", 1)]
+    assert [r.seq for r in match.still_unmatched(left).collect()] == [1, 2, 3]
+    files = spark.createDataFrame([("/mnt/a/1",), ("/mnt/b/1",), ("/mnt/b/2",), ("/Volumes/c/1",), ("/media/u/d/1",), ("/home/x",)], "path string")
+    assert [(r.volume, r.rows) for r in reports.volumes(files).collect()] == [("/mnt/b", 2), ("/Volumes/c", 1), ("/media/u/d", 1), ("/mnt/a", 1)]
+    done = spark.createDataFrame([(1, "complete"), (3, "complete"), (2, "pending")], "seq int, status string")
+    assert [r.seq for r in ingest.completed_archives(done).collect()] == [3, 1]
+    rows = spark.createDataFrame([(2, "p", None), (1, "q", None), (3, "p", 5)], "seq int, file_path string, applied_at int")
+    assert [r.seq for r in reports.outstanding(rows, "p").collect()] == [2]
+    assert [r.seq for r in reports.outstanding(rows, limit=1).collect()] == [1]
+
+
+def test_bounded_runs(spark):
+    plan = spark.createDataFrame([("a", "skipped"), ("b", "set"), ("c", "skipped"), ("d", "set"), ("e", "set")], "path string, decision string")
+    got = lambda n: [r.path for r in reports.bounded_run(plan, "path", F.col("decision") == "set", n).orderBy("path").collect()]
+    assert (got(1), got(2), got(9), got(0)) == (["a", "b"], ["a", "b", "c", "d"], list("abcde"), list("abcde"))
+
+
+def test_routes(spark):
+    rows = [("d/x.jpg", None), ("d/x.jpg.json", None), ("d/metadata.json", None), ("d/Metadata.JSON", None), ("d/x.aae", None), ("d/x.jpg", "corrupt")]
+    df = spark.createDataFrame(rows, "path string, error string")
+    route = lambda folder: [r[0] for r in df.select(ingest.route(F.col("path"), F.col("error"), folder)).collect()]
+    assert route(False) == ["media", "sidecar", "album_metadata", "album_metadata", "not_media", "error"]
+    assert route(True) == ["media", "sidecar", "sidecar", "sidecar", "not_media", "error"]
+
+
+def test_donations_carry_places_and_offsets(spark):
+    pairs = spark.createDataFrame([("/s", "/t")], "source string, target string")
+    side = spark.createDataFrame([("/s", "date", 1000)], "source string, field string, value long")
+    own = spark.createDataFrame([("/s", "date", 2000, None, None, 3600), ("/s", "gps", None, 1.5, 2.5, None)], "source string, field string, value long, lat double, lon double, offset_seconds int")
+    made = offers.donations(pairs, side, own)
+    got = {(r.field, r.offer_seq): (r.value, r.lat, r.capture.tz_source, r.capture.offset, r.source_desc) for r in made.collect()}
+    assert got == {("date", 1): (1000, None, "utc_fallback", "+00:00", "takeout:/s"), ("date", 2): (2000, None, "source_file", "+01:00", "file:/s"), ("gps", 1): (None, 1.5, "source_file", "+00:00", "file:/s")}
+    t = spark.createDataFrame([("/t", "webp", True, False, False, 0.0)], TARGET)
+    assert sorted((r.field, r.state, r.reason) for r in offers.evaluate_offers(made, t).collect()) == [("date", "already_present", None), ("date", "merged", "tz_unknown_assumed_utc"), ("gps", "merged", None)]
+
+
+def test_entries_in_the_right_folder(spark):
+    """Copies below or beside the destination aren't restored there; entries without a digest are all kept."""
+    files = spark.createDataFrame([(1, "/dest2/x.jpg", "a", None), (2, "/dest/sub/y.jpg", "b", None), (3, "/dest/z.jpg", "c", None)], "seq long, path string, digest_full string, digest_source string")
+    entries = spark.createDataFrame([(1, "x.jpg", "a"), (2, "y.jpg", "b"), (3, "z.jpg", "c"), (4, "n.jpg", None), (5, "n.jpg", None)], "ordinal long, name string, digest string")
+    got = {r.ordinal: (r.status, r.keep_reason, r.restore_path) for r in ingest.decide_entries(entries, files, files.limit(0).select("path"), "/dest").collect()}
+    assert got == {1: ("kept", "prior_copy_missing", None), 2: ("kept", "prior_copy_missing", None), 3: ("kept", "prior_copy_restored", "/dest/z.jpg"), 4: ("kept", None, None), 5: ("kept", None, None)}
+
+
+def test_adoption_walks_the_slots(spark):
+    """The slots before an adopted file are held by files or rows; other bytes are passed over, a gap ends the walk."""
+    entries = spark.createDataFrame([(1, "a.jpg", "A"), (2, "b.jpg", "B"), (3, "c.jpg", "C")], "ordinal long, name string, digest string")
+    listing_ = spark.createDataFrame([("/d/a.jpg", "other"), ("/d/a(2).jpg", "A"), ("/d/b(1).jpg", "B"), ("/d/c.jpg", "C"), ("/d/sub/c.jpg", "C")], "path string, digest string")
+    files = spark.createDataFrame([("/d/a(1).jpg",)], "path string")
+    assert {r.ordinal: r.path for r in ingest.adoptable(entries, listing_, files, "/d").collect()} == {1: "/d/a(2).jpg", 3: "/d/c.jpg"}
