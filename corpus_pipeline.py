@@ -4,14 +4,21 @@ Each stage takes (spark, docs, sf_dir), works on every row it is given and
 returns rows with the columns of ``documents``; the last returns token ids.
 Stages are written as Parquet and read again before the next.
 
-1. language: documents whose language stays unclear are dropped.
-2. quality: documents scored below the classifier's threshold are dropped. With
-   no usable labels nothing is dropped.
+1. language: documents whose language stays unclear are dropped, and so are null
+   texts and texts without a letter. With no labelled language all are.
+2. quality: documents scored below the classifier's threshold are dropped; a null
+   text is scored as an empty one. With no usable labels nothing is dropped.
 3. near_dup: one document of each near-duplicate group stays (shingles of five
-   words, similarity 0.8).
-4. mix: sources are drawn to their target weights; a document occurs as often as
-   the mix takes its words; a part of a copy is rounded up or down by a hash.
+   words, similarity 0.8): that of the smallest doc_id, a null one last. Texts
+   without words stay.
+4. mix: the words that the mix takes, so that each source has its target: whole
+   documents as they are, parts as rows of their own; texts without words go.
 5. bpe: documents become token ids, checked by decoding.
+
+Rows with equal or null doc_id are documents of their own in every stage, rows equal
+in all columns too, until stage 3 keeps one of them. Columns other than doc_id, text,
+lang and source only travel along, whatever their names; names that begin with two
+underscores are the stages' own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +68,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("language", language), ("quality", quality), ("near_dup", near_dup), ("mix", mix), ("bpe", bpe)]
 
-#: Models, hashes and token ids have no SQL form; tests hold run() against a plain version.
+#: Models, hashes and token ids have no SQL form; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
