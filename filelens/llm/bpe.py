@@ -44,8 +44,8 @@ from pyspark.sql import DataFrame
 from filelens.llm.common_arrow import map_arrays, worker_state
 from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
-#: Words kept by a worker; beyond it the table starts anew.
-KEPT = 100_000
+#: Pieces kept by a worker, and words beside them.
+KEPT, WORDS = 300_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -206,13 +206,13 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.labels = pa.array(vocabulary.labels, pa.binary())
         self.words, self.find = {}, regex.compile(PATTERN).findall
-        self.table = PieceTable(self.special, lambda pieces: list(map(self._plain, pieces)), self._whole)
+        self.table = PieceTable(self.special, lambda pieces: list(map(self._plain, pieces)), self._whole, KEPT)
 
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is None:
             ids = self.automaton.encode(word.encode())
             known = pack(f"<{len(ids)}I", *ids)
-            if len(self.words) >= KEPT:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             if len(word) < 64:
                 self.words[word] = known

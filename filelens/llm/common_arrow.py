@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts of one step together are at most about so long, whatever the batch.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 8 << 20
 
 
 _kept: dict[str, object] = {}
@@ -25,6 +26,13 @@ def worker_state(name: str | None, build: Callable[[], object] | None = None):
     return _kept.get(name)
 
 
+def give_back() -> None:
+    """At the end of a task, return freed memory to the system: workers stay, and wait beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The column's texts as UTF-8 bytes, None where null."""
     return column.cast(pa.binary()).to_pylist()
@@ -74,6 +82,6 @@ def map_arrays(docs: DataFrame, text: str, keep: list[str], added: str, make: Ca
             kept = [batch.column(c) for c in keep]
             new = [pa.array(got[f.name], type=out.field(f.name).type) for f in extra.fields]
             yield pa.RecordBatch.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(kept)] + new, schema=out)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(*used).mapInArrow(run, schema)

@@ -164,9 +164,9 @@ class Mix:
 
     def block_texts(self, docs: DataFrame) -> DataFrame:
         """shard, source_key, slot, text: the mixed blocks themselves."""
-        whose = ["source_key", "start", "doc_id", "text_key"]
+        whose = ["source_key", "start", "doc_id", "text_key", "size"]
         spans = self.spans().groupBy(*whose).agg(F.collect_list(F.struct("shard", "slot", "first_word", "n_words")).alias("cuts"))  # a document's blocks
-        cut = _with_words(spans, docs).select("source_key", "start", F.explode(F.transform("cuts", lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), _run("words", c).alias("piece")))).alias("c"))
+        cut = _with_words(spans, docs).select("source_key", "start", F.explode(F.transform("cuts", lambda c: F.struct(c["shard"].alias("shard"), c["slot"].alias("slot"), F.when(_in_parts(), _run("words", c)).otherwise(_all_words("__d_text")).alias("piece")))).alias("c"))
         return cut.groupBy("c.shard", "source_key", "c.slot").agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "c.piece"))), lambda x: x["piece"]), " ").alias("text")
         )
@@ -187,13 +187,24 @@ def _one_each(docs: DataFrame) -> DataFrame:
     return keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(names))
 
 
+def _all_words(text: str) -> Column:
+    """A text's words with single spaces."""
+    space = r"[\x20\x09-\x0D]+"
+    return F.regexp_replace(F.regexp_replace(text, f"^{space}|{space}$", ""), space, " ")
+
+
+def _in_parts() -> Column:
+    """Whether a document's words have to be told apart: unless all its cuts are the whole of it."""
+    return F.exists("cuts", lambda c: c["n_words"] < F.col("size"))
+
+
 def _with_words(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of ``spans`` with the columns of ``docs``, named with __ in front, and the words of the text."""
     texts = _one_each(docs)
     texts = texts.select("__key", "__text_key", *[F.col(c).alias(f"__d_{c}") for c in docs.columns])
     # Nearly every document has a span, so both sides grow alike: a merge join at any size.
     same = F.col("doc_id").eqNullSafe(F.col("__d_doc_id")) & (F.col("source_key") == F.col("__key")) & (F.col("text_key") == F.col("__text_key"))
-    return spans.hint("merge").join(texts, same).withColumn("words", F.regexp_extract_all("__d_text", F.lit(WORD), F.lit(0)))
+    return spans.hint("merge").join(texts, same).withColumn("words", F.when(_in_parts(), F.regexp_extract_all("__d_text", F.lit(WORD), F.lit(0))))
 
 
 def plan_mix(docs: DataFrame, cfg: MixConfig | None = None) -> Mix:

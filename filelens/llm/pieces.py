@@ -25,9 +25,7 @@ IN_A_ROW = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$"
 SAFE_CUT = regex.compile(r" (?=\S)")
 HAS_SPACE = re.compile(r"\s")
 MARKS = ".,;:!?*$%&#|"
-#: Pieces kept by a worker; beyond it what wasn't asked for again is forgotten.
-KEPT = 300_000
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def stem_and_marks(piece: str) -> tuple[str, str]:
@@ -50,10 +48,13 @@ def text_groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 class PieceTable:
-    """Packed ids of texts, by pieces. ``encode_new`` packs the ids of pieces, ``encode_whole`` those of a text with special tokens."""
+    """Packed ids of texts, by pieces. ``encode_new`` packs the ids of pieces, ``encode_whole`` those of a text with special tokens.
 
-    def __init__(self, special: Iterable[str], encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes]):
-        self.special, self.encode_new, self.encode_whole = list(special), encode_new, encode_whole
+    Once more than ``most`` pieces are kept, those that aren't asked for again are forgotten.
+    """
+
+    def __init__(self, special: Iterable[str], encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], most: int):
+        self.special, self.encode_new, self.encode_whole, self.most = list(special), encode_new, encode_whole, most
         self.kept: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}  # what was kept before; asked for again, it is kept again
 
@@ -64,7 +65,7 @@ class PieceTable:
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of distinct pieces."""
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.most:
             self.kept, self.older = {"": b""}, self.kept
         found = [self._known(p) for p in pieces]
         missing = [i for i, f in enumerate(found) if f is None]

@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.llm.common import materialize, new_path
-from filelens.llm.common_arrow import steps, worker_state
+from filelens.llm.common_arrow import give_back, steps, worker_state
 from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
+KEPT = 300_000  # pieces of a worker
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -55,7 +56,7 @@ class LibraryEncoder:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line_end = self._whole("\n")
-        self.encode = PieceTable(special, self._new, self._whole).encode
+        self.encode = PieceTable(special, self._new, self._whole, KEPT).encode
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -190,6 +191,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             writer.close()
             stream.close()
             store.move(own, f"{base}/{name}")
+            give_back()
             row = [task.partitionId(), name, len(writer.ids), writer.n_tokens, writer.n_bytes]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["file_no", "name", "n_docs", "n_tokens", "n_bytes"])
 
