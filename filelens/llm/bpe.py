@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import pairwise
 from struct import pack
 
@@ -45,7 +45,8 @@ from filelens.llm.common_arrow import map_arrays, worker_state
 from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
 #: Pieces kept by a worker, and words beside them.
-KEPT, WORDS = 300_000, 50_000
+KEPT, WORDS = 120_000, 50_000
+GROUP_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -264,7 +265,7 @@ def _encoded(docs: DataFrame, path: str, keep: list[str], added: str, row) -> Da
     with open(path, "rb") as f:
         name = "bpe " + hashlib.file_digest(f, "sha256").hexdigest()
     vocabulary = read_vocabulary(path)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, compile_merges(vocabulary)))
+    sent = docs.sparkSession.sparkContext.broadcast((replace(vocabulary, merges=()), compile_merges(vocabulary)))  # the merges are in the table
     fields = [f.split(" ")[0] for f in added.split(", ")]
 
     def make():
@@ -272,7 +273,7 @@ def _encoded(docs: DataFrame, path: str, keep: list[str], added: str, row) -> Da
 
         def run(texts: pa.Array) -> dict[str, list]:
             out = {f: [] for f in fields}
-            for _, group in text_groups(texts):
+            for _, group in text_groups(texts, GROUP_BYTES):
                 ids, begin = codec.encode_group(group)
                 decoded, packed, at = codec.decode_group(ids, begin), ids.tobytes(), (4 * begin).tolist()
                 rows = [row(packed[i:j], text) for (i, j), text in zip(pairwise(at), decoded, strict=True)]

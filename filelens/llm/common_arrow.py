@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts of one step together are at most about so long, whatever the batch.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 _kept: dict[str, object] = {}

@@ -280,11 +280,13 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig | None = None) -> DataFr
     if not edges.isEmpty():
         joined = connected_components(edges).select(F.col("node").alias("group"), "component")
         usable = usable.join(joined, "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
-    least = usable.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = usable.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    # Groups of one row need no look-up, and a table of known size is broadcast where it is small: a large group isn't shuffled to one task.
+    least = usable.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("group", "least")
+    out = usable.join(materialize(least, "least"), "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     # Rows without words: where their id has other texts too, its component; else the id.
     rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles")
-    by_id = usable.join(least, "group").select(F.col("doc_id").alias("u_id"), F.col("component_id").alias("u_component")).join(rest.select(F.col("doc_id").alias("r_id")), F.col("u_id") == F.col("r_id"), "left_semi").distinct()
+    empty = rest.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("r_id"))
+    by_id = out.select(F.col("doc_id").alias("u_id"), F.col("component_id").alias("u_component")).join(empty, F.col("u_id") == F.col("r_id"), "left_semi").distinct()
     rest = rest.join(by_id, F.col("doc_id") == F.col("u_id"), "left").select("doc_id", "n_shingles", F.coalesce("u_component", "doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

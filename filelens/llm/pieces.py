@@ -25,7 +25,6 @@ IN_A_ROW = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$"
 SAFE_CUT = regex.compile(r" (?=\S)")
 HAS_SPACE = re.compile(r"\s")
 MARKS = ".,;:!?*$%&#|"
-GROUP_BYTES = 1 << 20
 
 
 def stem_and_marks(piece: str) -> tuple[str, str]:
@@ -36,13 +35,13 @@ def stem_and_marks(piece: str) -> tuple[str, str]:
     return piece, ""
 
 
-def text_groups(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Where a group of texts begins, and the group, of about GROUP_BYTES at most; nulls become empty."""
+def text_groups(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """Where a group of texts begins, and the group, of about ``size`` bytes at most; nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
         yield at, texts.slice(at, end - at)
         at = end
 

@@ -40,7 +40,7 @@ from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
-KEPT = 300_000  # pieces of a worker
+KEPT, GROUP_BYTES = 300_000, 2 << 20  # pieces of a worker; texts encoded at once
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         own = f"{base}/_{name}.{task.taskAttemptId()}"
         for batch in steps(batches, "text"):
             names = batch.column("doc_id").to_pylist()
-            for at, texts in text_groups(batch.column("text")):
+            for at, texts in text_groups(batch.column("text"), GROUP_BYTES):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     encoder, stream = task_encoder(tokenizer), store.open_output_stream(own)
