@@ -23,21 +23,38 @@ def in_groups(files: DataFrame, min_size: int = 0) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(group.orderBy("seq"))).withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "seq")))
 
 
+def grouped(files: DataFrame, min_size: int = 0) -> DataFrame:
+    """One row a group of equal digest: members, total size, its first member by seq and its best by score (structs).
+
+    Aggregates alone, so a digest of very many copies is summed up where its rows are.
+    """
+    row = F.struct("path", "size", "score", "has_exif_date", "has_exif_gps", "seq")
+    ext = F.lower(suffix(basename(F.col("path"))))
+    rows = scored(files.filter((F.col("digest_full").isNotNull()) & (F.col("size") >= min_size)))
+    return (
+        rows.groupBy("digest_full")
+        .agg(
+            F.count("*").alias("members"),
+            F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
+            F.min_by(row, "seq").alias("first"),
+            F.max_by(row, F.struct("score", (-F.col("seq")).alias("turn"))).alias("best"),
+            ((F.min("size") == F.max("size")) & (F.min(ext) == F.max(ext))).alias("alike"),
+        )
+        .filter("members > 1")
+    )
+
+
 def winners(files: DataFrame) -> DataFrame:
     """One row a group: the winner and what its losers take up."""
-    return in_groups(files).groupBy("digest_full").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("path"))).alias("winner_path"),
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("winner_score"),
-        F.count("*").alias("members"),
-        F.sum(F.when(F.col("rank") > 1, F.col("size")).otherwise(0)).alias("wasted"),
-    )
+    best = F.col("best")
+    return grouped(files).select("digest_full", best["path"].alias("winner_path"), best["score"].alias("winner_score"), "members", (F.col("total") - F.coalesce(best["size"], F.lit(0))).alias("wasted"))
 
 
 def winner_loser_pairs(files: DataFrame) -> DataFrame:
     """Each winner with each of its losers."""
-    rows = in_groups(files)
-    w = rows.filter("rank = 1").select("digest_full", F.col("path").alias("winner"), "has_exif_date", "has_exif_gps")
-    return rows.filter("rank > 1").select("digest_full", F.col("path").alias("loser"), F.col("has_exif_date").alias("loser_date"), F.col("has_exif_gps").alias("loser_gps")).join(w, "digest_full")
+    w = grouped(files).select("digest_full", F.col("best.path").alias("winner"), F.col("best.seq").alias("winner_seq"), "best.has_exif_date", "best.has_exif_gps")
+    losers = files.select("digest_full", F.col("path").alias("loser"), F.col("seq").alias("loser_seq"), F.col("has_exif_date").alias("loser_date"), F.col("has_exif_gps").alias("loser_gps"))
+    return losers.join(w, "digest_full").filter("loser_seq <> winner_seq").drop("loser_seq", "winner_seq")
 
 
 def merge_eligible(pairs: DataFrame, container: Column) -> DataFrame:
@@ -48,14 +65,9 @@ def merge_eligible(pairs: DataFrame, container: Column) -> DataFrame:
 
 
 def collection_stats(files: DataFrame) -> DataFrame:
-    """Groups, copies beyond the first of each, and the bytes these take."""
-    extra = F.col("place") > 1
-    return in_groups(files).agg(
-        F.count_if(~extra).alias("groups"),
-        F.count_if(extra).alias("extra_copies"),
-        F.coalesce(F.sum(F.when(extra, F.col("size"))), F.lit(0)).alias("wasted_bytes"),
-        F.coalesce(F.sum(F.when(F.col("rank") > 1, F.col("size"))), F.lit(0)).alias("wasted_by_score"),
-    )
+    """Groups, copies beyond the first of each, and the bytes these take, counted from the first member and from the best."""
+    less = lambda one: F.coalesce(F.sum(F.col("total") - F.coalesce(f"{one}.size", F.lit(0))), F.lit(0))
+    return grouped(files).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("extra_copies"), less("first").alias("wasted_bytes"), less("best").alias("wasted_by_score"))
 
 
 def cascade(files: DataFrame, watch: dict[str, Observation] | None = None) -> DataFrame:
@@ -106,19 +118,9 @@ def unresolved(groups: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def auto_resolved(files: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Verdicts for open groups whose members agree in size and extension."""
-    rows = unresolved(in_groups(files), resolutions)
-    return (
-        rows.groupBy("digest_full")
-        .agg(
-            F.count("*").alias("members"),
-            F.count_distinct("size").alias("sizes"),
-            F.count_distinct(F.lower(suffix(basename(F.col("path"))))).alias("extensions"),
-            F.max(F.when(F.col("rank") == 1, F.col("path"))).alias("winner_path"),
-            F.sum(F.when(F.col("rank") > 1, F.col("size"))).alias("freed"),
-        )
-        .filter("members >= 2 AND sizes = 1 AND extensions = 1")
-        .select("digest_full", "winner_path", F.lit("keep_winner").alias("action"), F.lit(100).alias("confidence"), "freed")
-    )
+    rows = unresolved(grouped(files), resolutions).filter("alike")
+    freed = F.col("total") - F.coalesce("best.size", F.lit(0))
+    return rows.select("digest_full", F.col("best.path").alias("winner_path"), F.lit("keep_winner").alias("action"), F.lit(100).alias("confidence"), freed.alias("freed"))
 
 
 def human_verdicts(decisions: DataFrame) -> DataFrame:
@@ -130,5 +132,8 @@ def human_verdicts(decisions: DataFrame) -> DataFrame:
 
 def review_pairs(files: DataFrame, resolutions: DataFrame) -> DataFrame:
     """For each open group its two best members and how many more wait."""
-    pick = lambda r: F.max(F.when(F.col("rank") == r, F.col("path")))
-    return unresolved(in_groups(files), resolutions).groupBy("digest_full").agg(pick(1).alias("left_path"), pick(2).alias("right_path"), (F.count("*") - 2).alias("waiting"))
+    order = Window.partitionBy("digest_full").orderBy(F.desc("score"), "seq")
+    two = scored(files.filter("digest_full IS NOT NULL")).withColumn("rank", F.row_number().over(order)).filter("rank <= 2")  # the first two of each task, then of each group
+    second = two.filter("rank = 2").select("digest_full", F.col("path").alias("right_path"))
+    waiting = (F.col("members") - 2).alias("waiting")
+    return unresolved(grouped(files), resolutions).select("digest_full", F.col("best.path").alias("left_path"), waiting).join(second, "digest_full").select("digest_full", "left_path", "right_path", "waiting")

@@ -62,9 +62,9 @@ def agg_05_collection_stats(spark, d):
 
 @query(f"WITH {V.FILES}, {V.GROUPS} SELECT count(*) AS losers, CAST(coalesce(sum(size), 0) AS BIGINT) AS wasted, round(coalesce(sum(size), 0) / 1073741824.0, 6) AS gib FROM grp WHERE rank > 1")
 def agg_06_wasted_by_score(spark, d):
-    lost = dedup.in_groups(V.files(spark, d)).filter("rank > 1")
-    total = F.coalesce(F.sum("size"), F.lit(0))
-    return lost.agg(F.count("*").alias("losers"), total.alias("wasted"), F.round(total / 1073741824.0, 6).alias("gib"))
+    w = dedup.winners(V.files(spark, d))
+    total = F.coalesce(F.sum("wasted"), F.lit(0))
+    return w.agg(F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("losers"), total.alias("wasted"), F.round(total / 1073741824.0, 6).alias("gib"))
 
 
 @query(f"WITH {V.FILES}, {V.GROUPS} SELECT digest_full, seq, path, place FROM grp WHERE place > 1")
@@ -118,7 +118,7 @@ _LIVE = "live AS (SELECT DISTINCT digest_full FROM resolutions WHERE NOT coalesc
 
 @query(f"WITH {V.FILES}, {V.GROUPS}, {V.RESOLUTIONS}, {_LIVE} SELECT digest_full, count(*) AS members FROM grp WHERE digest_full NOT IN (SELECT digest_full FROM live) GROUP BY 1")
 def join_06_unresolved_groups(spark, d):
-    return dedup.unresolved(dedup.in_groups(V.files(spark, d)), V.resolutions(spark, d)).groupBy("digest_full").agg(F.count("*").alias("members"))
+    return dedup.unresolved(dedup.grouped(V.files(spark, d)), V.resolutions(spark, d)).select("digest_full", "members")
 
 
 _OPEN = f"{V.FILES}, {V.GROUPS}, {V.RESOLUTIONS}, {_LIVE}, open AS (SELECT * FROM grp WHERE digest_full NOT IN (SELECT digest_full FROM live))"
