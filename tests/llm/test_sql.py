@@ -9,7 +9,7 @@ from filelens.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_operator_equals_sql(spark, smoke_dir, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{smoke_dir}/{t}.parquet'")
     df, expected = QUERIES[name](spark, smoke_dir), duck.sql(ORACLE_SQL[name])
     order = sorted(df.columns)
