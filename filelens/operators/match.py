@@ -13,14 +13,41 @@ from filelens.operators.changes import mark_rebound
 from filelens.storage import stored
 
 
+def prefix_hits(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """dir, cut, counter with hits, same, same_name, only: how many of a directory's ``names`` begin with each cut name.
+
+    wanted (dir, cut, counter), cut in lower case; names (dir, name). A name must also hold
+    the counter, if there is one; ``same`` counts those that are the cut name but for their
+    extension. Each name is cut to the lengths that its directory asks for, with each
+    counter it holds, and only such prefixes as are asked for are counted: rows grow with the
+    names times the lengths, never with names times cut names.
+    """
+    keys = wanted.select("dir", "cut", F.coalesce("counter", F.lit("")).alias("key")).filter("cut <> ''").distinct()
+    lengths = keys.groupBy("dir").agg(F.collect_set(F.length("cut")).alias("lengths"))  # no more than a name has characters
+    rows = names.select("dir", "name").join(lengths, "dir")
+    held = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("name", F.lit(r"\([0-9]+\)"), F.lit(0))))
+    rows = rows.select("dir", "name", F.explode("lengths").alias("n"), held.alias("held")).filter("n <= length(name)")
+    cut = F.substring(F.lower("name"), F.lit(1), F.col("n"))
+    rows = rows.select("dir", "name", cut.alias("cut"), F.explode("held").alias("key")).join(keys, ["dir", "cut", "key"], "left_semi")
+    same = F.lower(split_extension(F.col("name"))[0]) == F.col("cut")
+    counts = rows.groupBy("dir", "cut", "key").agg(F.count("*").alias("hits"), F.count_if(same).alias("same"), F.max(F.when(same, F.col("name"))).alias("same_name"), F.max("name").alias("only"))
+    return counts.withColumn("counter", F.nullif("key", F.lit(""))).drop("key")
+
+
+def uncounted(p: str) -> Column:
+    """The media name of a parsed name without its counter, at its first place."""
+    name, counter = f"{p}.media_name", f"{p}.counter"
+    without = F.expr(f"concat(substring({name}, 1, instr({name}, {counter}) - 1), substring({name}, instr({name}, {counter}) + length({counter})))")
+    return F.when(F.col(counter).isNotNull(), without).otherwise(F.col(name))
+
+
 def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     """sidecars (seq, dir, name) with media_name, fuzzy, reason, candidate_count.
 
     ``media`` (dir, name, pos) lists the directories. Tiers in order: a candidate
     name as it is, then case-folded (of names that fold alike the last listed),
     then, for cut names, the only media file with that prefix. All joins are
-    equi-joins on the directory and a name or an eight-character prefix, so
-    neither a large directory nor a common prefix alone is one key.
+    equi-joins on the directory and a whole name or a whole prefix, see ``prefix_hits``.
     """
     media = media.groupBy("dir", "name").agg(F.max("pos").alias("pos"))
     parsed = stored(sidecars.select("seq", "dir", "name", parse_sidecar(F.col("name")).alias("p")), "parsed")  # read four times below
@@ -33,14 +60,12 @@ def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     rows = parsed.join(by_name, "seq", "left").join(listed, "dir", "left")
 
     # The counter was put back by parsing: prefixes are compared without it.
-    cut = F.when(F.col("p.counter").isNotNull(), F.concat(F.expr("substring(p.media_name, 1, instr(p.media_name, p.counter) - 1)"), F.expr("substring(p.media_name, instr(p.media_name, p.counter) + length(p.counter))"))).otherwise(F.col("p.media_name"))
-    open_ = rows.filter("named IS NULL AND p.media_name IS NOT NULL AND NOT p.stem_complete").select("seq", "dir", F.lower(cut).alias("cut"), F.col("p.counter").alias("counter"))
-    open_ = open_.filter(F.length("cut") >= MIN_PREFIX).withColumn("head", F.substring("cut", 1, MIN_PREFIX))
-    base, ext = split_extension(F.col("name"))
-    heads = media.filter(F.lower(ext).isin(*PICTURE_EXTENSIONS)).select("dir", "name", F.substring(F.lower("name"), 1, MIN_PREFIX).alias("head"), F.lower(base).alias("base"))
-    hits = open_.join(heads, ["dir", "head"]).filter(F.startswith(F.lower("name"), F.col("cut")) & (F.col("counter").isNull() | F.contains("name", F.col("counter"))))
-    same = F.col("base") == F.col("cut")
-    prefix = hits.groupBy("seq").agg(F.count("*").alias("hits"), F.count_if(same).alias("same"), F.max(F.when(same, F.col("name"))).alias("same_name"), F.max("name").alias("only"))
+    open_ = rows.filter("named IS NULL AND p.media_name IS NOT NULL AND NOT p.stem_complete").select("seq", "dir", F.lower(uncounted("p")).alias("cut"), F.col("p.counter").alias("counter"))
+    open_ = stored(open_.filter(F.length("cut") >= MIN_PREFIX), "cut-names")
+    _, ext = split_extension(F.col("name"))
+    found = prefix_hits(open_, media.filter(F.lower(ext).isin(*PICTURE_EXTENSIONS)))
+    here = (F.col("o.dir") == F.col("f.dir")) & (F.col("o.cut") == F.col("f.cut")) & F.col("o.counter").eqNullSafe(F.col("f.counter"))
+    prefix = open_.alias("o").join(found.alias("f"), here).select("o.seq", "f.hits", "f.same", "f.same_name", "f.only")
     rows = rows.join(prefix, "seq", "left")
     bound = F.when(F.col("hits") == 1, F.col("only")).when((F.col("hits") > 1) & (F.col("same") == 1), F.col("same_name"))
     reason = (
@@ -133,25 +158,53 @@ def binds_elsewhere(sidecars: DataFrame, entries: DataFrame) -> DataFrame:
     return outside.unionByName(marked.filter("moved AND rebound_path IS NULL").select("seq", "rebound_path"))
 
 
+def addressable(matched: DataFrame, names: DataFrame) -> DataFrame:
+    """seq of the unmatched sidecars whose media file is in their directory all the same.
+
+    A test of its own, which knows nothing of the matcher's verdict: some name of ``names``
+    (dir, name: all of the directory but JSON, of any extension) begins, in lower case, with
+    what the sidecar's name says, without counter and extension, and holds that counter.
+    """
+    parsed = matched.filter("media_name IS NULL").select("seq", "dir", parse_sidecar(F.col("name")).alias("p")).filter("p.media_name IS NOT NULL")
+    stem = F.lower(F.regexp_replace(uncounted("p"), r"\.[^.]*$", ""))
+    wanted = stored(parsed.select("seq", "dir", stem.alias("cut"), F.col("p.counter").alias("counter")), "stems")
+    found = prefix_hits(wanted, names.select("dir", "name").distinct())
+    here = (F.col("w.dir") == F.col("f.dir")) & (F.col("w.cut") == F.col("f.cut")) & F.col("w.counter").eqNullSafe(F.col("f.counter"))
+    return wanted.alias("w").join(found.alias("f"), here, "left_semi").select("seq")
+
+
 def matcher_gate(rates: DataFrame, limit_pct: float = 3.0) -> DataFrame:
-    """Whether a run of the matcher (match_rates) is good enough: few addressable sidecars left unmatched."""
-    return rates.select("addressable_unmatched_pct", (F.col("addressable_unmatched_pct") <= limit_pct).alias("passed"))
+    """Whether a run of the matcher (match_rates) is good enough: few addressable sidecars left unmatched, none bound to another directory's file."""
+    passed = (F.col("addressable_unmatched_pct") <= limit_pct) & (F.col("cross_directory") == 0)
+    return rates.select("addressable_unmatched_pct", "cross_directory", passed.alias("passed"))
 
 
-def match_rates(matched: DataFrame) -> DataFrame:
-    """One row: totals by outcome and the shares of all and of addressable sidecars left unmatched."""
-    n = F.count("*")
-    unmatched = F.count_if(F.col("media_name").isNull())
-    addressable = F.count_if(F.coalesce(F.col("reason") != "no_media_in_dir", F.lit(True)))
+def match_rates(matched: DataFrame, names: DataFrame) -> DataFrame:
+    """One row: totals by outcome and the shares of all and of addressable sidecars left unmatched.
+
+    names (dir, name): what each directory lists but JSON. ``name_resolvable`` counts names
+    that say some media name, whether or not it is there; ``cross_directory`` binds to
+    names that the sidecar's directory doesn't list.
+    """
+    names = names.select("dir", "name").distinct()
+    rows = matched.select("seq", "dir", "name", "media_name", "fuzzy", "reason", parse_sidecar(F.col("name"))["media_name"].isNotNull().alias("says"))
+    rows = rows.join(addressable(matched, names).withColumn("present", F.lit(True)), "seq", "left")
+    own = names.select("dir", F.col("name").alias("media_name"), F.lit(True).alias("own"))
+    rows = rows.join(own, ["dir", "media_name"], "left")
+    bound = F.col("media_name").isNotNull()
+    n, missed = F.count("*"), F.count_if("present")
     percent = lambda a, b: F.coalesce(F.round(F.try_divide(a * 100.0, b), 4), F.lit(0.0))
-    return matched.agg(
+    return rows.agg(
         n.alias("total"),
-        F.count_if(F.col("media_name").isNotNull()).alias("matched"),
+        F.count_if("says").alias("name_resolvable"),
+        F.count_if(bound).alias("matched"),
         F.count_if("fuzzy").alias("fuzzy"),
         F.count_if(F.col("reason") == "ambiguous").alias("ambiguous"),
         F.count_if(F.col("reason") == "unparseable").alias("unparseable"),
-        percent(unmatched, n).alias("unmatched_pct"),
-        percent(addressable - F.count_if(F.col("media_name").isNotNull()), addressable).alias("addressable_unmatched_pct"),
+        percent(F.count_if(~bound), n).alias("unmatched_pct"),
+        missed.alias("addressable_unmatched"),
+        percent(missed, F.count_if(bound) + missed).alias("addressable_unmatched_pct"),
+        F.count_if(bound & F.col("own").isNull()).alias("cross_directory"),
     )
 
 

@@ -61,12 +61,19 @@ def join_07_08_match_sidecars(spark, d):
     return match.match_sidecars(V.sidecars(spark, d), V.media(spark, d))
 
 
-@query(
-    f"WITH {V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED} SELECT count(*) AS total, count(media_name) AS matched, count(*) FILTER (WHERE fuzzy) AS fuzzy, count(*) FILTER (WHERE reason = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE reason = 'unparseable') AS unparseable, "
-    "round(count(*) FILTER (WHERE media_name IS NULL) * 100.0 / count(*), 4) AS unmatched_pct, round(count(*) FILTER (WHERE media_name IS NULL AND reason <> 'no_media_in_dir') * 100.0 / count(*) FILTER (WHERE coalesce(reason, '') <> 'no_media_in_dir'), 4) AS addressable_unmatched_pct FROM matched"
-)
+# Every file of a directory is compared with each unmatched sidecar; needs parsed, matched and media.
+RATES = """stems AS (SELECT m.seq, m.dir, p.counter, lower(regexp_replace(CASE WHEN p.counter IS NULL THEN p.media_name ELSE p.media_name[1:instr(p.media_name, p.counter) - 1] || p.media_name[instr(p.media_name, p.counter) + length(p.counter):] END, '\\.[^.]*$', '')) AS stem
+    FROM matched m JOIN parsed p ON p.seq = m.seq WHERE m.media_name IS NULL AND p.media_name IS NOT NULL),
+  present AS (SELECT seq FROM stems s WHERE stem <> '' AND EXISTS (SELECT 1 FROM media d WHERE d.dir = s.dir AND starts_with(lower(d.name), s.stem) AND (s.counter IS NULL OR contains(d.name, s.counter)))),
+  rates AS (SELECT count(*) AS total, count(p.media_name) AS name_resolvable, count(m.media_name) AS matched, count(*) FILTER (WHERE fuzzy) AS fuzzy, count(*) FILTER (WHERE m.reason = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE m.reason = 'unparseable') AS unparseable,
+    round(count(*) FILTER (WHERE m.media_name IS NULL) * 100.0 / count(*), 4) AS unmatched_pct, (SELECT count(*) FROM present) AS addressable_unmatched,
+    round((SELECT count(*) FROM present) * 100.0 / (count(m.media_name) + (SELECT count(*) FROM present)), 4) AS addressable_unmatched_pct,
+    count(*) FILTER (WHERE m.media_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM media d WHERE d.dir = m.dir AND d.name = m.media_name)) AS cross_directory FROM matched m JOIN parsed p ON p.seq = m.seq)"""
+
+
+@query(f"WITH {V.SIDECARS}, {V.MEDIA}, {PARSED}, {MATCHED}, {RATES} SELECT * FROM rates")
 def agg_18_match_rates(spark, d):
-    return match.match_rates(match.match_sidecars(V.sidecars(spark, d), V.media(spark, d)))
+    return match.match_rates(match.match_sidecars(V.sidecars(spark, d), V.media(spark, d)), V.media(spark, d))
 
 
 def _unmatched(spark: SparkSession, d: str) -> DataFrame:

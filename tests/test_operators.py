@@ -405,3 +405,37 @@ def test_adoption_walks_the_slots(spark):
     listing_ = spark.createDataFrame([("/d/a.jpg", "other"), ("/d/a(2).jpg", "A"), ("/d/b(1).jpg", "B"), ("/d/c.jpg", "C"), ("/d/sub/c.jpg", "C")], "path string, digest string")
     files = spark.createDataFrame([("/d/a(1).jpg",)], "path string")
     assert {r.ordinal: r.path for r in ingest.adoptable(entries, listing_, files, "/d").collect()} == {1: "/d/a(2).jpg", 3: "/d/c.jpg"}
+
+
+def test_prefixes_of_one_large_folder(spark):
+    """20,000 names that share eight characters and more: every cut name finds its own, in rows that grow with the names."""
+    names = spark.range(20000).selectExpr("'d' AS dir", "concat('IMG_20210704_', lpad(CAST(id AS STRING), 6, '0'), 'x.jpg') AS name", "id AS pos")
+    cut = spark.range(20000).selectExpr("id AS seq", "'d' AS dir", "concat('IMG_20210704_', lpad(CAST(id AS STRING), 6, '0'), '.json') AS name")
+    found = match.match_sidecars(cut, names)
+    assert found.filter("media_name = concat(substring(name, 1, 19), 'x.jpg') AND fuzzy AND candidate_count = 1").count() == 20000
+    keys = spark.createDataFrame([("d", "img_20210704_", None), ("d", "img_20210704_000007", None), ("d", "img_20210704_000007", "(1)")], "dir string, cut string, counter string")
+    hits = {(r.cut, r.counter): (r.hits, r.same) for r in match.prefix_hits(keys, names).collect()}
+    assert hits == {("img_20210704_", None): (20000, 0), ("img_20210704_000007", None): (1, 0)}
+
+
+def test_prefixes_hold_their_counter(spark):
+    names = spark.createDataFrame([("d", "DSC_long_a(1).JPG", 1), ("d", "DSC_long_a.JPG", 2), ("d", "DSC_long_b(2)(1).JPG", 3), ("d", "DSC_l", 4), ("e", "DSC_long_a(1).JPG", 5)], "dir string, name string, pos long")
+    keys = [("d", "dsc_long_", "(1)"), ("d", "dsc_long_", None), ("d", "dsc_long_a", None), ("d", "", None), ("d", "dsc_long_a", "(2)"), ("f", "dsc_long_a", None)]
+    hits = {(r.cut, r.counter): (r.hits, r.same, r.same_name) for r in match.prefix_hits(spark.createDataFrame(keys, "dir string, cut string, counter string"), names).collect()}
+    assert hits == {("dsc_long_", "(1)"): (2, 0, None), ("dsc_long_", None): (3, 0, None), ("dsc_long_a", None): (2, 1, "DSC_long_a.JPG")}
+
+
+def test_what_is_addressable_is_no_verdict_of_the_matcher(spark):
+    """A name beside a file of another extension is addressable, one that can't be parsed isn't, nor a counter that no file has."""
+    side = [(1, "d", "IMG_0001.jpg.json"), (2, "d", ".json"), (3, "d", "IMG_0002.jpg(1).json"), (4, "d", "IMG_0009.jpg.json"), (5, "d", "IMG_0003.jpg.json"), (6, "none", "IMG_0001.jpg.json")]
+    names = [("d", "IMG_0001.png", 1), ("d", "IMG_0002.jpg", 2), ("d", "IMG_0003.jpg", 3)]
+    s, m = spark.createDataFrame(side, "seq long, dir string, name string"), spark.createDataFrame(names, "dir string, name string, pos long")
+    matched = match.match_sidecars(s, m)
+    assert {r.seq for r in match.addressable(matched, m).collect()} == {1}
+    rates = match.match_rates(matched, m)
+    assert rates.first().asDict() == {
+        "total": 6, "name_resolvable": 5, "matched": 1, "fuzzy": 0, "ambiguous": 0, "unparseable": 1, "unmatched_pct": 83.3333, "addressable_unmatched": 1, "addressable_unmatched_pct": 50.0, "cross_directory": 0
+    }
+    assert not match.matcher_gate(rates).first().passed
+    other = matched.withColumn("media_name", F.when(F.col("seq") == 5, "elsewhere.jpg"))
+    assert match.matcher_gate(match.match_rates(other, m), 100.0).first().asDict()["cross_directory"] == 1
