@@ -67,11 +67,18 @@ def is_legal_offset(delta: Column) -> Column:
 
 
 def resolve_instant(readable: Column, clock: Column, offset: Column, claimed: Column) -> Column:
-    """Struct epoch, outcome: an instant from a wall clock, its offset, and a claimed epoch."""
+    """Struct epoch, outcome, detail: an instant from a wall clock, its offset, and a claimed epoch."""
 
     def at(naive: Column) -> Column:
         delta = claimed - naive
-        return let(_instant_outcome(readable, clock, offset, claimed, delta), lambda outcome: F.struct(F.when(outcome == "exif_offset", naive - offset).when(outcome == "google_corroborated", claimed).cast("long").alias("epoch"), outcome.alias("outcome")))
+        return let(
+            _instant_outcome(readable, clock, offset, claimed, delta),
+            lambda outcome: F.struct(
+                F.when(outcome == "exif_offset", naive - offset).when(outcome == "google_corroborated", claimed).cast("long").alias("epoch"),
+                outcome.alias("outcome"),
+                _instant_detail(outcome, clock, offset, claimed, delta).alias("detail"),
+            ),
+        )
 
     return let(clock_epoch(clock), at)
 
@@ -88,9 +95,35 @@ def _instant_outcome(readable: Column, clock: Column, offset: Column, claimed: C
     )
 
 
+def _instant_detail(outcome: Column, clock: Column, offset: Column, claimed: Column, delta: Column) -> Column:
+    """What the witnesses said, for people; empty where there was no clock."""
+    read = F.date_format(clock.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    both = F.concat(F.lit("exif "), read, F.lit(" vs google "), F.date_format(F.timestamp_seconds(claimed), "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00 — "), gap_text(delta))
+    return (
+        F.when(outcome == "exif_offset", F.concat(read, F.lit(" offset "), span_text(offset)))
+        .when(outcome == "no_offset_and_no_google_value", read)
+        .when(outcome == "google_corroborated", F.concat(read, F.lit(" + offset "), gap_text(delta)))
+        .when(outcome.isin("google_offset_not_quantised", "google_contradicts_exif"), both)
+        .otherwise("")
+    )
+
+
+def span_text(seconds: Column) -> Column:
+    """Hours, minutes and seconds; a negative span as days back and what lies ahead of them."""
+    days, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.when(days == 0, clock).otherwise(F.concat(days.cast("string"), F.when(F.abs(days) == 1, " day, ").otherwise(" days, "), clock))
+
+
 def gap_text(seconds: Column) -> Column:
-    """A distance in time for people: signed hours with two decimals, beyond two weeks whole days."""
-    return F.when(F.abs(seconds) <= 14 * 86400, F.format_string("%+.2fh", seconds / 3600.0)).otherwise(F.format_string("%.0fd", F.abs(seconds) / 86400.0))
+    """How far apart two readings of one moment are: signed hours where that is an offset that exists, with a
+    third decimal and the reason where it is none, and whole days beyond any offset."""
+    hours = seconds / 3600.0
+    return (
+        F.when(is_legal_offset(seconds), F.format_string("%+.2fh", hours))
+        .when(F.abs(seconds) <= MAX_OFFSET, F.format_string("gap %+.3fh is not a whole 15-minute offset", hours))
+        .otherwise(F.concat(F.bround(F.abs(seconds) / 86400.0).cast("long").cast("string"), F.lit("d apart")))
+    )
 
 
 def matches_own_clock(mtime: Column, clock: Column) -> Column:

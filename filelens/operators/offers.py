@@ -31,12 +31,20 @@ def completed(offers: DataFrame) -> DataFrame:
     return offers
 
 
+def log_order(log: DataFrame) -> Column:
+    """The order of a log's rows: by the time they were appended, if the log has it, then by number.
+
+    Numbers order the rows of one batch alone: entries of an archive and unmatched sidecars are numbered apart.
+    """
+    return F.struct("merge_time", "seq") if "merge_time" in log.columns else F.struct("seq")
+
+
 def targets_now(targets: DataFrame, log: DataFrame) -> DataFrame:
     """``targets`` as the logged merges left them: a date or place that was merged is there, an mtime is the last one set."""
     done = log.filter(F.col("field").isin("date", "gps", "merged_mtime_only"))
     epoch = F.when(F.col("field") != "gps", logged_epoch(F.col("value")))
     did = done.groupBy(F.col("target_path").alias("target")).agg(
-        F.bool_or(F.col("field") == "date").alias("got_date"), F.bool_or(F.col("field") == "gps").alias("got_gps"), F.max_by(epoch, F.when(epoch.isNotNull(), F.col("seq"))).alias("set_mtime")
+        F.bool_or(F.col("field") == "date").alias("got_date"), F.bool_or(F.col("field") == "gps").alias("got_gps"), F.max_by(epoch, F.when(epoch.isNotNull(), log_order(log))).alias("set_mtime")
     )
     rows = targets.join(did, "target", "left")
     either = lambda had, got: F.when(F.col(got), True).otherwise(F.col(had))
@@ -94,14 +102,16 @@ def change_sets(decisions: DataFrame, log: DataFrame, pending: DataFrame) -> tup
 
     Merges are logged each, a date that only the mtime took as ``merged_mtime_only``.
     Refusals are logged once for a target and exact document, pending rows once
-    while outstanding. seq is the offer's own place in the order.
+    while outstanding. seq is the offer's own place in the order of its source; what the log
+    knows an offer by is all of the row, as sources number their offers apart.
     """
     rows = decisions.withColumn("payload", payload_of())
     log_row = (F.col("offer_seq").alias("seq"), F.col("target").alias("target_path"), "source_desc")
     refused = rows.filter("state = 'already_present'").select(*log_row, F.lit("already_present").alias("field"), refusal(F.col("field"), F.col("value"), F.col("lat"), F.col("lon"), F.col("satisfied_by")).alias("value"))
     once = insert_once(log.filter("field = 'already_present'"), refused, ["target_path", "value"], "seq")
     merged = rows.filter(F.col("state").isin("merged", "merged_mtime_only")).select(*log_row, F.when(F.col("state") == "merged", F.col("field")).otherwise(F.col("state")).alias("field"), F.col("payload").alias("value"))
-    fresh = merged.join(log.select("seq", "target_path", "field").distinct(), ["seq", "target_path", "field"], "left_anti").select(*merged.columns)
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in merged.columns]
+    fresh = merged.alias("m").join(log.select(*merged.columns).alias("l"), same, "left_anti")
     waits = rows.filter("reason IS NOT NULL").select(
         F.col("offer_seq").alias("seq"), F.col("target").alias("file_path"), "field", F.col("payload").alias("value"), "reason", F.when(F.col("state") == "failed", "failed").otherwise("deferred").alias("state"), "source_desc"
     )
@@ -111,7 +121,7 @@ def change_sets(decisions: DataFrame, log: DataFrame, pending: DataFrame) -> tup
 def first_usable(log: DataFrame, epoch: Column) -> DataFrame:
     """path, epoch: the first logged epoch of each path that is there and not zero."""
     rows = log.withColumn("epoch", epoch).filter("epoch IS NOT NULL AND epoch <> 0")
-    return rows.groupBy(F.col("target_path").alias("path")).agg(F.min_by("epoch", "seq").alias("epoch"))
+    return rows.groupBy(F.col("target_path").alias("path")).agg(F.min_by("epoch", log_order(log)).alias("epoch"))
 
 
 def sidecar_offers(sidecars: DataFrame) -> DataFrame:

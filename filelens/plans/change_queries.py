@@ -63,10 +63,10 @@ def snk_16_set_titles(spark, d):
     return changes.set_titles(c.select("path", _text("t", k).alias("title")), new)
 
 
-_SET = f"{I._REPAIR}, z AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN fixed = CAST(mtime AS BIGINT) THEN 'already_correct' ELSE 'set' END AS decision FROM r)"
+_SET = f"{I._REPAIR}, z2 AS (SELECT path, decision FROM plan)"
 
 
-@query(f"WITH {_SET} SELECT path, mtime AS old_mtime, CAST(fixed AS DOUBLE) AS new_mtime, CASE WHEN seq % 2 = 0 THEN 'exif_offset' ELSE 'google_corroborated' END AS source, printf('%+.2fh', (fixed - mtime) / 3600.0) AS detail FROM z WHERE decision = 'set'")
+@query(f"WITH {I._REPAIR} SELECT path, old_mtime, CAST(epoch AS DOUBLE) AS new_mtime, reason AS source, detail FROM plan WHERE decision = 'set'")
 def snk_20_mtime_audit(spark, d):
     return capture.mtime_changes(I._repair(spark, d))
 
@@ -205,18 +205,22 @@ def win_09_first_candidates(spark, d):
 _STATES = ("merged", "merged_mtime_only", "deferred", "failed", "already_present")
 _HAS = {"merged": "state = 'merged'", "merged_mtime_only": "state = 'merged_mtime_only'", "deferred": "state <> 'already_present'", "failed": "false", "already_present": "state = 'already_present'"}
 _OUTCOME = _json({k: f"CASE WHEN {_HAS[k]} THEN '[\"date\"]' ELSE '[]' END" for k in _STATES} | {"media_name": _quoted("media_name"), "relocated": "relocated"})
+# Every fifth target was given a date before, by an offer of another source that has the number of its first sidecar here.
 _APPLIED = f"""{I._REBIND}, bound AS (SELECT seq, target, media_name, relocated, 1000 + (seq % 10000000) % 3 AS value, CAST(regexp_extract(target, '([0-9]+)$', 1) AS BIGINT) AS pos FROM plan WHERE decision = 'bound'),
-  st AS (SELECT *, CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 3 = 0 OR row_number() OVER (PARTITION BY target ORDER BY seq) > 1 THEN 'already_present' ELSE 'merged' END WHEN value = coalesce(lag(value) OVER (PARTITION BY target ORDER BY seq), 1000) THEN 'already_present' ELSE 'merged_mtime_only' END AS state FROM bound),
+  st AS (SELECT *, CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 3 = 0 OR pos % 5 = 1 OR row_number() OVER (PARTITION BY target ORDER BY seq) > 1 THEN 'already_present' ELSE 'merged' END WHEN value = coalesce(lag(value) OVER (PARTITION BY target ORDER BY seq), CASE WHEN pos % 5 = 1 THEN 1001 ELSE 1000 END) THEN 'already_present' ELSE 'merged_mtime_only' END AS state FROM bound),
   doc AS (SELECT seq, target, {_OUTCOME} AS outcome FROM st)"""
 
 
 def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     plan = I._rebind(spark, d)
     pos = F.regexp_extract("target", "([0-9]+)$", 1).cast("bigint")
-    targets = plan.filter("target IS NOT NULL").select("target").distinct().select("target", F.when(pos % 2 == 0, "jpeg").otherwise("mp4").alias("container"), F.lit(True).alias("exif_ok"), (pos % 3 == 0).alias("has_date"), F.lit(False).alias("has_gps"), F.lit(1000.0).alias("mtime"))
+    bound = plan.filter("target IS NOT NULL").groupBy("target").agg((F.min(F.when(F.col("decision") == "bound", F.col("seq"))) * 2).alias("seq"))
+    jpeg = pos % 2 == 0
+    targets = bound.select("target", F.when(jpeg, "jpeg").otherwise("mp4").alias("container"), F.lit(True).alias("exif_ok"), (pos % 3 == 0).alias("has_date"), F.lit(False).alias("has_gps"), F.lit(1000.0).alias("mtime"))
+    earlier = bound.filter(pos % 5 == 1).select("seq", F.col("target").alias("target_path"), F.lit("takeout:earlier").alias("source_desc"), F.when(jpeg, "date").otherwise("merged_mtime_only").alias("field"), F.lit('{"utc_epoch":1001}').alias("value"))
     none = F.lit(None).cast("string")
     side = I._unmatched(spark, d).withColumns({"sidecar_path": F.concat_ws("/", "archive_dir", "entry_name"), "rebound_at": F.lit(None).cast("timestamp"), "rebound_path": none, "rebound_outcome": none})
-    return match.apply_rebind(plan, side, targets, I._no_log(spark), I._no_pending(spark), F.lit("2026-08-04 00:00:00").cast("timestamp"))
+    return match.apply_rebind(plan, side, targets, earlier, I._no_pending(spark), F.lit("2026-08-04 00:00:00").cast("timestamp"))
 
 
 @query(f"WITH {_APPLIED} SELECT p.seq, doc.target AS rebound_path, doc.outcome AS rebound_outcome FROM plan p LEFT JOIN doc ON doc.seq = CASE p.decision WHEN 'bound' THEN p.seq WHEN 'duplicate' THEN p.first_seq END")
@@ -225,6 +229,12 @@ def dec_08_apply_rebind(spark, d):
     return _applied(spark, d)[0].select("seq", "rebound_path", "rebound_outcome")
 
 
-@query(f"WITH {_APPLIED} SELECT seq * 2 AS seq, target AS target_path, CASE WHEN state = 'merged' THEN 'date' ELSE state END AS field FROM st WHERE state <> 'already_present' OR (target, value) IN (SELECT target, value FROM st WHERE state = 'already_present' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY target, CASE WHEN state = 'already_present' THEN value ELSE -seq END ORDER BY seq) = 1")
+_ISO = "strftime(make_timestamp(value * 1000000), '%Y-%m-%dT%H:%M:%S')"
+
+
+@query(f"""WITH {_APPLIED}, l AS (SELECT st.*, un.dir || '/' || un.name AS path, CASE WHEN state = 'already_present' THEN '{{"field":"date","offered":{{"utc_epoch":' || value || '}},"satisfied_by":"' || CASE WHEN pos % 2 = 0 THEN 'exif_date' ELSE 'mtime' END || '"}}'
+    ELSE '{{"datetime_local":"' || {_ISO} || '","offset":"+00:00","utc":"' || {_ISO} || '+00:00","utc_epoch":' || value || ',"tz":null,"tz_source":"utc_fallback"}}' END AS doc FROM st JOIN twice un ON un.seq = st.seq)
+  SELECT seq * 2 AS seq, target AS target_path, 'takeout:' || path AS source_desc, CASE WHEN state = 'merged' THEN 'date' ELSE state END AS field, doc AS value FROM l QUALIFY row_number() OVER (PARTITION BY target, CASE WHEN state = 'already_present' THEN doc ELSE CAST(seq AS VARCHAR) END ORDER BY seq) = 1""")
 def snk_05_rebind_log(spark, d):
-    return _applied(spark, d)[1].select("seq", "target_path", "field")
+    """A row for every merge, over a log that has rows of the same numbers from another source; refusals once."""
+    return _applied(spark, d)[1].select("seq", "target_path", "source_desc", "field", "value")

@@ -55,7 +55,7 @@ def qc_11_count_differences(spark, d):
     return reports.count_differences(found, expected, ["archive_id"])
 
 
-@query(f"WITH {H._SET}, last AS (SELECT CASE WHEN count(*) = 5 THEN max(path) END AS p FROM (SELECT path FROM z WHERE decision = 'set' ORDER BY path LIMIT 5)) SELECT path, decision FROM z, last WHERE p IS NULL OR path <= p")
+@query(f"WITH {H._SET}, last AS (SELECT CASE WHEN count(*) = 5 THEN max(path) END AS p FROM (SELECT path FROM z2 WHERE decision = 'set' ORDER BY path LIMIT 5)) SELECT path, decision FROM z2, last WHERE p IS NULL OR path <= p")
 def srt_04_bounded_run(spark, d):
     """A repair that stops once five files were set."""
     return reports.bounded_run(I._repair(spark, d), "path", F.col("decision") == "set", 5).select("path", "decision")
@@ -129,9 +129,15 @@ def dt_07_zone_offset(spark, d):
     return V.table(spark, d, "events").select("event_id", zone_offset(F.lit(1625421600) + (i % 2) * 15811200, zone).cast("int").alias("seconds"))
 
 
-@query("SELECT event_id, CASE WHEN abs(s) <= 14 * 86400 THEN printf('%+.2fh', s / 3600.0) ELSE printf('%.0fd', abs(s) / 86400.0) END AS gap FROM (SELECT event_id, (event_id % 400 - 200) * 9000 AS s FROM events)")
+@query("""SELECT event_id, CASE WHEN abs(s) <= 50400 AND abs(s - round_even(s / 900.0, 0) * 900) <= 60 THEN printf('%+.2fh', s / 3600.0) WHEN abs(s) <= 50400 THEN 'gap ' || printf('%+.3fh', s / 3600.0) || ' is not a whole 15-minute offset'
+  ELSE CAST(round_even(abs(s) / 86400.0, 0) AS BIGINT) || 'd apart' END AS gap FROM (SELECT event_id, (event_id % 400 - 200) * 1236 AS s FROM events UNION ALL SELECT -event_id, (event_id % 400 - 200) * 43200 FROM events UNION ALL SELECT event_id + 100000000, (event_id % 120 - 60) * 900 + event_id % 3 * 60 FROM events)""")
 def dt_13_gap_text(spark, d):
-    return V.table(spark, d, "events").select("event_id", gap_text((F.col("event_id") % 400 - 200) * 9000).alias("gap"))
+    """Gaps of odd seconds, of half days and of whole quarters of an hour within and beyond a minute."""
+    i = F.col("event_id")
+    e = V.table(spark, d, "events").select("event_id")
+    far = e.select((-i).alias("event_id"), ((i % 400 - 200) * 43200).alias("s"))
+    whole = e.select((i + 100000000).alias("event_id"), ((i % 120 - 60) * 900 + i % 3 * 60).alias("s"))
+    return e.select("event_id", ((i % 400 - 200) * 1236).alias("s")).unionByName(far).unionByName(whole).select("event_id", gap_text(F.col("s")).alias("gap"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) <= 65536 THEN sha256(text) ELSE sha256(encode(text)[strlen(text) - 4095:strlen(text)]) END AS tail FROM documents")

@@ -456,7 +456,9 @@ _ADOPT = """a AS (SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 150000000
     WHEN sm = false THEN 'source_mtime_disagrees_with_its_own_exif' WHEN sm IS NULL AND src BETWEEN 1785715200 AND 1785974400 THEN 'source_mtime_also_from_ingest_window' END AS reason FROM l)"""
 
 
-@query(f"WITH {_ADOPT} SELECT id, reason, CAST(CASE WHEN reason IS NULL THEN src END AS BIGINT) AS adopted FROM v")
+@query(f"""WITH {_ADOPT} SELECT id, reason, CAST(CASE WHEN reason IS NULL THEN src END AS BIGINT) AS adopted, CASE reason WHEN 'stat_failed' THEN '' WHEN 'survivor_mtime_not_clobbered' THEN CASE WHEN dm THEN 'survivor mtime sits a legal UTC offset from its own EXIF, so it describes the capture' ELSE 'no EXIF to check against and 2017-07-14 is outside the Takeout ingest window; it may be legitimate' END
+  WHEN 'source_mtime_implausible' THEN '1970-01-01T00:01:40' WHEN 'source_mtime_disagrees_with_its_own_exif' THEN 'gap is not a whole 15-minute offset' WHEN 'source_mtime_also_from_ingest_window' THEN ''
+  ELSE strftime(make_timestamp(CAST(dst AS BIGINT) * 1000000), '%Y-%m-%d') || ' (ingest) -> ' || strftime(make_timestamp(CAST(src AS BIGINT) * 1000000), '%Y-%m-%d') || ' (source)' END AS detail FROM v""")
 def dec_06_mtime_adoption(spark, d):
     i = F.col("event_id")
     clock = F.timestamp_seconds(F.lit(1500000000)).cast("timestamp_ntz")
@@ -466,27 +468,46 @@ def dec_06_mtime_adoption(spark, d):
     return capture.mtime_adoption(pairs, now=1900000000)
 
 
-_REPAIR = f"""{V.FILES}, r AS (SELECT *, CASE WHEN seq % 13 = 7 THEN 'missing' WHEN seq % 9 = 8 THEN 'no_readable_exif' WHEN seq % 9 = 7 THEN 'no_datetimeoriginal' WHEN seq % 2 = 1 AND seq % 5 = 0 THEN 'no_offset_and_no_google_value'
-    WHEN seq % 10 = 0 THEN 'size_changed' WHEN seq % 17 = 3 THEN 'content_changed' END AS why, CASE WHEN seq % 2 = 0 THEN CAST(mtime AS BIGINT) + CASE WHEN seq % 3 = 0 THEN 0 ELSE 3600 END ELSE CAST(mtime AS BIGINT) - 7200 + 3600 END AS fixed FROM files WHERE mtime BETWEEN 1785715200 AND 1785974400)"""
-
-
-@query(f"WITH {_REPAIR}, z AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN fixed = CAST(mtime AS BIGINT) THEN 'already_correct' ELSE 'set' END AS decision FROM r) SELECT path, decision, coalesce(why, CASE WHEN seq % 2 = 0 THEN 'exif_offset' ELSE 'google_corroborated' END) AS reason, CASE WHEN decision = 'set' THEN fixed END AS new_mtime, mtime AS old_mtime FROM z")
+# What is on disk is V.LISTING; a text of fifteen hundred bytes has its head for a tail. Head digests differ for some, tails for others.
+_REPAIR = f"""{V.FILES}, disk AS (SELECT doc_id AS seq, CAST(strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size, CAST(({V.DOC_MTIME} + CASE WHEN doc_id % 10 = 1 THEN 5 ELSE 0 END) AS BIGINT) AS now_mtime, doc_id % 17 = 3 AS changed FROM documents WHERE doc_id % 13 <> 7),
+  w AS (SELECT f.seq, f.path, CAST(f.mtime AS BIGINT) AS m, f.size, f.digest_full, d.size AS now_size, now_mtime, changed, f.seq % 9 <> 8 AS readable, f.seq % 2 = 0 AS own,
+    CASE WHEN f.seq % 9 <> 7 THEN CASE WHEN f.seq % 2 = 0 THEN CAST(f.mtime AS BIGINT) + CASE WHEN f.seq % 3 = 0 THEN 0 ELSE 3600 END - 3600 ELSE CAST(f.mtime AS BIGINT) - 7200 END END AS clock, CASE f.seq % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(f.mtime AS BIGINT) - 7200 + 3637 * 7 WHEN 2 THEN 1000000000 ELSE CAST(f.mtime AS BIGINT) - 3600 END AS claimed
+    FROM files f LEFT JOIN disk d ON d.seq = f.seq WHERE f.mtime BETWEEN 1785715200 AND 1785974400),
+  o AS (SELECT *, claimed - clock AS gap, strftime(make_timestamp(clock * 1000000), '%Y-%m-%d %H:%M:%S') AS shown, strftime(make_timestamp(claimed * 1000000), '%Y-%m-%d %H:%M:%S') AS said FROM w),
+  i AS (SELECT *, CASE WHEN NOT readable THEN 'no_readable_exif' WHEN clock IS NULL THEN 'no_datetimeoriginal' WHEN own THEN 'exif_offset' WHEN claimed IS NULL THEN 'no_offset_and_no_google_value'
+    WHEN gap = 3600 THEN 'google_corroborated' WHEN gap = 25459 THEN 'google_offset_not_quantised' ELSE 'google_contradicts_exif' END AS outcome FROM o),
+  g AS (SELECT *, CASE outcome WHEN 'exif_offset' THEN clock + 3600 WHEN 'google_corroborated' THEN claimed END AS epoch,
+    CASE outcome WHEN 'exif_offset' THEN shown || ' offset -1 day, 23:00:00' WHEN 'no_offset_and_no_google_value' THEN shown WHEN 'google_corroborated' THEN shown || ' + offset +1.00h'
+      WHEN 'google_offset_not_quantised' THEN 'exif ' || shown || ' vs google ' || said || '+00:00 — gap ' || printf('%+.3fh', gap / 3600.0) || ' is not a whole 15-minute offset'
+      WHEN 'google_contradicts_exif' THEN 'exif ' || shown || ' vs google ' || said || '+00:00 — ' || CAST(round_even(abs(gap) / 86400.0, 0) AS BIGINT) || 'd apart' ELSE '' END AS words FROM i),
+  h AS (SELECT *, CASE WHEN size <> now_size THEN format('size {{:,}} != db {{:,}}', now_size, size) WHEN seq % 23 <> 5 AND changed THEN 'head digest db ' || digest_full[1:16] || ' != disk ' || sha256('changed' || seq)[1:16] END AS differs FROM g),
+  z AS (SELECT *, CASE WHEN now_size IS NULL THEN 'file_missing' WHEN epoch IS NULL THEN outcome WHEN differs IS NOT NULL THEN 'hash_mismatch' END AS why FROM h),
+  plan AS (SELECT seq, path, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN epoch = now_mtime THEN 'already_correct' ELSE 'set' END AS decision, coalesce(why, outcome) AS reason,
+    CASE WHEN now_size IS NULL THEN '' WHEN epoch IS NULL THEN words ELSE coalesce(differs, words) END AS detail, CAST(now_mtime AS DOUBLE) AS old_mtime, epoch FROM z)"""
+
+
+@query(f"WITH {_REPAIR} SELECT path, decision, reason, detail, CAST(CASE WHEN decision = 'set' THEN epoch END AS BIGINT) AS new_mtime, old_mtime FROM plan")
 def dec_07_repair_plan(spark, d):
+    """Files that are gone, have grown or have other bytes; clocks without offsets beside claims that fit, don't fit or are far off; rows without a head digest."""
     return _repair(spark, d)
 
 
 def _repair(spark: SparkSession, d: str) -> DataFrame:
-    files = V.files(spark, d).withColumn("digest_head", F.col("digest_full")).withColumn("digest_tail", F.col("digest_full"))
-    now = V.listing(spark, d).select("path", F.col("size").alias("now_size"), F.col("digest_full").alias("now_full"), F.col("digest_full").alias("now_head"), F.col("digest_full").alias("now_tail"))
-    seq, m = F.col("seq"), F.col("mtime").cast("bigint")
+    seq = F.col("seq")
+    head = F.when(seq % 23 != 5, F.col("digest_full"))
+    files = V.files(spark, d).withColumns({"digest_head": head, "digest_tail": head})
+    disk = V.listing(spark, d).join(files.select("path", "seq", F.col("digest_full").alias("was")), "path")
+    now = F.when(F.col("digest_full") == F.col("was"), F.col("was")).otherwise(F.sha2(F.concat(F.lit("changed"), seq.cast("string")), 256))
+    disk = disk.select("path", F.col("size").alias("now_size"), now.alias("now_full"), now.alias("now_head"), now.alias("now_tail"), F.col("mtime").alias("now_mtime"))
+    m = F.col("mtime").cast("bigint")
     own = F.when(seq % 2 == 0, m + F.when(seq % 3 == 0, 0).otherwise(3600) - 3600).otherwise(m - 7200)
     clock = F.when(seq % 9 != 7, F.timestamp_seconds(own).cast("timestamp_ntz"))
     clocks = files.select("path", (seq % 9 != 8).alias("readable"), clock.alias("clock"), F.when(seq % 2 == 0, -3600).alias("offset"))
-    epochs = files.filter("seq % 5 <> 0").select("path", (m - 7200 + 3600).alias("epoch"))
-    return capture.repair_plan(files, now, clocks, epochs)
+    claimed = F.when(seq % 5 == 1, m - 7200 + 3637 * 7).when(seq % 5 == 2, 1000000000).otherwise(m - 3600)
+    return capture.repair_plan(files, disk, clocks, files.filter("seq % 5 <> 0").select("path", claimed.alias("epoch")))
 
 
-@query(f"WITH {_REPAIR}, z AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN fixed = CAST(mtime AS BIGINT) THEN 'already_correct' ELSE 'set' END AS decision FROM r) SELECT decision, coalesce(why, CASE WHEN seq % 2 = 0 THEN 'exif_offset' ELSE 'google_corroborated' END) AS reason, count(*) AS n FROM z GROUP BY ALL")
+@query(f"WITH {_REPAIR} SELECT decision, reason, count(*) AS n FROM plan GROUP BY ALL")
 def agg_17_repair_stats(spark, d):
     return _repair(spark, d).groupBy("decision", "reason").agg(F.count("*").alias("n"))
 

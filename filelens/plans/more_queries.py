@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filelens.functions.media import EXIF_READABLE, EXIF_WRITABLE, container_of
 from filelens.functions.paths import basename, suffix
-from filelens.operators import changes, folder, offers
+from filelens.operators import capture, changes, folder, offers
 from filelens.plans import views as V
 from filelens.plans.registrar import Query, registrar
 
@@ -27,22 +27,26 @@ def agg_21_extension_vs_container(spark, d):
     return rows.groupBy("ext", "container", F.col("container").isin(*EXIF_WRITABLE).alias("writable"), F.col("container").isin(*EXIF_READABLE).alias("readable")).agg(F.count("*").alias("n"))
 
 
-_SRC = "{\"what\":\"provenance\",\"from\":\"source_file\",\"detail\":\"/src/' || c_custkey || '\"}"
+# By customer: 0 a whole date and a place that was there, 1 a date that only the mtime took, 2 a place that failed, 3 an assumed date, 4 nothing.
+_TOOK = """CASE c_custkey % 5 WHEN 0 THEN '{"what":"date","from":"duplicate_exif","detail":""},' WHEN 1 THEN '{"what":"date","from":"duplicate_exif","detail":"written as mtime; container cannot hold EXIF"},' WHEN 3 THEN '{"what":"date","from":"duplicate_exif","detail":""},' ELSE '' END"""
+_LEFT = """CASE c_custkey % 5 WHEN 0 THEN '{"what":"gps","reason":"survivor_already_has_it","detail":""}' WHEN 1 THEN '{"what":"date","reason":"deferred_container_cannot_hold_it","detail":""}' WHEN 2 THEN '{"what":"gps","reason":"write_failed","detail":""}' WHEN 3 THEN '{"what":"date","reason":"deferred_container_cannot_hold_it","detail":""}' END"""
 
 
 @query(
     f"""SELECT c_custkey AS id, '/v/' || c_custkey AS survivor_path, CASE WHEN c_custkey % 2 = 0 THEN 'digest_full' ELSE 'digest_source' END AS matched_on,
-  '[{_SRC}' || CASE WHEN c_custkey % 3 = 0 THEN ',{{"what":"date","from":"source_file","detail":null}}' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ',{{"what":"mtime","from":"source_file","detail":"' || (c_custkey + 1000) || '"}}' ELSE '' END || ']' AS adopted,
-  '[' || CASE WHEN c_custkey % 3 = 1 THEN '{{"what":"gps","from":"already_present","detail":null}}' ELSE '' END || CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 1 THEN ',' ELSE '' END || CASE WHEN c_custkey % 5 = 1 THEN '{{"what":"mtime","from":"stat_failed","detail":null}}' ELSE '' END || ']' AS declined FROM customer"""
+  '[' || {_TOOK} || CASE WHEN c_custkey % 7 = 0 THEN '{{"what":"mtime","from":"source_file","detail":"2026-08-03 (ingest) -> 2020-09-13 (source)"}},' ELSE '' END || '{{"what":"provenance","from":"source_root","detail":"also present at /src/' || c_custkey || '.jpg"}}]' AS adopted,
+  '[' || concat_ws(',', {_LEFT}, CASE WHEN c_custkey % 7 = 1 THEN '{{"what":"mtime","reason":"stat_failed","detail":"no such file"}}' END) || ']' AS declined FROM customer"""
 )
 def dec_05_collapse_records(spark, d):
     k = F.col("c_custkey")
     c = V.table(spark, d, "customer")
     name = k.cast("string")
-    pairs = c.select(k.alias("id"), F.concat(F.lit("/v/"), name).alias("survivor_path"), F.when(k % 2 == 0, "digest_full").otherwise("digest_source").alias("matched_on"), F.concat(F.lit("/src/"), name).alias("source_path"))
-    offered = c.filter(k % 3 != 2).select(k.alias("id"), F.when(k % 3 == 0, "date").otherwise("gps").alias("field"), F.when(k % 3 == 0, "merged").otherwise("already_present").alias("state"))
-    mtimes = c.filter(k % 5 < 2).select(k.alias("id"), F.when(k % 5 == 1, "stat_failed").alias("reason"), F.when(k % 5 == 0, k + 1000).alias("adopted"))
-    return folder.collapse_records(pairs, offered, mtimes)
+    pairs = c.select(k.alias("id"), F.concat(F.lit("/v/"), name).alias("survivor_path"), F.when(k % 2 == 0, "digest_full").otherwise("digest_source").alias("matched_on"), F.lit("/src").alias("source_root"), F.concat(name, F.lit(".jpg")).alias("rel"))
+    offer = lambda of, field, state, reason=None: c.filter(k % 5 == of).select(k.alias("id"), F.lit(field).alias("field"), F.lit(state).alias("state"), F.lit(reason).cast("string").alias("reason"))
+    offered = offer(0, "date", "merged").unionByName(offer(0, "gps", "already_present")).unionByName(offer(1, "date", "merged_mtime_only", "unsupported_mp4"))
+    offered = offered.unionByName(offer(2, "gps", "failed", "failed_unparseable")).unionByName(offer(3, "date", "merged", "tz_unknown_assumed_utc"))
+    stats = c.filter(k % 7 < 2).select(k.alias("id"), F.when(k % 7 == 0, 1600000000).cast("bigint").alias("src_mtime"), F.lit(1785800000).cast("bigint").alias("dst_mtime"), F.lit(None).cast("timestamp_ntz").alias("src_clock"), F.lit(None).cast("timestamp_ntz").alias("dst_clock"), F.lit("no such file").alias("error"))
+    return folder.collapse_records(pairs, offered, capture.mtime_adoption(stats, now=1900000000))
 
 
 @query("WITH r AS (SELECT c_custkey, c_custkey % 30 AS t FROM customer), o AS (SELECT '/t/' || t AS target, 'date' AS field, c_custkey + 5 AS value, 1 AS turn, '/s/' || c_custkey AS source FROM r WHERE c_custkey % 3 = 0 UNION ALL SELECT '/t/' || t, 'date', c_custkey + 9, 2, '/s/' || c_custkey FROM r WHERE c_custkey % 5 = 0) SELECT target, field, value, row_number() OVER (PARTITION BY target, field ORDER BY turn, source) AS offer_seq, CASE turn WHEN 1 THEN 'takeout:' ELSE 'file:' END || source AS source_desc, CASE turn WHEN 1 THEN 'utc_fallback' ELSE 'source_file' END AS tz_source, CASE turn WHEN 1 THEN '+00:00' ELSE '+02:00' END AS zone_offset FROM o")

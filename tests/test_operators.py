@@ -7,6 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from filelens import schema
+from filelens.functions import times
 from filelens.operators import capture, changes, dedup, folder, ingest, match, offers, reports
 from filelens.sources import archive, exif, listing, lookups, records
 from filelens.storage import stored
@@ -439,3 +440,71 @@ def test_what_is_addressable_is_no_verdict_of_the_matcher(spark):
     assert not match.matcher_gate(rates).first().passed
     other = matched.withColumn("media_name", F.when(F.col("seq") == 5, "elsewhere.jpg"))
     assert match.matcher_gate(match.match_rates(other, m), 100.0).first().asDict()["cross_directory"] == 1
+
+
+def test_a_merge_is_logged_whatever_numbers_the_log_has(spark):
+    """An ingest numbers its entries and a rebind its sidecars: equal numbers are no equal offers."""
+    t = spark.createDataFrame([("/v/1", "mp4", True, None, None, 100.0)], TARGET)
+    log = spark.createDataFrame([(4, "/v/1", "takeout:a", "merged_mtime_only", '{"utc_epoch":100}')], "seq long, target_path string, source_desc string, field string, value string")
+    offer = spark.createDataFrame([("/v/1", "date", 200, 4, None, None)], OFFER).withColumn("source_desc", F.lit("takeout:b"))
+    pending = spark.createDataFrame([], "file_path string, field string, value string, applied_at timestamp")
+    decided = offers.evaluate_offers(offer, offers.targets_now(t, log))
+    new_log, waits = offers.change_sets(decided, log, pending)
+    assert [(r.seq, r.source_desc, r.field, json.loads(r.value)["utc_epoch"]) for r in new_log.collect()] == [(4, "takeout:b", "merged_mtime_only", 200)] and waits.count() == 1
+    both = log.unionByName(new_log)
+    assert offers.change_sets(decided, both, pending)[0].count() == 0  # the same offer again
+    nameless = decided.withColumn("source_desc", F.lit(None).cast("string"))
+    once = offers.change_sets(nameless, both, pending)[0]
+    assert once.count() == 1 and offers.change_sets(nameless, both.unionByName(once), pending)[0].count() == 0
+
+
+def test_the_log_is_ordered_by_time_before_numbers(spark):
+    rows = [(1000, "/v/1", "takeout:a", "merged_mtime_only", '{"utc_epoch":100}', datetime(2026, 8, 4, 1)), (4, "/v/1", "takeout:b", "merged_mtime_only", '{"utc_epoch":200}', datetime(2026, 8, 4, 2))]
+    log = spark.createDataFrame(rows, "seq long, target_path string, source_desc string, field string, value string, merge_time timestamp")
+    t = spark.createDataFrame([("/v/1", "mp4", True, None, None, 5.0)], TARGET)
+    assert offers.targets_now(t, log).first().mtime == 200.0
+    assert offers.targets_now(t, log.drop("merge_time")).first().mtime == 100.0
+    assert offers.first_usable(log, F.get_json_object("value", "$.utc_epoch").cast("long")).first().epoch == 100
+
+
+def test_guard_by_head_and_tail_or_by_full_digest(spark):
+    """A full digest that is known to differ counts in full mode alone; what a row doesn't hold isn't compared."""
+    cols = "path string, size long, digest_full string, digest_head string, digest_tail string, now_size long, now_full string, now_head string, now_tail string"
+    rows = [("same", 9000, "F", "H", "T", 9000, "F", "H", "T"), ("middle", 9000, "F", "H", "T", 9000, "OTHER", "H", "T"), ("head", 9000, "F", "H", "T", 9000, "F", "X" * 20, "T"), ("unknown", 9000, "F", None, None, 9000, "F", "H", "T"), ("short", 100, "F", "H", "H", 100, "F", "H", "T"), ("size", 1234567, "F", "H", "T", 9000, "F", "H", "T"), ("nosize", None, None, "H", "T", 9000, "F", "H", "T")]
+    df = spark.createDataFrame(rows, cols)
+    quick, full = ({r.path: r.d for r in df.select("path", capture.content_guard(f).alias("d")).collect()} for f in (False, True))
+    assert quick == {"same": None, "middle": None, "head": "head digest db H != disk " + "X" * 16, "unknown": None, "short": None, "size": "size 9,000 != db 1,234,567", "nosize": None}
+    assert full == {"same": None, "middle": "full digest db F != disk OTHER", "head": None, "unknown": None, "short": None, "size": "size 9,000 != db 1,234,567", "nosize": "full digest db none != disk F"}
+
+
+def test_siblings_of_one_crowded_folder(spark):
+    """100,000 photos of one folder within 12 hours: each asks at three places, none is paired."""
+    photos = spark.range(100000).selectExpr("id", "'d' AS dir", "1625421600 + id % 43200 AS epoch", "CASE WHEN id % 2 = 0 THEN 3600 END AS offset")
+    found = capture.sibling_offsets(photos.select("id", "dir", "epoch"), photos.select("dir", "epoch", "offset"))
+    assert found.filter("sibling_offset = 3600").count() == 100000
+    spread = spark.createDataFrame([(1, "d", 0), (2, "d", 43200), (3, "d", 86400), (4, "d", -1), (5, "e", 0), (6, "d", None)], "id long, dir string, epoch long")
+    known = spark.createDataFrame([("d", 0, 1), ("d", 86401, 2)], "dir string, epoch long, offset int")
+    assert {r.id: r.sibling_offset for r in capture.sibling_offsets(spread, known).collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
+
+
+def test_words_for_instants(spark):
+    clock = F.lit("2021-07-04 13:00:00").cast("timestamp_ntz")
+    rows = spark.createDataFrame([(-21600, None), (20700, None), (None, None), (None, 1625421600), (None, 1625405461), (None, 1625421600 + 86400 * 3)], "offset int, claimed long")
+    got = [r.d for r in rows.select(times.resolve_instant(F.lit(True), clock, F.col("offset"), F.col("claimed"))["detail"].alias("d")).collect()]
+    assert got == [
+        "2021-07-04 13:00:00 offset -1 day, 18:00:00",
+        "2021-07-04 13:00:00 offset 5:45:00",
+        "2021-07-04 13:00:00",
+        "2021-07-04 13:00:00 + offset +5.00h",
+        "exif 2021-07-04 13:00:00 vs google 2021-07-04 13:31:01+00:00 — gap +0.517h is not a whole 15-minute offset",
+        "exif 2021-07-04 13:00:00 vs google 2021-07-07 18:00:00+00:00 — 3d apart",
+    ]
+
+
+def test_a_dry_run_claims_nothing(spark):
+    pairs = spark.createDataFrame([(1, "/v/a", "digest_full", "/src", "x/a.jpg")], "id long, survivor_path string, matched_on string, source_root string, rel string")
+    none = spark.createDataFrame([], "id long, field string, state string")
+    times_ = spark.createDataFrame([], "id long, reason string, adopted long, detail string")
+    row = folder.collapse_records(pairs, none, times_, attempted=False).first()
+    assert json.loads(row.adopted) == [{"what": "provenance", "from": "source_root", "detail": "also present at /src/x/a.jpg"}]
+    assert json.loads(row.declined) == [{"what": "exif_merge", "reason": "dry_run", "detail": "not attempted"}]
