@@ -24,15 +24,6 @@ SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 IN_A_ROW = f"{SPACE}{SPACE}|^{SPACE}|{SPACE}$"
 SAFE_CUT = regex.compile(r" (?=\S)")
 HAS_SPACE = re.compile(r"\s")
-MARKS = ".,;:!?*$%&#|"
-
-
-def stem_and_marks(piece: str) -> tuple[str, str]:
-    """A piece cut before the marks at its end, where a Latin letter stands before them: there the pattern always cuts."""
-    stem = piece.rstrip(MARKS)
-    if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1] < "ɐ":
-        return stem, piece[len(stem) :]
-    return piece, ""
 
 
 def text_groups(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
@@ -46,37 +37,41 @@ def text_groups(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
         at = end
 
 
+class _Kept:
+    """Packed ids by piece, two generations of Arrow arrays: once more than ``most`` are kept, those not asked for again are forgotten."""
+
+    def __init__(self, encode: Callable[[pa.Array], list[bytes]], most: int):
+        self.encode, self.most = encode, most
+        self.names, self.packed = self.old = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def _add(self, names: pa.Array, packed: pa.Array) -> None:
+        self.names, self.packed = pa.concat_arrays([self.names, names]), pa.concat_arrays([self.packed, packed])
+
+    def look_up(self, pieces: pa.Array) -> pa.Array:
+        """Packed ids of distinct pieces."""
+        if len(self.names) > self.most:
+            self.old, self.names, self.packed = (self.names, self.packed), *(x.slice(0, 0) for x in self.old)
+        at = pc.index_in(pieces, value_set=self.names)
+        if at.null_count:
+            missing = pieces.filter(at.is_null())
+            if len(self.old[0]) and (again := pc.index_in(missing, value_set=self.old[0])).null_count < len(missing):
+                self._add(missing.filter(again.is_valid()), self.old[1].take(again.drop_null()))
+                missing = missing.filter(again.is_null())
+            self._add(missing, pa.array(self.encode(missing), pa.binary()))
+            at = pc.index_in(pieces, value_set=self.names)
+        return self.packed.take(at)
+
+
 class PieceTable:
     """Packed ids of texts, by pieces. ``encode_new`` packs the ids of pieces, ``encode_whole`` those of a text with special tokens.
 
-    Once more than ``most`` pieces are kept, those that aren't asked for again are forgotten.
+    Pieces are told apart by their text and whether a space stands before it; about ``most`` are kept of either kind.
     """
 
     def __init__(self, special: Iterable[str], encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], most: int):
-        self.special, self.encode_new, self.encode_whole, self.most = list(special), encode_new, encode_whole, most
-        self.kept: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}  # what was kept before; asked for again, it is kept again
-
-    def _known(self, piece: str) -> bytes | None:
-        if (known := self.kept.get(piece)) is None and (known := self.older.get(piece)) is not None:
-            self.kept[piece] = known
-        return known
-
-    def look_up(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of distinct pieces."""
-        if len(self.kept) > self.most:
-            self.kept, self.older = {"": b""}, self.kept
-        found = [self._known(p) for p in pieces]
-        missing = [i for i, f in enumerate(found) if f is None]
-        if missing:
-            cut = [stem_and_marks(pieces[i]) for i in missing]
-            parts = [p for p in dict.fromkeys(x for pair in cut for x in pair) if self._known(p) is None]
-            self.kept.update(zip(parts, self.encode_new(parts), strict=True))
-            for i, (stem, marks) in zip(missing, cut, strict=True):
-                found[i] = self.kept[stem] + self.kept[marks]
-                if marks:
-                    self.kept[pieces[i]] = found[i]
-        return found
+        self.special, self.encode_whole = list(special), encode_whole
+        self.bare = _Kept(lambda names: encode_new(names.to_pylist()), most)
+        self.spaced = _Kept(lambda names: encode_new([" " + n for n in names.to_pylist()]), most)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (unsigned 32-bit) of a group of texts one after another, and where each text's begin and end."""
@@ -87,19 +82,17 @@ class PieceTable:
         lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", texts), "\n", " \n "), " ")
         first, values = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
         first = first - first[0]
-        number, names = values.indices.to_numpy(), values.dictionary.to_pylist()
-        line = np.zeros(len(names) + 1, dtype=bool)
-        line[names.index("\n") if "\n" in names else -1] = True
-        ends = line[number]
+        number, names = values.indices.to_numpy(), values.dictionary
+        ends = number == pc.index(names, "\n").as_py()
         spaced = ~ends
         spaced[1:] &= ~ends[:-1]
         spaced[first[:-1]] = False
-        key = 2 * number.astype(np.int64) + spaced
+        key = number + spaced * len(names)
         used = np.zeros(2 * len(names), dtype=bool)
         used[key] = True
-        distinct = np.flatnonzero(used)
         place = np.cumsum(used) - 1
-        packed = pa.array(self.look_up([" " + names[k >> 1] if k & 1 else names[k >> 1] for k in distinct.tolist()]), pa.binary())
+        bare, after = np.flatnonzero(used[: len(names)]), np.flatnonzero(used[len(names) :])
+        packed = pa.concat_arrays([self.bare.look_up(names.take(pa.array(bare))), self.spaced.look_up(names.take(pa.array(after)))])
         taken = packed.take(pa.array(place[key]))
         _, offsets, data = taken.buffers()
         begin = np.frombuffer(offsets, dtype=np.int32)[: len(taken) + 1][first].astype(np.int64) // 4
@@ -110,21 +103,23 @@ class PieceTable:
 
     def _with_odd(self, texts: pa.Array, odd: list[int], ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put in the texts that Arrow can't cut."""
-        cut = {}
+        whole, cut = {}, {}
         for i in odd:
             text = texts[i].as_py()
-            if any(s in text for s in self.special):
-                cut[i] = None, text
+            if any(x in text for x in self.special):
+                whole[i] = text
             else:
-                parts = SAFE_CUT.split(text)
-                cut[i] = [parts[0], *[" " + p for p in parts[1:]]], text
-        wanted = list(dict.fromkeys(p for pieces, _ in cut.values() if pieces for p in pieces))
-        known = dict(zip(wanted, self.look_up(wanted), strict=True))
+                cut[i] = SAFE_CUT.split(text)
+        known = []
+        for kept, pieces in ((self.bare, (p[0] for p in cut.values())), (self.spaced, (x for p in cut.values() for x in p[1:]))):
+            wanted = list(dict.fromkeys(pieces))
+            known.append(dict(zip(wanted, kept.look_up(pa.array(wanted, pa.string())).to_pylist(), strict=True)))
+        bare, spaced = known
         rows, at = [], 0
         for i in odd:
             rows.append(ids[begin[at] : begin[i]])
-            pieces, text = cut[i]
-            rows.append(np.frombuffer(self.encode_whole(text) if pieces is None else b"".join(map(known.__getitem__, pieces)), dtype="<u4"))
+            packed = self.encode_whole(whole[i]) if i in whole else bare[cut[i][0]] + b"".join(map(spaced.__getitem__, cut[i][1:]))
+            rows.append(np.frombuffer(packed, dtype="<u4"))
             at = i + 1
         rows.append(ids[begin[at] :])
         size = np.diff(begin)

@@ -40,7 +40,7 @@ from filelens.llm.pieces import HAS_SPACE, PieceTable, text_groups
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
-KEPT, GROUP_BYTES = 300_000, 2 << 20  # pieces of a worker; texts encoded at once
+KEPT, GROUP_BYTES = 500_000, 8 << 20  # pieces of a worker; texts encoded at once
 MANIFEST = "file_no long, name string, n_docs long, n_tokens long, n_bytes long"
 
 
