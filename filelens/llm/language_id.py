@@ -11,11 +11,13 @@ table gives an empty result. Equal sizes go to the first language in code point
 order. Only the columns named are read, ids may be null or repeat; whole texts of
 any length are compressed.
 
-The model is fitted on a bounded sample, as documented in ``LangConfig``: of each
-language the ``sample_docs`` rows with the smallest hashes of id and text, equal
-rows once, each giving one piece of ``piece_chars`` characters from a hashed place
-of its whole text. Every language that has rows has some in the sample, and all
-its pieces have an equal part of its dictionary.
+The model is fitted on a bounded sample of rows, as documented in ``LangConfig``: of each
+language the ``sample_docs`` rows with the smallest hashes of id and text, equal rows once.
+Their whole texts are cut into pieces of ``piece_chars`` characters; in a hashed order
+within each text, first a piece of every text, then a second of those that have one, and so
+on, whole pieces are taken until a dictionary's bytes are full. No piece is cut again, so
+scripts of any number of bytes a character have whole pieces. Every language that has rows
+has some in the sample.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ def spelled(text: str) -> bytes:
 class LangConfig:
     sample_docs: int = 96
     piece_chars: int = 1024
+    pieces: int = 480  # read of one language, from which its dictionary is filled
     dict_bytes: int = 120 << 10
     chunk_bytes: int = 4096
     min_margin: float = 0.002
@@ -60,15 +63,28 @@ def learn_languages(train: DataFrame, cfg: LangConfig | None = None) -> dict[str
         return {}
     # Without a shuffle, about twice the rows wanted, and at least one of each language; of these the first.
     bar = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], -(-2 * top * cfg.sample_docs // r["n"])))])
-    pieces = F.ceil(F.length("text") / cfg.piece_chars)
-    piece = F.substring("text", (F.pmod(F.xxhash64("h"), pieces) * cfg.piece_chars + 1).cast("int"), F.lit(cfg.piece_chars))
-    near = rows.filter(F.col("place") <= F.element_at(bar, F.col("lang"))).select("lang", "place", "h", piece.alias("piece")).distinct()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h", "piece"))
+    near = rows.filter(F.col("place") <= F.element_at(bar, F.col("lang"))).distinct()
+    of_lang = Window.partitionBy("lang")
+    near = near.withColumn("at", F.row_number().over(of_lang.orderBy("place", "h", "text"))).filter(F.col("at") <= cfg.sample_docs)
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / cfg.piece_chars).cast("int") - 1))
+    pieces = near.select("lang", "at", "h", "text", number.alias("number"))
+    pieces = pieces.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "at").orderBy(F.xxhash64("h", "number"), "number")))
+    pieces = pieces.withColumn("order", F.row_number().over(of_lang.orderBy("turn", "at"))).filter(F.col("order") <= cfg.pieces)
+    piece = F.substring("text", F.col("number") * cfg.piece_chars + 1, F.lit(cfg.piece_chars))
     sample: dict[str, list[bytes]] = {}
-    for r in near.withColumn("at", first).filter(F.col("at") <= cfg.sample_docs).orderBy("lang", "at").collect():
+    for r in pieces.select("lang", "order", piece.alias("piece")).orderBy("lang", "order").collect():
         sample.setdefault(r["lang"], []).append(spelled(r["piece"]))
-    each = {lang: cfg.dict_bytes // len(p) for lang, p in sample.items()}
-    return {lang: b" ".join(p[: each[lang] - 1] for p in sample[lang]) for lang in sorted(sample)}
+    return {lang: b" ".join(_fitting(sample[lang], cfg.dict_bytes)) for lang in sorted(sample)}
+
+
+def _fitting(pieces: list[bytes], size: int) -> list[bytes]:
+    """Whole pieces, in order, that fit into ``size`` bytes with a space after each; the first one in any case."""
+    taken, left = [], size
+    for p in pieces:
+        if not taken or len(p) < left:
+            taken.append(p)
+            left -= len(p) + 1
+    return taken
 
 
 def language_scorer(model: dict[str, bytes], cfg: LangConfig):

@@ -28,7 +28,8 @@ empty table gives an empty result; columns other than doc_id and text are not re
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
@@ -99,21 +100,68 @@ TEMPLATES = (
         "cc-by-4.0",
     ),
 )
+#: Identifiers of the public license list, kinds of Creative Commons licenses, and further short headers.
+IDENTIFIERS = (
+    "mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "mpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later",
+    "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0-only", "lgpl-3.0-or-later", "agpl-3.0-only", "agpl-3.0-or-later", "unlicense", "cc0-1.0", "zlib", "bsl-1.0", "epl-2.0",
+)
+KINDS = (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nd", "attribution noderivatives"), ("by-nc", "attribution noncommercial"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives"))
+VERSIONS = (("2.0", "generic"), ("2.5", "generic"), ("3.0", "unported"), ("4.0", "international"))
+HEADERS = (
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("use of this source code is governed by a bsd style license that can be found in the license file", "bsd-3-clause"),
+    ("distributed under the boost software license version 1 0", "bsl-1.0"),
+    ("you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("released under the mit license", "mit"),
+    ("licensed under the apache license version 2 0", "apache-2.0"),
+    ("licensed under the gnu general public license v2 0", "gpl-2.0"),
+    ("licensed under the gnu general public license v3 0", "gpl-3.0"),
+)
+
+
+def _spoken(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text))
+
+
+def short_forms() -> tuple[tuple[str, str], ...]:
+    """One-line notices: what they say, as words, and their labels."""
+    named = [(f"spdx license identifier {_spoken(i)}", i) for i in IDENTIFIERS]
+    for kind, words in KINDS:
+        for version, scope in VERSIONS:
+            label = f"cc-{kind}-{version}"
+            named += [(f"licensed under a creative commons {words} {_spoken(version)} {scope} license", label), (f"licensed under {_spoken(label)}", label), (f"spdx license identifier {_spoken(label)}", label)]
+    return (*HEADERS, *named)
+
+
+@dataclass(frozen=True)
+class Notice:
+    words: tuple[str, ...]  # the distinct ones
+    needed: int
+    label: str
+    form: str | None  # the whole line of a short form
 
 
 @dataclass(frozen=True)
 class LicenseConfig:
     phrases: tuple[tuple[str, str], ...] = PHRASES
     templates: tuple[tuple[str, str], ...] = TEMPLATES
+    short: tuple[tuple[str, str], ...] = field(default_factory=short_forms)
     containment: float = 0.85
     block_words: int = 512
     block_step: int = 256
 
     def __post_init__(self):
-        longest = max((len(text.split()) for text, _ in self.templates), default=0)
+        longest = max((len(text.split()) for text, _ in (*self.templates, *self.short)), default=0)
         if longest > self.block_words - self.block_step:
             raise ValueError(f"a template of {longest} words may lie in no block; raise block_words")
 
+    def notices(self) -> list[Notice]:
+        """Templates and short forms; of the latter all words are needed."""
+        words = lambda text: tuple(sorted(set(text.split())))
+        whole = [Notice(w, _needed(len(w), self.containment), label, None) for w, label in ((words(text), label) for text, label in self.templates)]
+        return whole + [Notice(words(text), len(words(text)), label, text) for text, label in self.short]
+
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
@@ -135,6 +183,7 @@ class OrderedTemplates:
     places: tuple[tuple[int, ...], ...]
     needed: tuple[int, ...]
     labels: tuple[str, ...]
+    forms: tuple[str | None, ...]
 
     def prefix(self, t: int) -> tuple[int, ...]:
         return self.places[t][: len(self.places[t]) - self.needed[t] + 1]
@@ -142,12 +191,18 @@ class OrderedTemplates:
 
 def read_texts(docs: DataFrame, cfg: LicenseConfig) -> DataFrame:
     """doc_id, text_key, base columns, held (the template words of the text) and blocks (first_word, held), as a table."""
-    sets = [sorted(set(text.split())) for text, _ in cfg.templates]
-    vocabulary = sorted({w for s in sets for w in s})
+    notices = cfg.notices()
+    vocabulary = sorted({w for n in notices for w in n.words})
     split = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.coalesce(words_of(F.col("text")), _texts([])).alias("words"))
     phrase_words = sorted({w for p, _ in cfg.phrases for w in p.split()})
     held = split.withColumn("held", F.array_intersect("words", _texts(vocabulary))).withColumn("said", F.array_intersect("words", _texts(phrase_words)))
-    enough = reduce(or_, [F.size(F.array_intersect("held", _texts(s))) >= _needed(len(s), cfg.containment) for s in sets], F.lit(False))
+    templates, forms = [n for n in notices if not n.form], [n for n in notices if n.form]
+    enough = reduce(or_, [F.size(F.array_intersect("held", _texts(n.words))) >= n.needed for n in templates], F.lit(False))
+    listed = F.array(*[F.struct(F.lit(n.form).alias("form"), _texts(n.words).alias("words"), F.lit(_phrase_pattern(n.form)).alias("pattern")) for n in forms])
+    stands = lambda f: (F.size(F.array_except(f["words"], "held")) == 0) & F.rlike(F.lower("text"), f["pattern"])  # noqa: E731  # few texts get to the pattern
+    said = F.transform(F.filter(listed, stands), lambda f: f["form"]) if forms else _texts([])
+    held = held.withColumn("forms", F.coalesce(said, _texts([])))
+    enough = enough | (F.size("forms") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - cfg.block_words + cfg.block_step - 1, F.lit(0)), F.lit(cfg.block_step))
     blocks = F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.array_intersect(F.slice(F.col("words"), s + 1, cfg.block_words), _texts(vocabulary)).alias("held")))
     text, phrases = F.coalesce("text", F.lit("")), [p for p, _ in cfg.phrases]
@@ -163,6 +218,7 @@ def read_texts(docs: DataFrame, cfg: LicenseConfig) -> DataFrame:
             F.when(F.col("may"), _starts(text, phrases, last=False)).alias("first_word"),
             F.when(F.col("may"), _starts(text, phrases, last=True)).alias("last_word"),
             "held",
+            "forms",
             F.when(enough, blocks).alias("blocks"),
         ),
         "license-words",
@@ -171,12 +227,12 @@ def read_texts(docs: DataFrame, cfg: LicenseConfig) -> DataFrame:
 
 def order_templates(read: DataFrame, cfg: LicenseConfig) -> OrderedTemplates:
     """Count, over all documents, how many hold each template word (there are as many rows as such words)."""
-    vocabulary = sorted({w for text, _ in cfg.templates for w in text.split()})
+    notices = cfg.notices()
+    vocabulary = sorted({w for n in notices for w in n.words})
     counts = {r["word"]: r["n"] for r in read.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     words = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(words)}
-    sets = [tuple(sorted({place[w] for w in text.split()})) for text, _ in cfg.templates]
-    return OrderedTemplates(tuple(words), tuple(sets), tuple(_needed(len(s), cfg.containment) for s in sets), tuple(label for _, label in cfg.templates))
+    return OrderedTemplates(tuple(words), tuple(tuple(sorted(place[w] for w in n.words)) for n in notices), tuple(n.needed for n in notices), tuple(n.label for n in notices), tuple(n.form for n in notices))
 
 
 def template_matches(docs: DataFrame, cfg: LicenseConfig | None = None) -> DataFrame:
@@ -188,19 +244,19 @@ def template_matches(docs: DataFrame, cfg: LicenseConfig | None = None) -> DataF
 def _matches(read: DataFrame, cfg: LicenseConfig) -> DataFrame:
     t = order_templates(read, cfg)
     place = F.create_map(*[x for i, w in enumerate(t.words) for x in (F.lit(w), F.lit(i))])
-    blocks = read.filter("blocks IS NOT NULL").select("doc_id", "text_key", F.explode("blocks").alias("b"))
-    blocks = blocks.select("doc_id", "text_key", "b.first_word", F.array_sort(F.transform("b.held", lambda w: F.element_at(place, w))).alias("block"))
+    blocks = read.filter("blocks IS NOT NULL").select("doc_id", "text_key", "forms", F.explode("blocks").alias("b"))
+    blocks = blocks.select("doc_id", "text_key", "forms", "b.first_word", F.array_sort(F.transform("b.held", lambda w: F.element_at(place, w))).alias("block"))
     blocks = blocks.filter(F.size("block") >= min(t.needed))
     heads = read.sparkSession.createDataFrame(
-        [(p, i, at, list(t.places[i]), t.needed[i], t.labels[i]) for i in range(len(t.labels)) for at, p in enumerate(t.prefix(i))],
-        "place int, template int, at int, whole array<int>, needed int, label string",
+        [(p, i, at, list(t.places[i]), t.needed[i], t.labels[i], t.forms[i]) for i in range(len(t.labels)) for at, p in enumerate(t.prefix(i))],
+        "place int, template int, at int, whole array<int>, needed int, label string, form string",
     )
-    held = blocks.select("doc_id", "text_key", "first_word", "block", F.posexplode("block").alias("block_at", "place"))
+    held = blocks.select("doc_id", "text_key", "forms", "first_word", "block", F.posexplode("block").alias("block_at", "place"))
     found = held.join(F.broadcast(heads), "place")  # as many rows as the templates have first words
     enough = F.least("at", "block_at") + 1 + F.least(F.size("whole") - F.col("at") - 1, F.size("block") - F.col("block_at") - 1)
     found = found.filter((F.size("block") >= F.col("needed")) & (enough >= F.col("needed")))
     common = F.size(F.array_intersect("block", "whole"))
-    found = found.filter(common >= F.col("needed")).withColumn("containment", common / F.size("whole"))
+    found = found.filter((common >= F.col("needed")) & (F.col("form").isNull() | F.array_contains("forms", F.col("form")))).withColumn("containment", common / F.size("whole"))
     return found.select("doc_id", "text_key", "first_word", "template", "label", "containment").distinct()
 
 
@@ -230,7 +286,7 @@ def scan_licenses(docs: DataFrame, cfg: LicenseConfig | None = None) -> DataFram
     base = read_texts(docs.select("doc_id", "text"), cfg)
     labels = F.array_compact(F.array(*[F.when(F.col("n")[i] > 0, F.lit(label)) for i, (_, label) in enumerate(cfg.phrases)]))
     by_text = _matches(base, cfg).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    base = base.withColumn("base", F.array_sort(F.array_distinct(labels))).withColumn("n_base", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).drop("held", "blocks")
+    base = base.withColumn("base", F.array_sort(F.array_distinct(labels))).withColumn("n_base", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).drop("held", "forms", "blocks")
     by_text = by_text.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "more", "containment")
     both = base.join(by_text, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))

@@ -152,15 +152,19 @@ def _license_sql() -> str:
 
     cfg = LicenseConfig()
     phrases = ", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in cfg.phrases)
-    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in cfg.templates)
+    kinds = [(t, label, cfg.containment) for t, label in cfg.templates] + [(t, label, 1.0) for t, label in cfg.short]
+    templates = ", ".join(f"(string_split('{t}', ' '), list_distinct(string_split('{t}', ' ')), '{label}', {share})" for t, label, share in kinds)
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS ws, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS ls FROM documents),
-p(phrase, label) AS (VALUES {phrases}), t(tw, label) AS (VALUES {templates}),
+p(phrase, label) AS (VALUES {phrases}), t(line, tw, label, share) AS (VALUES {templates}),
 spot AS (SELECT r, label, unnest([i FOR i IN range(len(ws)) IF ws[i + 1 : i + len(phrase)] = phrase]) AS i FROM w, p),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM spot GROUP BY r),
-block AS (SELECT r, list_distinct(ls[s + 1 : s + {cfg.block_words}]) AS bw FROM (SELECT r, ls, unnest(range(0, greatest(len(ls) - {cfg.block_words} + {cfg.block_step} - 1, 0) + 1, {cfg.block_step})) AS s FROM w)),
-held AS (SELECT r, label, len(list_intersect(bw, tw)) / CAST(len(tw) AS DOUBLE) AS containment, len(list_intersect(bw, tw)) >= ceil(round(len(tw) * {cfg.containment}, 6)) AS enough FROM block, t),
-more AS (SELECT r, max(containment) AS containment, list(DISTINCT label) AS labels FROM held WHERE enough GROUP BY r)
+block AS MATERIALIZED (SELECT r, s, list_distinct(ls[s + 1 : s + {cfg.block_words}]) AS bw FROM (SELECT r, ls, unnest(range(0, greatest(len(ls) - {cfg.block_words} + {cfg.block_step} - 1, 0) + 1, {cfg.block_step})) AS s FROM w)),
+vocabulary AS (SELECT list_distinct(flatten(list(tw))) AS vw FROM t),
+cut AS MATERIALIZED (SELECT r, s, list_intersect(bw, vw) AS bw FROM block, vocabulary),
+held AS MATERIALIZED (SELECT r, s, label, share, line, len(list_intersect(bw, tw)) / CAST(len(tw) AS DOUBLE) AS containment FROM cut, t WHERE len(bw) > 1 AND len(list_intersect(bw, tw)) >= ceil(round(len(tw) * share, 6))),
+stands AS (SELECT h.r, label, containment FROM held h JOIN w ON w.r = h.r WHERE share < 1 OR len([i FOR i IN range(len(ls)) IF ls[i + 1 : i + len(line)] = line]) > 0),
+more AS (SELECT r, max(containment) AS containment, list(DISTINCT label) AS labels FROM stands GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END AS score

@@ -195,3 +195,59 @@ def test_search_of_odd_rows(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain_search([x[:2] for x in docs], [x[:2] for x in items], 20)
     assert [r.rank for r in sorted(got, key=lambda r: r.rank) if r.item_id == 1] == list(range(1, 21))
     assert search(build_index(d.limit(0)), i).count() == 0 and search(build_index(d), i.limit(0)).count() == 0
+
+
+def test_products_of_any_size(spark):
+    """Vectors of every finite size take part, read in bounds; a best score beyond 64 bits is an error."""
+    from filelens.llm import topk
+
+    schema = "vec_id long, embedding array<double>"
+    rng = random.Random(8)
+    rows = [(0, [2.0**-10, 0.0, 0.0, 3 * 2.0**-10])] + [(i, [2.0 ** rng.randrange(30, 51), 1e300 if i == 7 else 0.0, 1e308, -rng.random() * 2.0**40]) for i in range(1, 60)]
+    whole = {i: [int(x) * 1024 if abs(x) >= 2**53 else math.floor(1024 * x) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(whole[0], v, strict=True)), i) for i, v in whole.items() if i)[:10]
+    for size in (16, 1024):
+        cfg = topk.TopKConfig(resolved=11, grid=topk.GridConfig(block_rows=size))
+        got = topk.best_products(spark.createDataFrame(rows, schema), "vec_id = 0", cfg).collect()
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+    for far in (2.0**60, -(2.0**60)):
+        few = spark.createDataFrame([(0, [1.0]), (1, [far])], schema)
+        with pytest.raises(Exception, match="64-bit number"):
+            topk.best_products(few, "vec_id = 0").collect()
+
+
+def test_whole_pieces_of_whole_texts_fill_a_dictionary(spark):
+    """In a script of two bytes a letter: no piece is cut, and one text's pieces come from all of it."""
+    from filelens.llm.language_id import LangConfig, learn_languages
+
+    word = "".join(chr(0x430 + i) for i in range(31))
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice(word) for _ in range(9)) for _ in range(12000))
+    rows = [(1, text, "ru"), (2, "коротко", "ru"), (3, "ab " * 3000, "xx")]
+    cfg = LangConfig(dict_bytes=20_000, piece_chars=512)
+    model = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cfg)
+    pieces = [text[i : i + 512] for i in range(0, len(text), 512)]
+    held = [p for p in pieces if p.encode() in model["ru"]]
+    assert len(model["ru"]) <= 20_000 and 18 <= len(held) <= 21 and "коротко".encode() in model["ru"]
+    assert any(pieces.index(p) > len(pieces) // 2 for p in held) and model["ru"].decode()  # ends with a whole letter
+    assert len(model["xx"]) > 8000
+
+
+def test_short_notices_change_labels(spark):
+    from filelens.llm.license_scan import LicenseConfig, scan_licenses
+
+    rows = [
+        (1, "// SPDX-License-Identifier: BSD-3-Clause\nint main() {}"),
+        (2, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (3, "Photo: licensed under CC BY-NC 2.0, by the author"),
+        (4, "Released under the MIT License."),
+        (5, "a license to identify; the mit of old"),
+        (6, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+        (8, "licensed under cc by 4 words and 0 more"),
+        (7, "spdx identifier " + "word " * 600 + "license mit"),  # in no block together
+    ]
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: ("", "bsd-3-clause", 1.0), 2: ("", "cc-by-sa-4.0", 1.0), 3: ("cc-by", "cc-by,cc-by-nc-2.0", 1.0), 4: ("mit", "mit", 1.0), 5: ("", "", 0.0), 6: ("", "bsd-3-clause", 1.0), 7: ("", "", 0.0), 8: ("cc-by", "cc-by", 1.0)
+    }
+    assert len({n.form for n in LicenseConfig().notices() if n.form}) == len(LicenseConfig().short) > 80
