@@ -45,8 +45,8 @@ from filelens.llm.common_arrow import map_arrays, worker_state
 from filelens.llm.pieces import PATTERN, PieceTable, text_groups
 
 #: Pieces kept by a worker, and words beside them.
-KEPT, WORDS = 300_000, 120_000
-GROUP_BYTES = 2 << 20
+KEPT, WORDS = 500_000, 300_000
+GROUP_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
