@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from filelens.functions.documents import digests
 from filelens.functions.media import EXIF_WRITABLE, quality_score
 from filelens.functions.paths import basename, suffix
+from filelens.operators.ranks import WIDTH, numbered, running
+from filelens.sources.ranges import read_digests
 from filelens.storage import stored
 
 
@@ -16,11 +18,15 @@ def scored(files: DataFrame) -> DataFrame:
 
 
 def in_groups(files: DataFrame, min_size: int = 0) -> DataFrame:
-    """Members of groups of equal digest with their number, place by seq and place by score."""
-    group = Window.partitionBy("digest_full")
+    """Members of groups of equal digest with their number, place by seq and place by score.
+
+    Numbers are summed up where the rows are; places run over stretches of seq, and of score and seq.
+    """
     rows = scored(files.filter((F.col("digest_full").isNotNull()) & (F.col("size") >= min_size)))
-    rows = rows.withColumn("members", F.count("*").over(group)).filter("members > 1")
-    return rows.withColumn("place", F.row_number().over(group.orderBy("seq"))).withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "seq")))
+    many = rows.groupBy("digest_full").agg(F.count("*").alias("members")).filter("members > 1")
+    rows = numbered(rows.join(many, "digest_full"), ["digest_full"], "seq", "place")
+    stretch = F.struct((-F.col("score")).alias("turn"), F.floor(F.col("seq") / WIDTH).alias("part"))
+    return running(rows, ["digest_full"], [F.desc("score"), F.asc("seq")], stretch, F.lit(1), "rank")
 
 
 def grouped(files: DataFrame, min_size: int = 0) -> DataFrame:
@@ -73,16 +79,17 @@ def collection_stats(files: DataFrame) -> DataFrame:
 def cascade(files: DataFrame, watch: dict[str, Observation] | None = None) -> DataFrame:
     """Files that survive size, head, tail and full digest in turn; ``files`` has path, size and content.
 
-    The survivors of each stage are written as a small table of paths, and only
-    their content is digested in the next. ``watch`` may hold an Observation for
+    The digests of each stage are written as a small table of paths, and only
+    the content of those that aren't alone is digested in the next. ``watch`` may hold an Observation for
     size, head, tail and full, which then counts the files its stage read.
     """
 
     def repeated(rows: DataFrame, by: list[str], stage: str) -> DataFrame:
         if watch and stage in watch:
             rows = rows.observe(watch[stage], F.count("*").alias("files"))
-        n = F.count("*").over(Window.partitionBy(*by))
-        return stored(rows.withColumn("n", n).filter("n > 1").drop("n"), f"cascade-{stage}")
+        rows = stored(rows, f"cascade-{stage}")
+        many = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+        return rows.join(many.drop("n"), by, "left_semi")
 
     by = ["size"]
     known = repeated(files.filter("size > 0").select("path", "size"), by, "size")
@@ -94,6 +101,27 @@ def cascade(files: DataFrame, watch: dict[str, Observation] | None = None) -> Da
     return known
 
 
+def cascade_files(files: DataFrame, watch: dict[str, Observation] | None = None) -> DataFrame:
+    """``cascade`` of files (path, size) that are read in place: each stage reads no more than the bytes it digests.
+
+    Heads of files of equal size, tails of those of equal heads, whole files of those of equal
+    tails. Only paths and digests leave the task that read a file. ``watch`` may hold an
+    Observation for head, tail and full, which then counts files and bytes read. A file that
+    can't be read has no digest and equals no other.
+    """
+    known, by = files.filter("size > 0").select("path", "size"), ["size"]
+    for stage in ("size", "head", "tail", "full"):
+        if stage != "size":
+            known = read_digests(known, stage)
+            if watch and stage in watch:
+                known = known.observe(watch[stage], F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+            known, by = known.drop("bytes").filter(F.col(stage).isNotNull()), [*by, stage]
+        rows = stored(known, f"cascade-{stage}")
+        many = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+        known = rows.join(many.drop("n"), by, "left_semi")
+    return known
+
+
 def content_matches(incoming: DataFrame, files: DataFrame) -> DataFrame:
     """incoming (digest, ...) with every file of equal full or source digest, and which it was.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filelens.functions.paths import basename, dirname, is_album_metadata, is_media, is_sidecar, stem, suffix
 from filelens.operators.dedup import content_matches, first_survivor
+from filelens.operators.ranks import WIDTH, numbered, running
 
 NON_MEDIA = ("sidecar", "album_metadata", "not_media")  # fixed values of skip_reason
 
@@ -62,8 +63,10 @@ def decide_entries(entries: DataFrame, files: DataFrame, present: DataFrame, des
     else:
         rows = rows.withColumn("orphan", F.lit(None).cast("string"))
     one = F.coalesce(F.concat(F.lit("d"), "digest"), F.concat(F.lit("o"), F.col("ordinal").cast("string")))
-    first = F.row_number().over(Window.partitionBy(one).orderBy("ordinal")) == 1
-    rows = rows.withColumn("skip", F.col("survivor").isNotNull() | ~first)
+    # A digest's first entry by an aggregate and a join, which splits a digest of very many entries.
+    rows = rows.withColumn("one", one)
+    rows = rows.join(rows.groupBy("one").agg(F.min("ordinal").alias("first")), "one")
+    rows = rows.withColumn("skip", F.col("survivor").isNotNull() | (F.col("ordinal") != F.col("first")))
     keep_reason = F.when(F.col("restore_path").isNotNull(), "prior_copy_restored").when(F.col("orphan").isNotNull(), "orphan_adopted").when(F.col("had"), "prior_copy_missing")
     return rows.select(
         "ordinal",
@@ -107,20 +110,22 @@ def allocate_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
 
     Asking in order for the first free slot gives the k-th asker of a name the
     k-th free slot, as long as askers of other names don't want those slots too. So
-    numbers are ranked and taken ones removed in one pass; slots that two names
-    reach are left to ``settle``.
+    askers and taken numbers are ranked and merged, in rows that grow with both and
+    windows over stretches of them (see ``ranks``); slots that two names reach are left
+    to ``settle``.
     """
-    rows = wanted.withColumn("base", stem(F.col("name"))).withColumn("ext", suffix(F.col("name")))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("ordinal")))
-    used = name_slots(taken.select("name").distinct()).select("of", "n").distinct()
-    # The k-th free number: k - 1 plus the used numbers at or below it, by the gaps between used ones.
-    by_name = Window.partitionBy("of").orderBy("n")
-    gaps = used.withColumn("i", F.row_number().over(by_name)).withColumn("free_before", F.col("n") - F.col("i") + 1)
-    bound = rows.join(gaps.select(F.col("of").alias("name"), "i", "free_before"), "name", "left")
-    passed = F.max(F.when(F.col("free_before") < F.col("k"), F.col("i"))).alias("passed")
-    got = bound.groupBy("ordinal", "name", "base", "ext", "k").agg(passed)
-    n = F.col("k") - 1 + F.coalesce("passed", F.lit(0))
-    return got.select("ordinal", "name", F.when(n == 0, F.col("name")).otherwise(F.concat("base", F.lit("("), n.cast("string"), F.lit(")"), "ext")).alias("given"))
+    rows = numbered(wanted.select("ordinal", "name"), ["name"], "ordinal", "k")
+    used = name_slots(taken.select("name").distinct()).select(F.col("of").alias("name"), "n").distinct()
+    used = used.join(rows.select("name").distinct(), "name", "left_semi")
+    # Below the i-th used number are n - i + 1 free ones, so the k-th free number has passed all used ones with fewer
+    # than k: askers and used numbers are one sequence, and the askers take the last i before them.
+    gaps = numbered(used, ["name"], "n", "i").withColumn("at", F.col("n") - F.col("i") + 1).groupBy("name", "at").agg(F.max("i").alias("i"))
+    merged = rows.select("name", "ordinal", F.col("k").alias("at"), F.lit(None).cast("bigint").alias("i")).unionByName(gaps.select("name", F.lit(None).cast("bigint").alias("ordinal"), "at", "i"))
+    order = [F.col("at"), F.col("ordinal").isNull()]  # of equals the asker is first: it has not passed
+    got = running(merged, ["name"], order, F.floor(F.col("at") / WIDTH), F.col("i"), "passed", largest=True).filter("ordinal IS NOT NULL")
+    n = F.col("at") - 1 + F.coalesce("passed", F.lit(0))
+    given = F.concat(stem(F.col("name")), F.lit("("), n.cast("string"), F.lit(")"), suffix(F.col("name")))
+    return got.select("ordinal", "name", F.when(n == 0, F.col("name")).otherwise(given).alias("given"))
 
 
 def settle(wanted: DataFrame, taken: DataFrame, materialize) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from filelens import schema
 from filelens.functions import times
 from filelens.operators import capture, changes, dedup, folder, ingest, match, offers, reports
-from filelens.sources import archive, exif, listing, lookups, records
+from filelens.sources import archive, exif, listing, lookups, ranges, records
 from filelens.storage import stored
 from filelens.streaming import ingest as streams
 
@@ -508,3 +508,92 @@ def test_a_dry_run_claims_nothing(spark):
     row = folder.collapse_records(pairs, none, times_, attempted=False).first()
     assert json.loads(row.adopted) == [{"what": "provenance", "from": "source_root", "detail": "also present at /src/x/a.jpg"}]
     assert json.loads(row.declined) == [{"what": "exif_merge", "reason": "dry_run", "detail": "not attempted"}]
+
+
+def test_free_numbers_of_one_hot_name(spark, monkeypatch):
+    """100,000 askers of one name with 100,000 used numbers, in windows of a thousand."""
+    from filelens.operators import ranks
+
+    monkeypatch.setattr(ingest, "WIDTH", 1000)
+    monkeypatch.setattr(ranks, "WIDTH", 1000)
+    askers = spark.range(100000).selectExpr("id AS ordinal", "'a.jpg' AS name")
+    taken = spark.range(100000).selectExpr("concat('a(', CAST(2 * id + 1 AS STRING), ').jpg') AS name")
+    given = ingest.allocate_names(askers, taken)
+    # Free are the name itself, 2, 4, ... and all beyond the last used number, 199999.
+    right = "given = CASE WHEN ordinal = 0 THEN 'a.jpg' WHEN ordinal < 100000 THEN concat('a(', CAST(2 * ordinal AS STRING), ').jpg') END"
+    assert given.filter(right).count() == 100000
+    few = spark.createDataFrame([(5, "b"), (7, "b"), (6, "c")], "ordinal long, name string")
+    held = spark.createDataFrame([("b",), ("b(1)",), ("b(3)",)], "name string")
+    assert {r.ordinal: r.given for r in ingest.allocate_names(few, held).collect()} == {5: "b(2)", 7: "b(4)", 6: "c"}
+
+
+def test_a_digest_of_very_many_copies(spark, monkeypatch):
+    from filelens.operators import ranks
+
+    monkeypatch.setattr(dedup, "WIDTH", 500)
+    monkeypatch.setattr(ranks, "WIDTH", 500)
+    cols = "CAST(1000 AS BIGINT) AS size, 10 AS width, 10 AS height, false AS has_exif_gps"
+    files = spark.range(20000).selectExpr("id AS seq", "concat('/v/', id, '.jpg') AS path", "CASE WHEN id % 10 = 9 THEN concat('d', id) ELSE 'hot' END AS digest_full", "id % 3 = 0 AS has_exif_date", cols.split(", ")[0], *cols.split(", ")[1:])
+    rows = dedup.in_groups(files).select("seq", "members", "place", "rank", "score").collect()
+    assert len(rows) == 18000 and {r.members for r in rows} == {18000}
+    assert [r.place for r in sorted(rows, key=lambda r: r.seq)] == list(range(1, 18001))
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (-r.score, r.seq))] == list(range(1, 18001))
+
+
+def test_cascade_of_files_reads_what_it_needs(spark, tmp_path):
+    big = b"x" * 200_000
+    made = {"a": big, "b": big, "c": b"y" + big[1:], "d": big[:-1] + b"z", "e": big[:100_000] + b"m" + big[100_001:], "f": b"short", "g": b"short", "h": b"alone!", "i": b""}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(str(tmp_path / n), len(d)) for n, d in made.items()] + [(str(tmp_path / "gone"), 5)], "path string, size long")
+    watch = {s: Observation(f"files-{s}") for s in ("head", "tail", "full")}
+    found = dedup.cascade_files(listed, watch)
+    assert sorted(r.path[-1] for r in found.collect()) == ["a", "b", "f", "g"]
+    read = {s: (w.get["files"], w.get["bytes"]) for s, w in watch.items()}
+    assert read == {"head": (8, 5 * 65536 + 10), "tail": (6, 4 * 4096 + 10), "full": (5, 3 * 200_000 + 10)}
+    plan = ranges.read_digests(listed, "head", "tail").groupBy("head").count()._jdf.queryExecution().executedPlan().toString()
+    assert all("content" not in line and "binary" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_directories_are_read_once(spark, tmp_path, monkeypatch):
+    """Stored, deflated, bzip2 and LZMA entries by their places; damaged bytes are rows with an error; the readers of entries open no directory."""
+    kinds = {"a": zipfile.ZIP_STORED, "b": zipfile.ZIP_DEFLATED, "c": zipfile.ZIP_BZIP2, "d": zipfile.ZIP_LZMA}
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("folder/", b"")
+        for n in range(40):
+            kind = "abcd"[n % 4]
+            z.writestr(zipfile.ZipInfo(f"folder/{n}{kind}"), f"entry {n} ".encode() * 50, compress_type=kinds[kind])
+    table = archive.directories(spark, str(tmp_path / "*.zip")).orderBy("ordinal").collect()
+    assert len(table) == 40 and [r.ordinal for r in table] == list(range(1, 41)) and all(a.at < b.at for a, b in zip(table, table[1:]))
+    with open(tmp_path / "t.zip", "r+b") as f:
+        f.seek(table[4].at + 30 + len("folder/4a") + 5)
+        f.write(b"#")
+    rows = archive.read_entries(spark, str(tmp_path / "t.zip"), step=8).collect()
+    assert len(rows) == 40
+    for r in rows:
+        n, kind = int(r.entry_path[7:-1]), r.entry_path[-1]
+        assert (r.content, r.error) == ((None, "corrupt") if n == 4 else (f"entry {n} ".encode() * 50, None))
+    assert archive.read_entries(spark, str(tmp_path / "none*.zip")).count() == 0
+
+
+def test_headers_of_files_in_place(spark, tmp_path):
+    """Sizes of TIFF and BMP; EXIF at the end of a large WebP; a file is walked, not read."""
+    tiff = b"MM\0*" + (8).to_bytes(4, "big") + (2).to_bytes(2, "big") + b"\1\0\0\3\0\0\0\1\1\x40\0\0" + b"\1\1\0\4\0\0\0\1\0\0\0\xf0" + b"\0\0\0\0"
+    far = b"II*\0" + (200_000).to_bytes(4, "little") + b"\0" * 199_992 + (2).to_bytes(2, "little") + b"\0\1\4\0\1\0\0\0\x39\5\0\0" + b"\1\1\3\0\1\0\0\0\7\0\0\0"
+    bmp = b"BM" + b"\0" * 12 + (40).to_bytes(4, "little") + (640).to_bytes(4, "little", signed=True) + (-480).to_bytes(4, "little", signed=True) + b"\0" * 28
+    old = b"BM" + b"\0" * 12 + (12).to_bytes(4, "little") + (30).to_bytes(2, "little") + (20).to_bytes(2, "little") + b"\0" * 8
+    block = b"II*\0" + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + (0x010F).to_bytes(2, "little") + (2).to_bytes(2, "little") + (4).to_bytes(4, "little") + b"Cam\0" + b"\0" * 4
+    chunks = b"VP8X" + (10).to_bytes(4, "little") + b"\0" * 4 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little") + b"VP8 " + (3_000_000).to_bytes(4, "little") + b"\0" * 3_000_000 + b"EXIF" + len(block).to_bytes(4, "little") + block
+    webp = b"RIFF" + (len(chunks) + 4).to_bytes(4, "little") + b"WEBP" + chunks
+    for name, data in {"a.tif": tiff, "b.tif": far, "c.bmp": bmp, "d.bmp": old, "e.webp": webp, "f.tif": tiff[:20], "g.txt": b"plain"}.items():
+        (tmp_path / name).write_bytes(data)
+    listed = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.tif", "b.tif", "c.bmp", "d.bmp", "e.webp", "f.tif", "g.txt", "gone.jpg")], "path string")
+    got = {r.name: (r.container, r.width, r.height, r.make, r.dims_error) for r in exif.media_signals(listed).collect()}
+    assert got == {
+        "a.tif": ("tiff", 320, 240, None, None), "b.tif": ("tiff", 1337, 7, None, None), "c.bmp": ("unknown", 640, 480, None, None), "d.bmp": ("unknown", 30, 20, None, None),
+        "e.webp": ("webp", 100, 50, "Cam", None), "f.tif": ("tiff", None, None, None, "ValueError: no dimensions in the first directory"), "g.txt": ("unknown", None, None, None, None), "gone.jpg": ("unreadable", None, None, None, None),
+    }
+    with ranges.opened(str(tmp_path / "e.webp")) as file:
+        assert exif.tags_of(file)["make"] == "Cam" and file.count < 70_000
+    both = exif.media_signals(spark.createDataFrame([("x/a.tif", bytearray(tiff)), ("x/c.bmp", bytearray(bmp))], "path string, content binary")).collect()
+    assert {(r.width, r.height) for r in both} == {(320, 240), (640, 480)}
