@@ -198,8 +198,9 @@ def read_texts(docs: DataFrame, cfg: LicenseConfig) -> DataFrame:
     held = split.withColumn("held", F.array_intersect("words", _texts(vocabulary))).withColumn("said", F.array_intersect("words", _texts(phrase_words)))
     templates, forms = [n for n in notices if not n.form], [n for n in notices if n.form]
     enough = reduce(or_, [F.size(F.array_intersect("held", _texts(n.words))) >= n.needed for n in templates], F.lit(False))
-    listed = F.array(*[F.struct(F.lit(n.form).alias("form"), _texts(n.words).alias("words"), F.lit(_phrase_pattern(n.form)).alias("pattern")) for n in forms])
-    stands = lambda f: (F.size(F.array_except(f["words"], "held")) == 0) & F.rlike(F.lower("text"), f["pattern"])  # noqa: E731  # few texts get to the pattern
+    listed = F.array(*[F.struct(F.lit(n.form).alias("form"), _texts(n.words).alias("words")) for n in forms])
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    stands = lambda f: (F.size(F.array_except(f["words"], "held")) == 0) & F.contains(spaced(F.array_join("words", " ")), spaced(f["form"]))  # noqa: E731  # few texts get to the second test
     said = F.transform(F.filter(listed, stands), lambda f: f["form"]) if forms else _texts([])
     held = held.withColumn("forms", F.coalesce(said, _texts([])))
     enough = enough | (F.size("forms") > 0)
