@@ -2,22 +2,23 @@
 
 A snapshot is an immutable DataFrame. An operator takes the current snapshot and
 a change set and returns the next one; ``publish`` writes it beside the old one
-and switches a one-row pointer table, so readers see all of it or none.
+and switches by one file of pointers, so readers see all of it or none.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import uuid
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelens.schema import DEFAULTS
+from filelens.storage import exists, put_text
 
 
 LOG = logging.getLogger(__name__)
@@ -167,30 +168,34 @@ def prefix_leaks(tables: list[tuple[DataFrame, str]], old: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def publish_all(tables: dict[str, DataFrame], root: str) -> None:
-    """Write snapshots of several tables and make them current together.
+def publish_all(tables: dict[str, DataFrame], root: str, parts: dict[str, DataFrame] | None = None) -> None:
+    """Write snapshots of several tables, and ``parts`` that are added to others, and make them current together.
 
-    The switch is one row appended to the pointers, so readers see all of a unit of
-    work or none, and a failure before leaves the old snapshots current.
+    The switch is one file of pointers, named by its number and created by whoever is
+    first: readers see all of a unit of work or none, a failure before leaves the old state
+    current, and of two publishers who began from the same state the second fails and
+    has to begin again. Parts cost what they hold, whatever the table has already.
     """
-    spark = next(iter(tables.values())).sparkSession
-    unit, rows, last = uuid.uuid4().hex, [], _last_unit(spark, root)
-    for name, df in tables.items():
-        version = f"{root}/{name}/v-{unit}"
-        df.write.parquet(version)
-        rows.append((last + 1, unit, name, version))
-    spark.createDataFrame(rows, POINTERS).coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+    parts = parts or {}
+    spark = next(iter((tables | parts).values())).sparkSession
+    unit, rows, number = uuid.uuid4().hex, [], _last_unit(spark, root) + 1
+    for whole, group in ((True, tables), (False, parts)):
+        for name, df in group.items():
+            version = f"{root}/{name}/v-{unit}"
+            df.write.parquet(version)
+            rows.append({"number": number, "unit": unit, "name": name, "version": version, "whole": whole})
+    if not put_text(spark, f"{root}/_pointers/{number:012d}.json", "".join(json.dumps(r) + "\n" for r in rows)):
+        raise RuntimeError(f"another publisher was first with unit {number} of {root}; read again and begin anew")
 
 
-POINTERS = "number bigint, unit string, name string, version string"
+POINTERS = "number bigint, unit string, name string, version string, whole boolean"
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame:
-    """All pointer rows: one a published table; none before the first."""
-    try:
-        return spark.read.schema(POINTERS).parquet(f"{root}/_pointers")
-    except AnalysisException:
+    """All pointer rows: one a published table or part; none before the first."""
+    if not exists(spark, f"{root}/_pointers"):
         return spark.createDataFrame([], POINTERS)
+    return spark.read.schema(POINTERS).json(f"{root}/_pointers").filter("whole IS NOT NULL")
 
 
 def _last_unit(spark: SparkSession, root: str) -> int:
@@ -203,5 +208,10 @@ def publish(df: DataFrame, root: str, name: str) -> None:
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The current snapshot: one pointer row is read on the driver."""
-    return spark.read.parquet(_pointers(spark, root).filter(F.col("name") == name).agg(F.max_by("version", "number").alias("version")).first()["version"])
+    """The current state: the last whole snapshot and the parts since; a pointer row each is read on the driver."""
+    rows = _pointers(spark, root).filter(F.col("name") == name).orderBy("number").collect()
+    last = max((i for i, r in enumerate(rows) if r["whole"]), default=None)
+    if last is None:
+        raise LookupError(f"{root} has no table {name}")
+    first = spark.read.parquet(rows[last]["version"])
+    return spark.read.schema(first.schema).parquet(*[r["version"] for r in rows[last:]])

@@ -12,6 +12,7 @@ from filelens.operators import capture, changes, dedup, folder, ingest, match, o
 from filelens.sources import archive, exif, listing, lookups, ranges, records
 from filelens.storage import stored
 from filelens.streaming import ingest as streams
+from filelens.streaming import matching
 
 
 def bind(spark, name, names):
@@ -162,7 +163,7 @@ def start_offers(spark, root):
     empty = {
         "log": "seq long, target_path string, source_desc string, field string, value string, merge_time timestamp",
         "pending": "seq long, file_path string, field string, value string, reason string, state string, source_desc string, applied_at timestamp",
-        "applied": "offer_seq long",
+        "applied": streams.APPLIED,
     }
     changes.publish_all({name: spark.createDataFrame([], s) for name, s in empty.items()}, root)
 
@@ -597,3 +598,89 @@ def test_headers_of_files_in_place(spark, tmp_path):
         assert exif.tags_of(file)["make"] == "Cam" and file.count < 70_000
     both = exif.media_signals(spark.createDataFrame([("x/a.tif", bytearray(tiff)), ("x/c.bmp", bytearray(bmp))], "path string, content binary")).collect()
     assert {(r.width, r.height) for r in both} == {(320, 240), (640, 480)}
+
+
+def test_offers_in_batches_of_any_order(spark, tmp_path):
+    """Late files with lower numbers, and sources that number alike: every offer is applied once, none twice."""
+    root, src = f"file://{tmp_path}/cat", str(tmp_path / "offers")
+    start_offers(spark, root)
+    t = spark.createDataFrame([(f"m{i}", "mp4", True, None, None, 5.0) for i in range(6)], TARGET)
+    batches = [[("m0", "date", 100, 50_000, "a"), ("m1", "date", 101, 2, "b")], [("m2", "date", 102, 1, "a"), ("m3", "date", 103, 2, "a")], [("m4", "date", 104, 1, "b"), ("m1", "date", 101, 2, "b"), ("m5", "date", 105, 49_999, "a")]]
+    for n, rows in enumerate(batches):
+        made = [(target, f, v, seq, None, None, s, f"takeout:{s}{seq}") for target, f, v, seq, s in rows]
+        schema = OFFER + ", source string, source_desc string"
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = streams.file_stream(spark, src, spark.createDataFrame([], schema).schema)
+        streams.apply_offers(stream, t, root, str(tmp_path / "cp")).awaitTermination(120)
+    log = changes.current(spark, root, "log").collect()
+    assert sorted((r.source_desc, r.seq, json.loads(r.value)["utc_epoch"]) for r in log) == [("takeout:a1", 1, 102), ("takeout:a2", 2, 103), ("takeout:a49999", 49_999, 105), ("takeout:a50000", 50_000, 100), ("takeout:b1", 1, 104), ("takeout:b2", 2, 101)]
+    assert changes.current(spark, root, "applied").groupBy("source").agg(F.sum(F.bitmap_count("bits")).alias("n")).orderBy("source").collect() == [("a", 4), ("b", 2)]
+    again = streams.apply_offers(streams.file_stream(spark, src, spark.createDataFrame([], schema).schema), t, root, str(tmp_path / "cp2"))
+    again.awaitTermination(120)
+    assert changes.current(spark, root, "log").count() == 6 and changes.current(spark, root, "pending").count() == 6
+
+
+def test_two_publishers_of_one_state(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/cat"
+    df = spark.createDataFrame([(1,)], "x long")
+    with pytest.raises(LookupError, match="no table"):
+        changes.current(spark, root, "t")
+    changes.publish(df, root, "t")
+    changes.publish_all({}, root, {"t": df})
+    assert changes.current(spark, root, "t").count() == 2
+    monkeypatch.setattr(changes, "_last_unit", lambda spark, root: 1)  # read before the other published
+    with pytest.raises(RuntimeError, match="another publisher"):
+        changes.publish_all({}, root, {"t": df})
+    monkeypatch.undo()
+    assert changes.current(spark, root, "t").count() == 2
+    changes.publish_all({"t": df}, root, {"u": df})  # a whole table again
+    assert changes.current(spark, root, "t").count() == 1
+
+
+def test_every_batch_has_its_counters(spark, tmp_path):
+    """More batches than a query remembers."""
+    src, kept = str(tmp_path / "in"), spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.range(0, 24, 1, 12).write.parquet(src)
+    listener = streams.CounterTable(spark, f"file://{tmp_path}/counters")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    spark.streams.addListener(listener)
+    try:
+        stream = streams.counted(streams.file_stream(spark, src, spark.range(1).schema, files_per_batch=1), "rows", n=F.count("*"))
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(180) and len(query.recentProgress) <= 3
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        got = streams.counters(spark, f"file://{tmp_path}/counters").collect()
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert sorted(r.batch for r in got) == list(range(12)) and sum(int(r.counters["n"]) for r in got) == 24
+
+
+def test_arrivals_match_as_a_batch_does(spark, tmp_path):
+    """Exact, folded and cut names, either side first, with end markers; a directory without one goes by its timer."""
+    at = lambda h: datetime(2026, 8, 4, h)
+    side = [(1, "d/IMG_1.jpg.json", 1), (1, "d/dsc_2.JPG.json", 2), (1, "d/IMG_2021_holid.json", 3), (1, "d/IMG_2021_x.json", 4), (1, "d/A(1).jpg.json", 5), (2, "d/IMG_1.jpg.json", 6), (1, "e/late.jpg.json", 7)]
+    media = [(1, "d/IMG_1.jpg", 1), (1, "d/DSC_2.jpg", 2), (1, "d/IMG_2021_holiday.jpg", 3), (1, "d/IMG_2021_xa.jpg", 4), (1, "d/IMG_2021_xb.jpg", 5), (1, "d/A(1).jpg", 6), (1, "e/late.jpg", 7)]
+    s_rows, m_rows = "archive_id long, entry_path string, seq long", "archive_id long, entry_path string, pos long"
+    batch = match.match_in_archives(spark.createDataFrame(side, s_rows), spark.createDataFrame(media, m_rows))
+    want = {r.seq: (r.media_name, r.fuzzy, r.reason, r.candidate_count) for r in batch.collect()}
+    assert want[3] == ("IMG_2021_holiday.jpg", True, None, 1) and want[4][2] == "ambiguous" and want[2][0] == "DSC_2.jpg"
+    for order in ("sm", "ms"):
+        base, got, counts = tmp_path / order, {}, []
+
+        def take(df, n, got=got, counts=counts):
+            found = df.collect()
+            counts.append(len(found))
+            got.update({r.seq: (r.media_name, r.fuzzy, r.reason, r.candidate_count) for r in found})
+
+        schemas = {"s": s_rows + ", at timestamp", "m": m_rows + ", at timestamp", "e": "archive_id long, dir string, at timestamp"}
+        for name, schema in schemas.items():
+            spark.createDataFrame([], schema).write.parquet(str(base / name))
+        steps = {"s": [(*r, at(1)) for r in side], "m": [(*r, at(1)) for r in media]}
+        last = [("e", [(1, "d", at(1)), (2, "d", at(1))]), ("m", [(9, "z/x.jpg", 1, at(9))])]
+        for name, rows in [(order[0], steps[order[0]]), (order[1], steps[order[1]]), *last]:
+            spark.createDataFrame(rows, schemas[name]).coalesce(1).write.mode("append").parquet(str(base / name))
+            s, m, e = (streams.file_stream(spark, str(base / n), spark.createDataFrame([], schemas[n]).schema) for n in "sme")
+            query = matching.match_arrivals(matching.released_directories(s, m, e, wait_seconds=3600), take, str(base / "cp"))
+            assert query.awaitTermination(180)
+        assert got == want and sum(counts) == len(want)
