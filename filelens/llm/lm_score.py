@@ -3,10 +3,12 @@
 A text is its words in lower case (A-Z), each followed by a space, the last by the
 end mark. Bytes are predicted bit by bit: for each of several orders, the bytes
 before and the bits of this byte so far have a slot of their own that holds how
-often 0 and 1 followed. The stretched probabilities are mixed by logistic
-mixers whose weights are chosen by two gates (how sure the longest contexts
-are; the bits so far), and the mix is refined by an adaptive map. A text's score
-is the sum over all its bits.
+often 0 and 1 followed. Orders 1 to CONTEXT are so many bytes; within a word of
+more bytes the longest is the word so far, up to CONTEXT + OLDER bytes. The
+stretched probabilities are mixed by logistic mixers whose weights are chosen by
+two gates (how sure the longest contexts are, and how far into its word the byte
+is; the bits so far), and the mix is refined by an adaptive map. A text's score is
+the sum over all its bits.
 
 What is learned, in order, each from all training documents:
 
@@ -44,18 +46,21 @@ from pyspark.sql import functions as F
 from filelens.llm.common import materialize
 from filelens.llm.common_arrow import map_texts, raw, steps
 
-CONTEXT = 5  # bytes of the longest context
+CONTEXT = 5  # bytes of the longest context, unless all are of one word
+OLDER = 8  # more bytes of the word that the longest context then has
 NEAR = 3  # bytes before the last that a bucket's sequences share
 START, END = b"\n" * CONTEXT, b"\n"
-GATE_LEVELS = 24
+SURE_LEVELS = 4 * (CONTEXT + 1)  # of the longest context that was seen: its order and how often
+GATE_LEVELS = SURE_LEVELS * (CONTEXT + 1)  # and how many bytes of the word came before
 STEP = 2 << 20
+PRIOR = np.float32(0.06)  # what each bit counts before it was seen
+SPACE, LINE = np.uint64(0x20), np.uint64(0x0A)
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    slot_bits: tuple[int, ...] = (16, 19, 21, 21, 21)  # of the orders 1 to CONTEXT, in a Mixer over hashed tables
     rate: float = 0.02
-    weight_cap: int = 64  # of a sequence's count, while the weights are learned
+    weight_cap: int = 1000  # of a sequence's count, while the weights are learned
     map_bins: int = 33
     hot_words: int = 65536
     bucket_grams: int = 1 << 17  # sequences of a bucket, about
@@ -68,17 +73,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slots_of(grams: np.ndarray, node: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Slot of the context of ``order`` bytes before each gram's last byte, with the bits so far."""
-    context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    key = (context << np.uint64(8)) | node
-    if order == 1 and bits == 16:
-        return key.astype(np.int64)
-    return (_mix(key + (np.uint64(order) << np.uint64(56))) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+def word_bytes(grams: np.ndarray) -> np.ndarray:
+    """How many bytes of its word stand before each gram's last byte, CONTEXT at most."""
+    inside, n = np.ones(len(grams), dtype=bool), np.zeros(len(grams), dtype=np.int64)
+    for i in range(1, CONTEXT + 1):
+        byte = (grams >> np.uint64(8 * i)) & np.uint64(255)
+        inside &= (byte != SPACE) & (byte != LINE)
+        n += inside
+    return n
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -86,13 +88,24 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def grams_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sequence ending at each place of some texts, and where each text's places begin and end."""
+    """The sequence ending at each place of some texts, and where each text's places begin and end.
+
+    A sequence is the place's byte and the CONTEXT bytes before it; where these are
+    all of one word, 16 bits above them are a hash of the OLDER bytes of the word before these, never 0.
+    """
     streams = [START + b" ".join(w) + END for w in words]
     buf = np.frombuffer(b"".join(streams), dtype=np.uint8).astype(np.uint64)
     size = np.array([len(s) for s in streams])
     g = np.zeros(max(0, len(buf) - CONTEXT), dtype=np.uint64)
     for j in range(CONTEXT + 1):
         g = (g << np.uint64(8)) | buf[j : j + len(g)]
+    deep = np.flatnonzero(word_bytes(g) == CONTEXT)
+    older, inside = np.zeros(len(deep), dtype=np.uint64), np.ones(len(deep), dtype=bool)
+    for i in range(1, OLDER + 1):
+        byte = buf[deep - i]  # a text's first word has START before it
+        inside &= (byte != SPACE) & (byte != LINE)
+        older = (older << np.uint64(8)) | np.where(inside, byte, np.uint64(0))
+    g[deep] |= (np.uint64(1) + _mix(older) % np.uint64(65535)) << np.uint64(8 * CONTEXT + 8)
     begin = np.cumsum(size) - size
     return g, begin, begin + size - CONTEXT
 
@@ -177,6 +190,11 @@ def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column("key").to_numpy().astype(np.int64), got.column("n").to_numpy()
 
 
+def _pairs(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """n0 and n1 of some slots: a pair of 32-bit floats is moved as one number."""
+    return table.take(at).view(np.float32).reshape(-1, 2)
+
+
 class LowTables:
     """Slots of the orders below NEAR, by contexts that occur; row 0 is for the others."""
 
@@ -193,13 +211,13 @@ class LowTables:
                 slot, back = np.unique(slot, return_inverse=True)
                 table[slot] = np.bincount(back, weights=n, minlength=len(slot))
             self.rows.append(rows)
-            self.tables.append(table.reshape(-1, 2))
+            self.tables.append(table.view(np.int64))
 
     def __call__(self, g: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         out = []
         for order, (rows, table) in enumerate(zip(self.rows, self.tables, strict=True), 1):
             context = ((g >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)).astype(np.int64)
-            out.append(table[rows[context].astype(np.int64) * 256 + node.astype(np.int64)])
+            out.append(_pairs(table, rows[context].astype(np.int64) * 256 + node.astype(np.int64)))
         return out
 
 
@@ -209,7 +227,7 @@ class Bucket:
     def __init__(self, g: np.ndarray, n: np.ndarray, low: LowTables):
         self.g, self.low, self.slots, self.tables = g, low, [], []
         for order in range(NEAR, CONTEXT + 1):
-            key = g & np.uint64((1 << (8 * (order + 1))) - 1)
+            key = g & np.uint64((1 << (8 * (order + 1))) - 1) if order < CONTEXT else g
             by = np.argsort(key, kind="stable")
             key, weight, slots, tables = key[by], n[by].astype(np.float64), [], []
             for j in range(8):
@@ -219,45 +237,41 @@ class Bucket:
                 place = np.empty(len(g), dtype=np.int32)
                 place[by] = at
                 slots.append(place)
-                tables.append(np.bincount(2 * at + bit, weights=weight, minlength=2 * int(at[-1]) + 2).reshape(-1, 2))
+                tables.append(np.bincount(2 * at + bit, weights=weight, minlength=2 * int(at[-1]) + 2).astype(np.float32).view(np.int64))
             self.slots.append(slots)
             self.tables.append(tables)
 
     def at(self, rows: np.ndarray) -> Counts:
         """The counts of some of the sequences."""
-        return lambda j, node: self.low(self.g[rows], node) + [t[j][s[j][rows]] for t, s in zip(self.tables, self.slots, strict=True)]
+        return lambda j, node: self.low(self.g[rows], node) + [_pairs(t[j], s[j][rows]) for t, s in zip(self.tables, self.slots, strict=True)]
 
 
 Counts = Callable[[int, np.ndarray], list[np.ndarray]]  # n0 and n1 for each order, at a bit and its node
 
 
 class Mixer:
-    """Predicts the last byte of sequences, by counts that are given or those of hashed tables."""
+    """Predicts the last byte of sequences by the counts of their contexts."""
 
-    def __init__(self, tables: list[np.ndarray] | None, cfg: LmConfig, by_level: np.ndarray | None = None, by_node: np.ndarray | None = None, refined: np.ndarray | None = None):
+    def __init__(self, cfg: LmConfig, by_level: np.ndarray | None = None, by_node: np.ndarray | None = None, refined: np.ndarray | None = None):
         k = CONTEXT + 1
-        self.tables, self.cfg = tables, cfg
+        self.cfg = cfg
         self.by_level = np.full((GATE_LEVELS, k), 0.3) if by_level is None else by_level
         self.by_node = np.full((256, k), 0.3) if by_node is None else by_node
         self.refined = refined  # node, bin
 
-    def hashed(self, g: np.ndarray) -> Counts:
-        return lambda j, node: [t[slots_of(g, node, order, bits)] for order, (t, bits) in enumerate(zip(self.tables, self.cfg.slot_bits, strict=True), 1)]
-
-    def inputs(self, counts: list[np.ndarray], bit: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions of each order and the level of the gate. unseen: without this very event."""
-        x = np.ones((len(bit), len(counts) + 1))
+    def inputs(self, place: np.ndarray, counts: list[np.ndarray], bit: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions of each order and the level of the gate, at these places of words. unseen: without this very event."""
+        x, rows = np.full((len(bit), len(counts) + 1), 0.3, dtype=np.float32), np.arange(len(bit))
         level = np.zeros(len(bit), dtype=np.int64)
         for order, n in enumerate(counts, 1):
-            n = n.astype(np.float64)
             if unseen:
-                n[np.arange(len(bit)), bit] = np.maximum(0.0, n[np.arange(len(bit)), bit] - 1)
-            total = n[:, 0] + n[:, 1]
-            x[:, order - 1] = stretch((n[:, 1] + 0.06) / (total + 0.12))
-            sure = np.minimum(3, np.floor(np.log2(np.maximum(total, 0.5)) / 2 + 1)).astype(np.int64)
+                n[rows, bit] = np.maximum(n[rows, bit] - 1, 0)
+            zeros, ones = n[:, 0], n[:, 1]
+            total = zeros + ones
+            x[:, order - 1] = np.log((ones + PRIOR) / (zeros + PRIOR))
+            sure = (total >= 1).view(np.int8) + (total >= 4) + (total >= 16)
             level = np.where(total > 0, 4 * order + sure, level)
-        x[:, -1] = 0.3
-        return x, np.minimum(level, GATE_LEVELS - 1)
+        return x, SURE_LEVELS * place + level
 
     def mixed(self, x: np.ndarray, level: np.ndarray, node: np.ndarray) -> np.ndarray:
         dot = np.einsum("ij,ij->i", x, self.by_level[level]) + np.einsum("ij,ij->i", x, self.by_node[node])
@@ -268,14 +282,13 @@ class Mixer:
         low = np.minimum(at.astype(np.int64), self.cfg.map_bins - 2)
         return low, at - low
 
-    def log2(self, g: np.ndarray, counts: Counts | None = None) -> np.ndarray:
+    def log2(self, g: np.ndarray, counts: Counts) -> np.ndarray:
         """log2 probability of the last byte of each sequence, given those before."""
-        counts = counts or self.hashed(g)
-        out, byte = np.zeros(len(g)), g & np.uint64(255)
+        out, byte, place = np.zeros(len(g)), g & np.uint64(255), word_bytes(g)
         for j in range(8):
             node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
             bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-            x, level = self.inputs(counts(j, node), bit, unseen=False)
+            x, level = self.inputs(place, counts(j, node), bit, unseen=False)
             node = node.astype(np.int64)
             s = self.mixed(x, level, node)
             p = squash(s)
@@ -289,11 +302,11 @@ class Mixer:
         """One online step for each bit of some sequences."""
         weight = np.minimum(n, self.cfg.weight_cap).astype(np.float64)
         weight /= weight.mean()
-        byte = g & np.uint64(255)
+        byte, place = g & np.uint64(255), word_bytes(g)
         for j in range(8):
             node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
             bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-            x, level = self.inputs(counts(j, node), bit, unseen=True)
+            x, level = self.inputs(place, counts(j, node), bit, unseen=True)
             node = node.astype(np.int64)
             error = (bit - squash(self.mixed(x, level, node))) * weight
             for gate, which in ((self.by_level, level), (self.by_node, node)):
@@ -320,7 +333,7 @@ def _with_model(packs: DataFrame, low: Low, model: Mixer, size: int, work) -> np
         (keys, times), cfg, by_level, by_node = sent.value
         value, weight, tables = np.zeros(size), np.zeros(size), LowTables(keys, times)
         for g, n in _packs(batches):
-            work(Mixer(None, cfg, by_level.copy(), by_node.copy()), Bucket(g, n, tables), n, value, weight)
+            work(Mixer(cfg, by_level.copy(), by_node.copy()), Bucket(g, n, tables), n, value, weight)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(value), pa.array(weight)], names=["at", "value", "weight"])
 
     out = np.zeros((2, size))
@@ -332,7 +345,7 @@ def _with_model(packs: DataFrame, low: Low, model: Mixer, size: int, work) -> np
 
 def learn_mixer(packs: DataFrame, low: Low, cfg: LmConfig) -> Mixer:
     """The model, from the buckets of sequences."""
-    model = Mixer(None, cfg)
+    model = Mixer(cfg)
     shape, at = (GATE_LEVELS + 256, model.by_level.shape[1]), GATE_LEVELS * model.by_level.shape[1]
 
     def train(own: Mixer, bucket: Bucket, n: np.ndarray, value, weight) -> None:
@@ -347,19 +360,20 @@ def learn_mixer(packs: DataFrame, low: Low, cfg: LmConfig) -> Mixer:
     total, events = _with_model(packs, low, model, shape[0] * shape[1], train)
     if not events.any():
         zero = np.zeros(shape)
-        return Mixer(None, cfg, zero[:GATE_LEVELS], zero[GATE_LEVELS:])
+        return Mixer(cfg, zero[:GATE_LEVELS], zero[GATE_LEVELS:])
     mean = (total / events).reshape(shape)
-    model = Mixer(None, cfg, mean[:GATE_LEVELS], mean[GATE_LEVELS:])
+    model = Mixer(cfg, mean[:GATE_LEVELS], mean[GATE_LEVELS:])
     size = 256 * cfg.map_bins
 
     def refine(own: Mixer, bucket: Bucket, times: np.ndarray, value, weight) -> None:
         for i in range(0, len(times), ROWS):
             rows = np.arange(i, min(i + ROWS, len(times)))
-            byte, n, counts = bucket.g[rows] & np.uint64(255), times[rows].astype(np.float64), bucket.at(rows)
+            g, n, counts = bucket.g[rows], times[rows].astype(np.float64), bucket.at(rows)
+            byte, place = g & np.uint64(255), word_bytes(g)
             for j in range(8):
                 node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
                 bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-                x, level = own.inputs(counts(j, node), bit, unseen=True)
+                x, level = own.inputs(place, counts(j, node), bit, unseen=True)
                 node = node.astype(np.int64)
                 low_bin, part = own.bins(own.mixed(x, level, node))
                 for b, share in ((low_bin, 1 - part), (low_bin + 1, part)):

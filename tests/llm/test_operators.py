@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on rows with nulls, ties and repeats."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -374,24 +375,45 @@ def test_lm_score_against_one_bucket(spark, docs, odd):
 
 
 def test_lm_score_has_every_context(spark, docs):
-    """No context shares a slot, and sequences that are joined score like those that go to the tasks."""
+    """Sequences that are joined score like those that go to the tasks."""
     train = docs.filter("doc_id % 5 <> 1")
 
     def scores(**settings):
         return {r.doc_id: r.score for r in lm_score.score_texts(docs, train, lm_score.LmConfig(**settings)).collect()}
 
-    want = scores()
-    assert scores(slot_bits=(16, 10, 10, 10, 10)) == pytest.approx(want, rel=1e-5)
-    assert scores(hot_grams=500) == pytest.approx(want, rel=1e-5)
+    assert scores(hot_grams=500) == pytest.approx(scores(), rel=1e-5)
+
+
+def test_lm_score_beats_word_counts_on_held_out_texts(spark):
+    """The base score pays nothing for the spelling of words that training hasn't; the model does, and is better by its contexts."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    got = [r for r in queries.op6_lm_score(spark, sf).collect() if r.held_out]
+    assert len(got) > 100 and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_words_are_contexts():
+    """Beyond CONTEXT bytes a sequence tells the word so far, wherever it stands; other words and what is before them don't matter."""
+    g, begin, end = lm_score.grams_of([[b"abcdefgh", b"xabcdefgh"], [b"b", b"abcdefgh", b"abcde"], []])
+    first, second = g[begin[0] : end[0]].tolist(), g[begin[1] : end[1]].tolist()
+    assert (end - begin).tolist() == [19, 17, 1]
+    low = (1 << 8 * (lm_score.CONTEXT + 1)) - 1
+    assert first[5:9] == second[7:11] and all(x > low for x in first[5:9])  # f, g, h and the space of abcdefgh
+    assert all(x <= low for x in first[:5] + first[9:14])
+    assert first[16] & low == first[6] & low and first[16] != first[6]  # g of xabcdefgh: bcdef before it, but of another word
+    assert second[-1] & ~0xFF == first[5] & ~0xFF  # abcde, and the end or f
+    assert lm_score.word_bytes(np.array(first, np.uint64)).tolist() == [0, 1, 2, 3, 4, 5, 5, 5, 5, 0, 1, 2, 3, 4, 5, 5, 5, 5, 5]
 
 
 def test_bit_model_is_a_distribution():
     cfg = lm_score.LmConfig()
     rng = np.random.default_rng(1)
-    tables = [rng.integers(0, 50, (1 << b, 2)).astype(np.uint16) for b in cfg.slot_bits]
-    m = lm_score.Mixer(tables, cfg, refined=rng.uniform(0.01, 0.99, (256, cfg.map_bins)))
-    context = np.uint64(0x6162636465) << np.uint64(8)
-    assert np.exp2(m.log2(context + np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
+    tables = [rng.integers(0, 50, (8, 256, 2)).astype(np.float32) for _ in range(lm_score.CONTEXT)]
+    m = lm_score.Mixer(cfg, refined=rng.uniform(0.01, 0.99, (256, cfg.map_bins)))
+    for context in (0x6162636465, 0x6162632065):  # in the sixth byte of a word and in its second
+        g = (np.uint64(context) << np.uint64(8)) + np.arange(256, dtype=np.uint64)
+        assert np.exp2(m.log2(g, lambda j, node: [t[j][node.astype(int)] for t in tables])).sum() == pytest.approx(1)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"
