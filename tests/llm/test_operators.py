@@ -1,5 +1,6 @@
 """Each operator against a plain version, and on rows with nulls, ties and repeats."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -126,6 +127,38 @@ def test_bpe_is_the_librarys(spark, docs, odd):
             assert r.decoded == (r.text or "")
 
 
+def test_registered_bpe_digests(spark, docs, odd):
+    """digest_documents, behind op2, against the library; columns that clash with outputs' names and an empty table."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    clashing = odd.withColumns({"n_tokens": F.lit("x"), "ids_sha256": F.lit("y"), "decoded_sha256": F.lit(None)})
+    for table in (docs.select("doc_id", "text"), clashing):
+        want = Counter()
+        for r in table.select("doc_id", "text").collect():
+            ids = library.encode(r.text or "", add_special_tokens=False).ids
+            back = library.decode(ids, skip_special_tokens=False)
+            want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += 1
+        got = bpe.digest_documents(table, queries.tokenizer_path(), ["doc_id"])
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert Counter(map(tuple, got.collect())) == want
+    assert bpe.digest_documents(odd.limit(0), queries.tokenizer_path(), ["doc_id"]).count() == 0
+
+
+def test_columns_named_like_outputs(spark, odd):
+    """Extra columns of any name change no result of the operators that read doc_id and text alone."""
+    names = ["n_shingles", "component_id", "kept", "start", "ids_crc32", "n_words", "labels", "score", "group", "digest", "key", "row"]
+    table = odd.drop("score").withColumns({n: F.lit("x") for n in names})
+
+    def frames(rows):
+        folder = token_frames.token_folder(spark)
+        return token_frames.read_token_digests(token_frames.write_token_files(rows, queries.tokenizer_path(), folder, end_id=2, n_files=2), folder)
+
+    for operator in (near_dup.near_duplicates, license_scan.scan_licenses, frames):
+        assert Counter(map(tuple, operator(table).collect())) == Counter(map(tuple, operator(odd).collect()))
+    assert near_dup.without_near_duplicates(table).columns == table.columns
+
+
 def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 
