@@ -30,11 +30,15 @@ def pending_entries(listed: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def known_archives(incoming: DataFrame, archives: DataFrame) -> DataFrame:
-    """incoming (path, digest) that is complete already: the archive it is, that of its path before one of its digest."""
+    """incoming (path, digest) that is complete already: the archive it is, that of its path before one of its digest.
+
+    Of the archives that share a path or a digest only the first counts, so it alone
+    meets the incoming ones: rows are those of the two tables, never their pairs.
+    """
     kinds = lambda df: df.select("*", F.explode(F.array(F.struct(F.lit("path").alias("kind"), F.col("path").alias("key")), F.struct(F.lit("digest").alias("kind"), F.col("digest").alias("key")))).alias("k")).select("*", "k.kind", "k.key").filter("key IS NOT NULL")
-    done = kinds(archives.filter("status = 'complete'")).select("kind", "key", F.col("seq").alias("archive_seq"), F.col("path").alias("archive_path"))
-    hits = kinds(incoming).select("path", "kind", "key").join(done, ["kind", "key"]).withColumn("turn", F.when(F.col("kind") == "path", 0).otherwise(1))
-    best = F.min(F.struct("turn", "archive_seq", "archive_path", "kind")).alias("b")
+    done = kinds(archives.filter("status = 'complete'")).groupBy("kind", "key").agg(F.min(F.struct(F.col("seq").alias("archive_seq"), F.col("path").alias("archive_path"))).alias("a"))
+    hits = kinds(incoming).select("path", "kind", "key").join(done.hint("merge"), ["kind", "key"])
+    best = F.min(F.struct(F.when(F.col("kind") == "path", 0).otherwise(1).alias("turn"), "a.archive_seq", "a.archive_path", "kind")).alias("b")
     return hits.groupBy("path").agg(best).select("path", "b.archive_seq", "b.archive_path", F.col("b.kind").alias("matched_by"))
 
 
