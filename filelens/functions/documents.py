@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filelens.functions.expressions import let
 from filelens.functions.media import real_place
 
 
@@ -18,20 +19,29 @@ def parse_object(text: Column) -> Column:
 
 
 def sidecar_payload(text: Column) -> Column:
-    """Struct utc_epoch, lat, lon of a sidecar document; null where it isn't an object."""
-    v = parse_object(text)
-    taken, made = _number(v, "$.photoTakenTime.timestamp", "bigint"), _number(v, "$.creationTime.timestamp", "bigint")
-    epoch = F.coalesce(F.when(taken > 0, taken), F.when(made > 0, made))
-    spots = [(_number(v, f"$.{k}.latitude", "double"), _number(v, f"$.{k}.longitude", "double")) for k in ("geoData", "geoDataExif")]
-    lat = F.coalesce(*[F.when(real_place(a, b), a) for a, b in spots])
-    lon = F.coalesce(*[F.when(real_place(a, b), b) for a, b in spots])
-    return F.when(v.isNotNull(), F.struct(epoch.alias("utc_epoch"), lat.alias("lat"), lon.alias("lon")))
+    """Struct utc_epoch, lat, lon of a sidecar document; null where it isn't an object.
+
+    The document is parsed once, and each of its numbers is read once.
+    """
+    kinds = {"taken": ("$.photoTakenTime.timestamp", "bigint"), "made": ("$.creationTime.timestamp", "bigint")}
+    kinds |= {f"{place}{i}": (f"$.{k}.{place}itude", "double") for i, k in enumerate(("geoData", "geoDataExif")) for place in ("lat", "long")}
+
+    def payload(n: Column) -> Column:
+        epoch = F.coalesce(F.when(n["taken"] > 0, n["taken"]), F.when(n["made"] > 0, n["made"]))
+        real = [(real_place(n[f"lat{i}"], n[f"long{i}"]), n[f"lat{i}"], n[f"long{i}"]) for i in range(2)]
+        lat, lon = F.coalesce(*[F.when(is_real, a) for is_real, a, _ in real]), F.coalesce(*[F.when(is_real, b) for is_real, _, b in real])
+        return F.struct(epoch.alias("utc_epoch"), lat.alias("lat"), lon.alias("lon"))
+
+    def numbers(v: Column) -> Column:
+        return F.when(v.isNotNull(), let(F.struct(*[_number(v, path, kind).alias(k) for k, (path, kind) in kinds.items()]), payload))
+
+    return let(parse_object(text), numbers)
 
 
 def logged_epoch(text: Column) -> Column:
     """utc_epoch of a log value, at the top or below ``offered``; 0 counts as missing."""
-    v = parse_object(text)
-    return F.coalesce(*[F.nullif(_number(v, p, "bigint"), F.lit(0).cast("bigint")) for p in ("$.utc_epoch", "$.offered.utc_epoch")])
+    number = lambda v, path: F.nullif(_number(v, path, "bigint"), F.lit(0).cast("bigint"))
+    return let(parse_object(text), lambda v: F.coalesce(number(v, "$.utc_epoch"), number(v, "$.offered.utc_epoch")))
 
 
 def _iso(epoch: Column) -> Column:

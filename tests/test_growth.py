@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from filelens.functions.documents import logged_epoch, sidecar_payload
 from filelens.operators import ingest
 
 
@@ -34,3 +35,13 @@ def test_archives_of_one_digest_meet_no_pairs(spark):
     got = {r.path: tuple(r)[1:] for r in df.collect()}
     assert len(got) == 502 and got["i3"] == (1, "a399", "digest") and got["a7"] == (393, "a7", "path") and got["a9"] == (391, "a9", "path")
     assert most_joined(df) <= 600
+
+
+def test_a_document_is_parsed_once(spark):
+    """However many numbers are read from it."""
+    doc = '{"utc_epoch":5,"photoTakenTime":{"timestamp":"-1"},"creationTime":{"timestamp":"7"},"geoData":{"latitude":0,"longitude":0},"geoDataExif":{"latitude":1.5,"longitude":2}}'
+    rows = spark.createDataFrame([(doc,), ("[1]",), (None,)], "d string")
+    for read, want in ((sidecar_payload, (7, 1.5, 2.0)), (logged_epoch, 5)):
+        df = rows.select(read(F.col("d")).alias("p"))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+        assert [r.p if r.p is None or isinstance(r.p, int) else tuple(r.p) for r in df.collect()] == [want, None, None]
