@@ -122,23 +122,51 @@ def cascade_files(files: DataFrame, watch: dict[str, Observation] | None = None)
     return known
 
 
+def _by_digest(files: DataFrame) -> DataFrame:
+    """digest, seq, path, matched_on: each file by its full and by its source digest; the two become rows."""
+    sides = F.array(F.struct(F.lit("digest_full").alias("matched_on"), F.col("digest_full").alias("digest")), F.struct(F.lit("digest_source").alias("matched_on"), F.col("digest_source").alias("digest")))
+    return files.select("seq", "path", F.explode(sides).alias("s")).select("seq", "path", "s.*").filter("digest IS NOT NULL")
+
+
 def content_matches(incoming: DataFrame, files: DataFrame) -> DataFrame:
-    """incoming (digest, ...) with every file of equal full or source digest, and which it was.
+    """incoming (digest, ...) with every file of equal full or source digest, and which it was: one equi-join.
 
-    The two digests become rows, so this is one equi-join.
+    These are pairs. Where only their number or the first of them is wanted, see
+    ``match_counts`` and ``first_survivors``.
     """
-    sides = F.array(F.struct(F.lit("digest_full").alias("matched_on"), F.col("digest_full").alias("digest")), F.struct(F.lit("digest_source").alias("matched_on"), F.col("digest_source").alias("digest")))
-    rows = files.select("seq", "path", F.explode(sides).alias("s")).select("seq", "path", "s.*").filter("digest IS NOT NULL")
-    rows = rows.groupBy("digest", "seq", "path").agg(F.min("matched_on").alias("matched_on"))
+    rows = _by_digest(files).groupBy("digest", "seq", "path").agg(F.min("matched_on").alias("matched_on"))
     return incoming.join(rows, "digest")
 
 
+def match_counts(incoming: DataFrame, files: DataFrame, entry: str) -> DataFrame:
+    """entry, matches, first_seq, matched_on of content_matches by entry: how many, the first by seq, the least of the kinds.
+
+    Files are summed up by digest before they meet the entries, so a digest that many
+    of both have makes no pairs. An entry that comes twice with one digest counts once.
+    """
+    rows = _by_digest(files).groupBy("digest", "seq", "path").agg(F.min("matched_on").alias("matched_on"))
+    known = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.min("matched_on").alias("matched_on"))
+    hits = incoming.select(entry, "digest").distinct().join(known.hint("merge"), "digest")
+    return hits.groupBy(entry).agg(F.sum("n").alias("matches"), F.min("seq").alias("first_seq"), F.min("matched_on").alias("matched_on"))
+
+
 def first_survivor(matches: DataFrame, present: DataFrame, entry: str) -> DataFrame:
     """The first match of each entry whose file is there now."""
     w = Window.partitionBy(entry).orderBy("seq")
     return matches.join(present.select("path").distinct(), "path", "left_semi").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def first_survivors(incoming: DataFrame, files: DataFrame, present: DataFrame, entry: str) -> DataFrame:
+    """entry, path, matched_on: first_survivor of content_matches, without their pairs.
+
+    Files that are there now are reduced to the first of each digest before they meet the entries.
+    """
+    there = files.join(present.select("path").distinct().hint("merge"), "path", "left_semi")
+    first = _by_digest(there).groupBy("digest").agg(F.min(F.struct("seq", "path", "matched_on")).alias("f"))
+    hits = incoming.select(entry, "digest").join(first.hint("merge"), "digest")
+    return hits.groupBy(entry).agg(F.min("f").alias("f")).select(entry, "f.path", "f.matched_on")
+
+
 def unresolved(groups: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Groups without a live verdict."""
     return groups.join(resolutions.filter("NOT coalesce(stale, false)").select("digest_full").distinct(), "digest_full", "left_anti")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from filelens.functions.documents import logged_epoch, sidecar_payload
-from filelens.operators import ingest
+from filelens.operators import dedup, ingest
+from filelens.plans.catalog_queries import QUERIES
 
 
 def nodes(df):
@@ -45,3 +46,28 @@ def test_a_document_is_parsed_once(spark):
         df = rows.select(read(F.col("d")).alias("p"))
         assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
         assert [r.p if r.p is None or isinstance(r.p, int) else tuple(r.p) for r in df.collect()] == [want, None, None]
+
+
+def _one_digest(spark):
+    incoming = spark.range(300).selectExpr("id AS entry", "'same' AS digest").unionByName(spark.createDataFrame([(300, "b"), (301, "none"), (302, None)], "entry long, digest string"))
+    files = spark.range(200).selectExpr("id AS seq", "concat('/f', id) AS path", "if(id % 2 = 0, 'same', 'b') AS digest_full", "if(id < 10, 'same', cast(NULL AS string)) AS digest_source")
+    return incoming, files, spark.range(3, 200).selectExpr("concat('/f', id) AS path")
+
+
+def test_matches_of_one_digest_are_counted_without_pairs(spark):
+    """300 entries and 105 files of one digest: the numbers are those of all pairs, the rows are not."""
+    incoming, files, present = _one_digest(spark)
+    pairs = dedup.content_matches(incoming, files)
+    counts, first = dedup.match_counts(incoming, files, "entry"), dedup.first_survivors(incoming, files, present, "entry")
+    want = pairs.groupBy("entry").agg(F.count("*").alias("matches"), F.min("seq").alias("first_seq"), F.min("matched_on").alias("matched_on"))
+    assert sorted(counts.collect()) == sorted(want.collect()) and counts.count() == 301
+    assert sorted(first.collect()) == sorted(dedup.first_survivor(pairs, present, "entry").select("entry", "path", "matched_on").collect())
+    assert most_joined(counts) <= 303 and most_joined(first) <= 303
+
+
+def test_match_queries_make_no_pairs(spark, smoke_dir):
+    """The registered queries go the same way: no join has more rows than there are documents."""
+    for name in ("join_04_first_survivor",):
+        df = QUERIES[name](spark, smoke_dir.replace("sf0.001", "sf0.01"))
+        df.collect()
+        assert most_joined(df) <= 1000, name
