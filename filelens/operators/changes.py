@@ -110,7 +110,7 @@ def store_verdicts(classes: DataFrame, results: DataFrame, files: DataFrame) ->
 def insert_once(existing: DataFrame, offered: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The offered rows that are new: not among ``existing``, and first of their key in the batch."""
     w = Window.partitionBy(*keys).orderBy(order)
-    fresh = offered.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = offered.join(existing.select(*keys).distinct().hint("merge"), keys, "left_anti")
     return fresh.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
@@ -150,7 +150,7 @@ def mark_stale(resolutions: DataFrame) -> DataFrame:
 def mark_rebound(sidecars: DataFrame, binds: DataFrame) -> DataFrame:
     """Mark bound sidecars and the identical offers collapsed onto them."""
     rows = binds.select(F.explode(F.concat(F.array("seq"), "duplicate_seqs")).alias("seq"), F.col("target").alias("__path"), F.col("outcome").alias("__outcome"), F.col("rebound_at").alias("__at"))
-    joined = sidecars.join(rows, "seq", "left")
+    joined = sidecars.join(rows.hint("merge"), "seq", "left")
     return joined.withColumns(
         {"rebound_path": F.coalesce("__path", "rebound_path"), "rebound_outcome": F.coalesce("__outcome", "rebound_outcome"), "rebound_at": F.coalesce("__at", "rebound_at")}
     ).drop("__path", "__outcome", "__at")

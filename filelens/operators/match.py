@@ -1,4 +1,9 @@
-"""Binding sidecars to media files of the same directory, and across archives."""
+"""Binding sidecars to media files of the same directory, and across archives.
+
+Tables that grow with the sidecars or the media files meet in sort-merge joins (the
+hints): as broadcasts each would pass through the driver as long as it is small
+when packed. Only what has a row a directory is left to the planner.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +33,7 @@ def prefix_hits(wanted: DataFrame, names: DataFrame) -> DataFrame:
     held = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("name", F.lit(r"\([0-9]+\)"), F.lit(0))))
     rows = rows.select("dir", "name", F.explode("lengths").alias("n"), held.alias("held")).filter("n <= length(name)")
     cut = F.substring(F.lower("name"), F.lit(1), F.col("n"))
-    rows = rows.select("dir", "name", cut.alias("cut"), F.explode("held").alias("key")).join(keys, ["dir", "cut", "key"], "left_semi")
+    rows = rows.select("dir", "name", cut.alias("cut"), F.explode("held").alias("key")).join(keys.hint("merge"), ["dir", "cut", "key"], "left_semi")
     same = F.lower(split_extension(F.col("name"))[0]) == F.col("cut")
     counts = rows.groupBy("dir", "cut", "key").agg(F.count("*").alias("hits"), F.count_if(same).alias("same"), F.max(F.when(same, F.col("name"))).alias("same_name"), F.max("name").alias("only"))
     return counts.withColumn("counter", F.nullif("key", F.lit(""))).drop("key")
@@ -50,14 +55,15 @@ def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     equi-joins on the directory and a whole name or a whole prefix, see ``prefix_hits``.
     """
     media = media.groupBy("dir", "name").agg(F.max("pos").alias("pos"))
-    parsed = stored(sidecars.select("seq", "dir", "name", parse_sidecar(F.col("name")).alias("p")), "parsed")  # read four times below
+    # Dealt out first: names are small and parsing is not, so a part of the table would be a long task.
+    parsed = stored(sidecars.select("seq", "dir", "name").repartition("seq").select("*", parse_sidecar(F.col("name")).alias("p")), "parsed")  # read four times below
     wanted = parsed.select("seq", "dir", F.posexplode("p.candidates").alias("prio", "wanted"))
     folded = media.groupBy("dir", F.lower("name").alias("folded")).agg(F.max_by("name", "pos").alias("hit"))
-    exact = wanted.join(media.select("dir", F.col("name").alias("wanted")), ["dir", "wanted"]).select("seq", F.struct(F.lit(1).alias("tier"), "prio", F.col("wanted").alias("hit")).alias("h"))
-    loose = wanted.withColumn("folded", F.lower("wanted")).join(folded, ["dir", "folded"]).select("seq", F.struct(F.lit(2).alias("tier"), "prio", "hit").alias("h"))
+    exact = wanted.join(media.select("dir", F.col("name").alias("wanted")).hint("merge"), ["dir", "wanted"]).select("seq", F.struct(F.lit(1).alias("tier"), "prio", F.col("wanted").alias("hit")).alias("h"))
+    loose = wanted.withColumn("folded", F.lower("wanted")).join(folded.hint("merge"), ["dir", "folded"]).select("seq", F.struct(F.lit(2).alias("tier"), "prio", "hit").alias("h"))
     by_name = exact.unionByName(loose).groupBy("seq").agg(F.min("h").alias("h")).select("seq", F.col("h.hit").alias("named"))
     listed = media.groupBy("dir").agg(F.lit(True).alias("listed"))
-    rows = parsed.join(by_name, "seq", "left").join(listed, "dir", "left")
+    rows = parsed.join(by_name.hint("merge"), "seq", "left").join(listed, "dir", "left")
 
     # The counter was put back by parsing: prefixes are compared without it.
     open_ = rows.filter("named IS NULL AND p.media_name IS NOT NULL AND NOT p.stem_complete").select("seq", "dir", F.lower(uncounted("p")).alias("cut"), F.col("p.counter").alias("counter"))
@@ -65,8 +71,8 @@ def match_sidecars(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     _, ext = split_extension(F.col("name"))
     found = prefix_hits(open_, media.filter(F.lower(ext).isin(*PICTURE_EXTENSIONS)))
     here = (F.col("o.dir") == F.col("f.dir")) & (F.col("o.cut") == F.col("f.cut")) & F.col("o.counter").eqNullSafe(F.col("f.counter"))
-    prefix = open_.alias("o").join(found.alias("f"), here).select("o.seq", "f.hits", "f.same", "f.same_name", "f.only")
-    rows = rows.join(prefix, "seq", "left")
+    prefix = open_.alias("o").join(found.alias("f").hint("merge"), here).select("o.seq", "f.hits", "f.same", "f.same_name", "f.only")
+    rows = rows.join(prefix.hint("merge"), "seq", "left")
     bound = F.when(F.col("hits") == 1, F.col("only")).when((F.col("hits") > 1) & (F.col("same") == 1), F.col("same_name"))
     reason = (
         F.when(F.col("p.media_name").isNull(), "unparseable")
@@ -88,7 +94,7 @@ def match_in_archives(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     place = F.concat(F.col("archive_id").cast("string"), F.lit("/"), dirname(F.col("entry_path")))
     names = (place.alias("dir"), basename(F.col("entry_path")).alias("name"))
     found = match_sidecars(sidecars.select("seq", *names), media.select(*names, "pos"))
-    return found.drop("dir").join(sidecars.select("seq", "archive_id", dirname(F.col("entry_path")).alias("dir")), "seq")
+    return found.drop("dir").join(sidecars.select("seq", "archive_id", dirname(F.col("entry_path")).alias("dir")).hint("merge"), "seq")
 
 
 def unmatched_rows(matched: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -96,8 +102,8 @@ def unmatched_rows(matched: DataFrame, sidecars: DataFrame) -> DataFrame:
 
     matched: of match_in_archives; sidecars: seq, entry_path, payload (null where it could not be read: unparseable).
     """
-    rows = matched.join(sidecars.select("seq", "entry_path", "payload"), "seq").filter("media_name IS NULL OR payload IS NULL")
-    p = parse_sidecar(F.col("name"))
+    rows = matched.join(sidecars.select("seq", "entry_path", "payload").hint("merge"), "seq").filter("media_name IS NULL OR payload IS NULL")
+    rows = rows.withColumn("p", parse_sidecar(F.col("name")))
     unread = F.col("payload").isNull()
     return rows.select(
         "seq",
@@ -105,8 +111,8 @@ def unmatched_rows(matched: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.col("entry_path").alias("sidecar_path"),
         F.col("dir").alias("archive_dir"),
         F.col("name").alias("entry_name"),
-        p["media_name"].alias("media_stem"),
-        p["counter"].alias("counter"),
+        F.col("p.media_name").alias("media_stem"),
+        F.col("p.counter").alias("counter"),
         F.when(unread, "unparseable").otherwise(F.col("reason")).alias("reason"),
         F.when(unread, 0).otherwise(F.col("candidate_count")).cast("bigint").alias("candidate_count"),
         "payload",
@@ -131,7 +137,7 @@ def apply_rebind(plan: DataFrame, sidecars: DataFrame, targets: DataFrame, log:
     file's name and whether it had moved.
     """
     bound = plan.filter("decision = 'bound'").select("seq", "target", "media_name", "relocated")
-    offered = bound.join(sidecars.select("seq", "sidecar_path", "payload"), "seq")
+    offered = bound.join(sidecars.select("seq", "sidecar_path", "payload").hint("merge"), "seq")
     made = offers.sidecar_offers(offered.select("seq", "target", sidecar_payload(F.col("payload")).alias("payload"), F.concat(F.lit("takeout:"), "sidecar_path").alias("source_desc")))
     decided = stored(offers.evaluate_offers(made, offers.targets_now(targets, log)), "rebind-decisions")
     new_log, new_pending = offers.change_sets(decided, log, pending)
@@ -142,7 +148,7 @@ def apply_rebind(plan: DataFrame, sidecars: DataFrame, targets: DataFrame, log:
     none = F.array().cast("array<string>")
     outcome = json_document(**{k: F.coalesce(k, none) for k in kinds}, media_name=F.col("media_name"), relocated=F.col("relocated"))
     copies = plan.filter("decision = 'duplicate'").groupBy(F.col("first_seq").alias("seq")).agg(F.collect_list(F.col("seq")).alias("duplicate_seqs"))
-    binds = bound.join(lists, "seq", "left").join(copies, "seq", "left").select("seq", F.coalesce("duplicate_seqs", F.array().cast("array<bigint>")).alias("duplicate_seqs"), "target", outcome.alias("outcome"), now.alias("rebound_at"))
+    binds = bound.join(lists.hint("merge"), "seq", "left").join(copies.hint("merge"), "seq", "left").select("seq", F.coalesce("duplicate_seqs", F.array().cast("array<bigint>")).alias("duplicate_seqs"), "target", outcome.alias("outcome"), now.alias("rebound_at"))
     return mark_rebound(sidecars, binds), new_log, new_pending
 
 
@@ -170,7 +176,7 @@ def addressable(matched: DataFrame, names: DataFrame) -> DataFrame:
     wanted = stored(parsed.select("seq", "dir", stem.alias("cut"), F.col("p.counter").alias("counter")), "stems")
     found = prefix_hits(wanted, names.select("dir", "name").distinct())
     here = (F.col("w.dir") == F.col("f.dir")) & (F.col("w.cut") == F.col("f.cut")) & F.col("w.counter").eqNullSafe(F.col("f.counter"))
-    return wanted.alias("w").join(found.alias("f"), here, "left_semi").select("seq")
+    return wanted.alias("w").join(found.alias("f").hint("merge"), here, "left_semi").select("seq")
 
 
 def matcher_gate(rates: DataFrame, limit_pct: float = 3.0) -> DataFrame:
@@ -188,9 +194,9 @@ def match_rates(matched: DataFrame, names: DataFrame) -> DataFrame:
     """
     names = names.select("dir", "name").distinct()
     rows = matched.select("seq", "dir", "name", "media_name", "fuzzy", "reason", parse_sidecar(F.col("name"))["media_name"].isNotNull().alias("says"))
-    rows = rows.join(addressable(matched, names).withColumn("present", F.lit(True)), "seq", "left")
+    rows = rows.join(addressable(matched, names).withColumn("present", F.lit(True)).hint("merge"), "seq", "left")
     own = names.select("dir", F.col("name").alias("media_name"), F.lit(True).alias("own"))
-    rows = rows.join(own, ["dir", "media_name"], "left")
+    rows = rows.join(own.hint("merge"), ["dir", "media_name"], "left")
     bound = F.col("media_name").isNotNull()
     n, missed = F.count("*"), F.count_if("present")
     percent = lambda a, b: F.coalesce(F.round(F.try_divide(a * 100.0, b), 4), F.lit(0.0))
@@ -220,16 +226,16 @@ def plan_rebind(unmatched: DataFrame, entries: DataFrame, present: DataFrame, fi
     listing = entries.select("dir", "name", F.col("seq").alias("pos"))
     found = stored(match_sidecars(unmatched.select("seq", F.col("archive_dir").alias("dir"), F.col("entry_name").alias("name")), listing), "matched")
     here = present.select("path").distinct()
-    rows = unmatched.join(found.select("seq", "media_name", "reason", "candidate_count"), "seq").join(
-        kept.select(F.col("dir").alias("archive_dir"), F.col("name").alias("media_name"), "kept_path"), ["archive_dir", "media_name"], "left"
+    rows = unmatched.join(found.select("seq", "media_name", "reason", "candidate_count").hint("merge"), "seq").join(
+        kept.select(F.col("dir").alias("archive_dir"), F.col("name").alias("media_name"), "kept_path").hint("merge"), ["archive_dir", "media_name"], "left"
     )
-    rows = rows.join(here.select(F.col("path").alias("kept_path"), F.lit(True).alias("there")), "kept_path", "left")
+    rows = rows.join(here.select(F.col("path").alias("kept_path"), F.lit(True).alias("there")).hint("merge"), "kept_path", "left")
     # A kept file that moved is looked for by the digests it had.
     gone = rows.filter("kept_path IS NOT NULL AND there IS NULL").select("seq", "kept_path")
-    had = gone.join(files.select(F.col("path").alias("kept_path"), F.explode(F.array_compact(F.array("digest_source", "digest_full"))).alias("digest")), "kept_path")
-    now = files.select("path", F.explode(F.array_distinct(F.array_compact(F.array("digest_source", "digest_full")))).alias("digest")).join(here, "path", "left_semi")
-    moved = had.join(now, "digest").groupBy("seq").agg(F.count_distinct("path").alias("n_moved"), F.min("path").alias("moved_to"))
-    rows = rows.join(moved, "seq", "left")
+    had = gone.join(files.select(F.col("path").alias("kept_path"), F.explode(F.array_compact(F.array("digest_source", "digest_full"))).alias("digest")).hint("merge"), "kept_path")
+    now = files.select("path", F.explode(F.array_distinct(F.array_compact(F.array("digest_source", "digest_full")))).alias("digest")).join(here.hint("merge"), "path", "left_semi")
+    moved = had.join(now.hint("merge"), "digest").groupBy("seq").agg(F.count_distinct("path").alias("n_moved"), F.min("path").alias("moved_to"))
+    rows = rows.join(moved.hint("merge"), "seq", "left")
     refused = (
         F.when(F.col("payload").isNull(), "no_payload")
         .when(F.col("reason").isNotNull(), F.col("reason"))

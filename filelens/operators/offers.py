@@ -46,7 +46,7 @@ def targets_now(targets: DataFrame, log: DataFrame) -> DataFrame:
     did = done.groupBy(F.col("target_path").alias("target")).agg(
         F.bool_or(F.col("field") == "date").alias("got_date"), F.bool_or(F.col("field") == "gps").alias("got_gps"), F.max_by(epoch, F.when(epoch.isNotNull(), log_order(log))).alias("set_mtime")
     )
-    rows = targets.join(did, "target", "left")
+    rows = targets.join(did.hint("merge"), "target", "left")
     either = lambda had, got: F.when(F.col(got), True).otherwise(F.col(had))
     return rows.withColumns({"has_date": either("has_date", "got_date"), "has_gps": either("has_gps", "got_gps"), "mtime": F.coalesce(F.col("set_mtime").cast("double"), "mtime")}).drop("got_date", "got_gps", "set_mtime")
 
@@ -61,7 +61,7 @@ def evaluate_offers(offers: DataFrame, targets: DataFrame) -> DataFrame:
     """
     if "write_error" not in targets.columns:
         targets = targets.withColumn("write_error", F.lit(None).cast("string"))
-    rows = completed(offers).filter("value IS NOT NULL OR lat IS NOT NULL").join(targets, "target")  # a target that is gone gets no outcome
+    rows = completed(offers).filter("value IS NOT NULL OR lat IS NOT NULL").join(targets.hint("merge"), "target")  # a target that is gone gets no outcome
     order = Window.partitionBy("target", "field").orderBy("offer_seq")
     writable = F.col("container").isin(*EXIF_WRITABLE)
     had = F.coalesce(F.when(F.col("field") == "date", F.col("has_date")).otherwise(F.col("has_gps")), F.lit(False))
@@ -111,7 +111,7 @@ def change_sets(decisions: DataFrame, log: DataFrame, pending: DataFrame) -> tup
     once = insert_once(log.filter("field = 'already_present'"), refused, ["target_path", "value"], "seq")
     merged = rows.filter(F.col("state").isin("merged", "merged_mtime_only")).select(*log_row, F.when(F.col("state") == "merged", F.col("field")).otherwise(F.col("state")).alias("field"), F.col("payload").alias("value"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in merged.columns]
-    fresh = merged.alias("m").join(log.select(*merged.columns).alias("l"), same, "left_anti")
+    fresh = merged.alias("m").join(log.select(*merged.columns).alias("l").hint("merge"), same, "left_anti")
     waits = rows.filter("reason IS NOT NULL").select(
         F.col("offer_seq").alias("seq"), F.col("target").alias("file_path"), "field", F.col("payload").alias("value"), "reason", F.when(F.col("state") == "failed", "failed").otherwise("deferred").alias("state"), "source_desc"
     )

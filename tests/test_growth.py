@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from filelens.functions.documents import logged_epoch, sidecar_payload
-from filelens.operators import dedup, ingest
+from filelens.operators import dedup, ingest, match, offers
 from filelens.plans.catalog_queries import QUERIES
 
 
@@ -71,3 +71,21 @@ def test_match_queries_make_no_pairs(spark, smoke_dir):
         df = QUERIES[name](spark, smoke_dir.replace("sf0.001", "sf0.01"))
         df.collect()
         assert most_joined(df) <= 1000, name
+
+
+def test_sidecars_and_media_stay_off_the_driver(spark, smoke_dir):
+    """Tables of sidecars, media files, offers or targets are no broadcasts, however small; what has a row a directory may be."""
+    side = spark.range(60).selectExpr("id AS seq", "id % 2 AS archive_id", "concat('d/IMG_0000', id, '.jpg.json') AS entry_path", "'{}' AS payload")
+    media = spark.range(60).selectExpr("id % 2 AS archive_id", "concat('d/IMG_0000', id, '.jpg') AS entry_path", "id AS pos")
+    matched = match.match_in_archives(side, media)
+    names = media.selectExpr("concat(archive_id, '/d') AS dir", "substring(entry_path, 3) AS name")
+    in_place = matched.withColumn("dir", F.concat(F.col("archive_id").cast("string"), F.lit("/d")))
+    rates, rows = match.match_rates(in_place, names), match.unmatched_rows(matched, side)
+    offer = spark.range(60).selectExpr("concat('t', id % 3) AS target", "'date' AS field", "id AS value", "id AS offer_seq")
+    target = spark.range(3).selectExpr("concat('t', id) AS target", "'mp4' AS container", "true AS exif_ok", "false AS has_date", "false AS has_gps", "0D AS mtime")
+    decided = offers.evaluate_offers(offer, target)
+    assert rates.first().matched == 60 and rows.count() == 0 and decided.count() == 60
+    for df in (matched, rates, rows, decided):
+        df.collect()
+        sent = [set(p.output().apply(i).name() for i in range(p.output().size())) for p in nodes(df) if p.nodeName() == "BroadcastExchange"]
+        assert all(c <= {"dir", "lengths", "listed"} for c in sent), sent
