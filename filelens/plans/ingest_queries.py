@@ -525,8 +525,8 @@ def qc_05_wall_clock(spark, d):
 @query(f"WITH {_DEC}, {_WAITS} SELECT count(DISTINCT (target, refusal)) + count(*) FILTER (WHERE state IN ('merged', 'merged_mtime_only')) AS log_rows, (SELECT count(DISTINCT (file_path, field, value)) FROM w) AS pending_rows, CAST(0 AS BIGINT) AS again FROM dec WHERE state IN ('merged', 'merged_mtime_only', 'already_present')".replace("count(DISTINCT (target, refusal))", "count(DISTINCT CASE WHEN state = 'already_present' THEN (target, refusal) END)"))
 def qc_07_second_run_adds_nothing(spark, d):
     """What the first run of some offers adds, and what the same offers add on top of that."""
-    decided = _decisions(spark, d)
-    log, waits = offers.change_sets(decided, _no_log(spark), _no_pending(spark))
+    decided = stored(_decisions(spark, d), "decided")
+    log, waits = [stored(df, name) for df, name in zip(offers.change_sets(decided, _no_log(spark), _no_pending(spark)), ("log", "waits"))]
     again_log, again_waits = offers.change_sets(decided, log, waits.withColumn("applied_at", F.lit(None).cast("timestamp")))
     kinds = [(log, "log_rows"), (waits, "pending_rows"), (again_log, "again"), (again_waits, "again")]
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind")) for df, kind in kinds])
