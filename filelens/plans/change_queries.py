@@ -11,6 +11,7 @@ from filelens.plans import catalog_queries as C
 from filelens.plans import ingest_queries as I
 from filelens.plans import views as V
 from filelens.plans.registrar import Query, registrar
+from filelens.storage import stored
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,7 +213,7 @@ _APPLIED = f"""{I._REBIND}, bound AS (SELECT seq, target, media_name, relocated,
 
 
 def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    plan = I._rebind(spark, d)
+    plan = stored(I._rebind(spark, d), "plan")  # read four times below
     pos = F.regexp_extract("target", "([0-9]+)$", 1).cast("bigint")
     bound = plan.filter("target IS NOT NULL").groupBy("target").agg((F.min(F.when(F.col("decision") == "bound", F.col("seq"))) * 2).alias("seq"))
     jpeg = pos % 2 == 0
